@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import langid, media, minhash, mixing, substring_dedup
+from sparkloom.llm import ann, html_extract, langid, media, minhash, mixing, quality, substring_dedup, toxicity
 from sparkloom.llm import sentencepiece as pieces
 from sparkloom.session import table
 
@@ -17,6 +17,11 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = media.read_media(media.write_media(docs).drop("text"))
@@ -26,6 +31,13 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("media", 256).alias("media_sha256"), media.feature().alias("feature"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.ToxicityModel.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,12 +53,23 @@ def digests(encoded: DataFrame) -> DataFrame:
     return encoded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(joined, 256), "decoded_sha256": F.sha2("decoded", 256)})
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.identify(docs, langid.LanguageModel.fit(docs))
     return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.QualityModel.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality.score(docs, model)
+    return out.select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "top_passage")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -59,10 +82,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_media_columns": op2_media_columns,
+    "op3_toxicity": op3_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_id": op7_language_id,
+    "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
