@@ -19,8 +19,12 @@ import heapq
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from struct import pack
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sparkloom.llm.arrow import map_columns
@@ -68,10 +72,12 @@ class PrefixTokenizer:
                 merged, last = self._merge(piece)
                 if merged == [piece]:
                     self.parts[piece] = last
-                    self.automaton.add_word(piece, piece)
+                    self.automaton.add_word(piece, (len(piece), self.id[piece]))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.sizes = [len(p) for p in self.pieces]
+        self.pairs: list[dict[int, bool]] = [{} for _ in self.pieces]
+        self.n_pairs = 0
+        self.known = _Words(self)
 
     def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Merges from scratch: best score first, leftmost among equals. Also the last merge's two parts."""
@@ -98,18 +104,18 @@ class PrefixTokenizer:
             push(i)
         return [s for s, a in zip(symbols, alive, strict=True) if a], last
 
-    def compatible(self, a: str, b: str) -> bool:
+    def compatible(self, a: int, b: int) -> bool:
         """Whether merging a's text followed by b's gives back [a, b].
 
         Both are taken apart from their last merge down, on the sides that touch: a merge across the border would have
         come before the younger of the two parts that it uses was made.
         """
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= _KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._compatible(a, b)
+        if self.n_pairs >= _KEPT_PAIRS:
+            for row in self.pairs:
+                row.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        known = self.pairs[a][b] = self._compatible(self.pieces[a], self.pieces[b])
         return known
 
     def _compatible(self, a: str, b: str) -> bool:
@@ -135,33 +141,29 @@ class PrefixTokenizer:
 
     def _word(self, text: str) -> tuple[int, ...]:
         """Ids of a text without marks but for one in front, by its prefixes."""
-        last: list[str | None] = [None] * (len(text) + 1)
+        last: list[int | None] = [None] * (len(text) + 1)
         pairs, compatible = self.pairs, self.compatible
-        for at, piece in self.automaton.iter(text):  # all entries that end at a place come in a row
+        for at, (size, piece) in self.automaton.iter(text):  # all entries that end at a place come in a row
             at += 1
             if last[at] is not None:
                 continue
-            before = at - len(piece)
-            if before:
+            if before := at - size:
                 left = last[before]
-                if left is None:
-                    left = last[before] = text[before - 1]
-                fits = pairs.get((left, piece))
-                if not (compatible(left, piece) if fits is None else fits):
-                    continue
+                if left is not None:  # else a character outside the vocabulary, which joins nothing
+                    fits = pairs[left].get(piece)
+                    if not (compatible(left, piece) if fits is None else fits):
+                        continue
             last[at] = piece
         ids: list[int] = []
         at = len(text)
         while at:
-            piece = last[at] or text[at - 1]
-            own = self.id.get(piece)
-            if own is not None:
-                ids.append(own)
-            elif self.byte:
-                ids.extend(self.byte[b] for b in reversed(piece.encode()))
+            piece = last[at]
+            if piece is not None:
+                ids.append(piece)
+                at -= self.sizes[piece]
             else:
-                ids.append(self.unk)
-            at -= len(piece)
+                at -= 1
+                ids.extend([self.byte[b] for b in reversed(text[at].encode())] if self.byte else [self.unk])
         return tuple(reversed(ids))
 
     @lru_cache(maxsize=4096)  # noqa: B019  one per worker
@@ -180,23 +182,18 @@ class PrefixTokenizer:
             return self._marks(marks) + rest[1:]
         return self._marks(marks - 1) + rest
 
+    def packed(self, text: str | None, add_end: bool = False) -> bytes:
+        """The ids as native 32-bit integers."""
+        out = b""
+        if text:
+            if len(self.known) > _KEPT_WORDS:
+                self.known.clear()
+            out = b"".join(map(self.known.__getitem__, self.words.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))))
+        return out + pack("i", self.end) if add_end else out
+
     def encode(self, text: str | None, add_end: bool = False) -> list[int]:
         """The library's encode(text, add_eos=add_end)."""
-        ids: list[int] = []
-        if text:
-            known = self.known
-            for word in self.words.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK)):
-                found = known.get(word)
-                if found is None:
-                    found = self._segment(word)
-                    if len(word) <= _KEPT_LENGTH:
-                        if len(known) >= _KEPT_WORDS:
-                            known.clear()
-                        known[word] = found
-                ids += found
-        if add_end:
-            ids.append(self.end)
-        return ids
+        return memoryview(self.packed(text, add_end)).cast("i").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decode(ids): byte ids join to characters, broken bytes become U+FFFD, one leading space goes."""
@@ -225,6 +222,21 @@ class PrefixTokenizer:
         return "".join(out)
 
 
+class _Words(dict):
+    """Packed ids by word, worked out on first sight; long words are not kept."""
+
+    def __init__(self, tokenizer: PrefixTokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.tokenizer._segment(word)
+        out = pack(f"{len(ids)}i", *ids)
+        if len(word) <= _KEPT_LENGTH:
+            self[word] = out
+        return out
+
+
 def _utf8(run: bytearray) -> str:
     """Each byte that is part of no whole character becomes one U+FFFD, as in the library."""
     try:
@@ -265,7 +277,9 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
 
     def fn(text):
         own = _tokenizer(model)
-        return [[own.encode(x, add_end) for x in text.to_pylist()]]
+        packed = [own.packed(x, add_end) for x in text.to_pylist()]
+        ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
 
     return map_columns(df, {"text": text_col}, f"`{ids_col}` array<int>", fn)
 
@@ -276,7 +290,13 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
         model = df.sparkSession.sparkContext.broadcast(f.read())
 
     def fn(ids):
-        own = _tokenizer(model)
-        return [[None if x is None else own.decode(x) for x in ids.to_pylist()]]
+        own, null = _tokenizer(model), np.asarray(ids.is_null())
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
+        flat = pc.fill_null(ids.flatten(), own.unk).to_numpy().tolist()
+        out, at = [], 0
+        for n, none in zip(lengths.tolist(), null.tolist(), strict=True):
+            out.append(None if none else own.decode(flat[at : at + n]))
+            at += n
+        return [out]
 
     return map_columns(df, {"ids": ids_col}, f"`{text_col}` string", fn)
