@@ -78,6 +78,8 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc, row, cut): for each row of the table that loses units, their line, offsets and the document that keeps them."""
     rows = _unit_rows(docs, id_col, text_col, min_words)
     first = rows.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # dealt anew, so that the join shuffles both sides and AQE can split the units of a very common line
+    first = first.repartition(F.xxhash64("hi"))
     gone = rows.join(first, ["hi", "lo"]).where("again or doc <> first")
     return gone.groupBy("doc", "row").agg(F.collect_set(F.struct("line", "start", "length", "first")).alias("cut"))
 
