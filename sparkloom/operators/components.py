@@ -16,15 +16,20 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def _spread(low: DataFrame) -> DataFrame:
+    """One row per node, dealt anew: the join below then shuffles both sides, which lets AQE split a hub's edges."""
+    return low.repartition(F.xxhash64("src"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _both_ways(edges)
-    low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
+    low = _spread(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low")))
     return both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    low = down.groupBy("src").agg(F.min("dst").alias("low"))
+    low = _spread(down.groupBy("src").agg(F.min("dst").alias("low")))
     hung = down.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return hung.unionAll(low.select("src", F.col("low").alias("dst"))).where("src <> dst")
 
