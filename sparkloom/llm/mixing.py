@@ -75,7 +75,7 @@ def mix(docs: DataFrame, seed: int = 9, id_col: str = "doc_id", text_col: str =
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mix itself: every row of mix() as often as its copies say."""
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy") if "copies" in mixed.columns else mixed
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("_copy")
 
 
 ORACLE_SQL = r"""
