@@ -42,7 +42,7 @@ def recency(stamp: Column, as_of: Column) -> Column:
     """Half-life decay from the first ten characters of a date; 0 without a date, 1 for the future."""
     day = F.try_to_timestamp(F.substring(stamp, 1, 10), F.lit("yyyy-MM-dd"))
     age = F.greatest(F.lit(0.0), (F.unix_timestamp(as_of) - F.unix_timestamp(day)) / 86400.0)
-    return F.coalesce(F.pow(F.lit(0.5), age / HALF_LIFE_DAYS), F.lit(0.0))
+    return F.when(day.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(0.5), age / HALF_LIFE_DAYS))
 
 
 def pre_rank(similarity: Column, recency_: Column) -> Column:

@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 class VersionedTable:
     """A table in ``path`` whose current version is named by the newest pointer file."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.schema = spark.createDataFrame([], schema).schema
 
     def _hadoop(self):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path

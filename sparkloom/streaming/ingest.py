@@ -45,16 +45,21 @@ def ingest_report(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("documents")).crossJoin(counts)
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream's watermark needs an instant; a table is taken as it is."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def event_windows(events: DataFrame, time: str, keys: list[str], size: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """Counts and sums of ``value`` by window and keys; additional to what ledgers need. Late events are taken up to ``late``."""
     window = F.window(time, size, slide) if slide else F.window(time, size)
-    timed = events.withWatermark(time, late) if events.isStreaming else events
+    timed = _timed(events, time, late)
     out = timed.groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "total")
 
 
 def event_sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Sessions of a key without a pause longer than ``gap``; additional as well."""
-    timed = events.withWatermark(time, late) if events.isStreaming else events
+    timed = _timed(events, time, late)
     out = timed.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
