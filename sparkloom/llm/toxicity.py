@@ -6,8 +6,9 @@ emission is a sum of hashed weights of its word and affixes, fitted with the tra
 likelihood of labelled lines. A document's features are its largest marginal, the sum of its marginals and its length; a
 logistic regression on training documents that the field has not seen turns them into a score.
 
-Marginals are found by forward-backward passes over windows of ``2 * CONTEXT + 1`` tokens around every token whose
-emission could matter; the rest of a chain changes such a marginal by less than 1e-3. All tokens of a text are looked at.
+Marginals are found by forward-backward passes over windows of ``2 * CONTEXT + 1`` tokens around every token of a text
+whose emission is not negligible, all texts of a batch at once; what lies beyond a window changes a marginal by less than
+1e-3. A text begins and ends outside a toxic span.
 
 Defined results: a null, empty or wordless text has no spans and gets the score of a document without evidence; without
 training rows every score is 0; other columns are carried along, and columns named as an output are replaced.
@@ -29,10 +30,10 @@ from sparkloom.llm.labelled import fit_logistic, labelled_sample, sigmoid
 PER_CLASS = 2_000  # training documents of each class at most
 BUCKETS = 1 << 16
 CONTEXT = 6
-LEAST_EMISSION = -6.0  # tokens below have marginals of some 1e-3 at most next to such tokens
+LEAST_EMISSION = -8.0  # tokens below have marginals of some 1e-3 at most
 _LINES_PER_DOC = 4
 _LONGEST = 48  # tokens of a training line
-_KEPT = 300_000
+_KEPT = 700_000  # remembered words per worker, some 90 MB
 _WORD = re.compile(r"\w+")
 
 
@@ -67,7 +68,7 @@ class ToxicityModel:
         model._fit_chain([(x, t) for x, h, t in zip(lines, half, y, strict=True) if h], toxic)
         rest = ~half if (~half).any() else half
         tagger = Tagger(model)
-        x = np.array([tagger.document(tagger.marginals(text)[1], sum(map(len, ls))) for text, ls, r in zip(texts, lines, rest, strict=True) if r])
+        x = np.array([tagger.document(p, n) for _, p, n in tagger.marginals([text for text, r in zip(texts, rest, strict=True) if r])])
         model.score = fit_logistic(x, y[rest], weight[rest])
         return model
 
@@ -149,6 +150,24 @@ def forward_backward(emission: np.ndarray, chain: np.ndarray) -> tuple[np.ndarra
     return np.exp(both[:, :, 1] - whole[:, None]), pairs
 
 
+def centre_marginals(windows: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """Marginals of state 1 at the middle of each window of emissions.
+
+    With two states a pass needs only the log odds of its two sums, ahead from the left end and back from the right.
+    """
+    middle = windows.shape[1] // 2
+
+    def turn(odds: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return np.logaddexp(to[0, 1], to[1, 1] + odds) - np.logaddexp(to[0, 0], to[1, 0] + odds)
+
+    ahead, back = windows[:, 0], np.zeros(len(windows))
+    for i in range(1, middle + 1):
+        ahead = turn(ahead, chain) + windows[:, i]
+    for i in range(windows.shape[1] - 1, middle, -1):
+        back = turn(back + windows[:, i], chain.T)
+    return sigmoid(ahead + back)
+
+
 class Tagger(dict):
     """Emissions by word (worked out once) and what follows from them."""
 
@@ -160,30 +179,35 @@ class Tagger(dict):
         self[word] = value = float(self.model.weights[[_bucket(f) for f in word_features(word)]].sum() + self.model.start[1])
         return value
 
-    def marginals(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(token numbers, marginals) of the tokens that could be toxic."""
-        words = _WORD.findall(text.lower()) if text else []
+    def marginals(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Of each text (token numbers, marginals) of the tokens that could be toxic, and the number of all tokens."""
         if len(self) > _KEPT:
             self.clear()
-        emission = np.fromiter(map(self.__getitem__, words), float, len(words))
+        gap, runs, sizes = np.full(CONTEXT, -30.0), [], []
+        for text in texts:
+            words = _WORD.findall(text.lower()) if text else []
+            runs += [gap, np.fromiter(map(self.__getitem__, words), float, len(words))]
+            sizes.append(len(words))
+        emission = np.concatenate([*runs, gap])
         hot = np.flatnonzero(emission > LEAST_EMISSION)
-        if not len(hot):
-            return hot, np.zeros(0)
-        padded = np.concatenate([np.full(CONTEXT, -30.0), emission, np.full(CONTEXT, -30.0)])
-        out = [forward_backward(padded[some[:, None] + np.arange(2 * CONTEXT + 1)], self.model.chain)[0][:, CONTEXT] for some in np.array_split(hot, -(-len(hot) // 4096))]
-        return hot, np.concatenate(out)
+        window = np.arange(-CONTEXT, CONTEXT + 1)
+        found = [centre_marginals(emission[hot[at : at + 8192, None] + window], self.model.chain) for at in range(0, len(hot), 8192)]
+        p = np.concatenate(found) if found else np.zeros(0)
+        starts = np.cumsum([CONTEXT, *(n + CONTEXT for n in sizes)])
+        cuts = np.searchsorted(hot, starts)
+        return [(hot[a:b] - start, p[a:b], n) for a, b, start, n in zip(cuts, cuts[1:], starts, sizes, strict=False)]
 
     @staticmethod
     def document(marginals: np.ndarray, n_words: int) -> np.ndarray:
         top = np.clip(marginals.max(initial=1e-4), 1e-4, 1 - 1e-4)
         return np.array([np.log(top / (1 - top)), np.log1p(marginals.sum()), np.log1p(n_words)])
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Score, and the spans (start, end in code points, mean marginal) of runs of tokens that are likelier toxic than not."""
-        at, p = self.marginals(text)
-        n_words = len(_WORD.findall(text)) if text else 0
-        score = float(sigmoid(self.document(p, n_words) @ self.model.score[:-1] + self.model.score[-1]))
-        return score, list(_spans(text, dict(zip(at[p >= 0.5].tolist(), p[p >= 0.5].tolist(), strict=True)))) if (p >= 0.5).any() else []
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """Of each text its score, and the spans (start, end in code points, mean marginal) of runs of tokens that are likelier toxic than not."""
+        found = self.marginals(texts)
+        scores = sigmoid(np.array([self.document(p, n) for _, p, n in found]).reshape(-1, 3) @ self.model.score[:-1] + self.model.score[-1])
+        spans = [list(_spans(x, dict(zip(at[p >= 0.5].tolist(), p[p >= 0.5].tolist(), strict=True)))) if (p >= 0.5).any() else [] for x, (at, p, _) in zip(texts, found, strict=True)]
+        return list(zip(scores.tolist(), spans, strict=True))
 
 
 def _spans(text: str, toxic: dict[int, float]) -> Iterator[tuple[int, int, float]]:
@@ -208,7 +232,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
     def fn(text):
         if not own:
             own.append(Tagger(ToxicityModel(*shared.value)))
-        found = [own[0].score(x) for x in text.to_pylist()]
+        found = own[0].score(text.to_pylist())
         return [[s for s, _ in found], [[{"start": a, "end": b, "p": p} for a, b, p in spans] for _, spans in found]]
 
     return map_columns(docs, {"text": text_col}, "score double, toxic_spans array<struct<start:int,end:int,p:double>>", fn)
