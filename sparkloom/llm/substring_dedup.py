@@ -1,13 +1,16 @@
-"""Substring dedup by hashing lines.
+"""Substring dedup by hashing lines, and the sentences of long lines.
 
 Every line is normalised (lower case, runs of space and 0x09-0x0D to one space, trimmed) and hashed to 128 bits; the
-digests are grouped over all documents; the occurrence of the smallest doc_id stays and the others go. A line of fewer
-than ``min_words`` words says little by itself, so its digest also covers the following line (the line before, for a
-text's last): it goes only where that pair repeats. Removed units keep their offsets in the original text.
-
-Defined results: blank lines are no units and stay; null texts stay null without units; a null doc_id ranks after all
-others; within one document the first occurrence stays; rows that share a doc_id count as one document; an empty table
-gives an empty result; other columns are carried along, and columns named as an output are replaced.
+digests are grouped over all documents; the occurrence of the smallest doc_id stays and the others go. A paragraph that
+stands on a line of more than ``long_line`` words may hold a passage that others have too, so its sentences are units as
+well. A line of fewer than ``min_words`` words, or a sentence of fewer than ``sentence_words``, says little by itself:
+its digest also covers the unit after it (before it, for the last), and it goes only where that pair repeats. Removed
+units keep their offsets in the original text.
+
+Defined results: blank lines are no units and stay; a line none of whose sentences stays goes; null texts stay null
+without units; a null doc_id ranks after all others; within one document the first occurrence stays; rows that share a
+doc_id count as one document; an empty table gives an empty result; other columns are carried along, and columns named
+as an output are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import map_columns, slices
 
-MIN_WORDS = 5
+MIN_WORDS, LONG_LINE, SENTENCE_WORDS = 5, 50, 8
+_SENTENCE = re.compile(r".+?(?:[.!?] +|$)")  # all of a line, piece by piece
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _LAST = (1 << 63) - 1  # where null ids rank
 _SPANS = "array<struct<start:int,length:int,first_doc_id:bigint>>"
@@ -36,73 +40,106 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def units(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(line number, start, length, digest high, digest low) of each non-blank line, in code points of the text."""
-    if text is None:
-        return
-    lines = text.split("\n")
-    clean = [normalise(x) for x in lines]
-    start = 0
-    for i, (line, own) in enumerate(zip(lines, clean, strict=True)):
+def _digests(clean: list[str], least: int, kind: str) -> Iterator[tuple[int, int, int]]:
+    """(number, digest high, digest low) of each unit that is not blank."""
+    for i, own in enumerate(clean):
         if own:
             key = own
-            if own.count(" ") + 1 < min_words:
-                key = f"{own}\n{clean[i + 1]}" if i + 1 < len(lines) else f"{clean[i - 1] if i else ''}\n{own}\n"
-            digest = xxhash.xxh3_128_intdigest(key)
-            yield i, start, len(line), _long(digest >> 64), _long(digest & ((1 << 64) - 1))
-        start += len(line) + 1
+            if own.count(" ") + 1 < least:
+                key = f"{own}\n{clean[i + 1]}" if i + 1 < len(clean) else f"{clean[i - 1] if i else ''}\n{own}\n"
+            digest = xxhash.xxh3_128_intdigest(kind + key)
+            yield i, _long(digest >> 64), _long(digest & ((1 << 64) - 1))
+
+
+def sentences(line: str, words: int, long_line: int) -> list[str]:
+    """The pieces of a long line; none for a line that is short or one piece."""
+    pieces = _SENTENCE.findall(line) if words > long_line else []
+    return pieces if len(pieces) > 1 else []
 
 
-def _unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc, row, line, hi, lo, again): again marks a unit that its own document has shown before."""
+def units(text: str | None, min_words: int = MIN_WORDS, long_line: int = LONG_LINE, sentence_words: int = SENTENCE_WORDS) -> Iterator[tuple[int, int, int, int]]:
+    """(line number, piece number, digest high, digest low) of each unit; piece 0 is the whole line."""
+    lines = (text or "").split("\n")
+    clean = [normalise(x) for x in lines]
+    for i, hi, lo in _digests(clean, min_words, ""):
+        yield i, 0, hi, lo
+        pieces = sentences(lines[i], clean[i].count(" ") + 1, long_line)
+        for k, hi, lo in _digests([normalise(x) for x in pieces], sentence_words, "\x01"):
+            yield i, k + 1, hi, lo
+
+
+def _unit_rows(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, int, int]) -> DataFrame:
+    """(doc, row, line, piece, hi, lo, again): again marks a unit that its own document has shown before."""
     source = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
-        names = ["doc", "row", "line", "start", "length", "hi", "lo", "again"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        names = ["doc", "row", "line", "piece", "hi", "lo", "again"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
             for part in slices(batch):
                 out = []
                 for doc, row, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     seen = set()
-                    for line, start, length, hi, lo in units(text, min_words):
-                        out.append((doc, row, line, start, length, hi, lo, (hi, lo) in seen))
+                    for line, piece, hi, lo in units(text, *sizes):
+                        out.append((doc, row, line, piece, hi, lo, (hi, lo) in seen))
                         seen.add((hi, lo))
                 columns = zip(*out, strict=True) if out else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return source.mapInArrow(run, "doc long, row long, line int, start int, length int, hi long, lo long, again boolean")
+    return source.mapInArrow(run, "doc long, row long, line int, piece int, hi long, lo long, again boolean")
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, row, cut): for each row of the table that loses units, their line, offsets and the document that keeps them."""
-    rows = _unit_rows(docs, id_col, text_col, min_words)
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, long_line: int = LONG_LINE, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+    """(doc, row, cut): for each row of the table that loses units, these and the document that keeps each."""
+    rows = _unit_rows(docs, id_col, text_col, (min_words, long_line, sentence_words))
     first = rows.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # dealt anew, so that the join shuffles both sides and AQE can split the units of a very common line
     first = first.repartition(F.xxhash64("hi"))
     gone = rows.join(first, ["hi", "lo"]).where("again or doc <> first")
-    return gone.groupBy("doc", "row").agg(F.collect_set(F.struct("line", "start", "length", "first")).alias("cut"))
+    return gone.groupBy("doc", "row").agg(F.collect_set(F.struct("line", "piece", "first")).alias("cut"))
+
+
+def without(text: str, lost: dict[tuple[int, int], int], long_line: int = LONG_LINE) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text without the units (line, piece) and the spans (start, length, keeper) that went."""
+    kept, spans, start = [], [], 0
+    hurt = {line for line, _ in lost}
+    for i, line in enumerate(text.split("\n")):
+        if (i, 0) in lost:
+            spans.append((start, len(line), lost[i, 0]))
+        elif i not in hurt:
+            kept.append(line)
+        else:
+            left, at = [], start
+            for k, piece in enumerate(sentences(line, long_line + 1, long_line), 1):
+                if (i, k) in lost:
+                    spans.append((at, len(piece), lost[i, k]))
+                else:
+                    left.append(piece)
+                at += len(piece)
+            if any(normalise(x) for x in left):
+                kept.append("".join(left))
+        start += len(line) + 1
+    return "\n".join(kept), spans
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, long_line: int = LONG_LINE, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
     """``docs`` with the text rebuilt and the columns n_removed, chars_removed and removed (spans of the original)."""
-    found = repeated_units(docs, id_col, text_col, min_words)
+    found = repeated_units(docs, id_col, text_col, min_words, long_line, sentence_words)
     keyed = docs.withColumn("_doc", F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long")).withColumn("_row", F.xxhash64(text_col))
     found = found.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("cut").alias("_cut"))
     joined = keyed.join(found, ["_doc", "_row"], "left")
 
     def rebuild(text: pa.Array, gone: pa.Array) -> list:
-        texts, counts, chars, spans = [], [], [], []
+        texts, counts, chars, removed = [], [], [], []
         for whole, lost in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+            spans: list[tuple[int, int, int]] = []
             if lost:
-                lines = {x["line"] for x in lost}
-                whole = "\n".join(x for i, x in enumerate(whole.split("\n")) if i not in lines)
-            lost = sorted(((x["start"], x["length"], None if x["first"] == _LAST else x["first"]) for x in lost or ()), key=lambda x: x[0])
+                whole, spans = without(whole, {(x["line"], x["piece"]): x["first"] for x in lost}, long_line)
             texts.append(whole)
-            counts.append(len(lost))
-            chars.append(sum(x[1] for x in lost))
-            spans.append([{"start": a, "length": b, "first_doc_id": c} for a, b, c in lost])
-        return [texts, counts, chars, spans]
+            counts.append(len(spans))
+            chars.append(sum(x[1] for x in spans))
+            removed.append([{"start": a, "length": b, "first_doc_id": None if c == _LAST else c} for a, b, c in spans])
+        return [texts, counts, chars, removed]
 
     keep = [c for c in docs.columns if c != text_col]
     out = map_columns(joined, {"text": text_col, "gone": "_cut"}, f"`{text_col}` string, n_removed bigint, chars_removed bigint, removed {_SPANS}", rebuild, keep)
@@ -118,8 +155,21 @@ keyed AS (SELECT *, CASE WHEN len(string_split(own, ' ')) >= 5 THEN own WHEN aft
   ELSE coalesce(before, '') || chr(10) || own || chr(10) END AS unit FROM near WHERE own <> ''),
 ranked AS (SELECT *, min(doc_id) OVER (PARTITION BY unit) AS first, row_number() OVER (PARTITION BY unit, doc_id ORDER BY i) AS again FROM keyed),
 gone AS (SELECT * FROM ranked WHERE again > 1 OR doc_id <> first),
-per AS (SELECT doc_id, count(*) AS n_removed, sum(length(line))::BIGINT AS chars_removed, string_agg(start::BIGINT || '+' || length(line) || '@' || first, ';' ORDER BY i) AS removed FROM gone GROUP BY doc_id),
-kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+pieces AS (SELECT doc_id, i, start, unnest(regexp_extract_all(line, '.+?(?:[.!?] +|$)')) AS piece, generate_subscripts(regexp_extract_all(line, '.+?(?:[.!?] +|$)'), 1) AS k
+  FROM clean WHERE len(string_split(own, ' ')) > 50 AND len(regexp_extract_all(line, '.+?(?:[.!?] +|$)')) > 1),
+piece_clean AS (SELECT *, trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS own, start + sum(length(piece)) OVER (PARTITION BY doc_id, i ORDER BY k) - length(piece) AS at_char FROM pieces),
+piece_near AS (SELECT *, lead(own) OVER w AS after, lag(own) OVER w AS before FROM piece_clean WINDOW w AS (PARTITION BY doc_id, i ORDER BY k)),
+piece_keyed AS (SELECT *, CASE WHEN len(string_split(own, ' ')) >= 8 THEN own WHEN after IS NOT NULL THEN own || chr(10) || after
+  ELSE coalesce(before, '') || chr(10) || own || chr(10) END AS unit FROM piece_near WHERE own <> ''),
+piece_ranked AS (SELECT *, min(doc_id) OVER (PARTITION BY unit) AS first, row_number() OVER (PARTITION BY unit, doc_id ORDER BY i, k) AS again FROM piece_keyed),
+piece_gone AS (SELECT * FROM (SELECT * FROM piece_ranked WHERE again > 1 OR doc_id <> first) p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i),
+mended AS (SELECT p.doc_id, p.i, string_agg(p.piece, '' ORDER BY p.k) AS line, bool_or(p.own <> '') AS some FROM piece_clean p ANTI JOIN piece_gone g ON p.doc_id = g.doc_id AND p.i = g.i AND p.k = g.k GROUP BY p.doc_id, p.i),
+hurt AS (SELECT DISTINCT doc_id, i FROM piece_gone),
+left_lines AS (SELECT l.doc_id, l.i, CASE WHEN h.i IS NULL THEN l.line ELSE m.line END AS line FROM (SELECT * FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i) l
+  LEFT JOIN hurt h ON h.doc_id = l.doc_id AND h.i = l.i LEFT JOIN mended m ON m.doc_id = l.doc_id AND m.i = l.i WHERE h.i IS NULL OR m.some),
+cuts AS (SELECT doc_id, start::BIGINT AS a, length(line) AS n, first FROM gone UNION ALL SELECT doc_id, at_char::BIGINT, length(piece), first FROM piece_gone),
+per AS (SELECT doc_id, count(*) AS n_removed, sum(n)::BIGINT AS chars_removed, string_agg(a || '+' || n || '@' || first, ';' ORDER BY a) AS removed FROM cuts GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM left_lines GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(p.n_removed, 0)::BIGINT AS n_removed,
   coalesce(p.chars_removed, 0)::BIGINT AS chars_removed, coalesce(p.removed, '') AS removed
 FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN per p USING (doc_id)

@@ -293,33 +293,69 @@ def test_mixing_without_words(spark):
     assert all(r["target"] == 0 and r["taken"] == 0 for r in out)
 
 
-def brute_substring(rows, least=5):
+def brute_substring(rows, least=5, long_line=50, sentence=8):
     clean = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
-    found, lines = {}, {}
-    for i, t in rows:
-        own = [clean(x) for x in t.split("\n")]
-        keys = []
+
+    def keys(parts, words, kind):
+        own = [clean(x) for x in parts]
         for n, x in enumerate(own):
-            key = x if len(x.split(" ")) >= least else (x, own[n + 1]) if n + 1 < len(own) else (own[n - 1] if n else "", x, None)
-            keys.append(key if x else None)
-            if x:
-                found.setdefault(key, []).append((i, n))
-        lines[i] = keys
-    keep = {k: min(v) for k, v in found.items()}
-    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if lines[i][n] is None or keep[lines[i][n]] == (i, n)) for i, t in rows}
+            key = x if len(x.split(" ")) >= words else (x, own[n + 1]) if n + 1 < len(own) else (own[n - 1] if n else "", x, None)
+            yield (kind, key) if x else None
+
+    def pieces(line):
+        found = re.findall(r".+?(?:[.!?] +|$)", line) if len(clean(line).split(" ")) > long_line else []
+        return found if len(found) > 1 else []
+
+    keep, units = {}, {}
+    for i, t in rows:
+        lines = t.split("\n")
+        units[i] = [(key, list(keys(pieces(line), sentence, "s"))) for line, key in zip(lines, keys(lines, least, "l"), strict=True)]
+        for n, (key, parts) in enumerate(units[i]):
+            for k, x in enumerate([key, *parts]):
+                if x:
+                    keep[x] = min(keep.get(x, (i, n, k)), (i, n, k))
+    out = {}
+    for i, t in rows:
+        left = []
+        for n, (line, (key, parts)) in enumerate(zip(t.split("\n"), units[i], strict=True)):
+            if key and keep[key] != (i, n, 0):
+                continue
+            stays = [x for k, (x, u) in enumerate(zip(pieces(line), parts, strict=True), 1) if not u or keep[u] == (i, n, k)]
+            if len(stays) == len(parts):
+                left.append(line)
+            elif any(map(clean, stays)):
+                left.append("".join(stays))
+        out[i] = "\n".join(left)
+    return out
 
 
 def test_substring_dedup(spark):
     rng = np.random.default_rng(0)
-    pool = [" ".join(rng.choice(["aa", "Bb", "cc", "dd"], rng.integers(1, 9))) for _ in range(40)] + ["", "  "]
+    short = [" ".join(rng.choice(["aa", "Bb", "cc", "dd"], rng.integers(1, 12))) for _ in range(40)]
+    pool = [*short, "", "  ", *(". ".join(rng.choice(short, 14)) + "." for _ in range(25))]
     rows = [(i, "\n".join(rng.choice(pool, rng.integers(1, 7)))) for i in range(120)]
     out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit("old"))).collect()
     want, texts = brute_substring(rows), dict(rows)
     for r in out:
         assert r["text"] == want[r["doc_id"]]
-        cut = [texts[r["doc_id"]][x["start"] : x["start"] + x["length"]] for x in r["removed"]]
-        assert sorted([*cut, *r["text"].split("\n")]) == sorted([*texts[r["doc_id"]].split("\n"), *([""] if len(cut) == len(texts[r["doc_id"]].split("\n")) else [])])
-        assert all(x["first_doc_id"] <= r["doc_id"] for x in r["removed"]) and r["n_removed"] == len(cut)
+        whole, left = texts[r["doc_id"]], [c for c in texts[r["doc_id"]]]
+        for x in r["removed"]:
+            assert left[x["start"] : x["start"] + x["length"]] == list(whole[x["start"] : x["start"] + x["length"]])
+            left[x["start"] : x["start"] + x["length"]] = [""] * x["length"]
+        strip = lambda t: t.replace("\n", "").replace(" ", "")
+        assert strip("".join(left)) == strip(r["text"])
+        assert all(x["first_doc_id"] <= r["doc_id"] for x in r["removed"]) and r["n_removed"] == len(r["removed"])
+
+
+def test_passages_inside_long_lines(spark):
+    """A passage that starts and ends within a paragraph loses the sentences that another document has."""
+    words = lambda k, n: " ".join(f"{chr(97 + (k + j) % 26)}{k}{j}" for j in range(n))
+    passage = f"{words(1, 12)}. {words(2, 30)}. {words(3, 20)}."
+    rows = [(1, f"{words(4, 20)} {passage} {words(5, 9)}."), (2, f"{words(6, 40)}. {passage} {words(7, 11)}. End here."), (3, f"{words(8, 60)}. {words(9, 9)}.")]
+    out = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["text"] == rows[0][1] and out[3]["text"] == rows[2][1]
+    assert words(2, 30) not in out[2]["text"] and words(3, 20) not in out[2]["text"] and words(6, 40) in out[2]["text"] and "End here." in out[2]["text"]
+    assert {x["first_doc_id"] for x in out[2]["removed"]} == {1}
 
 
 def test_substring_odd_rows(spark):
