@@ -96,3 +96,9 @@ def spec_reasons(id_: Column, name: Column, task_class: Column, k: Column, focus
         no(id_.rlike("^[a-z0-9][a-z0-9-]{1,40}$"), "id"), no(_line_ok(name, 60), "name"), no(task_class.isin(*task_classes), "task_class"),
         no(k.between(3, 12), "k"), no((focus == "") | focus.rlike("^[a-z0-9][a-z0-9 -]{0,79}$"), "focus"), no(_line_ok(role, 140), "role"),
         no(playbook.isin(*playbooks), "playbook")), lambda x: x.isNotNull())
+
+
+def artifact_kind(path: Column) -> Column:
+    """What a file is by its ending."""
+    end = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.when(end.isin("csv", "tsv", "xlsx"), "table").when(end.isin("md", "txt", "pdf", "docx"), "document").when(end.isin("png", "jpg", "svg"), "image").otherwise("file")

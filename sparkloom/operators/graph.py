@@ -274,3 +274,21 @@ def representative_chunks(chunks: DataFrame, k: int, least_chars: int = 120) ->
     named = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1))))
     order = [F.desc(F.length("text") >= least_chars), F.desc(named), F.desc(F.length("text")), F.asc("chunk_index")]
     return chunks.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+
+
+def walk_page(steps: DataFrame, entities: DataFrame, limit: int = 100) -> DataFrame:
+    """A walk's first steps: near ones first, then often mentioned ones."""
+    named = steps.join(entities.select("id", "label", "type", "mention_count"), "id")
+    return named.orderBy("hop", F.desc("mention_count"), "id", "predicate", "doc_id", "via").limit(limit)
+
+
+def runs_behind(edges: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(src_id, dst_id, session) of edges whose provenance is a run."""
+    runs = edges.where(F.startswith("doc_id", F.lit("run:"))).select("src_id", "dst_id", F.substring("doc_id", 5, F.lit(1 << 30)).alias("id"))
+    return runs.join(sessions.select("id", "started_at"), "id")
+
+
+def shown_labels(edges: DataFrame, per_predicate: int = 2, most: int = 8) -> DataFrame:
+    """The edges that get a label: the heaviest of each predicate, few in all."""
+    nth = F.row_number().over(Window.partitionBy("predicate").orderBy(F.desc("weight"), "src_id", "dst_id"))
+    return edges.withColumn("nth", nth).where(F.col("nth") <= per_predicate).orderBy(F.desc("weight"), "predicate", "src_id", "dst_id").limit(most)

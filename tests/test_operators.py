@@ -194,3 +194,18 @@ def test_sessions(spark):
     got = ledger.sessions_like(sessions, receipts, "tea pricing").collect()
     assert [(r["id"], r["match"], r["receipts"]) for r in got] == [("a", 2, 1)]
     assert [r["id"] for r in ledger.sessions_like(sessions, receipts, "").collect()] == ["b", "a"]
+
+
+def test_judge_replies(spark):
+    claims = spark.createDataFrame([(k, i, f"c{i}") for k in range(4) for i in range(2)], "k int, sentence_index int, claim string")
+    replies = spark.createDataFrame([(0, 'ok ```json [{"i": 0, "grounded": true, "chunk": 2}]```'), (1, "no json"), (2, None)], "k int, reply string")
+    got = {(r["k"], r["sentence_index"]): (r["grounded"], r["chunk"], r["status"]) for r in grounding.judged(claims, replies, "k").collect()}
+    assert got[0, 0] == (True, 2, "validated") and got[0, 1] == (False, None, "validated") and got[1, 0] == (False, None, "validated")
+    assert got[2, 0] == got[3, 1] == (None, None, "unvalidated_offline")
+
+
+def test_first_decision_counts(spark):
+    approvals = spark.createDataFrame([(1, "pending"), (2, "approved"), (3, "pending")], "id long, status string")
+    made = spark.createDataFrame([(1, "rejected", 1), (1, "approved", 2), (2, "rejected", 1)], "id long, decision string, at long")
+    got = {r["id"]: (r["status"], r["refused"]) for r in ledger.decided(approvals, made).collect()}
+    assert got == {1: ("rejected", 1), 2: ("approved", 1), 3: ("pending", 0)}
