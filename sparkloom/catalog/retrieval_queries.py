@@ -61,6 +61,13 @@ def t02_bm25_topk(spark, sf_dir):
     return hits.orderBy(F.desc("bm25"), "point_id").limit(20).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
 
 
+@query("t02_bm25_indexed", f"WITH {_bm25_sql(['apache', 'license'])} SELECT point_id, matched, round(bm25, 6) AS bm25 FROM hits")
+def t02_bm25_indexed(spark, sf_dir):
+    """From postings; the documents here have a word each, so the statistics are those of the texts."""
+    index = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id")
+    return retrieval.bm25_indexed(index, ["apache", "license"]).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
+
+
 _RARE = "Heanonha ndesou license"
 
 

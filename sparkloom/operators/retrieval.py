@@ -97,11 +97,26 @@ def keyword_search(points: DataFrame, question: str, k: int, or_fallback: bool =
     every = F.col("matched") == len(terms)
     if not or_fallback or len(terms) == 1:
         return hits.where(every).orderBy(F.desc("bm25"), "point_id").limit(k)
-    counts = hits.agg(F.least(F.count_if(every), F.lit(k)).alias("n_all"), F.least(F.count(F.lit(1)), F.lit(k)).alias("n_any"))
-    kept = hits.crossJoin(F.broadcast(counts)).where(every | ((F.col("n_all") < k) & (F.col("n_any") > F.col("n_all"))))
+    # the k best of either kind are enough to decide between the two lists, so the scores are computed once
+    nth = F.row_number().over(Window.partitionBy("every").orderBy(F.desc("bm25"), "point_id"))
+    few = hits.withColumn("every", every).withColumn("nth", nth).where(F.col("nth") <= k)
+    all_rows = Window.partitionBy()
+    few = few.withColumns({"n_all": F.count_if("every").over(all_rows), "n_any": F.least(F.count(F.lit(1)).over(all_rows), F.lit(k))})
+    kept = few.where(F.col("every") | ((F.col("n_all") < k) & (F.col("n_any") > F.col("n_all"))))
     return kept.select("point_id", "matched", "bm25").orderBy(F.desc("bm25"), "point_id").limit(k)
 
 
+def bm25_indexed(index: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """bm25_scores() from stored postings: only the terms' own rows are read for the scores, and one column for the statistics."""
+    docs = index.select("point_id", "doc_len").distinct()
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean_len"))
+    own = index.where(F.col("term").isin(*terms))
+    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    met = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # as many rows as terms, and one
+    part = scores.bm25_term(scores.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("mean_len"))
+    return met.groupBy("point_id").agg(F.count(F.lit(1)).cast("int").alias("matched"), F.round(F.sum(part), 9).alias("bm25"))
+
+
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int) -> DataFrame:
     """Reciprocal rank fusion of (point_id, rank, vscore) and (point_id, rank): point_id, rrf, vscore."""
     both = vector_hits.select("point_id", "rank", F.col("vscore").cast("double")).unionAll(keyword_hits.select("point_id", "rank", F.lit(None).cast("double")))
