@@ -14,21 +14,23 @@ without text or language teach nothing; other columns are carried along, and col
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import map_columns, slices
+from sparkloom.llm.arrow import bound_batches, give_back, map_columns, slices
 
-MAX_DOCS, MAX_WORDS, MAX_GRAMS = 20_000, 40_000, 60_000
+MAX_DOCS, MAX_WORDS, MAX_GRAMS = 8_000, 30_000, 40_000
 GRAMS = (5, 4, 3, 2, 1)
 BACKOFF = 0.4  # natural log units of evidence lost at each step back, as in stupid backoff
 SHARPNESS = 8.0
-_KEPT = 300_000  # remembered unseen words per worker
+_KEPT = 200_000  # remembered words per task, some 40 MB
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -42,8 +44,8 @@ def _counts(train: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out: Counter = Counter()
-            for part in slices(batch):
+            for part in slices(batch, 1 << 20):  # what a slice counts is some 20 MB at most
+                out: Counter = Counter()
                 words: Counter = Counter()
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words.update((lang, w) for w in _WORD.findall(text.lower()))
@@ -54,17 +56,19 @@ def _counts(train: DataFrame) -> DataFrame:
                     for size in GRAMS:
                         for i in range(len(padded) - size + 1):
                             out[lang, size, padded[i : i + size]] += n
-            rows = [(*k, n) for k, n in out.items()]
-            lang, size, gram, n = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "gram", "n"])
+                keys = zip(*out, strict=True) if out else ((), (), ())
+                lang, size, gram = map(list, keys)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(gram, pa.string()), pa.array(out.values(), pa.int64())], names=["lang", "size", "gram", "n"])
+        give_back()
 
+    bound_batches(train.sparkSession)
     return train.mapInArrow(run, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
-    """Log frequencies per language of words (size 0) and n-grams."""
+    """Log frequencies of words (size 0) and n-grams in each language, less their mean over the languages."""
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]) -> None:
+    def __init__(self, langs: list[str], tables: dict[int, dict[str, tuple[float, ...]]]) -> None:
         self.langs, self.tables = langs, tables
 
     @classmethod
@@ -75,38 +79,36 @@ class LanguageModel:
         sample = train.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
         counts = _counts(sample.select(lang_col, text_col)).persist()
         try:
-            whole = counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()
-            rows = []
+            whole = counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).toArrow()
+            totals = dict(zip(zip(whole["lang"].to_pylist(), whole["size"].to_pylist(), strict=True), whole["n"].to_pylist(), strict=True))
+            langs = sorted({x for x, _ in totals})
+            per_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+            tables: dict[int, dict[str, tuple[float, ...]]] = {s: {} for s in (0, *GRAMS)}
             for is_word, most in ((True, max_words), (False, max_grams)):
                 part = counts.where("size = 0" if is_word else "size > 0")
-                best = part.groupBy("size", "gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-                rows += best.orderBy(F.desc("all"), "size", "gram").limit(most).collect()
+                best = part.groupBy("size", "gram").agg(F.sum("n").alias("all"), *per_lang).orderBy(F.desc("all"), "size", "gram").limit(most).toArrow()
+                freq = np.column_stack([best[f"n{i}"].to_numpy() for i in range(len(langs))]) + 0.5 if langs else np.zeros((0, 0))
+                base = {s: np.array([totals.get((x, s), 0) + 1 for x in langs]) for s in tables}
+                for size, gram, row in zip(best["size"].to_pylist(), best["gram"].to_pylist(), freq, strict=True):
+                    evidence = np.log(row / base[size])
+                    tables[size][gram] = tuple((evidence - evidence.mean()).tolist())
         finally:
             counts.unpersist()
-        langs = sorted({r["lang"] for r in whole})
-        at = {x: i for i, x in enumerate(langs)}
-        totals = {(r["lang"], r["size"]): r["n"] for r in whole}
-        tables: dict[int, dict[str, np.ndarray]] = {s: {} for s in (0, *GRAMS)}
-        for r in rows:
-            freq = np.full(len(langs), 0.5)
-            for x in r["by"]:
-                freq[at[x["lang"]]] += x["n"]
-            tables[r["size"]][r["gram"]] = np.log(freq / np.array([totals.get((x, r["size"]), 0) + 1 for x in langs]))
         return cls(langs, tables)
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> Sequence[float]:
         """Evidence of one lower-case word for each language."""
         known = self.tables[0].get(word)
         if known is not None:
-            return known - known.mean()
+            return known
         padded = f" {word} "
         for step, size in enumerate(GRAMS, 1):
-            table = self.tables[size]
-            found = [x for i in range(len(padded) - size + 1) if (x := table.get(padded[i : i + size])) is not None]
+            get = self.tables[size].get
+            found = [x for i in range(len(padded) - size + 1) if (x := get(padded[i : i + size])) is not None]
             if found:
-                mean = np.mean(found, axis=0)
-                return (mean - mean.mean()) * np.exp(-BACKOFF * step)
-        return np.zeros(len(self.langs))
+                share = math.exp(-BACKOFF * step) / len(found)
+                return [sum(x) * share for x in zip(*found, strict=True)]
+        return (0.0,) * len(self.langs)
 
 
 class _Scorer(dict):

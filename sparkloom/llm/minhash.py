@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import slices
+from sparkloom.llm.arrow import bound_batches, give_back, slices
 from sparkloom.llm.shingles import FastSimilaritySketch, fingerprint, mix, seeds, shingle_sets
 from sparkloom.operators.components import connected_components
 from sparkloom.session import cut
@@ -33,6 +33,7 @@ LEAST_BLOCK, MOST_BLOCK, EVEN_BLOCKS = 64, 512, 32
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc, n, a, b, bands): set size, fingerprint, and one hash per band; no bands for the empty set."""
     weights = seeds(rows, 3)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         sketch, marks = FastSimilaritySketch(bands * rows), seeds(bands, 5)
@@ -46,6 +47,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                     two.append(b)
                     keys.append(mix((sketch(values).reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) ^ marks).view(np.int64) if len(values) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "n", "a", "b", "bands"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, n int, a long, b long, bands array<long>")
 
@@ -60,6 +62,7 @@ def _shingled(members: DataFrame, k: int) -> DataFrame:
                 same = pa.array([fingerprint(s) == (a, b) for s, a, b in zip(sets, part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)], pa.bool_())
                 out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "node", "k", "block")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "node", "k", "block", "set"])
                 yield out.filter(same)
+        give_back()
 
     return members.select("cluster", "node", "k", "block", "a", "b", "text").mapInArrow(run, "cluster long, node long, k int, block int, set binary")
 

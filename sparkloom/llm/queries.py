@@ -44,7 +44,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(pieces.decode(pieces.encode(docs, model_path()).drop("text"), model_path())).drop("ids", "decoded")
+    return digests(pieces.encode(docs, model_path(), decoded_col="decoded", keep=["doc_id"])).drop("ids", "decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 from struct import pack
 
 import ahocorasick
@@ -30,9 +29,10 @@ from pyspark.sql import DataFrame
 from sparkloom.llm.arrow import map_columns
 
 MARK = "▁"
-_KEPT_WORDS = 400_000  # remembered words per worker, some 100 MB
+_KEPT_WORDS = 300_000  # remembered words per task, some 60 MB
 _KEPT_LENGTH = 48
-_KEPT_PAIRS = 1_000_000
+_KEPT_PAIRS = 500_000
+_KEPT_RUNS = 1_000
 
 
 class PrefixTokenizer:
@@ -77,6 +77,7 @@ class PrefixTokenizer:
         self.sizes = [len(p) for p in self.pieces]
         self.pairs: list[dict[int, bool]] = [{} for _ in self.pieces]
         self.n_pairs = 0
+        self.mark_runs: dict[int, tuple[int, ...]] = {}
         self.known = _Words(self)
 
     def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -166,9 +167,14 @@ class PrefixTokenizer:
                 ids.extend([self.byte[b] for b in reversed(text[at].encode())] if self.byte else [self.unk])
         return tuple(reversed(ids))
 
-    @lru_cache(maxsize=4096)  # noqa: B019  one per worker
     def _marks(self, n: int) -> tuple[int, ...]:
-        return tuple(self.id.get(x, self.unk) for x in self._merge(MARK * n)[0])
+        """Ids of a run of marks."""
+        found = self.mark_runs.get(n)
+        if found is None:
+            if len(self.mark_runs) >= _KEPT_RUNS:
+                self.mark_runs.clear()
+            found = self.mark_runs[n] = tuple(self.id.get(x, self.unk) for x in self._merge(MARK * n)[0])
+        return found
 
     def _segment(self, text: str) -> tuple[int, ...]:
         """Ids of marks followed by other characters: all marks but the last stand alone, and the last one too where it joins nothing."""
@@ -262,7 +268,7 @@ _LOADED: dict[int, PrefixTokenizer] = {}
 
 
 def _tokenizer(model) -> PrefixTokenizer:
-    """One per worker process and model."""
+    """One per task and model."""
     key = model.id if hasattr(model, "id") else id(model)
     if key not in _LOADED:
         _LOADED.clear()
@@ -270,8 +276,15 @@ def _tokenizer(model) -> PrefixTokenizer:
     return _LOADED[key]
 
 
-def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", add_end: bool = True) -> DataFrame:
-    """``df`` with the ids of each whole text. model_path is read by the driver; its 0.5 MB are broadcast."""
+def _forget() -> None:
+    _LOADED.clear()
+
+
+def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", add_end: bool = True, decoded_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``df`` with the ids of each whole text. model_path is read by the driver; its 0.5 MB are broadcast.
+
+    decoded_col: also the text that decode() makes of the ids, in the same pass. keep: the columns to carry, all by default.
+    """
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -279,9 +292,10 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
         own = _tokenizer(model)
         packed = [own.packed(x, add_end) for x in text.to_pylist()]
         ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        return [ids, [own.decode(memoryview(x).cast("i").tolist()) for x in packed]] if decoded_col else [ids]
 
-    return map_columns(df, {"text": text_col}, f"`{ids_col}` array<int>", fn)
+    return map_columns(df, {"text": text_col}, f"`{ids_col}` array<int>" + (f", `{decoded_col}` string" if decoded_col else ""), fn, keep, _forget)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -299,4 +313,4 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
             at += n
         return [out]
 
-    return map_columns(df, {"ids": ids_col}, f"`{text_col}` string", fn)
+    return map_columns(df, {"ids": ids_col}, f"`{text_col}` string", fn, done=_forget)

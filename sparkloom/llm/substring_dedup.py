@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import map_columns, slices
+from sparkloom.llm.arrow import bound_batches, give_back, map_columns, slices
 
 MIN_WORDS, LONG_LINE, SENTENCE_WORDS = 5, 50, 8
 _SENTENCE = re.compile(r".+?(?:[.!?] +|$)")  # all of a line, piece by piece
@@ -85,7 +85,9 @@ def _unit_rows(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, in
                         seen.add((hi, lo))
                 columns = zip(*out, strict=True) if out else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        give_back()
 
+    bound_batches(docs.sparkSession)
     return source.mapInArrow(run, "doc long, row long, line int, piece int, hi long, lo long, again boolean")
 
 

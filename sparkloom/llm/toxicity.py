@@ -33,7 +33,7 @@ CONTEXT = 6
 LEAST_EMISSION = -8.0  # tokens below have marginals of some 1e-3 at most
 _LINES_PER_DOC = 4
 _LONGEST = 48  # tokens of a training line
-_KEPT = 700_000  # remembered words per worker, some 90 MB
+_KEPT = 500_000  # remembered words per task, some 60 MB
 _WORD = re.compile(r"\w+")
 
 
