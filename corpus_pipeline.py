@@ -42,8 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each row's whole text, with digests of the ids and of the text that they decode to."""
-    path = queries.model_path()
-    encoded = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
+    encoded = pieces.encode(docs, queries.model_path(), decoded_col="decoded", keep=["doc_id", "lang", "source"])
     return queries.digests(encoded).select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
