@@ -26,13 +26,21 @@ MASK = "[REDACTED-PII]"
 SUMMARY_CHARS = 400
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def scrub_pii(text: Column) -> Column:
     """struct<text, found>: the masked text and the number of masks; each pass counts on what the one before left."""
-    now, found = F.coalesce(text, F.lit("")), F.lit(0)
+    out = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(0).alias("found"))
     for _, pattern in PII:
-        found = found + F.regexp_count(now, F.lit(pattern))
-        now = F.regexp_replace(now, pattern, MASK)
-    return F.struct(now.alias("text"), found.cast("int").alias("found"))
+        out = _let(out, _pass(pattern))
+    return out
+
+
+def _pass(pattern: str):
+    return lambda x: F.struct(F.regexp_replace(x["text"], pattern, MASK).alias("text"), (x["found"] + F.regexp_count(x["text"], F.lit(pattern))).cast("int").alias("found"))
 
 
 def _finding(kind: str):
@@ -63,9 +71,8 @@ def neutralise(text: Column) -> Column:
 
 def guard(text: Column) -> Column:
     """struct<text, pii_redacted, injection_risk, injection_patterns>; the scan sees the masked text."""
-    clean = scrub_pii(text)
-    names = scan_injection(clean["text"])
-    return F.struct(clean["text"].alias("text"), clean["found"].alias("pii_redacted"), (F.size(names) > 0).alias("injection_risk"), names.alias("injection_patterns"))
+    marked = _let(scrub_pii(text), lambda c: F.struct(c["text"].alias("text"), c["found"].alias("found"), scan_injection(c["text"]).alias("names")))
+    return _let(marked, lambda m: F.struct(m["text"].alias("text"), m["found"].alias("pii_redacted"), (F.size(m["names"]) > 0).alias("injection_risk"), m["names"].alias("injection_patterns")))
 
 
 def context_block(stored_id: Column, guarded: Column) -> Column:
