@@ -2,8 +2,12 @@
 
 Distinct vectors are projected by several random rotations onto a few dimensions, shifted, and ordered along Hilbert
 curves by Spark's range partitioning. The orders are cut into blocks of ``block`` rows; a query meets the blocks within
-``reach`` of its own on every curve, is scored there in double precision, and the best of all curves are merged. The
-work for a query is bounded by curves * (2 * reach + 1) * block inner products, however many rows there are.
+``reach`` of its own on every curve, is scored there in double precision, and the best of all curves are merged.
+
+How far a query must reach depends on the vectors and on their number, so it is measured unless given: a sample of
+queries is compared with all vectors, and the reach is the least one that finds ``TARGET`` of their true neighbours.
+Where windows of that reach would hold as many rows as the table (noise in many dimensions, or a small table), every
+query meets every vector once instead, which is exact. Tasks stay bounded either way: points and queries are dealt.
 
 Equal vectors are one class from the start: the k + 1 smallest ids stand for all copies, which is all that a result can
 name, so that a vector with very many copies fills neither a block nor a task.
@@ -24,9 +28,13 @@ from sparkloom.llm.hilbert import hilbert_keys
 from sparkloom.session import cut
 
 CURVES, DIMS, BITS = 5, 3, 10
-BLOCK, REACH = 4096, 2
+BLOCK, LEAST_REACH = 4096, 2
+TARGET = 0.95  # share of the sample's neighbours that the windows must hold
+_SAMPLE = 128  # queries that the reach is measured on
 _SPAN = 8.0  # standard deviations that the grid covers, with a shift of one
-_ROWS = 512  # queries scored at once
+_CELLS = 1 << 21  # scores held at once, and numbers of the points of a task
+_ASKS = 1 << 15  # queries of a task where all pairs meet
+_DEAL = 16  # blocks whose queries meet in one task on a curve
 
 
 def _usable(vec: Column) -> Column:
@@ -82,10 +90,13 @@ def _placed(keyed: DataFrame, block: int) -> DataFrame:
 def best(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best points of each query by inner product, ties to smaller ids: (query id, point id, score)."""
     out: tuple[list, list, list] = ([], [], [])
-    for at in range(0, len(queries), _ROWS):
-        some = queries[at : at + _ROWS]
+    rows = max(16, _CELLS // max(1, len(points)))
+    step = max(1, len(points) // max(4096, 4 * k))
+    for at in range(0, len(queries), rows):
+        some = queries[at : at + rows]
         score = some @ points.T
-        least = np.partition(score, -k, axis=1)[:, -k] if k < len(points) else np.full(len(some), -np.inf)
+        # the k-th best of some points is a lower bound for that of all
+        least = np.partition(score[:, ::step], -k, axis=1)[:, -k] if k < len(points) else np.full(len(some), -np.inf)
         for row, q, own, bound in zip(score, query_ids[at:], some, least, strict=False):
             near = np.flatnonzero(row >= bound - 1e-9 * (1 + abs(bound))) if np.isfinite(bound) else np.arange(len(points))
             exact = np.einsum("ij,j->i", points[near], own)
@@ -96,23 +107,88 @@ def best(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
 
 
+def _first(q: np.ndarray, c: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each q."""
+    order = np.lexsort((c, -score, q))
+    q, c, score = q[order], c[order], score[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    return q[keep], c[keep], score[keep]
+
+
+def _true_neighbours(classes: DataFrame, sample: list, k: int) -> DataFrame:
+    """(q, size, c): the k nearest of each vector of a small sample, by one scan of all vectors."""
+    asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in {len(r["vec"]) for r in sample}:
+        own = [r for r in sample if len(r["vec"]) == size]
+        asked[size] = np.array([r["vec"] for r in own], float), np.array([r["rep"] for r in own], np.int64)
+
+    def run(batches):
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            sizes = np.asarray(pa.compute.list_value_length(batch.column("vec")))
+            for size in set(np.unique(sizes).tolist()) & asked.keys():
+                part = batch.filter(pa.array(sizes == size))
+                found = best(*asked[size], _matrix(part.column("vec")), part.column("rep").to_numpy(), k + 1)
+                both = [np.concatenate(x) for x in zip(held[size], found, strict=True)] if size in held else found
+                held[size] = _first(*both, k + 1)
+        for size, (q, c, score) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.full(len(q), size), pa.int32()), pa.array(c, pa.int64()), pa.array(score, pa.float64())], names=["q", "size", "c", "score"])
+
+    found = classes.select("rep", "vec").mapInArrow(run, "q long, size int, c long, score double").where("q <> c")
+    nth = F.row_number().over(Window.partitionBy("q", "size").orderBy(F.desc("score"), "c"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "size", "c")
+
+
+def measured_reach(classes: DataFrame, placed: DataFrame, asked: DataFrame, k: int) -> int:
+    """The least reach whose windows hold TARGET of the true neighbours of a sample of queries."""
+    sample = asked.orderBy(F.xxhash64("rep"), "rep").limit(_SAMPLE).join(classes, "rep").select("rep", "vec").collect()
+    true = F.broadcast(cut(_true_neighbours(classes, sample, k)))
+    own = placed.join(F.broadcast(true.select(F.col("q").alias("rep"), "size").distinct()), ["rep", "size"]).select(F.col("rep").alias("q"), "size", "curve", F.col("block").alias("from"))
+    far = placed.withColumnRenamed("rep", "c").join(true, ["c", "size"]).join(own, ["q", "size", "curve"])
+    gaps = sorted(r[-1] for r in far.groupBy("q", "size", "c").agg(F.min(F.abs(F.col("block") - F.col("from")))).collect())
+    return max(LEAST_REACH, gaps[int(np.ceil(TARGET * len(gaps))) - 1]) if gaps else LEAST_REACH
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES,
-           dims: int = DIMS, bits: int = BITS, block: int = BLOCK, reach: int = REACH, seed: int = 6) -> DataFrame:
+           dims: int = DIMS, bits: int = BITS, block: int = BLOCK, reach: int | None = None, seed: int = 6) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query row, its own id excepted.
 
-    is_query: a condition on the id column of ``vectors``.
+    is_query: a condition on the id column of ``vectors``. reach: blocks to each side; measured if None.
     """
     usable = vectors.where(_usable(F.col(vec_col)) & F.col(id_col).isNotNull()).withColumn("_q", F.coalesce(is_query, F.lit(False)))
     usable = usable.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col("_q").alias("q"))
     classes = cut(_classes(usable.select("id", "vec"), k))
     queries = cut(usable.where("q").select("id", "vec").distinct().join(classes.select("vec", "rep"), "vec").select("id", "rep"))
-    square = classes.select((F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / F.size("vec")).alias("s")).agg(F.avg("s")).head()[0]
-    placed = _placed(curve_keys(classes, float(np.sqrt(square or 1.0)), curves, dims, bits, seed), block)
-
-    asked = queries.select("rep").distinct().withColumn("asks", F.lit(True))
-    rows = placed.join(classes.select("rep", "vec"), "rep").join(asked, "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    meets = F.when(F.col("asks"), F.sequence(F.col("block") - reach, F.col("block") + reach)).otherwise(F.array("block"))
-    dealt = rows.withColumn("at", F.explode(meets)).select("size", "curve", "at", "rep", "vec", "asks", (F.col("at") == F.col("block")).alias("offers"))
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / F.size("vec")
+    mean, n, widest = classes.agg(F.avg(square), F.count(F.lit(1)), F.max(F.size("vec"))).head()
+    window = lambda r: curves * (2 * r + 1) * block
+
+    asked = queries.select("rep").distinct()
+    placed = None
+    if reach is not None or n > window(LEAST_REACH):
+        placed = cut(_placed(curve_keys(classes, float(np.sqrt(mean or 1.0)), curves, dims, bits, seed), block))
+    if placed is not None and reach is None:
+        reach = measured_reach(classes, placed, asked, k)
+        placed = placed if window(reach) < n else None
+
+    marked = classes.select("rep", "vec").join(asked.withColumn("asks", F.lit(True)), "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    if placed is None:
+        columns = (F.size("vec").alias("size"), F.lit(0).alias("curve"), "at", "deal", "rep", "vec", "asks", "offers")
+        points, deals = -(-n * (widest or 1) // _CELLS), -(-asked.count() // _ASKS)
+        every = lambda x: F.explode(F.sequence(F.lit(0), F.lit(max(1, x) - 1)))
+        at, deal = F.pmod(F.xxhash64("rep"), F.lit(max(1, points))).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(max(1, deals))).cast("int")
+        offer = marked.withColumns({"at": at, "offers": F.lit(True), "asks": F.lit(False)}).withColumn("deal", every(deals))
+        ask = marked.where("asks").withColumns({"deal": deal, "offers": F.lit(False)}).withColumn("at", every(points))
+        dealt = offer.select(*columns).unionAll(ask.select(*columns))
+    else:
+        # with wide windows, the queries of a block are dealt by the blocks that they come from
+        dealing = (lambda b: F.floor(b / _DEAL)) if 2 * reach + 1 > _DEAL else lambda b: F.lit(0).cast("long")
+        rows = placed.join(marked, "rep")
+        offer = rows.withColumns({"at": F.col("block"), "offers": F.lit(True), "asks": F.lit(False)})
+        offer = offer.withColumn("deal", F.explode(F.sequence(dealing(F.col("block") - reach), dealing(F.col("block") + reach))))
+        ask = rows.where("asks").withColumns({"deal": dealing(F.col("block")), "offers": F.lit(False)}).withColumn("at", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)))
+        columns = ("size", "curve", "at", "deal", "rep", "vec", "asks", "offers")
+        dealt = offer.select(*columns).unionAll(ask.select(*columns))
 
     def score(table: pa.Table) -> pa.Table:
         offers, asks = table["offers"].to_numpy(zero_copy_only=False), table["asks"].to_numpy(zero_copy_only=False)
@@ -120,7 +196,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         found = best(points[asks], ids[asks], points[offers], ids[offers], k + 1) if asks.any() and offers.any() else ((), (), ())
         return pa.table({"q": pa.array(found[0], pa.int64()), "c": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    scored = dealt.groupBy("size", "curve", "at").applyInArrow(score, "q long, c long, score double")
+    scored = dealt.groupBy("size", "curve", "at", "deal").applyInArrow(score, "q long, c long, score double")
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     # the same pair found on several curves has the same rank
     top = scored.withColumn("r", F.dense_rank().over(by_score)).where(F.col("r") <= k + 1).drop("r").distinct()

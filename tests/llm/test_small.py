@@ -199,6 +199,33 @@ def test_ann_recall(spark):
     assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+def ann_found(spark, rows, **options):
+    frame, got = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), {}
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, **options).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute_ann(rows, 20)
+    return np.mean([len(got[q] & set(want[q])) / 20 for q in want])
+
+
+@pytest.mark.parametrize("n", [1000, 3000, 6000])
+def test_ann_recall_holds_for_noise_as_tables_grow(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(rng.normal(size=(n, 32)))]
+    assert ann_found(spark, rows, block=32) >= 0.9
+
+
+def test_ann_measured_windows(spark, monkeypatch):
+    """Clustered vectors keep windows below the table, wide ones dealt over several tasks."""
+    seen, measure = [], ann.measured_reach
+    monkeypatch.setattr(ann, "measured_reach", lambda *a: seen.append(measure(*a)) or seen[-1])
+    monkeypatch.setattr(ann, "_DEAL", 2)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.1 * rng.normal(size=16)]) for i in range(4000)]
+    assert ann_found(spark, rows, block=16) >= 0.9
+    assert len(seen) == 1 and 5 * (2 * seen[0] + 1) * 16 < 4000
+
+
 def test_hilbert_neighbours_touch():
     from sparkloom.llm.hilbert import hilbert_keys
 
