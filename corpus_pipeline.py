@@ -16,6 +16,9 @@ from sparkloom.llm import sentencepiece as pieces
 #: A text is rejected if no letter is found or no language has half of the evidence.
 LEAST_LANGUAGE_SCORE = 0.5
 
+#: Word 5-shingle sets of this similarity or more are near duplicates; 64 bands of 6 miss such a pair with a probability of some 4e-9.
+NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 64, 6
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model is sure of; lang becomes the predicted one."""
@@ -26,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,7 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       (F.col("doc").isNull() | (F.col("doc") == group)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
+                         bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest doc_id."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, percent, bands=bands, rows=rows).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")

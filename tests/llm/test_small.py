@@ -121,6 +121,23 @@ def test_near_duplicates_hot_group_is_split(spark):
     assert got == {0}
 
 
+def test_pipeline_drops_pairs_from_four_fifths_on(spark):
+    """Pairs of 5-shingle sets between 0.80 and 0.85 are one document in the pipeline, and pairs below 0.80 are two."""
+    import corpus_pipeline
+
+    rows, near = [], set()
+    for i in range(60):
+        words = [f"w{i}x{j}" for j in range(104)]  # 100 shingles
+        lost = 10 + i % 3  # a shift by n loses n of 100 on each side: 90/110, 89/111, 88/112
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[lost:] + [f"n{i}x{j}" for j in range(lost)]))]
+        if 100 * (100 - lost) >= 80 * (100 + lost):
+            assert 100 * (100 - lost) < 85 * (100 + lost)
+            near.add(2 * i + 1)
+    table = docs(spark, *((i, t, "en", "s") for i, t in rows))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, "").collect()}
+    assert near and kept == set(range(120)) - near
+
+
 def test_near_duplicates_odd_rows(spark):
     got = minhash.near_duplicates(odd(spark)).collect()
     assert len(got) == 8
