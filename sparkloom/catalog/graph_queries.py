@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.catalog.base import ASCII_SQL, as_of, ascii_docs, query, quoted
+from sparkloom.catalog.base import ASCII_SQL, ORACLE_SQL, as_of, ascii_docs, query, quoted
 from sparkloom.functions import scores
 from sparkloom.functions.identity import ascii_label
 from sparkloom.operators import entities as ents
@@ -153,6 +153,14 @@ def g12_co_retrieved(spark, sf_dir):
     return graph.co_retrieved(mentions, graph.entities_from_mentions(mentions), runs).select("src_id", "dst_id", "doc_id")
 
 
+@query("g12_co_retrieved_whole", ORACLE_SQL["g12_co_retrieved"].replace(" WHERE d.doc_id % 10 = 0", ""))
+def g12_co_retrieved_whole(spark, sf_dir):
+    """Each run takes all documents of its source."""
+    mentions = cut(_mentions(spark, sf_dir))
+    runs = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), "doc_id")
+    return graph.co_retrieved(mentions, graph.entities_from_mentions(mentions), runs).select("src_id", "dst_id", "doc_id")
+
+
 _PEOPLE = """split AS (SELECT key, type, sum(n)::BIGINT AS mention_count, max(conf) AS confidence FROM (
   SELECT DISTINCT p_name AS key, CASE p_type WHEN 'PROMO' THEN 'person' WHEN 'LARGE' THEN 'product' WHEN 'ECONOMY' THEN 'org' ELSE 'marker' END AS type, 1 AS n, p_partkey, CASE WHEN p_size > 45 THEN 0.95 ELSE 0.6 END AS conf FROM part) GROUP BY key, type),
 nodes AS (SELECT (('0x' || substr(sha256(key || '|' || type), 1, 16))::UBIGINT >> 1)::BIGINT AS id, key AS canonical_key, type, mention_count, confidence FROM split)"""

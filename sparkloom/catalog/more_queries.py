@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkloom.catalog.base import SESSIONS_SQL, query, quoted, sessions
+from sparkloom.catalog.base import ORACLE_SQL, SESSIONS_SQL, query, quoted, sessions
 from sparkloom.catalog.graph_queries import _EDGES, _ENTITIES, _START, _WAYS, _graph, _mentions
 from sparkloom.functions import guard, policy
 from sparkloom.operators import graph, grounding, retrieval
@@ -80,6 +80,15 @@ def j18_runs_behind(spark, sf_dir):
     return graph.runs_behind(edges, sessions(spark, sf_dir)).select("src_id", "dst_id", "id", "started_at")
 
 
+@query("j18_runs_behind_whole", ORACLE_SQL["j18_runs_behind"].replace(" WHERE doc_id % 10 = 0", ""))
+def j18_runs_behind_whole(spark, sf_dir):
+    """The runs take all documents."""
+    mentions = cut(_mentions(spark, sf_dir))
+    runs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).cast("string").alias("run_id"), "doc_id")
+    edges = graph.co_retrieved(mentions, graph.entities_from_mentions(mentions), runs)
+    return graph.runs_behind(edges, sessions(spark, sf_dir)).select("src_id", "dst_id", "id", "started_at")
+
+
 @query("w10_shown_labels", """WITH e AS (SELECT c_custkey AS src_id, c_nationkey AS dst_id, c_mktsegment AS predicate, c_acctbal AS weight FROM customer)
 SELECT src_id, dst_id, predicate, weight FROM (SELECT *, row_number() OVER (PARTITION BY predicate ORDER BY weight DESC, src_id, dst_id) AS n FROM e) WHERE n <= 2 ORDER BY weight DESC, predicate, src_id, dst_id LIMIT 8""")
 def w10_shown_labels(spark, sf_dir):
@@ -116,12 +125,8 @@ def s10_synced_chunks(spark, sf_dir):
     return chunks.select("doc_id", F.element_at(F.split("text", " "), 1).cast("long").alias("newest"))
 
 
-@query("v14_fleet", r"""WITH t AS (SELECT p_brand AS playbook, lower(replace(p_name, ' ', '-')) || '-' || p_partkey AS agent, p_name AS name, p_type AS task_class, p_size AS k FROM part WHERE p_partkey % 40 = 0),
-a AS (SELECT 'ws' || s_suppkey AS workspace_id, 'Brand#' || (s_suppkey % 25 + 1) AS playbook, s_suppkey FROM supplier),
-m AS (SELECT a.workspace_id, a.workspace_id || '-' || t.agent AS id, array_to_string(list_filter([CASE WHEN NOT regexp_matches(a.workspace_id || '-' || t.agent, '^[a-z0-9][a-z0-9-]{1,40}$') THEN 'id' END, CASE WHEN t.task_class NOT IN ('STANDARD', 'PROMO', 'LARGE', 'ECONOMY') THEN 'task_class' END, CASE WHEN t.k NOT BETWEEN 3 AND 12 THEN 'k' END], lambda x: x IS NOT NULL), ',') AS reasons, a.s_suppkey FROM a JOIN t ON a.playbook = t.playbook)
-SELECT workspace_id, id, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS version, reasons, sum((reasons <> '')::INT) OVER (PARTITION BY workspace_id) = 0 AS accepted FROM m""")
-def v14_fleet(spark, sf_dir):
-    templates = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_brand").alias("playbook"), F.concat_ws("-", F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))), F.col("p_partkey").cast("string")).alias("agent"),
+def _fleet(spark, sf_dir, parts):
+    templates = parts.select(F.col("p_brand").alias("playbook"), F.concat_ws("-", F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))), F.col("p_partkey").cast("string")).alias("agent"),
                                                                                  F.col("p_name").alias("name"), F.col("p_type").alias("task_class"), F.col("p_size").alias("k"), F.lit("").alias("focus"), F.lit("role").alias("role"))
     suppliers = table(spark, sf_dir, "supplier")
     workspace = F.concat(F.lit("ws"), F.col("s_suppkey").cast("string"))
@@ -130,3 +135,17 @@ def v14_fleet(spark, sf_dir):
     existing = before.select(F.concat_ws("-", "workspace_id", "agent").alias("id"), F.lit(1).alias("version"))
     out = fleet.fleet(answers, templates, existing, ("STANDARD", "PROMO", "LARGE", "ECONOMY"), tuple(f"Brand#{i}" for i in range(1, 26)))
     return out.select("workspace_id", "id", "version", F.array_join("reasons", ",").alias("reasons"), "accepted")
+
+
+@query("v14_fleet", r"""WITH t AS (SELECT p_brand AS playbook, lower(replace(p_name, ' ', '-')) || '-' || p_partkey AS agent, p_name AS name, p_type AS task_class, p_size AS k FROM part WHERE p_partkey % 40 = 0),
+a AS (SELECT 'ws' || s_suppkey AS workspace_id, 'Brand#' || (s_suppkey % 25 + 1) AS playbook, s_suppkey FROM supplier),
+m AS (SELECT a.workspace_id, a.workspace_id || '-' || t.agent AS id, array_to_string(list_filter([CASE WHEN NOT regexp_matches(a.workspace_id || '-' || t.agent, '^[a-z0-9][a-z0-9-]{1,40}$') THEN 'id' END, CASE WHEN t.task_class NOT IN ('STANDARD', 'PROMO', 'LARGE', 'ECONOMY') THEN 'task_class' END, CASE WHEN t.k NOT BETWEEN 3 AND 12 THEN 'k' END], lambda x: x IS NOT NULL), ',') AS reasons, a.s_suppkey FROM a JOIN t ON a.playbook = t.playbook)
+SELECT workspace_id, id, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS version, reasons, sum((reasons <> '')::INT) OVER (PARTITION BY workspace_id) = 0 AS accepted FROM m""")
+def v14_fleet(spark, sf_dir):
+    return _fleet(spark, sf_dir, table(spark, sf_dir, "part").where("p_partkey % 40 = 0"))
+
+
+@query("v14_fleet_whole", ORACLE_SQL["v14_fleet"].replace(" WHERE p_partkey % 40 = 0", ""))
+def v14_fleet_whole(spark, sf_dir):
+    """Every playbook takes all of its templates."""
+    return _fleet(spark, sf_dir, table(spark, sf_dir, "part"))
