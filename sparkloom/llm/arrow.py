@@ -43,6 +43,14 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(at, rows)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the tables has, whatever case Spark compares in."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_columns(df: DataFrame, needs: dict[str, str], adds: str, fn: Callable[..., list], keep: list[str] | None = None, done: Callable[[], None] | None = None) -> DataFrame:
     """``df`` with the columns of ``adds`` (DDL) made by ``fn``; a kept column of the same name is replaced.
 

@@ -1,16 +1,17 @@
-"""Substring dedup by hashing lines, and the sentences of long lines.
-
-Every line is normalised (lower case, runs of space and 0x09-0x0D to one space, trimmed) and hashed to 128 bits; the
-digests are grouped over all documents; the occurrence of the smallest doc_id stays and the others go. A paragraph that
-stands on a line of more than ``long_line`` words may hold a passage that others have too, so its sentences are units as
-well. A line of fewer than ``min_words`` words, or a sentence of fewer than ``sentence_words``, says little by itself:
-its digest also covers the unit after it (before it, for the last), and it goes only where that pair repeats. Removed
-units keep their offsets in the original text.
-
-Defined results: blank lines are no units and stay; a line none of whose sentences stays goes; null texts stay null
-without units; a null doc_id ranks after all others; within one document the first occurrence stays; rows that share a
-doc_id count as one document; an empty table gives an empty result; other columns are carried along, and columns named
-as an output are replaced.
+"""Substring dedup by hashing lines, cut into their sentences.
+
+A text's pieces are the sentences of its lines; a line without sentence ends is one piece. Pieces are normalised (lower
+case, runs of space and 0x09-0x0D to one space, trimmed). A unit is a piece together with the pieces after it, over line
+ends, until it holds ``min_words`` words: a piece by itself often says too little, and a sequence of 13 words is what is
+commonly taken for an overlap that is no chance. Units are hashed to 128 bits, the digests are grouped over all
+documents, and the unit of the smallest doc_id stays, in that document at its first place; the pieces of all others go.
+A text of fewer words is one unit, compared with whole texts only. Every piece that goes equals one that stays. Removed
+pieces keep their offsets in the original text, neighbouring ones as one span.
+
+Defined results: blank pieces are no units and stay, but a line of which only blanks are left goes; null texts stay null
+without units; ids may have any type that can be ordered; null ids rank after all others and count as one document, as do
+rows that share an id; within one document the first occurrence stays; an empty table gives an empty result; other columns
+are carried along whatever their names, and columns named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -22,156 +23,154 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sparkloom.llm.arrow import bound_batches, give_back, map_columns, slices
+from sparkloom.llm.arrow import bound_batches, fresh, give_back, map_columns, slices
 
-MIN_WORDS, LONG_LINE, SENTENCE_WORDS = 5, 50, 8
-_SENTENCE = re.compile(r".+?(?:[.!?] +|$)")  # all of a line, piece by piece
+MIN_WORDS = 13
+_PIECE = re.compile(r"[^\n]+?(?:[.!?] +|\n|\Z)|\n")  # all of a text, piece by piece; a line end goes with the piece before
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
-_LAST = (1 << 63) - 1  # where null ids rank
-_SPANS = "array<struct<start:int,length:int,first_doc_id:bigint>>"
 
 
-def normalise(line: str) -> str:
-    return _BLANK.sub(" ", line.lower()).strip(" ")
+def normalise(piece: str) -> str:
+    return _BLANK.sub(" ", piece.lower()).strip(" ")
 
 
 def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _digests(clean: list[str], least: int, kind: str) -> Iterator[tuple[int, int, int]]:
-    """(number, digest high, digest low) of each unit that is not blank."""
-    for i, own in enumerate(clean):
-        if own:
-            key = own
-            if own.count(" ") + 1 < least:
-                key = f"{own}\n{clean[i + 1]}" if i + 1 < len(clean) else f"{clean[i - 1] if i else ''}\n{own}\n"
-            digest = xxhash.xxh3_128_intdigest(kind + key)
-            yield i, _long(digest >> 64), _long(digest & ((1 << 64) - 1))
-
-
-def sentences(line: str, words: int, long_line: int) -> list[str]:
-    """The pieces of a long line; none for a line that is short or one piece."""
-    pieces = _SENTENCE.findall(line) if words > long_line else []
-    return pieces if len(pieces) > 1 else []
-
-
-def units(text: str | None, min_words: int = MIN_WORDS, long_line: int = LONG_LINE, sentence_words: int = SENTENCE_WORDS) -> Iterator[tuple[int, int, int, int]]:
-    """(line number, piece number, digest high, digest low) of each unit; piece 0 is the whole line."""
-    lines = (text or "").split("\n")
-    clean = [normalise(x) for x in lines]
-    for i, hi, lo in _digests(clean, min_words, ""):
-        yield i, 0, hi, lo
-        pieces = sentences(lines[i], clean[i].count(" ") + 1, long_line)
-        for k, hi, lo in _digests([normalise(x) for x in pieces], sentence_words, "\x01"):
-            yield i, k + 1, hi, lo
+def pieces(text: str) -> tuple[list[str], list[str]]:
+    """The pieces of a text, which join to it, and their normal forms."""
+    found = _PIECE.findall(text)
+    return found, [normalise(x) for x in found]
+
+
+def units(clean: list[str], min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
+    """(first piece, last piece, key) of each unit; blank pieces are passed over."""
+    solid = [i for i, x in enumerate(clean) if x]
+    sizes = [clean[i].count(" ") + 1 for i in solid]
+    last, words = -1, 0
+    for at, i in enumerate(solid):
+        while words < min_words and last + 1 < len(solid):
+            last += 1
+            words += sizes[last]
+        if words >= min_words:
+            yield i, solid[last], " ".join([clean[x] for x in solid[at : last + 1]])
+        elif not at:
+            yield i, solid[last], "\n" + " ".join([clean[x] for x in solid])
+        else:
+            return
+        words -= sizes[at]
 
 
-def _unit_rows(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, int, int]) -> DataFrame:
-    """(doc, row, line, piece, hi, lo, again): again marks a unit that its own document has shown before."""
-    source = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+def _unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc, row, first, last, hi, lo, again): again marks a unit that its own text has shown before."""
+    kind = docs.schema[id_col].dataType
+    source = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    schema = T.StructType([T.StructField("doc", kind), *T._parse_datatype_string("row long, first int, last int, hi long, lo long, again boolean").fields])
+    kinds = [to_arrow_type(kind), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
     def run(batches):
-        names = ["doc", "row", "line", "piece", "hi", "lo", "again"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
             for part in slices(batch):
                 out = []
                 for doc, row, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     seen = set()
-                    for line, piece, hi, lo in units(text, *sizes):
-                        out.append((doc, row, line, piece, hi, lo, (hi, lo) in seen))
-                        seen.add((hi, lo))
-                columns = zip(*out, strict=True) if out else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                    for first, last, key in units(pieces(text)[1], min_words):
+                        digest = xxhash.xxh3_128_intdigest(key)
+                        out.append((doc, row, first, last, _long(digest >> 64), _long(digest & ((1 << 64) - 1)), digest in seen))
+                        seen.add(digest)
+                columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
         give_back()
 
     bound_batches(docs.sparkSession)
-    return source.mapInArrow(run, "doc long, row long, line int, piece int, hi long, lo long, again boolean")
+    return source.mapInArrow(run, schema)
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, long_line: int = LONG_LINE, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, row, cut): for each row of the table that loses units, these and the document that keeps each."""
-    rows = _unit_rows(docs, id_col, text_col, (min_words, long_line, sentence_words))
-    first = rows.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = _unit_rows(docs, id_col, text_col, min_words)
+    first = rows.groupBy("hi", "lo").agg(F.min("doc").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # dealt anew, so that the join shuffles both sides and AQE can split the units of a very common line
     first = first.repartition(F.xxhash64("hi"))
-    gone = rows.join(first, ["hi", "lo"]).where("again or doc <> first")
-    return gone.groupBy("doc", "row").agg(F.collect_set(F.struct("line", "piece", "first")).alias("cut"))
-
-
-def without(text: str, lost: dict[tuple[int, int], int], long_line: int = LONG_LINE) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text without the units (line, piece) and the spans (start, length, keeper) that went."""
-    kept, spans, start = [], [], 0
-    hurt = {line for line, _ in lost}
-    for i, line in enumerate(text.split("\n")):
-        if (i, 0) in lost:
-            spans.append((start, len(line), lost[i, 0]))
-        elif i not in hurt:
-            kept.append(line)
-        else:
-            left, at = [], start
-            for k, piece in enumerate(sentences(line, long_line + 1, long_line), 1):
-                if (i, k) in lost:
-                    spans.append((at, len(piece), lost[i, k]))
-                else:
-                    left.append(piece)
-                at += len(piece)
-            if any(normalise(x) for x in left):
-                kept.append("".join(left))
-        start += len(line) + 1
+    gone = rows.join(first, ["hi", "lo"]).where("again or not (doc <=> keeper)")
+    return gone.groupBy("doc", "row").agg(F.collect_set(F.struct("first", "last", "keeper")).alias("cut"))
+
+
+def without(text: str, lost: list[tuple[int, int, object]]) -> tuple[str, list[tuple[int, int, object]]]:
+    """The text without the pieces of the units (first, last, keeper), and the spans (start, length, keeper) that went."""
+    found, clean = pieces(text)
+    keeper: list = [None] * len(found)
+    gone = [False] * len(found)
+    for first, last, who in sorted(lost, key=lambda x: x[:2], reverse=True):
+        for i in range(first, last + 1):
+            gone[i], keeper[i] = True, who
+    kept, spans, at = [], [], 0
+    line: list[int] = []
+    for i, piece in enumerate(found):
+        line.append(i)
+        if gone[i]:
+            if spans and spans[-1][2] == keeper[i] and spans[-1][0] + spans[-1][1] == at:
+                spans[-1] = (spans[-1][0], spans[-1][1] + len(piece), keeper[i])
+            else:
+                spans.append((at, len(piece), keeper[i]))
+        at += len(piece)
+        if piece.endswith("\n") or i + 1 == len(found):
+            left = [k for k in line if not gone[k]]
+            if len(left) == len(line) or any(clean[k] for k in left):
+                kept.append("".join([found[k] for k in left]).removesuffix("\n"))
+            line = []
+    if not found or found[-1].endswith("\n"):
+        kept.append("")
     return "\n".join(kept), spans
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, long_line: int = LONG_LINE, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text rebuilt and the columns n_removed, chars_removed and removed (spans of the original)."""
-    found = repeated_units(docs, id_col, text_col, min_words, long_line, sentence_words)
-    keyed = docs.withColumn("_doc", F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long")).withColumn("_row", F.xxhash64(text_col))
-    found = found.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("cut").alias("_cut"))
-    joined = keyed.join(found, ["_doc", "_row"], "left")
+    doc, row, cut = (fresh(x, docs) for x in ("cut_doc", "cut_row", "cut_units"))
+    found = repeated_units(docs, id_col, text_col, min_words).toDF(doc, row, cut)
+    joined = docs.join(found, docs[f"`{id_col}`"].eqNullSafe(found[doc]) & (F.xxhash64(docs[f"`{text_col}`"]) == found[row]), "left").drop(doc, row)
 
     def rebuild(text: pa.Array, gone: pa.Array) -> list:
         texts, counts, chars, removed = [], [], [], []
         for whole, lost in zip(text.to_pylist(), gone.to_pylist(), strict=True):
-            spans: list[tuple[int, int, int]] = []
+            spans: list = []
             if lost:
-                whole, spans = without(whole, {(x["line"], x["piece"]): x["first"] for x in lost}, long_line)
+                whole, spans = without(whole, [(x["first"], x["last"], x["keeper"]) for x in lost])
             texts.append(whole)
             counts.append(len(spans))
             chars.append(sum(x[1] for x in spans))
-            removed.append([{"start": a, "length": b, "first_doc_id": None if c == _LAST else c} for a, b, c in spans])
+            removed.append([{"start": a, "length": b, "first_doc_id": c} for a, b, c in spans])
         return [texts, counts, chars, removed]
 
     keep = [c for c in docs.columns if c != text_col]
-    out = map_columns(joined, {"text": text_col, "gone": "_cut"}, f"`{text_col}` string, n_removed bigint, chars_removed bigint, removed {_SPANS}", rebuild, keep)
+    made = f"`{text_col}` string, n_removed bigint, chars_removed bigint, removed array<struct<start:int,length:int,first_doc_id:{docs.schema[id_col].dataType.simpleString()}>>"
+    out = map_columns(joined, {"text": text_col, "gone": cut}, made, rebuild, keep)
     return out.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*docs.columns, "n_removed", "chars_removed", "removed"])))
 
 
 ORACLE_SQL = r"""
-WITH lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
-clean AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS own,
-  sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start FROM lines),
-near AS (SELECT *, lead(own) OVER w AS after, lag(own) OVER w AS before FROM clean WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-keyed AS (SELECT *, CASE WHEN len(string_split(own, ' ')) >= 5 THEN own WHEN after IS NOT NULL THEN own || chr(10) || after
-  ELSE coalesce(before, '') || chr(10) || own || chr(10) END AS unit FROM near WHERE own <> ''),
-ranked AS (SELECT *, min(doc_id) OVER (PARTITION BY unit) AS first, row_number() OVER (PARTITION BY unit, doc_id ORDER BY i) AS again FROM keyed),
-gone AS (SELECT * FROM ranked WHERE again > 1 OR doc_id <> first),
-pieces AS (SELECT doc_id, i, start, unnest(regexp_extract_all(line, '.+?(?:[.!?] +|$)')) AS piece, generate_subscripts(regexp_extract_all(line, '.+?(?:[.!?] +|$)'), 1) AS k
-  FROM clean WHERE len(string_split(own, ' ')) > 50 AND len(regexp_extract_all(line, '.+?(?:[.!?] +|$)')) > 1),
-piece_clean AS (SELECT *, trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS own, start + sum(length(piece)) OVER (PARTITION BY doc_id, i ORDER BY k) - length(piece) AS at_char FROM pieces),
-piece_near AS (SELECT *, lead(own) OVER w AS after, lag(own) OVER w AS before FROM piece_clean WINDOW w AS (PARTITION BY doc_id, i ORDER BY k)),
-piece_keyed AS (SELECT *, CASE WHEN len(string_split(own, ' ')) >= 8 THEN own WHEN after IS NOT NULL THEN own || chr(10) || after
-  ELSE coalesce(before, '') || chr(10) || own || chr(10) END AS unit FROM piece_near WHERE own <> ''),
-piece_ranked AS (SELECT *, min(doc_id) OVER (PARTITION BY unit) AS first, row_number() OVER (PARTITION BY unit, doc_id ORDER BY i, k) AS again FROM piece_keyed),
-piece_gone AS (SELECT * FROM (SELECT * FROM piece_ranked WHERE again > 1 OR doc_id <> first) p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i),
-mended AS (SELECT p.doc_id, p.i, string_agg(p.piece, '' ORDER BY p.k) AS line, bool_or(p.own <> '') AS some FROM piece_clean p ANTI JOIN piece_gone g ON p.doc_id = g.doc_id AND p.i = g.i AND p.k = g.k GROUP BY p.doc_id, p.i),
-hurt AS (SELECT DISTINCT doc_id, i FROM piece_gone),
-left_lines AS (SELECT l.doc_id, l.i, CASE WHEN h.i IS NULL THEN l.line ELSE m.line END AS line FROM (SELECT * FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i) l
-  LEFT JOIN hurt h ON h.doc_id = l.doc_id AND h.i = l.i LEFT JOIN mended m ON m.doc_id = l.doc_id AND m.i = l.i WHERE h.i IS NULL OR m.some),
-cuts AS (SELECT doc_id, start::BIGINT AS a, length(line) AS n, first FROM gone UNION ALL SELECT doc_id, at_char::BIGINT, length(piece), first FROM piece_gone),
-per AS (SELECT doc_id, count(*) AS n_removed, sum(n)::BIGINT AS chars_removed, string_agg(a || '+' || n || '@' || first, ';' ORDER BY a) AS removed FROM cuts GROUP BY doc_id),
-kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM left_lines GROUP BY doc_id)
+WITH cut AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]+?(?:[.!?] +|\n|\z)|\n') AS found FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT doc_id, unnest(found) AS piece, generate_subscripts(found, 1) AS i FROM cut),
+clean AS (SELECT *, trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS own, sum(length(piece)) OVER w - length(piece) AS at_char,
+  sum((piece LIKE '%' || chr(10))::INT) OVER w - (piece LIKE '%' || chr(10))::INT AS line FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+solid AS (SELECT doc_id, i, own, len(string_split(own, ' ')) AS words, row_number() OVER w AS s, sum(len(string_split(own, ' '))) OVER w AS so_far FROM clean WHERE own <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+whole AS (SELECT doc_id, list(own ORDER BY s) AS owns, max(so_far) AS words, max(i) AS last FROM solid GROUP BY doc_id),
+reach AS (SELECT a.doc_id, a.s, a.i AS a, b.s AS t, b.i AS b FROM (SELECT *, so_far - words + 13 AS need FROM solid) a ASOF JOIN solid b ON a.doc_id = b.doc_id AND a.need <= b.so_far),
+units AS (SELECT r.doc_id, r.a, r.b, array_to_string(w.owns[r.s:r.t], ' ') AS unit FROM reach r JOIN whole w USING (doc_id)
+  UNION ALL SELECT s.doc_id, s.i, w.last, chr(10) || array_to_string(w.owns, ' ') FROM solid s JOIN whole w USING (doc_id) WHERE s.s = 1 AND w.words < 13),
+ranked AS (SELECT *, min(doc_id) OVER (PARTITION BY unit) AS keeper, row_number() OVER (PARTITION BY unit, doc_id ORDER BY a) AS again FROM units),
+gone AS (SELECT c.doc_id, c.i, arg_min(g.keeper, g.a) AS keeper FROM clean c JOIN ranked g ON c.doc_id = g.doc_id AND c.i BETWEEN g.a AND g.b WHERE g.again > 1 OR g.doc_id <> g.keeper GROUP BY c.doc_id, c.i),
+marked AS (SELECT c.*, g.keeper, g.i IS NOT NULL AS lost FROM clean c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.i = g.i),
+lines AS (SELECT doc_id, line, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE NOT lost), '') AS body FROM marked GROUP BY doc_id, line HAVING NOT bool_or(lost) OR bool_or(NOT lost AND own <> '')),
+ended AS (SELECT doc_id, line, regexp_replace(body, '\n$', '') AS body FROM lines UNION ALL SELECT doc_id, 9223372036854775807, '' FROM cut WHERE text = '' OR text LIKE '%' || chr(10)),
+kept AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY line) AS text FROM ended GROUP BY doc_id),
+runs AS (SELECT doc_id, keeper, at_char, length(piece) AS n, i - row_number() OVER (PARTITION BY doc_id, keeper ORDER BY i) AS run FROM marked WHERE lost),
+spans AS (SELECT doc_id, keeper, min(at_char)::BIGINT AS a, sum(n)::BIGINT AS n FROM runs GROUP BY doc_id, keeper, run),
+per AS (SELECT doc_id, count(*) AS n_removed, sum(n)::BIGINT AS chars_removed, string_agg(a || '+' || n || '@' || keeper, ';' ORDER BY a) AS removed FROM spans GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(p.n_removed, 0)::BIGINT AS n_removed,
   coalesce(p.chars_removed, 0)::BIGINT AS chars_removed, coalesce(p.removed, '') AS removed
 FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN per p USING (doc_id)

@@ -112,7 +112,7 @@ def test_pipeline_against_plain_steps(spark, sf_dir, texts):
             docs = spark.createDataFrame(frames[-1], docs.schema)
     langs, unique, cut, mixed, tokens = frames
     assert {r["doc_id"] for r in langs} == {i for i, t in texts.items() if re.search(r"[^\W\d_]", t)}
-    groups = brute_components((r["doc_id"], r["text"]) for r in langs)
+    groups = brute_components(((r["doc_id"], r["text"]) for r in langs), corpus_pipeline.NEAR_PERCENT)
     assert sorted(r["doc_id"] for r in unique) == sorted(i for i, (_, c) in groups.items() if c == i)
     assert {r["doc_id"]: r["text"] for r in cut} == brute_substring([(r["doc_id"], r["text"]) for r in unique]) and all(r["n_chars"] == len(r["text"]) for r in cut)
     sizes, target = brute_mix([(r["doc_id"], r["text"], None, r["source"]) for r in cut])

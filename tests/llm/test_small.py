@@ -79,7 +79,7 @@ def test_media_frame(spark):
     assert all(r["error"] for r in media.read_media(broken).select("tables.error").collect())
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -92,7 +92,7 @@ def brute_components(rows):
         for a in ids:
             for b in ids:
                 both = len(sets[a] & sets[b])
-                if a < b and both and 100 * both >= 85 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]) and root[a] != root[b]:
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
     return {i: (len(sets[i]), root[i]) for i in ids}
@@ -337,37 +337,29 @@ def test_mixing_without_words(spark):
     assert all(r["target"] == 0 and r["taken"] == 0 for r in out)
 
 
-def brute_substring(rows, least=5, long_line=50, sentence=8):
+def brute_substring(rows, least=13):
+    """Texts left, by comparing every window of pieces with all windows before it."""
     clean = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
-
-    def keys(parts, words, kind):
-        own = [clean(x) for x in parts]
-        for n, x in enumerate(own):
-            key = x if len(x.split(" ")) >= words else (x, own[n + 1]) if n + 1 < len(own) else (own[n - 1] if n else "", x, None)
-            yield (kind, key) if x else None
-
-    def pieces(line):
-        found = re.findall(r".+?(?:[.!?] +|$)", line) if len(clean(line).split(" ")) > long_line else []
-        return found if len(found) > 1 else []
-
-    keep, units = {}, {}
-    for i, t in rows:
-        lines = t.split("\n")
-        units[i] = [(key, list(keys(pieces(line), sentence, "s"))) for line, key in zip(lines, keys(lines, least, "l"), strict=True)]
-        for n, (key, parts) in enumerate(units[i]):
-            for k, x in enumerate([key, *parts]):
-                if x:
-                    keep[x] = min(keep.get(x, (i, n, k)), (i, n, k))
-    out = {}
-    for i, t in rows:
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        cut, own, mine = [re.findall(r".+?(?:[.!?] +|$)", x) or [""] for x in t.split("\n")], [], []
+        for n, line in enumerate(cut):
+            own += [((n, k), clean(x)) for k, x in enumerate(line) if clean(x)]
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                words = " ".join(x for _, x in own[a : b + 1]).split(" ")
+                if len(words) >= least or (a == 0 and b + 1 == len(own)):
+                    key = (len(words) >= least, tuple(words))
+                    if key in seen or key in mine:
+                        gone |= {p for p in [(n, k) for n, line in enumerate(cut) for k in range(len(line))] if own[a][0] <= p <= own[b][0]}
+                    mine.append(key)
+                    break
+        seen |= set(mine)
         left = []
-        for n, (line, (key, parts)) in enumerate(zip(t.split("\n"), units[i], strict=True)):
-            if key and keep[key] != (i, n, 0):
-                continue
-            stays = [x for k, (x, u) in enumerate(zip(pieces(line), parts, strict=True), 1) if not u or keep[u] == (i, n, k)]
-            if len(stays) == len(parts):
-                left.append(line)
-            elif any(map(clean, stays)):
+        for n, line in enumerate(cut):
+            stays = [x for k, x in enumerate(line) if (n, k) not in gone]
+            if len(stays) == len(line) or any(map(clean, stays)):
                 left.append("".join(stays))
         out[i] = "\n".join(left)
     return out
@@ -378,10 +370,11 @@ def test_substring_dedup(spark):
     short = [" ".join(rng.choice(["aa", "Bb", "cc", "dd"], rng.integers(1, 12))) for _ in range(40)]
     pool = [*short, "", "  ", *(". ".join(rng.choice(short, 14)) + "." for _ in range(25))]
     rows = [(i, "\n".join(rng.choice(pool, rng.integers(1, 7)))) for i in range(120)]
-    out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit("old"))).collect()
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"removed": F.lit("old"), "cut_doc": F.lit("mine")})).collect()
     want, texts = brute_substring(rows), dict(rows)
+    assert sum(r["n_removed"] for r in out) > 50
     for r in out:
-        assert r["text"] == want[r["doc_id"]]
+        assert r["text"] == want[r["doc_id"]] and r["cut_doc"] == "mine"
         whole, left = texts[r["doc_id"]], [c for c in texts[r["doc_id"]]]
         for x in r["removed"]:
             assert left[x["start"] : x["start"] + x["length"]] == list(whole[x["start"] : x["start"] + x["length"]])
@@ -391,17 +384,34 @@ def test_substring_dedup(spark):
         assert all(x["first_doc_id"] <= r["doc_id"] for x in r["removed"]) and r["n_removed"] == len(r["removed"])
 
 
-def test_passages_inside_long_lines(spark):
-    """A passage that starts and ends within a paragraph loses the sentences that another document has."""
+def test_every_piece_that_goes_equals_one_that_stays(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["p q r.", "s t.", "u.", "v w x y."], rng.integers(1, 60)))) for i in range(30)]
+    kept = {x for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in substring_dedup.pieces(r["text"])[1]}
+    assert {x for _, t in rows for x in substring_dedup.pieces(t)[1]} <= kept
+
+
+def test_passages_wrapped_and_inside_paragraphs(spark):
+    """A passage goes where another document has it inside a paragraph, in lines of its own, or wrapped in other places."""
     words = lambda k, n: " ".join(f"{chr(97 + (k + j) % 26)}{k}{j}" for j in range(n))
     passage = f"{words(1, 12)}. {words(2, 30)}. {words(3, 20)}."
-    rows = [(1, f"{words(4, 20)} {passage} {words(5, 9)}."), (2, f"{words(6, 40)}. {passage} {words(7, 11)}. End here."), (3, f"{words(8, 60)}. {words(9, 9)}.")]
+    rows = [(1, f"{words(4, 20)} {passage} {words(5, 9)}."), (2, f"{words(6, 40)}. {passage} {words(7, 11)}. End here."), (3, f"{words(8, 60)}. {words(9, 9)}."), (4, f"{words(10, 30)}.\n" + passage.replace(". ", ".\n") + f"\n{words(11, 15)}.")]
     out = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[1]["text"] == rows[0][1] and out[3]["text"] == rows[2][1]
-    assert words(2, 30) not in out[2]["text"] and words(3, 20) not in out[2]["text"] and words(6, 40) in out[2]["text"] and "End here." in out[2]["text"]
+    for i in (2, 4):
+        assert words(2, 30) not in out[i]["text"] and words(3, 20) not in out[i]["text"]
+    assert words(6, 40) in out[2]["text"] and "End here." in out[2]["text"] and words(11, 15) in out[4]["text"]
     assert {x["first_doc_id"] for x in out[2]["removed"]} == {1}
 
 
+def test_substring_ids_of_any_type(spark):
+    rows = [("b", LONG, 1), ("a", LONG, 2), (None, LONG, 3), (None, "x", 4)]
+    got = {r["_doc"]: (r["text"], [x["first_doc_id"] for x in r["removed"]]) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id string, text string, _doc int")).collect()}
+    assert got[2] == (LONG, []) and got[1] == got[3] == ("", ["a"]) and got[4] == ("x", [])
+    top = spark.createDataFrame([((1 << 63) - 1, LONG), (None, LONG)], "doc_id long, text string")
+    assert {r["doc_id"]: len(r["text"]) for r in substring_dedup.dedup_substrings(top).collect()} == {(1 << 63) - 1: len(LONG), None: 0}
+
+
 def test_substring_odd_rows(spark):
     out = substring_dedup.dedup_substrings(odd(spark)).collect()
     assert len(out) == 8 and {r["doc_id"]: r["text"] for r in out}[1] is None
