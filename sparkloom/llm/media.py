@@ -4,8 +4,12 @@ write_media() stores bytes as uncompressed 8-bit grey frames of 16 x 12 pixels (
 only at box headers and tables: codec, size, duration, and the byte ranges of keyframes and of chunks; payload bytes are
 copied by read_samples() alone, from those ranges.
 
-Defined results: a null or empty text is padded to one frame of spaces; a null or broken file has null fields and the
-reason in ``error``; equal payloads give equal files; other columns are carried along, and columns named as an output
+Of a file with several tracks the first video track is read, or else the first track; tables are only ever taken from that
+track's own boxes. Boxes are walked with an explicit stack, and every count in a table is held against the bytes of its
+box or of the file before anything is allocated.
+
+Defined results: a null or empty text is padded to one frame of spaces; a null or broken file (cut boxes or tables, tables
+that disagree, samples outside the file) has null fields and the reason in ``error``, and never fails a task; equal payloads give equal files; other columns are carried along, and columns named as an output
 are replaced.
 """
 
@@ -24,6 +28,7 @@ FRAME = WIDTH * HEIGHT
 TIMESCALE = 24
 KEY_EVERY = 24  # a sync sample each second
 CHUNK_FRAMES = 64
+DEEPEST = 32  # levels of nested boxes; a file has seven
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 _NESTED = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"))
 
@@ -81,10 +86,13 @@ def write_file(payload: bytes) -> bytes:
     return b"".join((head, mdat, payload, _box(b"moov", movie, track)))
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
+def walk(data: memoryview, start: int = 0, end: int | None = None):
     """(path, body start, end) of every box, parents first. A size of 1 is followed by 64 bits, 0 reaches to the end."""
-    end = len(data) if end is None else end
-    while start < end:
+    open_ = [(start, len(data) if end is None else end, ())]
+    while open_:
+        start, end, path = open_.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError("cut box header")
         length, kind = struct.unpack_from(">I4s", data, start)
@@ -97,43 +105,74 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[b
         stop = end if length == 0 else start + length
         if stop < body or stop > end:
             raise ValueError(f"box {kind.decode('latin-1')} leaves its parent")
-        yield (*path, kind), body, stop
+        if len(path) > DEEPEST:
+            raise ValueError("boxes nested too deep")
+        own = (*path, kind)
+        yield own, body, stop
+        open_.append((stop, end, path))
         if kind in _NESTED:
-            yield from walk(data, body, stop, (*path, kind))
-        start = stop
+            open_.append((body, stop, own))
+
+
+class _Box:
+    """A box's body; what is read from it must lie inside."""
+
+    def __init__(self, data: memoryview, at: int, end: int) -> None:
+        self.data, self.at, self.end = data, at, end
+
+    def read(self, form: str, at: int) -> tuple:
+        if self.at + at + struct.calcsize(form) > self.end:
+            raise ValueError("cut table")
+        return struct.unpack_from(form, self.data, self.at + at)
 
+    def numbers(self, form: str, at: int, columns: int = 1) -> np.ndarray:
+        """The rows of a table: their count, then the rows. Numbers beyond 63 bits fit no file."""
+        dtype = np.dtype(form)
+        n = self.read(">I", at)[0] * columns
+        if n * dtype.itemsize > self.end - self.at - at - 4:
+            raise ValueError("cut table")
+        found = np.frombuffer(self.data, dtype, n, self.at + at + 4)
+        if n and dtype.itemsize == 8 and found.max() > 1 << 62:
+            raise ValueError("samples leave the file")
+        return found.astype(np.int64).reshape(-1, columns) if columns > 1 else found.astype(np.int64)
 
-def _numbers(data: memoryview, at: int, kind: str, n: int, end: int) -> np.ndarray:
-    dtype = np.dtype(kind)
-    if n * dtype.itemsize > end - at:
-        raise ValueError("cut table")
-    return np.frombuffer(data, dtype, n, at).astype(np.int64)
+
+def _track(data: memoryview) -> dict[bytes, _Box]:
+    """The boxes, by kind, of the first video track, or of the first track."""
+    tracks: list[dict[bytes, _Box]] = []
+    for path, body, end in walk(data):
+        if path[-1] == b"trak" and path[:-1] == (b"moov",):
+            tracks.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            tracks[-1].setdefault(path[-1], _Box(data, body, end))
+    if not tracks:
+        raise ValueError("no track")
+    kind = lambda t: t[b"hdlr"].read("4s", 8)[0] if b"hdlr" in t else b""
+    return next((t for t in tracks if kind(t) == b"vide"), tracks[0])
 
 
 def read_tables(blob: bytes) -> dict:
-    """What the first track's tables say; no payload byte is touched."""
+    """What the tables of a file's track say; no payload byte is touched."""
     data = memoryview(blob)
-    boxes: dict[bytes, tuple[int, int]] = {}
-    for path, body, end in walk(data):
-        boxes.setdefault(path[-1], (body, end))
-    missing = [k.decode() for k in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if k not in boxes]
-    if missing or not {b"stco", b"co64"} & boxes.keys():
+    box = _track(data)
+    missing = [k.decode() for k in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if k not in box]
+    if missing or not {b"stco", b"co64"} & box.keys():
         raise ValueError("no " + ", ".join(missing or ["chunk offsets"]))
-    at, end = boxes[b"mdhd"]
-    timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    at, end = boxes[b"stsd"]
-    (codec,) = struct.unpack_from("4s", data, at + 12)
-    width, height = struct.unpack_from(">HH", data, at + 8 + 32) if end - at >= 8 + 36 else (None, None)
-    at, end = boxes[b"stsz"]
-    same, n = struct.unpack_from(">II", data, at + 4)
-    sizes = np.full(n, same, np.int64) if same else _numbers(data, at + 12, ">u4", n, end)
-    at, end = boxes.get(b"stco") or boxes[b"co64"]
-    wide = b"stco" not in boxes
-    starts = _numbers(data, at + 8, ">u8" if wide else ">u4", struct.unpack_from(">I", data, at + 4)[0], end)
-    at, end = boxes[b"stsc"]
-    runs = _numbers(data, at + 8, ">u4", 3 * struct.unpack_from(">I", data, at + 4)[0], end).reshape(-1, 3)
+    (version,) = box[b"mdhd"].read("B", 0)
+    timescale, duration = box[b"mdhd"].read(">IQ", 20) if version == 1 else box[b"mdhd"].read(">II", 12)
+    (codec,) = box[b"stsd"].read("4s", 12)
+    described = box[b"stsd"]
+    width, height = described.read(">HH", 40) if described.end - described.at >= 44 else (None, None)
+    same, n = box[b"stsz"].read(">II", 4)
+    if same and n * same > len(data):
+        raise ValueError("samples leave the file")
+    sizes = np.full(n, same, np.int64) if same else box[b"stsz"].numbers(">u4", 8)
+    starts = box[b"stco"].numbers(">u4", 4) if b"stco" in box else box[b"co64"].numbers(">u8", 4)
+    runs = box[b"stsc"].numbers(">u4", 4, 3)
     until = np.append(runs[1:, 0], len(starts) + 1)
-    per_chunk = np.repeat(runs[:, 1], until - runs[:, 0])
+    if (until < runs[:, 0]).any() or (len(runs) and (runs[0, 0] != 1 or (runs[:, 1] > n).any())) or (len(starts) > 0) != (len(runs) > 0):
+        raise ValueError("sample tables disagree")
+    per_chunk = np.repeat(runs[:, 1], until - runs[:, 0]) if len(starts) else np.zeros(0, np.int64)
     if len(per_chunk) != len(starts) or per_chunk.sum() != n:
         raise ValueError("sample tables disagree")
     chunk = np.repeat(np.arange(len(starts)), per_chunk)
@@ -143,19 +182,22 @@ def read_tables(blob: bytes) -> dict:
     lengths = before[firsts[1:]] - before[firsts[:-1]]
     if len(starts) and (starts + lengths).max() > len(data):
         raise ValueError("samples leave the file")
-    if b"stss" in boxes:
-        at, end = boxes[b"stss"]
-        keys = _numbers(data, at + 8, ">u4", struct.unpack_from(">I", data, at + 4)[0], end) - 1
-        if len(keys) and (keys.min() < 0 or keys.max() >= n):
+    if lengths.sum() > len(data):  # overlapping chunks would read back more than the file holds
+        raise ValueError("samples overlap")
+    if b"stss" in box:
+        keys = box[b"stss"].numbers(">u4", 4) - 1
+        if len(keys) and (keys.min() < 0 or keys.max() >= n or len(keys) > n):
             raise ValueError("a keyframe is no sample")
     else:
         keys = np.arange(n)
-    at, end = boxes[b"stts"]
-    times = _numbers(data, at + 8, ">u4", 2 * struct.unpack_from(">I", data, at + 4)[0], end).reshape(-1, 2)
+    times = box[b"stts"].numbers(">u4", 4, 2)
     if times[:, 0].sum() != n:
         raise ValueError("sample tables disagree")
+    lasts = sum(a * b for a, b in times.tolist()) or duration
+    if max(lasts, timescale) >= 1 << 63:
+        raise ValueError("no duration")
     ranges = lambda a, b: [{"start": int(x), "length": int(y)} for x, y in zip(a, b, strict=True)]
-    return {"codec": codec.decode("latin-1"), "width": width, "height": height, "timescale": timescale, "duration": int((times[:, 0] * times[:, 1]).sum()) or duration,
+    return {"codec": codec.decode("latin-1"), "width": width, "height": height, "timescale": timescale, "duration": lasts,
             "n_samples": n, "keyframes": ranges(place[keys], sizes[keys]), "chunks": ranges(starts, lengths), "error": None}
 
 

@@ -1,7 +1,8 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages (runs of lines). Every passage is encoded from how it is written: shares of letter cases,
-digits, spaces and single signs, word lengths, variety of words, and whether its lines were seen before in the document.
+A document is a bag of passages: runs of lines, and pieces of long lines, of some ``PASSAGE_CHARS`` characters each. Every
+passage is encoded from how it is written (shares of letter cases, digits, spaces and single signs, word lengths, variety
+of words, and whether its lines were seen before in the document) and from its words, hashed to ``WORD_BUCKETS`` shares.
 A hidden layer encodes it further, gated attention (tanh times sigmoid) gives it a weight among its document's passages,
 and the weighted sum of the encodings is the document's, from which the score is read. All layers are learnt together
 from document labels.
@@ -12,6 +13,9 @@ columns are carried along, and columns named as an output are replaced.
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -28,23 +32,37 @@ _KIND[[32, *range(9, 14)]] = 4
 for _i, _c in enumerate(_SIGNS):
     _KIND[ord(_c)] = 6 + _i
 _N_KINDS = 6 + len(_SIGNS)
-N_FEATURES = _N_KINDS + 8
+WORD_BUCKETS = 32
+N_FEATURES = _N_KINDS + 8 + WORD_BUCKETS
+_PIECE = re.compile(r".{1,%d}(?:\s+|$)|.{%d}" % (PASSAGE_CHARS, PASSAGE_CHARS), re.DOTALL)  # up to a space, or anywhere in a very long word
+_KEPT = 300_000  # remembered words per task, some 30 MB
+
+
+class _Buckets(dict):
+    """Where a lower-case word is counted; words are hashed once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > _KEPT:
+            self.clear()
+        self[word] = at = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS
+        return at
 
 
 def passages(text: str | None, chars: int = PASSAGE_CHARS) -> list[list[str]]:
-    """Runs of lines; one empty run for a text without lines."""
+    """Runs of lines and of pieces of long lines; one empty run for a text without lines."""
     out: list[list[str]] = []
     size = 0
     for line in (text or "").split("\n"):
-        if not out or size >= chars:
-            out.append([])
-            size = 0
-        out[-1].append(line)
-        size += len(line)
+        for piece in _PIECE.findall(line) if len(line) > 2 * chars else (line,):
+            if not out or size >= chars:
+                out.append([])
+                size = 0
+            out[-1].append(piece)
+            size += len(piece)
     return out
 
 
-def encode_document(text: str | None) -> np.ndarray:
+def encode_document(text: str | None, buckets: _Buckets) -> np.ndarray:
     """Features of each passage."""
     runs = passages(text)
     out = np.zeros((len(runs), N_FEATURES), np.float32)
@@ -56,7 +74,8 @@ def encode_document(text: str | None) -> np.ndarray:
         row[:_N_KINDS] = np.sqrt(np.bincount(_KIND[raw], minlength=_N_KINDS) / n)
         words = whole.split()
         count = max(1, len(words))
-        row[_N_KINDS:] = (
+        row[_N_KINDS + 8 :] = np.sqrt(np.bincount(np.fromiter(map(buckets.__getitem__, words), np.intp, len(words)), minlength=WORD_BUCKETS) / count)
+        row[_N_KINDS : _N_KINDS + 8] = (
             np.log1p(len(raw)) / 8,
             len(raw) / count / 12,
             len(set(words)) / count,
@@ -71,7 +90,7 @@ def encode_document(text: str | None) -> np.ndarray:
 
 
 class QualityModel:
-    """Layers of the network, by name; some 20 kB."""
+    """Layers of the network, by name; some 30 kB."""
 
     def __init__(self, layers: dict[str, np.ndarray]) -> None:
         self.layers = layers
@@ -83,7 +102,8 @@ class QualityModel:
     @classmethod
     def fit_texts(cls, texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 30, rate: float = 0.01, seed: int = 0) -> QualityModel:
         rng = np.random.default_rng(seed)
-        bags = [encode_document(x) for x in texts]
+        buckets = _Buckets()
+        bags = [encode_document(x, buckets) for x in texts]
         every = np.concatenate(bags) if bags else np.zeros((1, N_FEATURES), np.float32)
         layers = {
             "mean": every.mean(axis=0), "scale": every.std(axis=0) + 0.05,
@@ -136,11 +156,11 @@ class QualityModel:
         dh = (alpha[:, None] * dz[bag] + dt @ p["v"].T + ds @ p["u"].T) * (1 - h**2)
         return {"c": f["z"].T @ out, "d": out.sum(keepdims=True), "a": (f["t"] * f["s"]).T @ de, "v": h.T @ dt, "u": h.T @ ds, "w": f["x"].T @ dh, "b": dh.sum(axis=0)}
 
-    def predict(self, texts: list[str | None]) -> tuple[list[float], list[int]]:
+    def predict(self, texts: list[str | None], buckets: _Buckets) -> tuple[list[float], list[int]]:
         """Score, and the number of the passage with the largest weight."""
         if not texts:
             return [], []
-        f = self._forward([encode_document(x) for x in texts])
+        f = self._forward([encode_document(x, buckets) for x in texts])
         stops = [*f["starts"][1:], len(f["alpha"])]
         return f["score"].tolist(), [int(np.argmax(f["alpha"][a:b])) for a, b in zip(f["starts"], stops, strict=True)]
 
@@ -149,9 +169,11 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataF
     """``docs`` with score (that the label is 1) and top_passage (which passage weighs most)."""
     shared = docs.sparkSession.sparkContext.broadcast(model.layers)
 
+    buckets = _Buckets()
+
     def fn(text):
         own, texts = QualityModel(shared.value), text.to_pylist()
-        found = [own.predict(texts[at : at + 256]) for at in range(0, len(texts), 256)]
+        found = [own.predict(texts[at : at + 256], buckets) for at in range(0, len(texts), 256)]
         return [[s for x, _ in found for s in x], [k for _, x in found for k in x]]
 
     return map_columns(docs, {"text": text_col}, "score double, top_passage int", fn)

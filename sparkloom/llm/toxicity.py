@@ -6,9 +6,10 @@ emission is a sum of hashed weights of its word and affixes, fitted with the tra
 likelihood of labelled lines. A document's features are its largest marginal, the sum of its marginals and its length; a
 logistic regression on training documents that the field has not seen turns them into a score.
 
-Marginals are found by forward-backward passes over windows of ``2 * CONTEXT + 1`` tokens around every token of a text
-whose emission is not negligible, all texts of a batch at once; what lies beyond a window changes a marginal by less than
-1e-3. A text begins and ends outside a toxic span.
+Marginals come from forward-backward passes over whole texts. With two states a pass is a product of 2 x 2 matrices, so the
+texts of a batch are laid end to end with a token between them that can only be clean, cut into short blocks, and all blocks
+advance together. A text begins and ends outside a toxic span. Tokens are those of the original text, lowered one by one,
+so that offsets hold whatever lower case does to a text's length.
 
 Defined results: a null, empty or wordless text has no spans and gets the score of a document without evidence; without
 training rows every score is 0; other columns are carried along, and columns named as an output are replaced.
@@ -29,10 +30,8 @@ from sparkloom.llm.labelled import fit_logistic, labelled_sample, sigmoid
 
 PER_CLASS = 2_000  # training documents of each class at most
 BUCKETS = 1 << 16
-CONTEXT = 6
-LEAST_EMISSION = -8.0  # tokens below have marginals of some 1e-3 at most
-_LINES_PER_DOC = 4
-_LONGEST = 48  # tokens of a training line
+WINDOW = 48  # tokens of a training sequence: longer lines are cut into consecutive ones
+_STEP = 64  # tokens of a block of a pass
 _KEPT = 500_000  # remembered words per task, some 60 MB
 _WORD = re.compile(r"\w+")
 
@@ -62,17 +61,17 @@ class ToxicityModel:
         model = cls(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(2), np.array([0.0, 0.0, 0.0, -40.0]))
         if not len(texts):
             return model
-        lines = [[_WORD.findall(x.lower()) for x in text.split("\n")] for text in texts]
+        lines = [[[w.lower() for w in _WORD.findall(x)] for x in text.split("\n")] for text in texts]
         half = np.arange(len(texts)) % 2 == 0
         toxic = _toxic_features([x for x, h in zip(lines, half, strict=True) if h], y[half])
         model._fit_chain([(x, t) for x, h, t in zip(lines, half, y, strict=True) if h], toxic)
         rest = ~half if (~half).any() else half
         tagger = Tagger(model)
-        x = np.array([tagger.document(p, n) for _, p, n in tagger.marginals([text for text, r in zip(texts, rest, strict=True) if r])])
+        x = np.array([tagger.document(p, len(p)) for p in tagger.marginals([text for text, r in zip(texts, rest, strict=True) if r])])
         model.score = fit_logistic(x, y[rest], weight[rest])
         return model
 
-    def _fit_chain(self, docs: list[tuple[list[list[str]], float]], toxic: set[str], epochs: int = 12, rate: float = 0.3) -> None:
+    def _fit_chain(self, docs: list[tuple[list[list[str]], float]], toxic: set[str], epochs: int = 6, rate: float = 0.3) -> None:
         rng = np.random.default_rng(0)
         known: dict[str, tuple[np.ndarray, int]] = {}
 
@@ -84,12 +83,11 @@ class ToxicityModel:
 
         sequences = []
         for lines, label in docs:
-            lines = [words[:_LONGEST] for words in lines if words]
-            hot = [x for x in lines if label and any(look(w)[1] for w in x)]
-            for i in rng.permutation(len(lines))[:_LINES_PER_DOC]:
-                if not label:
-                    hot.append(lines[i])
-            sequences += [(np.array([look(w)[0] for w in x]), np.array([look(w)[1] if label else 0 for w in x])) for x in hot[: 4 * _LINES_PER_DOC]]
+            # of toxic documents, windows without a toxic word may be either
+            for words in (line[i : i + WINDOW] for line in lines for i in range(0, len(line), WINDOW)):
+                states = np.array([look(w)[1] if label else 0 for w in words])
+                if not label or states.any():
+                    sequences.append((np.array([look(w)[0] for w in words]), states))
         if not sequences:
             return
         weights, squares = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6)
@@ -150,52 +148,64 @@ def forward_backward(emission: np.ndarray, chain: np.ndarray) -> tuple[np.ndarra
     return np.exp(both[:, :, 1] - whole[:, None]), pairs
 
 
-def centre_marginals(windows: np.ndarray, chain: np.ndarray) -> np.ndarray:
-    """Marginals of state 1 at the middle of each window of emissions.
+def chain_marginals(emission: np.ndarray, chain: np.ndarray, step: int = _STEP) -> np.ndarray:
+    """Marginals of state 1 of one long chain; a token with an emission of minus infinity separates what is on its sides.
 
-    With two states a pass needs only the log odds of its two sums, ahead from the left end and back from the right.
+    Odds of the two sums are carried, in blocks of ``step`` tokens that advance together: first every block's matrix, then
+    the odds at each block's border, one by one, then all tokens from there.
     """
-    middle = windows.shape[1] // 2
-
-    def turn(odds: np.ndarray, to: np.ndarray) -> np.ndarray:
-        return np.logaddexp(to[0, 1], to[1, 1] + odds) - np.logaddexp(to[0, 0], to[1, 0] + odds)
-
-    ahead, back = windows[:, 0], np.zeros(len(windows))
-    for i in range(1, middle + 1):
-        ahead = turn(ahead, chain) + windows[:, i]
-    for i in range(windows.shape[1] - 1, middle, -1):
-        back = turn(back + windows[:, i], chain.T)
-    return sigmoid(ahead + back)
+    n = len(emission)
+    blocks = -(-n // step)
+    e = np.full(blocks * step, -np.inf)
+    e[:n] = np.clip(emission, None, 50)
+    e = np.exp(e).reshape(blocks, step)
+    to = np.exp(chain)
+
+    def odds(e: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Odds of state 1 before each token's own emission; the pass comes from the left."""
+        m = np.tile(np.eye(2), (blocks, 1, 1))  # (sum to 0, sum to 1) after the block, by state before it
+        for i in range(step):
+            m = m @ to
+            m[:, :, 1] *= e[:, i, None]
+            m /= m.max(axis=(1, 2), keepdims=True)
+        border, now = np.zeros(blocks), 0.0
+        for k, ((a, b), (c, d)) in enumerate(m.tolist()):
+            border[k] = now
+            now = min((b + now * d) / max(a + now * c, 1e-300), 1e300)
+        out, r = np.empty((blocks, step)), border
+        for i in range(step):
+            out[:, i] = (to[0, 1] + r * to[1, 1]) / (to[0, 0] + r * to[1, 0])
+            r = out[:, i] * e[:, i]
+        return out
+
+    ahead, back = odds(e, to), odds(e[::-1, ::-1], to.T)[::-1, ::-1]
+    both = (ahead * e * back).reshape(-1)[:n]
+    return both / (1 + both)
 
 
 class Tagger(dict):
-    """Emissions by word (worked out once) and what follows from them."""
+    """Emissions by word as written (worked out once) and what follows from them."""
 
     def __init__(self, model: ToxicityModel) -> None:
         super().__init__()
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        self[word] = value = float(self.model.weights[[_bucket(f) for f in word_features(word)]].sum() + self.model.start[1])
+        self[word] = value = float(self.model.weights[[_bucket(f) for f in word_features(word.lower())]].sum() + self.model.start[1])
         return value
 
-    def marginals(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """Of each text (token numbers, marginals) of the tokens that could be toxic, and the number of all tokens."""
+    def marginals(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Of each text the marginals of its tokens."""
         if len(self) > _KEPT:
             self.clear()
-        gap, runs, sizes = np.full(CONTEXT, -30.0), [], []
+        gap, runs, ends = np.array([-np.inf]), [np.array([-np.inf])], []
         for text in texts:
-            words = _WORD.findall(text.lower()) if text else []
-            runs += [gap, np.fromiter(map(self.__getitem__, words), float, len(words))]
-            sizes.append(len(words))
-        emission = np.concatenate([*runs, gap])
-        hot = np.flatnonzero(emission > LEAST_EMISSION)
-        window = np.arange(-CONTEXT, CONTEXT + 1)
-        found = [centre_marginals(emission[hot[at : at + 8192, None] + window], self.model.chain) for at in range(0, len(hot), 8192)]
-        p = np.concatenate(found) if found else np.zeros(0)
-        starts = np.cumsum([CONTEXT, *(n + CONTEXT for n in sizes)])
-        cuts = np.searchsorted(hot, starts)
-        return [(hot[a:b] - start, p[a:b], n) for a, b, start, n in zip(cuts, cuts[1:], starts, sizes, strict=False)]
+            words = _WORD.findall(text) if text else []
+            runs += [np.fromiter(map(self.__getitem__, words), float, len(words)), gap]
+            ends.append(len(words) + 1)
+        p = chain_marginals(np.concatenate(runs), self.model.chain)
+        stops = np.cumsum(ends)
+        return [p[b - n + 1 : b] for b, n in zip(stops.tolist(), ends, strict=True)]
 
     @staticmethod
     def document(marginals: np.ndarray, n_words: int) -> np.ndarray:
@@ -205,8 +215,11 @@ class Tagger(dict):
     def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
         """Of each text its score, and the spans (start, end in code points, mean marginal) of runs of tokens that are likelier toxic than not."""
         found = self.marginals(texts)
-        scores = sigmoid(np.array([self.document(p, n) for _, p, n in found]).reshape(-1, 3) @ self.model.score[:-1] + self.model.score[-1])
-        spans = [list(_spans(x, dict(zip(at[p >= 0.5].tolist(), p[p >= 0.5].tolist(), strict=True)))) if (p >= 0.5).any() else [] for x, (at, p, _) in zip(texts, found, strict=True)]
+        scores = sigmoid(np.array([self.document(p, len(p)) for p in found]).reshape(-1, 3) @ self.model.score[:-1] + self.model.score[-1])
+        spans = []
+        for x, p in zip(texts, found, strict=True):
+            hot = np.flatnonzero(p >= 0.5)
+            spans.append(list(_spans(x, dict(zip(hot.tolist(), p[hot].tolist(), strict=True)))) if len(hot) else [])
         return list(zip(scores.tolist(), spans, strict=True))
 
 

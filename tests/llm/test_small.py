@@ -71,6 +71,64 @@ def test_media_foreign_layouts():
     assert t["keyframes"][3]["start"] == start + 9
 
 
+def track(kind, sizes, keys, start):
+    full, box = media._full, media._box
+    tables = [full(b"stsd", struct.pack(">I", 1), box(b"avc1" if kind == b"vide" else b"mp4a", bytes(70))), full(b"stts", struct.pack(">III", 1, len(sizes), 1)), full(b"stsc", struct.pack(">I3I", 1, 1, len(sizes), 1)),
+              full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), full(b"stco", struct.pack(">II", 1, start))]
+    if keys:
+        tables.append(full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys)))
+    return box(b"trak", box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 10, 9, 0, 0)), full(b"hdlr", struct.pack(">I4s", 0, kind), bytes(12)), box(b"minf", box(b"stbl", *tables))))
+
+
+def test_media_tables_come_from_one_track():
+    """Sound without a sync table before video with one: codec, samples and keyframes are the video's."""
+    movie = media._box(b"moov", track(b"soun", [1] * 10, [], 8), track(b"vide", [2, 3, 4], [1, 3], 18))
+    t = media.read_tables(media._box(b"mdat", bytes(30)) + movie)
+    assert (t["codec"], t["n_samples"]) == ("avc1", 3) and [(x["start"], x["length"]) for x in t["keyframes"]] == [(18, 2), (23, 4)]
+    sound = media.read_tables(media._box(b"mdat", bytes(30)) + media._box(b"moov", track(b"soun", [1] * 10, [], 8)))
+    assert sound["codec"] == "mp4a" and len(sound["keyframes"]) == 10
+
+
+def test_media_broken_files_have_a_reason():
+    nest = b""
+    for _ in range(3000):
+        nest = media._box(b"moov", nest)
+    whole = media.write_file(media.pad(b"x" * 5000))
+    at = whole.index(b"stsz") + 4
+    cases = [nest, media._box(b"moov", media._box(b"trak", media._box(b"mdhd"))), whole[: at + 8] + b"\xff\xff\xff\xf0" + whole[at + 12 :], whole[:-30], b"\0" * 40]
+    for blob in cases:
+        with pytest.raises(ValueError):
+            media.read_tables(blob)
+
+
+def test_media_mutated_files():
+    """10,000 files with changed, cut or repeated bytes: tables or a reason, and never more samples than bytes."""
+    rng = np.random.default_rng(0)
+    seeds = [media.write_file(media.pad(b"ab" * 700)), media._box(b"mdat", bytes(60)) + media._box(b"moov", track(b"soun", [1] * 9, [], 8), track(b"vide", [2, 3, 4], [1, 3], 18))]
+    read = 0
+    for k in range(10_000):
+        blob = bytearray(seeds[k % 2])
+        low = blob.index(b"moov") if k % 3 else 0
+        for _ in range(rng.integers(1, 5)):
+            i = int(rng.integers(low, len(blob)))
+            if (how := rng.integers(0, 4)) == 0:
+                blob[i] = int(rng.integers(256))
+            elif how == 1:
+                blob[i : i + 4] = b"\xff\xff\xff\xf0" if rng.integers(2) else bytes(4)
+            elif how == 2:
+                del blob[i : i + int(rng.integers(1, 9))]
+            else:
+                blob[i:i] = blob[i : i + int(rng.integers(1, 40))]
+            low = min(low, len(blob) - 1)
+        try:
+            found = media.read_tables(bytes(blob))
+        except ValueError:
+            continue
+        read += 1
+        assert sum(x["length"] for x in found["chunks"]) <= len(blob) and all(0 <= x["start"] and x["start"] + x["length"] <= len(blob) for x in found["chunks"])
+    assert read > 500
+
+
 def test_media_frame(spark):
     made = media.write_media(odd(spark).withColumn("media", F.lit(1)))
     got = media.read_media(made).select("doc_id", "n_bytes", F.length("payload").alias("n"), "tables.error").collect()
@@ -282,15 +340,65 @@ def test_classifiers(spark):
     assert {spans["text"][s["start"] : s["end"]] for s in spans["toxic_spans"]} <= {"idiot", "fool", "idiot fool"} and spans["toxic_spans"]
 
 
-def test_window_marginals_equal_whole_chains():
-    rng = np.random.default_rng(0)
-    chain = np.array([[0.2, -2.0], [-0.5, -0.8]])
-    emission = rng.normal(-1, 2, 60)
-    edge = np.full(6, -30.0)
-    padded = np.concatenate([edge, emission, edge])
-    whole = toxicity.forward_backward(padded[None], chain)[0][0, 6:-6]
-    windows = padded[np.arange(60)[:, None] + np.arange(13)]
-    assert np.abs(toxicity.centre_marginals(windows, chain) - whole).max() < 2e-3
+@pytest.mark.parametrize("strength", [0.3, 1.0, 2.0, 3.0])
+def test_marginals_of_texts_laid_end_to_end_equal_whole_chains(strength):
+    """Against plain forward-backward over each text on its own, with weak and strong transitions."""
+    rng = np.random.default_rng(int(strength * 10))
+    for chain in (np.array([[strength, -strength], [-strength, strength]]), rng.normal(0, strength, (2, 2))):
+        texts = [rng.normal(-1, 3, n) for n in (1, 0, 60, 64, 65, 700, 2, 0, 129)]
+        gap = np.array([-np.inf])
+        got = toxicity.chain_marginals(np.concatenate([gap, *(x for t in texts for x in (t, gap))]), chain)
+        at = 1
+        for t in texts:
+            if len(t):
+                padded = np.concatenate([[-600.0], t, [-600.0]])
+                assert np.abs(got[at : at + len(t)] - toxicity.forward_backward(padded[None], chain)[0][0, 1:-1]).max() < 1e-9
+            at += len(t) + 1
+
+
+def test_toxic_offsets_are_those_of_the_original_text():
+    tagger = toxicity.Tagger(toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS), np.zeros((2, 2)), np.array([0.0, -4.0]), np.array([1.0, 0.0, 0.0, 0.0])))
+    tagger["idiot"] = tagger["IDIOT"] = 6.0
+    for text in ("İstanbul is fine you idiot", "İİİ IDIOT. Ok", "idiot"):
+        ((score, spans),) = tagger.score([text])
+        assert score > 0.5 and [text[a:b].lower() for a, b, _ in spans] == ["idiot"]
+    assert [s for _, s in tagger.score([None, "", "...", "fine"])] == [[], [], [], []]
+
+
+def test_passages_have_no_long_lines_and_lose_nothing():
+    text = " ".join(f"word{i}" for i in range(5000)) + "\nshort\n" + "x" * 5000
+    runs = quality.passages(text)
+    assert max(sum(map(len, r)) for r in runs) <= 3 * quality.PASSAGE_CHARS and "".join("".join(r) for r in runs).replace(" ", "") == text.replace("\n", "").replace(" ", "")
+    assert quality.passages(None) == quality.passages("") == [[""]]
+
+
+def test_quality_attention_and_gradient():
+    """Attention against its formula bag by bag, and the gradient against finite differences of the loss."""
+    rng = np.random.default_rng(1)
+    bags = [rng.normal(size=(n, quality.N_FEATURES)).astype(np.float32) for n in (1, 4, 9)]
+    y, weight = np.array([0.0, 1.0, 1.0]), np.array([1.0, 0.5, 2.0])
+    model = quality.QualityModel.fit_texts(["a b c", "D! E?"], np.array([0.0, 1.0]), np.ones(2), epochs=1)
+    p = model.layers
+    for bag, z, s in zip(bags, model._forward(bags)["z"], model._forward(bags)["score"], strict=True):
+        h = np.tanh(np.clip((bag - p["mean"]) / p["scale"], -8, 8) @ p["w"] + p["b"])
+        e = np.array([p["a"] @ (np.tanh(p["v"].T @ x) / (1 + np.exp(-p["u"].T @ x))) for x in h])
+        a = np.exp(e) / np.exp(e).sum()
+        assert np.allclose(z, a @ h) and s == pytest.approx(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))))
+
+    def loss():
+        s = model._forward(bags)["score"]
+        return float(-(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).mean())
+
+    gradient = model._gradient(bags, y, weight)
+    for name in ("w", "b", "v", "u", "a", "c", "d"):
+        for at in list(np.ndindex(p[name].shape))[::37] or [(0,)]:
+            old = p[name][at]
+            p[name][at] = old + 1e-5
+            up = loss()
+            p[name][at] = old - 1e-5
+            down = loss()
+            p[name][at] = old
+            assert gradient[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
 def brute_mix(rows):
