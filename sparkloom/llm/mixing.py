@@ -5,17 +5,19 @@ Bernoulli copy with the fraction as its probability.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id draws like
 the text "null"; rows that share a doc_id share a draw; a source without words has target 0 and keeps no copies; an
-empty table gives an empty result; other columns are carried along, and columns named as an output are replaced.
+empty table gives an empty result; other columns are carried along whatever their names, and columns named as an output
+are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import cut
+from sparkloom.llm.arrow import fresh
+from sparkloom.session import cut, numbered
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -32,22 +34,25 @@ def word_count(text: Column | str) -> Column:
 def source_targets(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row per source: source, source_size, target.
 
-    Targets share ``share`` times all tokens by weight and stop at ``most`` times the source's own; the excess is
-    shared anew. That is water filling: with the sources in order of cap / weight, the level is the largest
-    (total - caps before) / (weight from here on), and a target is the smaller of level * weight and cap.
-    The windows run over one row per source, never over documents.
+    Targets share ``share`` times all tokens by weight and stop at ``most`` times the source's own; the excess is shared
+    anew among the others, by weight, until no target is above. Each round is one aggregate over one row per source, and
+    fixes at least one source more; sources keep the order of their code points by range partitioning.
     """
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    sizes = sizes.withColumn("weight", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    sizes = sizes.withColumn("cap", F.col("source_size") * most)
-    everything = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) * share - F.coalesce(F.sum("cap").over(by_ratio), F.lit(0))
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_ratio), F.lit(0.0))
-    levels = sizes.withColumn("level", left / weight_left)
-    return levels.withColumn("target", F.least(F.max("level").over(everything) * F.col("weight"), F.col("cap").cast("double"))).select("source", "source_size", "target")
+    sizes = numbered(sizes, F.col("source").asc_nulls_last()).select(
+        "source", "source_size", F.element_at(cycle, (F.col("at") % len(weights) + 1).cast("int")).alias("weight"), (F.col("source_size") * most).alias("cap"))
+    sizes = cut(sizes)
+    total = (sizes.agg(F.sum("source_size")).head()[0] or 0) * share
+    level, stopped = 0.0, F.lit(False)
+    while True:
+        caps, open_weight = sizes.agg(F.coalesce(F.sum(F.when(stopped, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~stopped, F.col("weight"))), F.lit(0.0))).head()
+        new = (total - caps) / open_weight if open_weight else level
+        if new <= level:
+            break
+        level = new
+        stopped = F.lit(level) * F.col("weight") > F.col("cap")
+    return sizes.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
 def uniform(doc_id: Column | str, seed: int) -> Column:
@@ -65,17 +70,19 @@ def mix(docs: DataFrame, seed: int = 9, id_col: str = "doc_id", text_col: str =
     # one small row per source, written once: the documents below are read again, not shuffled
     targets = cut(source_targets(sized.select(F.col(source_col).alias("source"), "size"), weights, share, most))
     small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    targets = targets.withColumnRenamed("source", "_source")
-    joined = sized.join(F.broadcast(targets) if small else targets, sized[f"`{source_col}`"].eqNullSafe(targets["_source"]))
+    name = fresh("mix_source", docs)
+    targets = targets.withColumnRenamed("source", name)
+    joined = sized.join(F.broadcast(targets) if small else targets, sized[f"`{source_col}`"].eqNullSafe(targets[name]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (uniform(F.col(id_col), seed) < rate - F.floor(rate)).cast("long")
+    extra = (uniform(F.col(f"`{id_col}`"), seed) < rate - F.floor(rate)).cast("long")
     joined = joined.withColumn("copies", F.floor(rate) + extra).withColumn("taken", F.col("size") * F.col("copies"))
     return joined.select(*(F.col(f"`{c}`") for c in (*carried, *made)))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mix itself: every row of mix() as often as its copies say."""
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("_copy")
+    name = fresh("mix_copy", mixed)
+    return mixed.withColumn(name, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop(name)
 
 
 ORACLE_SQL = r"""

@@ -440,6 +440,18 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, *rows).limit(0)).count() == 0
 
 
+def test_mixing_many_sources_and_clashing_names(spark):
+    """Targets of 300 sources of very uneven size need several rounds; columns of any name come through."""
+    rows = [(i, "w " * (1 + (i * i * 37) % 900 if i % 5 else 1), "en", f"src{i % 300:03d}") for i in range(600)]
+    names = ("_source", "_copy", "mix_source", "mix_copy", "at")
+    table = docs(spark, *rows).withColumns({c: F.lit(c) for c in names})
+    out = mixing.mix(table).collect()
+    _, target = brute_mix(rows)
+    assert all(r["target"] == pytest.approx(target[r["source"]]) for r in out) and all(r[c] == c for r in out for c in names)
+    copies = mixing.emit(mixing.mix(table)).collect()
+    assert len(copies) == sum(r["copies"] for r in out) and all(r["_copy"] == "_copy" for r in copies)
+
+
 def test_mixing_without_words(spark):
     out = mixing.mix(docs(spark, (1, None, None, "a"), (2, " ", None, None))).collect()
     assert all(r["target"] == 0 and r["taken"] == 0 for r in out)
