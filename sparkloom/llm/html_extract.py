@@ -1,18 +1,24 @@
 """Main text of HTML pages from a stream of parser events.
 
 The standard library's parser turns a page into lines, one for each stretch of text between block tags. Each line has a
-text-to-tag ratio: its characters outside links over the tags met since the line before. The ratios are smoothed by a
-Gaussian kernel and split by a two-means threshold; lines above it are content. Elements that pages mark as menus,
-adverts, forms and the like count as tags only. A content line stands for its region: the other lines of the same article
-or main element, or else of the same parent, unless they are mostly links.
+text-to-tag ratio: its characters outside links over the tags met since the line before. Elements that pages mark as menus,
+adverts, forms, comments and the like, by tag or by a word in class, id or role, count as ``MARK_TAGS`` tags for each of
+their lines, which pulls their ratios down. The ratios' logarithms are smoothed by a Gaussian kernel over neighbouring lines,
+up to where marked elements begin and end, and split by two-means clustering. The clusters select regions (an article or main element, or else the block that holds
+the line; a marked element is a region of its own): a region is content if lines above the threshold hold at least half of
+its characters. All lines of content regions make the text, in page order, but for lines below the threshold that are
+mostly links.
 
 Defined results: a null or empty page, or one without text, gives the empty text; broken markup never fails; tags that
-are not closed end with their parents; other columns are carried along, and columns named as an output are replaced.
+are not closed end with their parents, and an inline end tag does not reach out of its block; pages whose lines are all
+alike are content as a whole if a line has more than ``LEAST_RATIO`` characters a tag; other columns are carried along, and
+columns named as an output are replaced. Work is linear in the length of a page, however its tags nest.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -22,7 +28,10 @@ from pyspark.sql import DataFrame
 from sparkloom.llm.arrow import map_columns
 
 SIGMA, RADIUS = 1.0, 2
-MOST_LINKS = 0.5  # share of a line's characters inside links, from which on it is no content outside a content line
+MARK_TAGS = 200  # tags that a marked element counts as
+LEAST_RATIO = 1.0  # characters a tag that content has at least, whatever the other lines are like
+MOST_LINKS = 0.5  # share of a line's characters inside links, from which on a line below the threshold is left out
+REGION_SHARE = 0.5  # share of a region's characters in lines above the threshold that makes it content
 
 _BLANK = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+")
@@ -32,10 +41,14 @@ _BREAKS = frozenset(
     form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td
     tfoot th thead title tr ul""".split()
 )
-#: Elements whose text is never content.
-_NEVER = frozenset("aside audio button canvas dialog fieldset footer form head iframe input label legend map menu nav noscript object option script select style svg template textarea title video".split())
+#: Elements whose text a reader does not see as text.
+_UNSEEN = frozenset("audio button canvas head iframe map noscript object option script select style svg template textarea title video".split())
+#: Elements that hold something beside the article.
+_BESIDE = frozenset("aside dialog fieldset footer form label legend menu nav".split())
 _REGION = frozenset(("article", "main"))
-_CLOSES_P = _BREAKS - {"br"}
+#: Blocks that belong to the block around them.
+_INNER = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote ul ol dl dt dd hr br center address figure figcaption".split())
+_ENDS_OWN_KIND = {"li": "li", "tr": "tr", "td": "td th", "th": "td th", "dt": "dt dd", "dd": "dt dd", "option": "option"}
 #: Words in class, id or role that mark what is not the article.
 _MARKS = frozenset(
     """ad ads advert advertisement adverts advertising adsense alert banner breadcrumb breadcrumbs byline comment comments complementary
@@ -50,103 +63,106 @@ class Line(NamedTuple):
     text: str
     tags: int
     link_chars: int
-    region: int  # number of the enclosing article or main element, 0 outside
-    parent: int  # number of the element that holds the line
+    region: int
+    marked: bool
+
+
+class _Open(NamedTuple):
+    """An open element: its tag, what its text is (0 content, 1 marked, 2 unseen), its region, and if that is an article."""
+
+    tag: str
+    kind: int
+    region: int
+    article: bool
+
+
+_PAGE = _Open("", 0, 0, False)
 
 
 class PageLines(HTMLParser):
-    """Feeds on a page and collects its lines, without text that cannot be content."""
+    """Feeds on a page and collects its lines."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, inside something skipped, region, number
+        self.open: list[_Open] = []
+        self.at: dict[str, list[int]] = {}  # where each tag is open
+        self.blocks: list[int] = []  # where blocks are open
         self.parts: list[str] = []
-        self.tags = self.links = self.link_chars = self.count = 0
+        self.tags = self.link_chars = self.count = 0
+
+    def _top(self) -> _Open:
+        return self.open[-1] if self.open else _PAGE
 
     def _flush(self) -> None:
         if self.parts:
             text = _BLANK.sub(" ", "".join(self.parts)).strip()
             self.parts.clear()
             if text:
-                _, _, region, number = self._block()
-                self.lines.append(Line(text, self.tags, min(self.link_chars, len(text)), region, number))
+                top = self._top()
+                self.lines.append(Line(text, self.tags, min(self.link_chars, len(text)), top.region, top.kind == 1))
                 self.tags = 0
             self.link_chars = 0
 
-    def _block(self) -> tuple[str, bool, int, int]:
-        """The innermost open element that is a block; paragraphs and headings count as their parents."""
-        for x in reversed(self.open):
-            if x[0] in _BREAKS and x[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote"):
-                return x
-        return ("", False, 0, 0)
-
-    def _close(self, at: int) -> None:
-        for tag, *_ in self.open[at:]:
-            if tag == "a":
-                self.links -= 1
-        del self.open[at:]
+    def _close(self, down_to: int) -> None:
+        while len(self.open) > down_to:
+            tag = self.open.pop().tag
+            self.at[tag].pop()
+            if self.blocks and self.blocks[-1] >= len(self.open):
+                self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag in _BREAKS:
+        is_block = tag in _BREAKS
+        if is_block:
             self._flush()
-        if tag == "br":
-            return
         if tag in _VOID:
             return
-        if tag in _CLOSES_P:
-            for at in range(len(self.open) - 1, -1, -1):
-                kind = self.open[at][0]
-                if kind == "p":
-                    self._close(at)
-                    break
-                if kind in _BREAKS:
-                    break
-        if tag in ("li", "tr", "td", "th", "dt", "dd", "option", "a"):  # these end an open one of their kind
-            for at in range(len(self.open) - 1, -1, -1):
-                kind = self.open[at][0]
-                if kind == tag or (tag in ("dt", "dd") and kind in ("dt", "dd")):
-                    self._close(at)
-                    break
-                if kind in _BREAKS:
-                    break
+        block = self.blocks[-1] if self.blocks else -1
+        if is_block and block >= 0 and self.open[block].tag == "p":  # a paragraph ends where another block begins
+            self._close(block)
+            block = self.blocks[-1] if self.blocks else -1
+        if block >= 0 and self.open[block].tag in _ENDS_OWN_KIND.get(tag, "").split():
+            self._close(block)
+        elif tag == "a" and self.at.get("a") and self.at["a"][-1] > block:  # links do not nest
+            self._close(self.at["a"][-1])
         if tag in _REGION or tag == "body":  # an element left open before it does not reach into it
-            while self.open and self.open[-1][1]:
+            while self.open and self.open[-1].kind:
                 self._close(len(self.open) - 1)
-        _, skipped, region, _ = self.open[-1] if self.open else ("", False, 0, 0)
+        around = self._top()
         self.count += 1
-        if not skipped:
+        kind, region, article = around.kind, around.region, around.article
+        if tag in _UNSEEN:
+            kind = 2
+        elif not kind:
             if tag in _REGION:
-                region = region or self.count
-            skipped = tag in _NEVER or (tag == "header" and not region)
-            if not skipped and attrs and tag not in ("html", "body", "main", "article"):
-                skipped = _marked(attrs, bool(region))
-        self.open.append((tag, skipped, region, self.count))
-        if tag == "a":
-            self.links += 1
+                region, article = (region if article else self.count), True
+            elif tag in _BESIDE or (tag == "header" and not article) or (attrs and tag not in ("html", "body") and _marked(attrs, article)):
+                kind, region = 1, self.count
+            elif is_block and not article and tag not in _INNER:
+                region = self.count
+        if is_block:
+            self.blocks.append(len(self.open))
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append(_Open(tag, kind, region, article))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in _VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # HTML ignores the slash of other elements
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)  # HTML ignores the slash
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in _BREAKS:
+        is_block = tag in _BREAKS
+        if is_block:
             self._flush()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._close(at)
-                return
+        where = self.at.get(tag)
+        if where and (is_block or not self.blocks or where[-1] > self.blocks[-1]):
+            self._close(where[-1])
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][1]:
-            return
-        self.parts.append(data)
-        if self.links > 0:
-            self.link_chars += len(data)
+        if self._top().kind < 2:
+            self.parts.append(data)
+            if self.at.get("a"):
+                self.link_chars += len(data)
 
     def close(self) -> None:
         super().close()
@@ -170,7 +186,7 @@ def _marked(attrs: list, in_region: bool) -> bool:
 
 
 def text_to_tag_ratios(lines: list[Line]) -> np.ndarray:
-    return np.array([(len(x.text) - x.link_chars) / max(1, x.tags) for x in lines], float)
+    return np.array([(len(x.text) - x.link_chars) / max(1, x.tags + MARK_TAGS * x.marked) for x in lines], float)
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
@@ -180,47 +196,50 @@ def smooth(values: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np
     return full / np.convolve(np.ones(len(values)), kernel)[radius : radius + len(values)]
 
 
-def threshold(values: np.ndarray) -> float:
-    """Border of two means on a log scale; below all values if they do not differ."""
-    x = np.log1p(values)
+def smooth_runs(values: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Smoothing within each run of lines that are marked, or are not."""
+    return np.concatenate([smooth(x) for x in np.split(values, np.flatnonzero(np.diff(marked)) + 1)])
+
+
+def threshold(x: np.ndarray, least: float = float(np.log1p(LEAST_RATIO))) -> float:
+    """Border between the two means of ``x``, ``least`` at the smallest; just ``least`` if the values do not differ."""
     low, high = x.min(), x.max()
     if high - low < 1e-9:
-        return -1.0
-    for _ in range(20):
-        border = (low + high) / 2
-        above = x > border
+        return least
+    for _ in range(50):
+        above = x > (low + high) / 2
         new = (x[~above].mean(), x[above].mean()) if above.any() and not above.all() else (low, high)
         if new == (low, high):
             break
         low, high = new
-    return float(np.expm1((low + high) / 2))
+    return max(least, float((low + high) / 2))
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text: lines in page order, joined by one space."""
-    if not page:
-        return ""
+def page_lines(page: str) -> list[Line]:
     parser = PageLines()
     parser.feed(page)
     parser.close()
-    lines = parser.lines
+    return parser.lines
+
+
+def content_lines(lines: list[Line], border: Callable[[np.ndarray], float] | None = None) -> list[bool]:
+    """Which lines are content. border: finds the threshold of smoothed log ratios, two-means clustering if not given."""
     if not lines:
-        return ""
-    ratios = smooth(text_to_tag_ratios(lines))
-    content = ratios > threshold(ratios)
-    light = [x.link_chars <= MOST_LINKS * len(x.text) for x in lines]
-    regions = {x.region for x, c in zip(lines, content, strict=True) if c and x.region}
-    if not regions and any(x.region for x in lines):  # short articles beside long rests
-        regions = {x.region for x, ok in zip(lines, light, strict=True) if x.region and ok} or {0}
-    if regions - {0}:
-        return " ".join(x.text for x in lines if x.region in regions)
-    weight: dict[int, int] = {}
-    for x, c, ok in zip(lines, content, light, strict=True):
-        if c and ok:
-            weight[x.parent] = weight.get(x.parent, 0) + len(x.text)
-    most = max(weight.values(), default=0)
-    parents = {p for p, w in weight.items() if w * 4 >= most}
-    return " ".join(x.text for x, ok in zip(lines, light, strict=True) if ok and x.parent in parents)
+        return []
+    ratios = smooth_runs(np.log1p(text_to_tag_ratios(lines)), np.array([x.marked for x in lines]))
+    above = ratios > (border or threshold)(ratios)
+    size: dict[int, int] = {}
+    good: dict[int, int] = {}
+    for x, ok in zip(lines, above.tolist(), strict=True):
+        size[x.region] = size.get(x.region, 0) + len(x.text)
+        good[x.region] = good.get(x.region, 0) + len(x.text) * ok
+    return [good[x.region] > 0 and good[x.region] >= REGION_SHARE * size[x.region] and (ok or x.link_chars <= MOST_LINKS * len(x.text)) for x, ok in zip(lines, above.tolist(), strict=True)]
+
+
+def main_text(page: str | None, border: Callable[[np.ndarray], float] | None = None) -> str:
+    """The page's main text: content lines in page order, joined by one space."""
+    lines = page_lines(page) if page else []
+    return " ".join(x.text for x, ok in zip(lines, content_lines(lines, border), strict=True) if ok)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

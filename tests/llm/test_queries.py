@@ -95,6 +95,27 @@ def test_pages(spark, sf_dir):
     assert all(r["n_chars"] == len(r["text"]) and r["text"] and "<" not in r["text"] for r in out)
 
 
+def test_clusters_decide_the_text_of_pages(spark, sf_dir):
+    """With every line above the threshold menus and footers come along, with none nothing is left, and a higher border loses text."""
+    from sparkloom.llm import html_extract
+
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    texts = [html_extract.main_text(x) for x in pages]
+    everything = [html_extract.main_text(x, lambda r: -1.0) for x in pages]
+    assert all(len(a) > len(b) for a, b in zip(everything, texts, strict=True)) and all(texts)
+    assert not any(html_extract.main_text(x, lambda r: 99.0) for x in pages)
+    assert any(html_extract.main_text(x, lambda r: html_extract.threshold(r) + 2) != b for x, b in zip(pages, texts, strict=True))
+    for x, text in zip(pages, texts, strict=True):
+        for y in html_extract.page_lines(x):
+            assert not y.marked or y.text not in text or any(y.text in z.text for z in html_extract.page_lines(x) if not z.marked)
+
+
+def test_toxicity_held_out(spark, sf_dir):
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    out = [r for r in queries.op3_toxicity(spark, sf_dir).collect() if r["held_out"] and r["doc_id"] in toxic]
+    assert out and np.mean([r["predicted"] == toxic[r["doc_id"]] for r in out]) > 0.85
+
+
 def test_pipeline_against_plain_steps(spark, sf_dir, texts):
     """Each stage against brute force on the rows that the stage before it kept."""
     import re

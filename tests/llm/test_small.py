@@ -40,6 +40,33 @@ def test_html_smoothing():
     assert html_extract.threshold(np.array([1.0, 1, 1, 50, 60])) > 1
 
 
+def test_html_ratios_smoothing_and_clusters_by_hand():
+    page = "<body><nav><a href=x>Home page</a></nav><div><p>Real words, a line of them.</p><p>No.</p><p>And here is another line.</p></div><div class=ad>Buy!</div></body>"
+    lines = html_extract.page_lines(page)
+    assert [(x.text, x.link_chars, x.marked) for x in lines] == [("Home page", 9, True), ("Real words, a line of them.", 0, False), ("No.", 0, False), ("And here is another line.", 0, False), ("Buy!", 0, True)]
+    assert [x.tags for x in lines] == [3, 4, 2, 2, 3]
+    r = np.log1p([0, 27 / 4, 3 / 2, 25 / 2, 4 / 203])
+    g = lambda a, b: np.exp(-((a - b) ** 2) / 2)
+    want = [r[0], *(sum(g(i, j) * r[j] for j in (1, 2, 3)) / sum(g(i, j) for j in (1, 2, 3)) for i in (1, 2, 3)), r[4]]
+    got = html_extract.smooth_runs(np.log1p(html_extract.text_to_tag_ratios(lines)), np.array([x.marked for x in lines]))
+    assert np.allclose(got, want)
+    low, high = np.mean(want[::4]), np.mean(want[1:4])
+    assert html_extract.threshold(got) == pytest.approx((low + high) / 2)
+    assert html_extract.main_text(page) == "Real words, a line of them. No. And here is another line."
+
+
+def test_html_time_grows_with_length():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - began
+
+    for make in (lambda n: "<div>" * n + "x</i>" * n, lambda n: "<p><b>" * n + "<h1>x</h1>" * n, lambda n: "<b>" * n + "<hr>x<a>" * n, lambda n: "<td><i>" * n + "x</td>" * n):
+        assert took(make(40_000)) < 40 * took(make(4_000)) + 1
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, None, "old"), (2, "<p>x y</p>", "old")], "page_id long, html string, text string")
     assert [tuple(r) for r in html_extract.extract(pages).select("page_id", "text").orderBy("page_id").collect()] == [(1, ""), (2, "x y")]
@@ -323,6 +350,47 @@ def test_language_id(spark):
     assert langid.identify(table.limit(0), empty).count() == 0
 
 
+def test_language_backoff_against_plain_counts(spark):
+    """Known words, then ever shorter n-grams, from counts of the training texts; a rare word and a very long one count too."""
+    import math
+    from collections import Counter
+
+    rows = [*train_rows(30), (900, "zyzzyva " + "q" * 60, "en", "s"), (901, "œuvre", "fr", "s")]
+    table = docs(spark, *rows)
+    kept = {r["doc_id"] for r in table.where(~langid.held_out("doc_id")).collect()}
+    model = langid.LanguageModel.fit(table)
+    counts, totals = {}, Counter()
+    for i, t, lang, _ in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()) if i in kept else ():
+            for size in (0, 5, 4, 3, 2, 1):
+                p = f" {w} "
+                for g in [w] if size == 0 else [p[k : k + size] for k in range(len(p) - size + 1)]:
+                    counts.setdefault((size, g), Counter())[lang] += 1
+                    totals[lang, size] += 1
+
+    def evidence(size, g):
+        e = [math.log((counts[size, g][x] + 0.5) / (totals[x, size] + 1)) for x in ("en", "fr")]
+        return np.array(e) - np.mean(e)
+
+    for w in ("cat", "chat", "zyzzyva", "q" * 60, "œuvre", "thehouse", "maisonette", "xxq", "漢字"):
+        want, p = np.zeros(2), f" {w} "
+        if (0, w) in counts:
+            want = evidence(0, w)
+        else:
+            for step, size in enumerate((5, 4, 3, 2, 1), 1):
+                grams = [p[k : k + size] for k in range(len(p) - size + 1) if (size, p[k : k + size]) in counts]
+                if grams:
+                    want = np.mean([evidence(size, g) for g in grams], axis=0) * math.exp(-0.4 * step)
+                    break
+        assert np.allclose(model.words([w])[0], want, atol=1e-5), w
+
+
+def test_language_id_very_long_line(spark):
+    table = docs(spark, *train_rows(), (100, "le chat et le chien " * 50_000, None, None))
+    out = langid.identify(table, langid.LanguageModel.fit(table)).where("doc_id = 100").head()
+    assert out["lang_pred"] == "fr"
+
+
 def test_classifiers(spark):
     rng = np.random.default_rng(0)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 40)) + "."
