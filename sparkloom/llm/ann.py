@@ -1,20 +1,24 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Distinct vectors are projected by several random rotations onto a few dimensions, shifted, and ordered along Hilbert
-curves by Spark's range partitioning. The orders are cut into blocks of ``block`` rows; a query meets the blocks within
-``reach`` of its own on every curve, is scored there in double precision, and the best of all curves are merged.
+Distinct vectors are projected by random rotations onto a few dimensions, shifted, and ordered along Hilbert curves, one
+for each rotation, by Spark's range partitioning. On each curve a query meets the vectors within ``window`` rows to either
+side of its own place; the windows of all curves are scored in double precision and merged.
 
-How far a query must reach depends on the vectors and on their number, so it is measured unless given: a sample of
-queries is compared with all vectors, and the reach is the least one that finds ``TARGET`` of their true neighbours.
-Where windows of that reach would hold as many rows as the table (noise in many dimensions, or a small table), every
-query meets every vector once instead, which is exact. Tasks stay bounded either way: points and queries are dealt.
+How many curves are needed, and how wide a window, depends on the vectors and on their number, so both are measured unless
+given: a hash-chosen sample of at most ``SAMPLE`` queries is compared with all vectors, and for each number of curves the
+least window is found that holds ``TARGET`` of their true neighbours. The cheapest pair is taken, by the rows scored for
+all queries and the vectors shipped for each curve. Vectors with structure get narrow windows; noise in many dimensions
+gets windows over much of the table, as no index can do much better, and the work then grows with the square of it.
+
+Tasks stay bounded whatever the window: a curve is cut into segments of rows, a segment's vectors go to one task for each
+group of segments that queries come from, and scores are made for runs of neighbouring queries.
 
 Equal vectors are one class from the start: the k + 1 smallest ids stand for all copies, which is all that a result can
-name, so that a vector with very many copies fills neither a block nor a task.
+name, so that a vector with very many copies fills neither a window nor a task.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite numbers take no part, nor do null ids;
 vectors are compared with those of their own length only; ties go to the smaller id; rows that share an id and a vector
-are one; with fewer than k candidates all of them are returned; an empty table gives an empty result.
+are one; with fewer than k candidates all that are found are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,17 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.arrow import fresh
 from sparkloom.llm.hilbert import hilbert_keys
-from sparkloom.session import cut
+from sparkloom.session import cut, numbered
 
-CURVES, DIMS, BITS = 5, 3, 10
-BLOCK, LEAST_REACH = 4096, 2
-TARGET = 0.95  # share of the sample's neighbours that the windows must hold
-_SAMPLE = 128  # queries that the reach is measured on
+CURVES, DIMS, BITS = 16, 15, 4  # curves at most; dimensions and bits of each
+TARGET = 0.93  # share of the sample's neighbours that the windows must hold
+SAMPLE = 256  # queries that the windows are measured on
+SEGMENT = 8192  # rows of a curve that a task holds vectors of
+SHIPPED = 100  # scores that cost as much as a vector shipped to its place on a curve
 _SPAN = 8.0  # standard deviations that the grid covers, with a shift of one
-_CELLS = 1 << 21  # scores held at once, and numbers of the points of a task
-_ASKS = 1 << 15  # queries of a task where all pairs meet
-_DEAL = 16  # blocks whose queries meet in one task on a curve
+_CELLS = 1 << 20  # scores held at once
+_DEAL = 16  # segments whose queries meet a segment in one task
 
 
 def _usable(vec: Column) -> Column:
@@ -74,36 +79,47 @@ def curve_keys(vectors: DataFrame, scale: float, curves: int, dims: int, bits: i
     return vectors.select("rep", "vec").mapInArrow(run, "rep long, size int, curve int, key long")
 
 
-def _placed(keyed: DataFrame, block: int) -> DataFrame:
-    """(rep, size, curve, block): where each vector stands on each curve. The window runs over a row per partition."""
-    order = ["size", "curve", "key", "rep"]
-    ranged = cut(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("rep", "size", "curve", F.monotonically_increasing_id().alias("at")))
-    ranged = ranged.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)})
-    starts = ranged.groupBy("part", "size", "curve").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("size", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).drop("first", "n")
-    # as many rows as partitions and curves, whatever the input
-    placed = ranged.join(F.broadcast(starts), ["part", "size", "curve"])
-    return placed.select("rep", "size", "curve", F.floor((F.col("at") + F.col("base")) / block).cast("long").alias("block"))
+def _placed(keyed: DataFrame) -> DataFrame:
+    """(rep, size, curve, at): the row at which each vector stands on each curve of its length."""
+    rows = numbered(keyed, "size", "curve", "key", "rep").select("rep", "size", "curve", "at")
+    # a row for each curve and length of vectors
+    first = F.broadcast(rows.groupBy("size", "curve").agg(F.min("at").alias("first")))
+    return rows.join(first, ["size", "curve"]).select("rep", "size", "curve", (F.col("at") - F.col("first")).alias("at"))
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best points of each query by inner product, ties to smaller ids: (query id, point id, score)."""
     out: tuple[list, list, list] = ([], [], [])
     rows = max(16, _CELLS // max(1, len(points)))
-    step = max(1, len(points) // max(4096, 4 * k))
+    step = max(1, len(points) // max(2048, 4 * k))
     for at in range(0, len(queries), rows):
         some = queries[at : at + rows]
         score = some @ points.T
         # the k-th best of some points is a lower bound for that of all
         least = np.partition(score[:, ::step], -k, axis=1)[:, -k] if k < len(points) else np.full(len(some), -np.inf)
-        for row, q, own, bound in zip(score, query_ids[at:], some, least, strict=False):
-            near = np.flatnonzero(row >= bound - 1e-9 * (1 + abs(bound))) if np.isfinite(bound) else np.arange(len(points))
-            exact = np.einsum("ij,j->i", points[near], own)
-            order = np.lexsort((ids[near], -exact))[:k]
-            out[0].append(np.full(len(order), q))
-            out[1].append(ids[near][order])
-            out[2].append(exact[order])
+        least = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)
+        owner, near = np.nonzero(score >= least[:, None])
+        exact = np.einsum("ij,ij->i", points[near], some[owner])
+        q, c, value = _first(query_ids[at : at + rows][owner], ids[near], exact, k)
+        for column, values in zip(out, (q, c, value), strict=True):
+            column.append(values)
+    return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
+
+
+def best_in_windows(queries: np.ndarray, query_ids: np.ndarray, places: np.ndarray, points: np.ndarray, ids: np.ndarray, at: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best(), for queries at ``places`` of a curve and the points of a segment of it, both in the curve's order.
+
+    Neighbouring queries, up to a quarter of a window apart, are scored together against all that their windows hold.
+    """
+    out: tuple[list, list, list] = ([], [], [])
+    i = 0
+    while i < len(queries):
+        j = int(np.searchsorted(places, places[i] + max(window // 4, 1), "right"))
+        low, high = np.searchsorted(at, (places[i] - window, places[j - 1] + window + 1))
+        if low < high:
+            for column, values in zip(out, best(queries[i:j], query_ids[i:j], points[low:high], ids[low:high], k), strict=True):
+                column.append(values)
+        i = j
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
 
 
@@ -139,64 +155,73 @@ def _true_neighbours(classes: DataFrame, sample: list, k: int) -> DataFrame:
     return found.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "size", "c")
 
 
-def measured_reach(classes: DataFrame, placed: DataFrame, asked: DataFrame, k: int) -> int:
-    """The least reach whose windows hold TARGET of the true neighbours of a sample of queries."""
-    sample = asked.orderBy(F.xxhash64("rep"), "rep").limit(_SAMPLE).join(classes, "rep").select("rep", "vec").collect()
+def cheapest(gaps: np.ndarray, n: int, asks: int) -> tuple[int, int, float]:
+    """(curves, window, share of the true neighbours found) from the rows between sampled pairs on each curve.
+
+    gaps: a row for each pair, a column for each curve.
+    """
+    choices = []
+    nearest = np.minimum.accumulate(gaps, axis=1)
+    for curves in range(1, gaps.shape[1] + 1):
+        window = max(1, int(np.sort(nearest[:, curves - 1])[int(np.ceil(TARGET * len(gaps))) - 1]))
+        choices.append((curves * (asks * min(n, 2 * window + 1) + n * SHIPPED), curves, window))
+    _, curves, window = min(choices)
+    return curves, window, float((nearest[:, curves - 1] <= window).mean())
+
+
+def measured_windows(classes: DataFrame, placed: DataFrame, asked: DataFrame, k: int, n: int, curves: int) -> tuple[int, int, float]:
+    """cheapest() for a sample of the queries; some SAMPLE * k * curves numbers come to the driver."""
+    sample = asked.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).join(classes, "rep").select("rep", "vec").collect()
     true = F.broadcast(cut(_true_neighbours(classes, sample, k)))
-    own = placed.join(F.broadcast(true.select(F.col("q").alias("rep"), "size").distinct()), ["rep", "size"]).select(F.col("rep").alias("q"), "size", "curve", F.col("block").alias("from"))
+    own = placed.join(F.broadcast(true.select(F.col("q").alias("rep"), "size").distinct()), ["rep", "size"]).select(F.col("rep").alias("q"), "size", "curve", F.col("at").alias("from"))
     far = placed.withColumnRenamed("rep", "c").join(true, ["c", "size"]).join(own, ["q", "size", "curve"])
-    gaps = sorted(r[-1] for r in far.groupBy("q", "size", "c").agg(F.min(F.abs(F.col("block") - F.col("from")))).collect())
-    return max(LEAST_REACH, gaps[int(np.ceil(TARGET * len(gaps))) - 1]) if gaps else LEAST_REACH
+    gaps = far.groupBy("q", "size", "c").pivot("curve", list(range(curves))).agg(F.min(F.abs(F.col("at") - F.col("from")))).drop("q", "size", "c").collect()
+    if not gaps:
+        return 1, 1, 1.0
+    return cheapest(np.array([list(r) for r in gaps], np.int64), n, asked.count())
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES,
-           dims: int = DIMS, bits: int = BITS, block: int = BLOCK, reach: int | None = None, seed: int = 6) -> DataFrame:
+           dims: int = DIMS, bits: int = BITS, window: int | None = None, segment: int = SEGMENT, seed: int = 6, measured: list | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query row, its own id excepted.
 
-    is_query: a condition on the id column of ``vectors``. reach: blocks to each side; measured if None.
+    is_query: a condition on ``vectors``. window: rows to each side on every one of ``curves``; measured if None, together with
+    how many of the curves are used. measured: a list that gets (curves, window, share found, distinct vectors).
     """
-    usable = vectors.where(_usable(F.col(vec_col)) & F.col(id_col).isNotNull()).withColumn("_q", F.coalesce(is_query, F.lit(False)))
-    usable = usable.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col("_q").alias("q"))
+    mark = fresh("asks", vectors)
+    usable = vectors.where(_usable(F.col(f"`{vec_col}`")) & F.col(f"`{id_col}`").isNotNull()).withColumn(mark, F.coalesce(is_query, F.lit(False)))
+    usable = usable.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("vec"), F.col(mark).alias("q"))
     classes = cut(_classes(usable.select("id", "vec"), k))
     queries = cut(usable.where("q").select("id", "vec").distinct().join(classes.select("vec", "rep"), "vec").select("id", "rep"))
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / F.size("vec")
-    mean, n, widest = classes.agg(F.avg(square), F.count(F.lit(1)), F.max(F.size("vec"))).head()
-    window = lambda r: curves * (2 * r + 1) * block
+    mean, n = classes.agg(F.avg(square), F.count(F.lit(1))).head()
 
     asked = queries.select("rep").distinct()
-    placed = None
-    if reach is not None or n > window(LEAST_REACH):
-        placed = cut(_placed(curve_keys(classes, float(np.sqrt(mean or 1.0)), curves, dims, bits, seed), block))
-    if placed is not None and reach is None:
-        reach = measured_reach(classes, placed, asked, k)
-        placed = placed if window(reach) < n else None
-
-    marked = classes.select("rep", "vec").join(asked.withColumn("asks", F.lit(True)), "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    if placed is None:
-        columns = (F.size("vec").alias("size"), F.lit(0).alias("curve"), "at", "deal", "rep", "vec", "asks", "offers")
-        points, deals = -(-n * (widest or 1) // _CELLS), -(-asked.count() // _ASKS)
-        every = lambda x: F.explode(F.sequence(F.lit(0), F.lit(max(1, x) - 1)))
-        at, deal = F.pmod(F.xxhash64("rep"), F.lit(max(1, points))).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(max(1, deals))).cast("int")
-        offer = marked.withColumns({"at": at, "offers": F.lit(True), "asks": F.lit(False)}).withColumn("deal", every(deals))
-        ask = marked.where("asks").withColumns({"deal": deal, "offers": F.lit(False)}).withColumn("at", every(points))
-        dealt = offer.select(*columns).unionAll(ask.select(*columns))
-    else:
-        # with wide windows, the queries of a block are dealt by the blocks that they come from
-        dealing = (lambda b: F.floor(b / _DEAL)) if 2 * reach + 1 > _DEAL else lambda b: F.lit(0).cast("long")
-        rows = placed.join(marked, "rep")
-        offer = rows.withColumns({"at": F.col("block"), "offers": F.lit(True), "asks": F.lit(False)})
-        offer = offer.withColumn("deal", F.explode(F.sequence(dealing(F.col("block") - reach), dealing(F.col("block") + reach))))
-        ask = rows.where("asks").withColumns({"deal": dealing(F.col("block")), "offers": F.lit(False)}).withColumn("at", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)))
-        columns = ("size", "curve", "at", "deal", "rep", "vec", "asks", "offers")
-        dealt = offer.select(*columns).unionAll(ask.select(*columns))
+    placed = cut(_placed(curve_keys(classes, float(np.sqrt(mean or 1.0)), curves, dims, bits, seed)))
+    share = None
+    if window is None:
+        curves, window, share = measured_windows(classes, placed, asked, k, n, curves)
+    if measured is not None:
+        measured.append((curves, window, share, n))
+
+    step = min(segment, max(256, window))
+    rows = placed.where(F.col("curve") < curves).join(classes.select("rep", "vec"), "rep").withColumn("seg", F.floor(F.col("at") / step).cast("long"))
+    reach = -(-window // step)
+    dealing = (lambda x: F.floor(x / _DEAL).cast("long")) if 2 * reach + 1 > _DEAL else lambda x: F.lit(0).cast("long")
+    columns = ("size", "curve", "seg", "deal", "rep", "vec", "at", "asks")
+    offer = rows.withColumns({"asks": F.lit(False), "deal": F.explode(F.sequence(dealing(F.col("seg") - reach), dealing(F.col("seg") + reach)))})
+    ask = rows.join(asked, "rep", "left_semi").withColumns({"asks": F.lit(True), "deal": dealing(F.col("seg"))})
+    ask = ask.withColumn("seg", F.explode(F.sequence(F.floor((F.col("at") - window) / step).cast("long"), F.floor((F.col("at") + window) / step).cast("long"))))
+    dealt = offer.select(*columns).unionAll(ask.select(*columns))
 
     def score(table: pa.Table) -> pa.Table:
-        offers, asks = table["offers"].to_numpy(zero_copy_only=False), table["asks"].to_numpy(zero_copy_only=False)
-        points, ids = _matrix(table["vec"]), table["rep"].to_numpy()
-        found = best(points[asks], ids[asks], points[offers], ids[offers], k + 1) if asks.any() and offers.any() else ((), (), ())
+        table = table.sort_by("at")
+        asks = table["asks"].to_numpy(zero_copy_only=False)
+        points, ids, at = _matrix(table["vec"]), table["rep"].to_numpy(), table["at"].to_numpy()
+        found = best_in_windows(points[asks], ids[asks], at[asks], points[~asks], ids[~asks], at[~asks], window, k + 1)
         return pa.table({"q": pa.array(found[0], pa.int64()), "c": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    scored = dealt.groupBy("size", "curve", "at", "deal").applyInArrow(score, "q long, c long, score double")
+    scored = dealt.groupBy("size", "curve", "seg", "deal").applyInArrow(score, "q long, c long, score double")
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     # the same pair found on several curves has the same rank
     top = scored.withColumn("r", F.dense_rank().over(by_score)).where(F.col("r") <= k + 1).drop("r").distinct()
