@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.guard import scan_injection
-from sparkloom.session import table
+from sparkloom.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,12 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(point_id, injection_risk): every text is scanned once, when it is stored."""
+    docs = table(spark, sf_dir, "documents")
+    return stored(spark, sf_dir, "injection_flags", lambda: docs.select(F.col("doc_id").alias("point_id"), (F.size(scan_injection(F.col("text"))) > 0).alias("injection_risk")))
+
+
 def points(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
     """Documents as chunks: the source is the document, the id the chunk; dates are spread over a year by id.
 
@@ -45,8 +51,8 @@ def points(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame
     docs = table(spark, sf_dir, "documents")
     day = F.date_format(F.date_add(F.lit("2023-02-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd")
     out = docs.select(F.col("doc_id").alias("point_id"), F.col("source").alias("doc_id"), F.concat(F.lit("corpus/"), "source", F.lit(".md")).alias("source"),
-                      F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 40).alias("title"), F.col("doc_id").cast("int").alias("chunk_index"), day.alias("created_at"), "text", "lang",
-                      (F.size(scan_injection(F.col("text"))) > 0).alias("injection_risk"))
+                      F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 40).alias("title"), F.col("doc_id").cast("int").alias("chunk_index"), day.alias("created_at"), "text", "lang")
+    out = out.join(injection_flags(spark, sf_dir), "point_id")
     if vectors:
         out = out.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding", "label"), "point_id", "left")
     return out
@@ -60,12 +66,19 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
     return list(table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").head()[0])
 
 
-def ascii_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose text is ASCII, on which word borders mean the same everywhere."""
-    return table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
+#: Documents for SQL patterns with word borders: RE2 takes no letter outside ASCII for one, so these letters become "_",
+#: which no pattern here captures; every text keeps its length, and borders are then those of the engine's patterns.
+LETTERS_SQL = r"letter_docs AS (SELECT * REPLACE (regexp_replace(text, '[^\x00-\x7F\P{L}]', '_', 'g') AS text) FROM documents)"
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-ASCII_SQL = "ascii_docs AS (SELECT * FROM documents WHERE strlen(text) = length(text))"
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries share, written to the shared folder once a session, as an ingest would store it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = cut(build())
+    return _STORED[key]
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:

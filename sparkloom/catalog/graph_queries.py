@@ -1,10 +1,10 @@
-"""The graph of names in ASCII documents, and what is read from it."""
+"""The graph of names in documents, and what is read from it."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.catalog.base import ASCII_SQL, ORACLE_SQL, as_of, ascii_docs, query, quoted
+from sparkloom.catalog.base import LETTERS_SQL, ORACLE_SQL, as_of, query, quoted, stored
 from sparkloom.functions import scores
 from sparkloom.functions.identity import ascii_label
 from sparkloom.operators import entities as ents
@@ -19,9 +19,9 @@ _EDGE = "|".join(ents.EDGE_WORDS)
 _TRIM = f"trim(regexp_replace(regexp_replace(raw, '(?i)^(?:(?:{_EDGE})(?:''s)?(?:\\s+|$))+', ''), '(?i)(?:(?:^|\\s+)(?:{_EDGE})(?:''s)?)+$', ''))"
 _KEY = r"trim(regexp_replace(lower(regexp_replace({}, '''s\b|''$', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 _LABEL = r"""regexp_replace(trim(regexp_replace(regexp_replace(trim({}), '''s\b|''$', '', 'g'), '\s+', ' ', 'g')), '^[ ,.;:!?''"-]+|[ ,.;:!?''"-]+$', '', 'g')"""
-_STOP = ", ".join(f"'{w}'" for w in ents.STOPWORDS)
+_STOP = ", ".join(f"'{w}'" for w in ents.EDGE_WORDS)
 
-_CANDIDATES = rf"""{ASCII_SQL}, clean AS (SELECT doc_id, {_MASKED} AS text FROM ascii_docs),
+_CANDIDATES = rf"""{LETTERS_SQL}, clean AS (SELECT doc_id, {_MASKED} AS text FROM letter_docs),
 lines AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS ln FROM clean),
 raw_hits AS (SELECT doc_id, ln, line, unnest(regexp_extract_all(line, {quoted(ents.CANDIDATE)}, 1)) AS raw, generate_subscripts(regexp_extract_all(line, {quoted(ents.CANDIDATE)}, 1), 1) AS nth FROM lines),
 named AS (SELECT doc_id, ln, nth, regexp_matches(line, {quoted(ents.HEADING)}) OR (ends_with(trim(line), ':') AND length(trim(line)) BETWEEN 1 AND 60) AS heading, {_TRIM} AS surface FROM raw_hits),
@@ -31,7 +31,7 @@ per AS (SELECT doc_id, canonical_key, count(*) AS n, bool_or(heading) AS heading
 lowered AS (SELECT doc_id, w AS canonical_key, count(*) AS n_lower FROM (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(ents.LOWER_TOKEN)}, 1)) AS w FROM clean) GROUP BY doc_id, w),
 candidates AS (SELECT p.doc_id, p.canonical_key, p.n, p.heading, p.allcaps, p.surface, CASE WHEN p.n >= 2 AND contains(p.canonical_key, ' ') THEN 0.85 WHEN p.n >= 2 THEN 0.75 ELSE 0.7 END::DOUBLE AS confidence
   FROM per p LEFT JOIN lowered l USING (doc_id, canonical_key) WHERE (p.n >= 2 OR p.heading) AND (contains(p.canonical_key, ' ') OR p.allcaps OR coalesce(l.n_lower, 0) <= p.n))"""
-_TYPED = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, {quoted(p)})) AS surface, '{k}' AS type, {c}::DOUBLE AS confidence FROM ascii_docs" for k, p, c in ents.TYPED)
+_TYPED = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, {quoted(p)})) AS surface, '{k}' AS type, {c}::DOUBLE AS confidence FROM letter_docs" for k, p, c in ents.TYPED)
 _MENTIONS = rf"""{_CANDIDATES}, typed AS ({_TYPED}),
 every AS (SELECT doc_id, {_KEY.format('surface')} AS canonical_key, type, {_LABEL.format('surface')} AS label, confidence FROM typed
   UNION ALL SELECT doc_id, canonical_key, 'org', {_LABEL.format('surface')}, confidence FROM candidates),
@@ -49,24 +49,39 @@ mined AS (SELECT a, b, n_ab, round(greatest(0, log2(n_ab::DOUBLE * n / (x.df::DO
 edges AS (SELECT p.a AS src_id, p.b AS dst_id, 'CO_ACTIVITY' AS predicate, p.doc_id::VARCHAR AS doc_id, m.weight, m.confidence, 'pmi' AS extractor, TIMESTAMP '2024-01-01' + to_minutes(p.doc_id) AS asserted_at FROM pairs p JOIN mined m USING (a, b))"""
 
 
+def _candidates(spark, sf_dir):
+    return stored(spark, sf_dir, "candidates", lambda: ents.name_candidates(table(spark, sf_dir, "documents"), ents.EDGE_WORDS))
+
+
 def _mentions(spark, sf_dir):
-    found = ents.mentions(ascii_docs(spark, sf_dir))
-    return found.withColumn("entity_id", scores.point_id(F.concat_ws("|", "canonical_key", "type")))
+    """Mentions as an ingest stores them; written once a session."""
+    def build():
+        found = ents.mentions(table(spark, sf_dir, "documents"), ents.EDGE_WORDS, candidates=_candidates(spark, sf_dir))
+        return found.withColumn("entity_id", scores.point_id(F.concat_ws("|", "canonical_key", "type")))
+
+    return stored(spark, sf_dir, "mentions", build)
+
+
+def _pairs(spark, sf_dir):
+    return stored(spark, sf_dir, "pairs", lambda: graph.co_mentions(_mentions(spark, sf_dir)))
 
 
 def _graph(spark, sf_dir):
-    """Entities, edges and mentions; written once, as several reads follow."""
-    mentions = cut(_mentions(spark, sf_dir))
-    pairs = cut(graph.co_mentions(mentions))
-    mined = graph.mined(mentions, pairs)
-    edges = pairs.join(mined, ["a", "b"]).select(F.col("a").alias("src_id"), F.col("b").alias("dst_id"), F.lit("CO_ACTIVITY").alias("predicate"), F.col("doc_id").cast("string").alias("doc_id"), "weight", "confidence",
-                                                 F.lit("pmi").alias("extractor"), F.lit(None).cast("string").alias("chunk_id"), F.timestamp_add("minute", F.col("doc_id").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("asserted_at"))
-    return graph.entities_from_mentions(mentions), cut(edges), mentions
+    """Entities, edges and mentions."""
+    mentions = _mentions(spark, sf_dir)
+
+    def build():
+        pairs = _pairs(spark, sf_dir)
+        mined = graph.mined(mentions, pairs)
+        return pairs.join(mined, ["a", "b"]).select(F.col("a").alias("src_id"), F.col("b").alias("dst_id"), F.lit("CO_ACTIVITY").alias("predicate"), F.col("doc_id").cast("string").alias("doc_id"), "weight", "confidence",
+                                                    F.lit("pmi").alias("extractor"), F.lit(None).cast("string").alias("chunk_id"), F.timestamp_add("minute", F.col("doc_id").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("asserted_at"))
+
+    return graph.entities_from_mentions(mentions), stored(spark, sf_dir, "edges", build), mentions
 
 
 @query("a21_candidates", f"WITH {_CANDIDATES} SELECT doc_id, canonical_key, n, heading, allcaps, surface, confidence FROM candidates")
 def a21_candidates(spark, sf_dir):
-    found = ents.name_candidates(ascii_docs(spark, sf_dir))
+    found = _candidates(spark, sf_dir)
     return found.select("doc_id", "canonical_key", "n", "heading", "allcaps", F.get("surfaces", 0).alias("surface"), "confidence")
 
 
@@ -77,13 +92,12 @@ def a22_entities(spark, sf_dir):
 
 @query("g10_pairs", f"WITH {_PAIRS} SELECT doc_id, a, b FROM pairs")
 def g10_pairs(spark, sf_dir):
-    return graph.co_mentions(_mentions(spark, sf_dir))
+    return _pairs(spark, sf_dir)
 
 
 @query("g11_pmi", f"WITH {_EDGES} SELECT a, b, n_ab, weight, confidence FROM mined")
 def g11_pmi(spark, sf_dir):
-    mentions = cut(_mentions(spark, sf_dir))
-    return graph.mined(mentions, graph.co_mentions(mentions))
+    return graph.mined(_mentions(spark, sf_dir), _pairs(spark, sf_dir))
 
 
 _TOP = "degree AS (SELECT id, sum(w::DECIMAL(18,4))::DOUBLE AS degree FROM (SELECT src_id AS id, weight AS w FROM edges UNION ALL SELECT dst_id, weight FROM edges) GROUP BY id), top AS (SELECT e.id, e.label, e.type, round(coalesce(d.degree, 0) * CASE e.type WHEN 'date' THEN 0.25 WHEN 'marker' THEN 0.25 WHEN 'lock' THEN 0.5 WHEN 'slice' THEN 0.5 ELSE 1.0 END, 3) AS score, e.confidence, e.mention_count FROM entities e LEFT JOIN degree d USING (id) ORDER BY score DESC, mention_count DESC, e.confidence DESC, e.id LIMIT 50)"
@@ -125,8 +139,7 @@ def g16_related(spark, sf_dir):
 
 
 def _aliases(spark, sf_dir):
-    found = ents.name_candidates(ascii_docs(spark, sf_dir))
-    flat = found.select("canonical_key", F.explode("surfaces").alias("alias")).distinct()
+    flat = _candidates(spark, sf_dir).select("canonical_key", F.explode("surfaces").alias("alias")).distinct()
     return flat.select(scores.point_id(F.concat_ws("|", "canonical_key", F.lit("org"))).alias("entity_id"), "alias", F.lower(F.trim("alias")).alias("alias_key"))
 
 
@@ -144,23 +157,19 @@ def g19_health(spark, sf_dir):
     return graph.health(edges, as_of())
 
 
-@query("g12_co_retrieved", f"""WITH {_ENTITIES}, runs AS (SELECT DISTINCT d.source AS run_id, d.doc_id FROM documents d WHERE d.doc_id % 10 = 0),
+@query("g12_co_retrieved", f"""WITH {_ENTITIES}, runs AS (SELECT DISTINCT d.source AS run_id, d.doc_id FROM documents d),
 met AS (SELECT DISTINCT r.run_id, m.entity_id FROM runs r JOIN mentions m USING (doc_id)), top8 AS (SELECT m.run_id, m.entity_id, row_number() OVER (PARTITION BY m.run_id ORDER BY e.confidence DESC, m.entity_id) AS nth FROM met m JOIN entities e ON e.id = m.entity_id QUALIFY nth <= 8)
 SELECT x.entity_id AS src_id, y.entity_id AS dst_id, 'run:' || x.run_id AS doc_id FROM top8 x JOIN top8 y ON x.run_id = y.run_id AND x.entity_id < y.entity_id""")
 def g12_co_retrieved(spark, sf_dir):
-    mentions = cut(_mentions(spark, sf_dir))
-    runs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("source").alias("run_id"), "doc_id")
-    return graph.co_retrieved(mentions, graph.entities_from_mentions(mentions), runs).select("src_id", "dst_id", "doc_id")
-
-
-@query("g12_co_retrieved_whole", ORACLE_SQL["g12_co_retrieved"].replace(" WHERE d.doc_id % 10 = 0", ""))
-def g12_co_retrieved_whole(spark, sf_dir):
     """Each run takes all documents of its source."""
-    mentions = cut(_mentions(spark, sf_dir))
+    mentions = _mentions(spark, sf_dir)
     runs = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), "doc_id")
     return graph.co_retrieved(mentions, graph.entities_from_mentions(mentions), runs).select("src_id", "dst_id", "doc_id")
 
 
+query("g12_co_retrieved_whole", ORACLE_SQL["g12_co_retrieved"])(g12_co_retrieved)
+
+
 _PEOPLE = """split AS (SELECT key, type, sum(n)::BIGINT AS mention_count, max(conf) AS confidence FROM (
   SELECT DISTINCT p_name AS key, CASE p_type WHEN 'PROMO' THEN 'person' WHEN 'LARGE' THEN 'product' WHEN 'ECONOMY' THEN 'org' ELSE 'marker' END AS type, 1 AS n, p_partkey, CASE WHEN p_size > 45 THEN 0.95 ELSE 0.6 END AS conf FROM part) GROUP BY key, type),
 nodes AS (SELECT (('0x' || substr(sha256(key || '|' || type), 1, 16))::UBIGINT >> 1)::BIGINT AS id, key AS canonical_key, type, mention_count, confidence FROM split)"""
@@ -259,21 +268,21 @@ def j24_merged_view(spark, sf_dir):
     return graph.merged_view(nodes, edges, ["2"])[1].select("low", "high", "predicate", "weight")
 
 
-@query("f30_grounded_triples", r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]{4,}') AS w FROM documents WHERE strlen(text) = length(text)),
+@query("f30_grounded_triples", r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]{4,}') AS w FROM documents),
 t AS (SELECT doc_id, text, lower(w[1]) AS s, lower(w[len(w)]) AS o, w[1] AS subject, w[len(w)] AS object, CASE WHEN doc_id % 3 = 0 THEN 'OWNS' WHEN doc_id % 3 = 1 THEN 'BLOCKS' ELSE 'LIKES' END AS predicate FROM w WHERE len(w) > 1),
 n AS (SELECT *, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm FROM t WHERE predicate <> 'LIKES' AND s <> o AND length(s) <= 80 AND length(o) <= 80)
 SELECT doc_id, subject, predicate, object, CASE WHEN least((length(norm) - length(replace(norm, s, ''))) // length(s), (length(norm) - length(replace(norm, o, ''))) // length(o)) >= 2 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM n""")
 def f30_grounded_triples(spark, sf_dir):
-    words = ascii_docs(spark, sf_dir).select("doc_id", "text", F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), F.lit(1)).alias("w")).where(F.size("w") > 1)
+    words = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), F.lit(1)).alias("w")).where(F.size("w") > 1)
     predicate = F.when(F.col("doc_id") % 3 == 0, "owns").when(F.col("doc_id") % 3 == 1, "Blocks").otherwise("LIKES")
     triples = words.select("doc_id", F.lit(0).alias("n"), F.get("w", 0).alias("subject"), F.lit("Person").alias("subject_type"), predicate.alias("predicate"), F.element_at("w", -1).alias("object"), F.lit("org").alias("object_type"))
     return graph.grounded_triples(triples, words.select("doc_id", "text")).select("doc_id", "subject", "predicate", "object", "confidence")
 
 
-@query("w06_representative", f"""WITH {ASCII_SQL}, c AS (SELECT source AS doc_id, doc_id AS chunk_index, text, len(list_distinct(regexp_extract_all(text, {quoted(ents.CANDIDATE)}, 1))) AS named FROM ascii_docs)
+@query("w06_representative", f"""WITH {LETTERS_SQL}, c AS (SELECT source AS doc_id, doc_id AS chunk_index, text, len(list_distinct(regexp_extract_all(text, {quoted(ents.CANDIDATE)}, 1))) AS named FROM letter_docs)
 SELECT doc_id, chunk_index FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (length(text) >= 120) DESC, named DESC, length(text) DESC, chunk_index) <= 3""")
 def w06_representative(spark, sf_dir):
-    chunks = ascii_docs(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_index"), "text")
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_index"), "text")
     return graph.representative_chunks(chunks, 3).select("doc_id", "chunk_index")
 
 

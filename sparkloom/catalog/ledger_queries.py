@@ -69,15 +69,14 @@ def k11_worst_skus(spark, sf_dir):
 
 
 def _captures(spark, sf_dir):
-    """Each supplier's line items as one connector capture in JSON; every ninth is flagged."""
-    items = table(spark, sf_dir, "lineitem").where("l_suppkey < 40")
+    """Each order as one connector capture with its line items in JSON; every ninth is flagged. An order has a few items."""
     one = F.struct(F.col("l_orderkey").cast("string").alias("order"), F.col("l_partkey").cast("string").alias("sku"), F.when(F.col("l_returnflag") == "R", "rto").otherwise("ok").alias("status"))
-    raw = items.groupBy("l_suppkey").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("raw_text"))
-    return raw.select(F.col("l_suppkey").alias("id"), F.concat(F.lit("ws"), (F.col("l_suppkey") % 3).cast("string"), F.lit(".shop")).alias("connector_id"), F.lit("list_orders").alias("tool"), (F.col("l_suppkey") % 9 == 0).cast("int").alias("injection_risk"),
-                      F.timestamp_add("hour", F.col("l_suppkey").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("received_at"), "raw_text")
+    raw = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("raw_text"))
+    return raw.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("ws"), (F.col("l_orderkey") % 3).cast("string"), F.lit(".shop")).alias("connector_id"), F.lit("list_orders").alias("tool"), (F.col("l_orderkey") % 9 == 0).cast("int").alias("injection_risk"),
+                      F.timestamp_add("minute", F.col("l_orderkey").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("received_at"), "raw_text")
 
 
-@query("p07_latest_capture", "SELECT l_partkey::VARCHAR AS sku, count(*) AS orders, sum((l_returnflag = 'R')::INT)::BIGINT AS rto, round(100 * sum((l_returnflag = 'R')::INT) / count(*), 1) AS rto_rate_pct FROM lineitem WHERE l_suppkey = (SELECT max(l_suppkey) FROM lineitem WHERE l_suppkey < 40 AND l_suppkey % 9 <> 0) GROUP BY ROLLUP (l_partkey::VARCHAR)")
+@query("p07_latest_capture", "SELECT l_partkey::VARCHAR AS sku, count(*) AS orders, sum((l_returnflag = 'R')::INT)::BIGINT AS rto, round(100 * sum((l_returnflag = 'R')::INT) / count(*), 1) AS rto_rate_pct FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem WHERE l_orderkey % 9 <> 0) GROUP BY ROLLUP (l_partkey::VARCHAR)")
 def p07_latest_capture(spark, sf_dir):
     latest = ledger.latest_capture(_captures(spark, sf_dir), ".shop", "list_orders")
     return ledger.return_stats(latest.select(F.explode(ledger.orders_from_json(F.col("raw_text"))).alias("o")).select("o.sku", "o.status"))
@@ -90,7 +89,7 @@ def a08_acquisition_cost(spark, sf_dir):
 
 
 @query("a10_live_map", """WITH c AS (SELECT DISTINCT 'ws' || (n_nationkey % 4) AS workspace_id, CASE WHEN n_nationkey % 2 = 0 THEN 'shop' ELSE 'mail' END AS connector_id FROM nation),
-r AS (SELECT 'ws' || (l_suppkey % 3) || '.shop' AS key, count(*) AS results, sum(f)::BIGINT AS flagged, max(TIMESTAMP '2024-01-01' + to_hours(l_suppkey)) AS last_sync FROM (SELECT DISTINCT l_suppkey, (l_suppkey % 9 = 0)::INT AS f FROM lineitem WHERE l_suppkey < 40) GROUP BY 1),
+r AS (SELECT 'ws' || (l_orderkey % 3) || '.shop' AS key, count(*) AS results, sum(f)::BIGINT AS flagged, max(TIMESTAMP '2024-01-01' + to_minutes(l_orderkey)) AS last_sync FROM (SELECT DISTINCT l_orderkey, (l_orderkey % 9 = 0)::INT AS f FROM lineitem) GROUP BY 1),
 p AS (SELECT 'ws' || (doc_id % 4) || '.mail' AS key, count(*) AS chunks FROM documents GROUP BY 1)
 SELECT workspace_id, connector_id, coalesce(results, 0) AS results, coalesce(flagged, 0) AS flagged, coalesce(chunks, 0) AS chunks, last_sync FROM c LEFT JOIN r ON r.key = workspace_id || '.' || connector_id LEFT JOIN p ON p.key = workspace_id || '.' || connector_id""")
 def a10_live_map(spark, sf_dir):

@@ -152,12 +152,12 @@ def w02_dedup(spark, sf_dir):
     return first.withColumn("head", F.substring("text", 1, 80)).join(counts, ["source", "head"]).select("source", "point_id", "copies")
 
 
-@query("w03_doc_pool", f"""WITH {POINTS_SQL}, h AS (SELECT point_id, source, length(text) / 1e5 AS rrf, point_id AS fused_rank FROM points WHERE lang = 'en'),
+@query("w03_doc_pool", f"""WITH {POINTS_SQL}, h AS (SELECT point_id, source, length(text) / 1e5 AS rrf, point_id AS fused_rank FROM points),
 two AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY fused_rank) AS nth FROM h QUALIFY nth <= 2),
 s AS (SELECT *, round(sum(rrf) OVER (PARTITION BY source), 5) AS doc_score, min(fused_rank) OVER (PARTITION BY source) AS first_rank FROM two)
 SELECT point_id, source, doc_score, nth FROM s ORDER BY doc_score DESC, first_rank, nth LIMIT 12""")
 def w03_doc_pool(spark, sf_dir):
-    hits = points(spark, sf_dir).where("lang = 'en'").select("point_id", "source", (F.length("text") / 1e5).alias("rrf"), F.col("point_id").alias("fused_rank"))
+    hits = points(spark, sf_dir).select("point_id", "source", (F.length("text") / 1e5).alias("rrf"), F.col("point_id").alias("fused_rank"))
     return retrieval.pooled(hits, 12).select("point_id", "source", "doc_score", "nth")
 
 

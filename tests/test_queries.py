@@ -53,7 +53,6 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.parametrize("name", ["g12_co_retrieved", "j18_runs_behind", "v14_fleet"])
-def test_whole_queries_filter_no_ids(duck, name):
-    sql = catalog.oracle_sql()[f"{name}_whole"]
-    assert "% 10 = 0" not in sql and "% 40 = 0" not in sql
-    assert rows(duck.sql(sql).df()) != rows(duck.sql(catalog.oracle_sql()[name]).df())
+def test_queries_filter_no_ids(name):
+    sql = catalog.oracle_sql()[name]
+    assert "% 10 = 0" not in sql and "% 40 = 0" not in sql and sql == catalog.oracle_sql()[f"{name}_whole"]
