@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.guard import scan_injection
-from sparkloom.session import cut, table
+from sparkloom.operators.retrieval import Index, postings
+from sparkloom.session import cut, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +44,16 @@ def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "injection_flags", lambda: docs.select(F.col("doc_id").alias("point_id"), (F.size(scan_injection(F.col("text"))) > 0).alias("injection_risk")))
 
 
+def word_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The documents' stored postings; written once a session, as an ingest would."""
+    key = (spark.sparkContext.applicationId, sf_dir, "words")
+    if key not in _INDEXES:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
+        _INDEXES[key] = Index(spark, new_folder(spark, "words"))
+        _INDEXES[key].write(postings(docs), docs)
+    return _INDEXES[key]
+
+
 def points(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
     """Documents as chunks: the source is the document, the id the chunk; dates are spread over a year by id.
 
@@ -71,6 +82,7 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
 LETTERS_SQL = r"letter_docs AS (SELECT * REPLACE (regexp_replace(text, '[^\x00-\x7F\P{L}]', '_', 'g') AS text) FROM documents)"
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+_INDEXES: dict[tuple[str, str, str], Index] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:

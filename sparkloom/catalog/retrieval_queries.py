@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.catalog.base import POINTS_SQL, QUESTION, as_of, points, query, query_vector
+from sparkloom.catalog.base import POINTS_SQL, QUESTION, as_of, points, query, query_vector, word_index
 from sparkloom.functions import scores
 from sparkloom.operators import retrieval
 from sparkloom.session import table
@@ -57,15 +57,14 @@ hits AS (SELECT point_id, count(*)::INT AS matched, round(sum(idf * tf * 2.2 / (
 
 @query("t02_bm25_topk", f"WITH {_bm25_sql(['apache', 'license'])} SELECT point_id, matched, round(bm25, 6) AS bm25 FROM hits ORDER BY hits.bm25 DESC, point_id LIMIT 20")
 def t02_bm25_topk(spark, sf_dir):
-    hits = retrieval.bm25_scores(table(spark, sf_dir, "documents"), ["apache", "license"], "doc_id")
+    hits = retrieval.bm25_scores(word_index(spark, sf_dir), ["apache", "license"])
     return hits.orderBy(F.desc("bm25"), "point_id").limit(20).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
 
 
 @query("t02_bm25_indexed", f"WITH {_bm25_sql(['apache', 'license'])} SELECT point_id, matched, round(bm25, 6) AS bm25 FROM hits")
 def t02_bm25_indexed(spark, sf_dir):
-    """From postings; the documents here have a word each, so the statistics are those of the texts."""
-    index = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id")
-    return retrieval.bm25_indexed(index, ["apache", "license"]).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
+    """All hits, not only the best."""
+    return retrieval.bm25_scores(word_index(spark, sf_dir), ["apache", "license"]).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
 
 
 _RARE = "Heanonha ndesou license"
@@ -79,7 +78,7 @@ words AS (SELECT point_id, matched, hits.bm25 FROM hits, counts WHERE matched =
 
 @query("t02_and_or_fallback", f"WITH {_keyword_sql(_RARE, 10)} SELECT point_id, matched, round(bm25, 6) AS bm25 FROM words")
 def t02_and_or_fallback(spark, sf_dir):
-    return retrieval.keyword_search(table(spark, sf_dir, "documents"), _RARE, 10, id_col="doc_id").select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
+    return retrieval.keyword_search(word_index(spark, sf_dir), _RARE, 10).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
 
 
 @query("t03_phrase", f"""SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all({_FOLD.format('text')}, '[\\p{{L}}\\p{{N}}_]+'), ' ') || ' ', ' rights reserved ')
@@ -92,7 +91,15 @@ def t03_phrase(spark, sf_dir):
 @query("s16_postings", f"""SELECT doc_id AS point_id, term, count(*) AS tf, any_value(n)::INT AS doc_len FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM
   (SELECT doc_id, regexp_extract_all({_FOLD.format('text')}, '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents)) GROUP BY doc_id, term""")
 def s16_postings(spark, sf_dir):
-    return retrieval.postings(table(spark, sf_dir, "documents"), "doc_id")
+    return word_index(spark, sf_dir).terms().drop("bucket")
+
+
+@query("s16_replaced_postings", f"""SELECT doc_id AS point_id, term, count(*) AS tf, any_value(n)::INT AS doc_len FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM
+  (SELECT doc_id, regexp_extract_all({_FOLD.format("CASE WHEN source = 'src1' THEN 'Replaced ' || lang ELSE text END")}, '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents)) GROUP BY doc_id, term""")
+def s16_replaced_postings(spark, sf_dir):
+    """One source's documents get new texts: their postings are replaced, all others stay as stored."""
+    touched = table(spark, sf_dir, "documents").where("source = 'src1'").select(F.col("doc_id").alias("point_id"), F.concat(F.lit("Replaced "), "lang").alias("text"))
+    return word_index(spark, sf_dir).replace(touched)
 
 
 _FUSED = f"""ranked_words AS (SELECT point_id, row_number() OVER (ORDER BY words.bm25 DESC, point_id) - 1 AS rank FROM words),
@@ -106,7 +113,7 @@ _CHAIN = f"WITH {POINTS_SQL}, {_NEAR}, {_PRE}, {_keyword_sql(QUESTION, 24)}, {_F
 def j03_rrf_fuse(spark, sf_dir):
     pts = points(spark, sf_dir, vectors=True)
     near = retrieval.pre_ranked(retrieval.vector_top_k(pts.select("point_id", "created_at", "embedding"), query_vector(spark, sf_dir), 48), F.col("created_at"), as_of())
-    words = retrieval.ranked(retrieval.keyword_search(pts, QUESTION, 24), [F.desc("bm25"), F.col("point_id")])
+    words = retrieval.ranked(retrieval.keyword_search(word_index(spark, sf_dir), QUESTION, 24), [F.desc("bm25"), F.col("point_id")])
     fused = retrieval.ranked(retrieval.fuse(near.withColumnRenamed("score", "vscore"), words, 48), [F.desc("raw"), F.col("point_id")], "fused_rank")
     return fused.select("point_id", "rrf", F.round("vscore", 6).alias("vscore"), "fused_rank")
 
@@ -122,26 +129,26 @@ final AS (SELECT *, row_number() OVER (ORDER BY doc_score DESC, first_rank, nth)
 
 @query("retrieve_flagship", f"{_CHAIN}, {_POOLED} SELECT point_id, source, rrf, round(vscore, 6) AS vscore, doc_score, position FROM final")
 def retrieve_flagship(spark, sf_dir):
-    hits = retrieval.retrieve(points(spark, sf_dir, vectors=True), QUESTION, query_vector(spark, sf_dir), as_of())
+    hits = retrieval.retrieve(points(spark, sf_dir, vectors=True), word_index(spark, sf_dir), QUESTION, query_vector(spark, sf_dir), as_of())
     return hits.select("point_id", "source", "rrf", F.round("vscore", 6).alias("vscore"), "doc_score", "position")
 
 
 @query("p01_citations", f"{_CHAIN}, {_POOLED} SELECT f.position, f.source, f.chunk_index AS chunk, p.created_at AS date, round(f.vscore, 3) AS score, substr(f.text, 1, 400) AS snippet FROM final f JOIN points p USING (point_id)")
 def p01_citations(spark, sf_dir):
     pts = points(spark, sf_dir, vectors=True)
-    hits = retrieval.retrieve(pts, QUESTION, query_vector(spark, sf_dir), as_of())
+    hits = retrieval.retrieve(pts, word_index(spark, sf_dir), QUESTION, query_vector(spark, sf_dir), as_of())
     return retrieval.citations(F.broadcast(hits).join(pts.select("point_id", "created_at"), "point_id"), F.col("created_at"))
 
 
 @query("t04_find_docs", f"{_CHAIN}, {_POOLED} SELECT source, min(position) AS best_rank, round(max(vscore), 3) AS best_score, string_agg(chunk_index::VARCHAR, ',' ORDER BY position) AS chunks FROM final GROUP BY source ORDER BY best_rank LIMIT 5")
 def t04_find_docs(spark, sf_dir):
-    hits = retrieval.retrieve(points(spark, sf_dir, vectors=True), QUESTION, query_vector(spark, sf_dir), as_of())
+    hits = retrieval.retrieve(points(spark, sf_dir, vectors=True), word_index(spark, sf_dir), QUESTION, query_vector(spark, sf_dir), as_of())
     return retrieval.find_docs(hits).select("source", "best_rank", "best_score", F.array_join(F.col("chunks").cast("array<string>"), ",").alias("chunks"))
 
 
 @query("t05_extractive")
 def t05_extractive(spark, sf_dir):
-    return retrieval.extractive_answer(retrieval.retrieve(points(spark, sf_dir, vectors=True), QUESTION, query_vector(spark, sf_dir), as_of()))
+    return retrieval.extractive_answer(retrieval.retrieve(points(spark, sf_dir, vectors=True), word_index(spark, sf_dir), QUESTION, query_vector(spark, sf_dir), as_of()))
 
 
 @query("w02_dedup", f"WITH {POINTS_SQL} SELECT source, min(point_id) AS point_id, count(*) AS copies FROM points GROUP BY source, substr(text, 1, 80)")
@@ -169,14 +176,24 @@ def f23_title_bonus(spark, sf_dir):
     return points(spark, sf_dir).select("point_id", title_hits(F.col("title"), terms).alias("hits"))
 
 
-@query("j23_parity", """WITH a AS (SELECT label AS q, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS n FROM embeddings), b AS (SELECT label AS q, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY round(embedding[1]::DOUBLE, 1) DESC, vec_id) AS n FROM embeddings)
-SELECT x.q AS query, count(y.id) / 5.0::DOUBLE AS overlap FROM (SELECT * FROM a WHERE n <= 5) x LEFT JOIN (SELECT * FROM b WHERE n <= 5) y ON x.q = y.q AND x.id = y.id GROUP BY x.q""")
-def j23_parity(spark, sf_dir):
-    from pyspark.sql import Window
+_ROUNDED = "list_transform(embedding::DOUBLE[], lambda x: round(x, 1))"
+_PARITY_SQL = f"""asked AS (SELECT vec_id AS q, embedding::DOUBLE[] AS e, {_ROUNDED} AS r FROM embeddings WHERE vec_id % 50 = 0),
+a AS (SELECT q, vec_id AS id, row_number() OVER (PARTITION BY q ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], e), 9) DESC, vec_id) AS n FROM asked, embeddings QUALIFY n <= 5),
+b AS (SELECT q, vec_id AS id, row_number() OVER (PARTITION BY q ORDER BY round(list_cosine_similarity({_ROUNDED}, r), 9) DESC, vec_id) AS n FROM asked, embeddings QUALIFY n <= 5),
+parity AS (SELECT a.q AS query, count(b.id) / 5.0::DOUBLE AS overlap FROM a LEFT JOIN b ON a.q = b.q AND a.id = b.id GROUP BY a.q)"""
+
+
+def parity(spark, sf_dir):
+    """Top five by cosine in a store of vectors and in its copy of one decimal place, for every fiftieth vector as query."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    rounded = e.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 1)))
+    asked = lambda store: store.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("asked"))
+    return retrieval.top_k_overlap(retrieval.vector_top_k_each(e, asked(e), 5), retrieval.vector_top_k_each(rounded, asked(rounded), 5), 5)
 
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("query"), F.col("vec_id").alias("id"), F.get("embedding", 0).cast("double").alias("s"))
-    top = lambda s: e.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(s), "id"))).where("n <= 5")
-    return retrieval.top_k_overlap(top(F.col("s")), top(F.round("s", 1)), 5)
+
+@query("j23_parity", f"WITH {_PARITY_SQL} SELECT query, overlap FROM parity")
+def j23_parity(spark, sf_dir):
+    return parity(spark, sf_dir)
 
 
 @query("m01_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -188,9 +205,26 @@ def m01_cosine(spark, sf_dir):
 
 @query("s2_retrieval_gate", """WITH hits AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT b.item_id, count(h.doc_id) AS found_in, count(h.doc_id) > 0 AS ok FROM benchmark b LEFT JOIN hits h USING (item_id) GROUP BY b.item_id""")
 def s2_retrieval_gate(spark, sf_dir):
-    """Which benchmark passages stand verbatim in the corpus. The passages are a stated query set, one small row that every document is read against."""
+    """Which benchmark passages stand verbatim in the corpus: the postings of each passage's rarest word name the documents to look into."""
     bench = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    every = bench.agg(F.collect_list(F.struct("item_id", "passage")).alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(every))
-    hits = docs.select("doc_id", F.explode(F.filter("q", lambda x: F.contains("text", x["passage"]))["item_id"]).alias("item_id")).groupBy("item_id").agg(F.count(F.lit(1)).alias("found_in"))
+    index = word_index(spark, sf_dir).terms().select("point_id", "term")
+    # words at a passage's ends may be parts of longer ones in a document
+    inner = F.slice(retrieval.tokens(F.col("passage")), 2, F.greatest(F.size(retrieval.tokens(F.col("passage"))) - 2, F.lit(0)))
+    words = bench.select("item_id", F.explode(F.array_distinct(inner)).alias("term"))
+    df = index.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = words.join(df, "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    met = rarest.join(index, "term").select("item_id", F.col("point_id").alias("doc_id"))
+    # a passage of two words or fewer has no inner word and is not looked for
+    pairs = met.join(bench, "item_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    hits = pairs.where(F.contains("text", F.col("passage"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("found_in"))
     return bench.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("found_in", F.lit(0)).alias("found_in"), F.col("found_in").isNotNull().alias("ok"))
+
+
+@query("v08_retrieval_gate", f"""{_CHAIN}, {_POOLED} SELECT bool_or(position < 3 AND contains(lower(f.text), 'thing')) AS marker_in_top, bool_and(f.source <> '' AND p.created_at <> '') AS breadcrumb,
+  bool_or(position < 3 AND contains(lower(f.text), 'thing')) AND bool_and(f.source <> '' AND p.created_at <> '') AS passed FROM final f JOIN points p USING (point_id)""")
+def v08_retrieval_gate(spark, sf_dir):
+    """A question's expected marker stands in one of its three best passages, and every passage leads back to a source and a date."""
+    pts = points(spark, sf_dir, vectors=True)
+    hits = retrieval.retrieve(pts, word_index(spark, sf_dir), QUESTION, query_vector(spark, sf_dir), as_of())
+    dated = F.broadcast(hits).join(pts.select("point_id", "created_at"), "point_id")
+    return retrieval.gate(dated, ["thing"], F.col("created_at"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scores
@@ -59,23 +59,57 @@ def postings(points: DataFrame, id_col: str = "point_id", text_col: str = "text"
     return flat.groupBy("point_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def _equals(term: str):
-    return lambda w: w == term
+class Index:
+    """Stored postings: (point_id, term, tf, doc_len) in buckets of terms, and one row of corpus statistics.
 
+    A question reads the folders of its terms' buckets and, within them, the row groups that hold its terms. Texts are
+    split into words once, when they are stored; new versions of documents replace their postings only.
+    """
 
-def bm25_scores(points: DataFrame, terms: Sequence[str], id_col: str = "point_id", text_col: str = "text") -> DataFrame:
-    """(point_id, matched, bm25) of the points with any of a few terms; more is better.
+    BUCKETS = 64
 
-    One pass over the texts counts just these terms, so no postings are shuffled; the corpus statistics are one row.
-    """
-    words = points.select(F.col(id_col).alias("point_id"), tokens(F.col(text_col)).alias("words"))
-    tf = [F.size(F.filter("words", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = words.select("point_id", F.size("words").alias("doc_len"), *tf)
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    some = counted.where(F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))
-    parts = [F.when(F.col(f"tf{i}") > 0, scores.bm25_term(scores.idf(F.col("n"), F.col(f"df{i}")), F.col(f"tf{i}"), F.col("doc_len"), F.col("mean_len"))).otherwise(0.0) for i in range(len(terms))]
-    matched = sum((F.when(F.col(f"tf{i}") > 0, 1).otherwise(0) for i in range(len(terms))), F.lit(0))
-    return some.select("point_id", matched.alias("matched"), F.round(sum(parts, F.lit(0.0)), 9).alias("bm25"))
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, index: DataFrame, points: DataFrame | None = None, mode: str = "overwrite") -> None:
+        """index: postings() of all points. points: ids of points that may have no word, for the statistics."""
+        bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
+        sorted_ = bucketed.repartition(self.BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "point_id")
+        sorted_.write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/terms")
+        docs = self.terms().groupBy("point_id").agg(F.first("doc_len").alias("doc_len"))
+        if points is not None:
+            docs = points.select("point_id").distinct().join(docs, "point_id", "left").select("point_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
+        docs.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean_len")).write.mode("overwrite").parquet(f"{self.path}/stats")
+
+    def terms(self) -> DataFrame:
+        return self.spark.read.schema("point_id long, term string, tf long, doc_len int, bucket int").parquet(f"{self.path}/terms")
+
+    def stats(self) -> DataFrame:
+        """n, mean_len: one row."""
+        return self.spark.read.schema("n long, mean_len double").parquet(f"{self.path}/stats")
+
+    def of(self, terms: Sequence[str]) -> DataFrame:
+        """The postings of some terms; buckets are worked out by Spark once, so that only their folders are listed."""
+        wanted = self.spark.range(1).select(F.explode(F.array(*(F.lit(t) for t in terms))).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(self.BUCKETS)).cast("int"))
+        return self.terms().where(F.col("bucket").isin(sorted({r[0] for r in wanted.collect()})) & F.col("term").isin(*terms))
+
+    def replace(self, points: DataFrame, text_col: str = "text") -> DataFrame:
+        """All postings after these points (point_id and text) have taken the place of their former versions; for write()."""
+        kept = self.terms().drop("bucket").join(points.select("point_id").distinct(), "point_id", "left_anti")
+        return kept.unionByName(postings(points.where(F.col(text_col).isNotNull()), text_col=text_col).select(kept.columns))
+
+
+def bm25_scores(index: Index, terms: Sequence[str]) -> DataFrame:
+    """(point_id, matched, bm25) of the points with any of a few terms; more is better."""
+    own = index.of(terms)
+    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    met = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.stats()))  # as many rows as terms, and one
+    part = scores.bm25_term(scores.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("mean_len"))
+    # summed in the order of the terms, so that the last digit does not depend on partitions
+    order = F.array(*(F.lit(t) for t in terms))
+    parts = F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("term")).alias("i"), part.alias("x"))))
+    total = F.aggregate(parts, F.lit(0.0), lambda done, x: done + x["x"])
+    return met.groupBy("point_id").agg(F.count(F.lit(1)).cast("int").alias("matched"), F.round(total, 9).alias("bm25"))
 
 
 def phrase_filter(text: Column, phrase: str) -> Column:
@@ -88,12 +122,12 @@ def query_terms_in_order(question: str) -> list[str]:
     return re.findall(r"\w+", question.lower().translate(table))
 
 
-def keyword_search(points: DataFrame, question: str, k: int, or_fallback: bool = True, id_col: str = "point_id", text_col: str = "text") -> DataFrame:
+def keyword_search(index: Index, question: str, k: int, or_fallback: bool = True) -> DataFrame:
     """The k best points by BM25 that hold all terms; if fewer than k do and more hold any, the list of any."""
     terms = query_terms(question)
+    hits = bm25_scores(index, terms or ["\0"])
     if not terms:
-        return bm25_scores(points, ["\0"], id_col, text_col)
-    hits = bm25_scores(points, terms, id_col, text_col)
+        return hits
     every = F.col("matched") == len(terms)
     if not or_fallback or len(terms) == 1:
         return hits.where(every).orderBy(F.desc("bm25"), "point_id").limit(k)
@@ -106,17 +140,6 @@ def keyword_search(points: DataFrame, question: str, k: int, or_fallback: bool =
     return kept.select("point_id", "matched", "bm25").orderBy(F.desc("bm25"), "point_id").limit(k)
 
 
-def bm25_indexed(index: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """bm25_scores() from stored postings: only the terms' own rows are read for the scores, and one column for the statistics."""
-    docs = index.select("point_id", "doc_len").distinct()
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean_len"))
-    own = index.where(F.col("term").isin(*terms))
-    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    met = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # as many rows as terms, and one
-    part = scores.bm25_term(scores.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("mean_len"))
-    return met.groupBy("point_id").agg(F.count(F.lit(1)).cast("int").alias("matched"), F.round(F.sum(part), 9).alias("bm25"))
-
-
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int) -> DataFrame:
     """Reciprocal rank fusion of (point_id, rank, vscore) and (point_id, rank): point_id, rrf, vscore."""
     both = vector_hits.select("point_id", "rank", F.col("vscore").cast("double")).unionAll(keyword_hits.select("point_id", "rank", F.lit(None).cast("double")))
@@ -141,15 +164,15 @@ def pooled(hits: DataFrame, k: int) -> DataFrame:
     return both.orderBy(F.desc("doc_score"), "first_rank", "nth").limit(k)
 
 
-def retrieve(points: DataFrame, question: str, query_vector: Sequence[float] | Column, as_of: Column, k: int = 6) -> DataFrame:
-    """The whole chain over points (point_id, source, title, chunk_index, created_at, text, injection_risk, embedding).
+def retrieve(points: DataFrame, index: Index, question: str, query_vector: Sequence[float] | Column, as_of: Column, k: int = 6) -> DataFrame:
+    """The whole chain over points (point_id, source, title, chunk_index, created_at, text, injection_risk, embedding) and their stored index.
 
     Returns point_id, source, rrf, vscore, doc_score, fused_rank and position.
     """
     pool = k * POOL
     near = vector_top_k(points.select("point_id", "created_at", "embedding"), query_vector, pool)
     near = pre_ranked(near, F.col("created_at"), as_of).withColumnRenamed("score", "vscore")
-    words = ranked(keyword_search(points, question, k * 4), [F.desc("bm25"), F.col("point_id")])
+    words = ranked(keyword_search(index, question, k * 4), [F.desc("bm25"), F.col("point_id")])
     fused = ranked(fuse(near, words, pool), [F.desc("raw"), F.col("point_id")], "fused_rank")
     shown = points.select("point_id", "source", "title", "chunk_index", "text", "injection_risk")
     hits = shown.join(F.broadcast(fused), "point_id")  # at most ``pool`` rows
@@ -179,6 +202,28 @@ def extractive_answer(hits: DataFrame) -> DataFrame:
     return hits.agg(F.max_by("point_id", order).alias("point_id"), F.max_by("text", order).alias("text")).select("point_id", verbatim_window(F.col("text")).alias("answer"))
 
 
+def vector_top_k_each(points: DataFrame, asked: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """(query, id, n): the k most similar points of each of a stated set of queries (query, asked), exact.
+
+    Queries meet the points in blocks of both, each pair of blocks in one task; only k rows a query leave a task's window.
+    """
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.withColumns({"qa": deal("query", 8), "pa": F.explode(F.sequence(F.lit(0), F.lit(7)))})
+    right = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).withColumns({"pa": deal(F.col(id_col), 8), "qa": F.explode(F.sequence(F.lit(0), F.lit(7)))})
+    scored = left.join(right, ["qa", "pa"]).select("query", "id", F.round(scores.cosine(F.col("vec"), F.col("asked")), 9).alias("score")).where("score is not null")
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("n", nth).where(F.col("n") <= k).select("query", "id", "n")
+
+
+def gate(hits: DataFrame, markers: Sequence[str], date: Column, top: int = 3) -> DataFrame:
+    """One row: whether a marker stands in one of the ``top`` first passages, whether all hits have a breadcrumb, and both."""
+    found = F.col("position") < top
+    marked = F.greatest(*(F.contains(F.lower("text"), F.lit(m.lower())) for m in markers), F.lit(False))
+    crumb = (F.coalesce("source", F.lit("")) != "") & (F.coalesce(date, F.lit("")) != "")
+    out = hits.agg(F.coalesce(F.max(found & marked), F.lit(False)).alias("marker_in_top"), F.coalesce(F.min(crumb), F.lit(False)).alias("breadcrumb"))
+    return out.withColumn("passed", F.col("marker_in_top") & F.col("breadcrumb"))
+
+
 def top_k_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """(query, overlap): share of the k ids (query, id) that two result lists have in common."""
     both = a.select("query", "id").distinct().join(b.select("query", "id").distinct(), ["query", "id"]).groupBy("query").agg(F.count(F.lit(1)).alias("n"))

@@ -21,9 +21,9 @@ class AgentSpec:
     focus: str = ""
 
 
-def evidence(points: DataFrame, question: str, query_vector: Sequence[float] | Column, as_of: Column, spec: AgentSpec = AgentSpec()) -> DataFrame:
+def evidence(points: DataFrame, index: retrieval.Index, question: str, query_vector: Sequence[float] | Column, as_of: Column, spec: AgentSpec = AgentSpec()) -> DataFrame:
     """The hits for a question; a focus adds its terms to the search only."""
-    return retrieval.retrieve(points, f"{question} {spec.focus}".strip(), query_vector, as_of, spec.k)
+    return retrieval.retrieve(points, index, f"{question} {spec.focus}".strip(), query_vector, as_of, spec.k)
 
 
 def answer(hits: DataFrame, synthesize: Callable[[DataFrame], str | None] | None = None) -> tuple[str, DataFrame]:

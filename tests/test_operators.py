@@ -167,13 +167,31 @@ def _points(spark):
     return spark.createDataFrame(rows, "point_id long, source string, title string, chunk_index int, created_at string, text string, injection_risk boolean, embedding array<float>")
 
 
+def _index(spark):
+    from sparkloom.session import new_folder
+
+    index = retrieval.Index(spark, new_folder(spark, "words"))
+    index.write(retrieval.postings(_points(spark)), _points(spark))
+    return index
+
+
+def test_replaced_postings_and_no_terms(spark):
+    index = _index(spark)
+    before = {tuple(r) for r in index.terms().drop("bucket").collect()}
+    new = spark.createDataFrame([(1, "quite other words words"), (99, "brand new")], "point_id long, text string")
+    after = {tuple(r) for r in index.replace(new).collect()}
+    assert {r for r in after if r[0] not in (1, 99)} == {r for r in before if r[0] != 1}
+    assert {r for r in after if r[0] in (1, 99)} == {(1, "quite", 1, 4), (1, "other", 1, 4), (1, "words", 2, 4), (99, "brand", 1, 2), (99, "new", 1, 2)}
+    assert retrieval.keyword_search(index, "?!", 5).count() == 0
+
+
 def test_retrieve_fuses_and_excludes(spark):
-    hits = retrieval.retrieve(_points(spark), "deploy now", [1.0, 0, 0, 0], F.lit("2024-02-01").cast("timestamp"), 4)
+    hits = retrieval.retrieve(_points(spark), _index(spark), "deploy now", [1.0, 0, 0, 0], F.lit("2024-02-01").cast("timestamp"), 4)
     assert {r["point_id"] for r in hits.collect()} == {1, 2}
 
 
 def test_ask_kinds(spark):
-    hits = retrieval.retrieve(_points(spark), "pricing", [1.0, 0, 0, 0], F.lit("2024-02-01").cast("timestamp"), 2)
+    hits = retrieval.retrieve(_points(spark), _index(spark), "pricing", [1.0, 0, 0, 0], F.lit("2024-02-01").cast("timestamp"), 2)
     assert ask.answer(hits)[0] == "extractive"
     assert ask.answer(hits, lambda h: "Alpha pricing memo.")[0] == "synthesized"
     kind, verdicts = ask.answer(hits, lambda h: "Completely unrelated invention stands here.")
