@@ -1,17 +1,23 @@
 """A training corpus from ``documents``: language ID, near-dedup, substring dedup, mixing, tokens.
 
-Each stage is one operator over all that the stage before it kept.
+Each stage is one operator over all that the stage before it kept. Rows are written to the shared checkpoint folder after
+each stage, and a stage's folder is deleted once no later one reads it.
+
+Defined results: a null or empty text, or one without letters, has no language and goes in the first stage, as do texts in
+which no language has half of the evidence; of rows that share a doc_id each is judged by itself, and near duplicates keep
+the smallest doc_id; null languages and sources are values like others; an empty table gives an empty result; extra
+columns are carried along to the last stage whatever their names, which returns doc_id, lang, source and the tokens.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import langid, minhash, mixing, queries, substring_dedup
 from sparkloom.llm import sentencepiece as pieces
+from sparkloom.llm.arrow import fresh
+from sparkloom.session import new_folder, remove_folder
 
 #: A text is rejected if no letter is found or no language has half of the evidence.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -22,9 +28,10 @@ NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 64, 6
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model is sure of; lang becomes the predicted one."""
-    found = langid.identify(docs, langid.LanguageModel.fit(docs), lang_col="_lang", score_col="_score")
-    kept = found.where(f"_lang <> 'und' and _score >= {LEAST_LANGUAGE_SCORE}").withColumn("lang", F.col("_lang"))
-    return kept.select(docs.columns)
+    lang, score = fresh("found_lang", docs), fresh("found_score", docs)
+    found = langid.identify(docs, langid.LanguageModel.fit(docs), lang_col=lang, score_col=score)
+    kept = found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).withColumn("lang", F.col(lang))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +42,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has."""
     clean = substring_dedup.dedup_substrings(docs)
-    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(docs.columns)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.emit(mixing.mix(docs)).select(docs.columns)
+    return mixing.emit(mixing.mix(docs)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,15 +64,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared checkpoint folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{shared.rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{next(_RUNS)}"
+    base = new_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{base}/{k}-{name}")
+            if k:
+                remove_folder(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
             docs = spark.read.parquet(f"{base}/{k}-{name}")
     return docs
-
-
-_RUNS = iter(range(1 << 30))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import bound_batches, give_back, slices
+from sparkloom.llm.arrow import bound_batches, fresh, give_back, slices
 from sparkloom.llm.shingles import FastSimilaritySketch, fingerprint, mix, seeds, shingle_sets
 from sparkloom.operators.components import connected_components
 from sparkloom.session import cut
@@ -28,6 +28,7 @@ from sparkloom.session import cut
 SHINGLE_WORDS = 5
 BANDS, ROWS = 48, 8
 LEAST_BLOCK, MOST_BLOCK, EVEN_BLOCKS = 64, 512, 32
+BLOCK_HASHES = 1 << 21  # shingles of a block's sets, 16 MB
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -123,24 +124,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     seen = cut(features(docs, id_col, text_col, k, bands, rows))
     full = seen.where("n > 0 and doc is not null")
-    classes = cut(full.groupBy("a", "b").agg(F.min("doc").alias("rep")))
-    reps = full.join(classes, ["a", "b"]).where("doc = rep").select("rep", F.explode("bands").alias("band"))
+    classes = cut(full.groupBy("a", "b").agg(F.min("doc").alias("rep"), F.max("n").alias("size")))
+    reps = full.join(classes.drop("size"), ["a", "b"]).where("doc = rep").select("rep", F.explode("bands").alias("band"))
     pivots = reps.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("far")).where("pivot <> far").drop("far")
     hung = reps.join(pivots, "band").where("rep <> pivot").select(F.col("rep").alias("src"), F.col("pivot").alias("dst"))
     clusters = connected_components(hung.distinct())
 
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    n_blocks = F.least(F.ceil(F.col("m") / LEAST_BLOCK), F.greatest(F.lit(EVEN_BLOCKS), F.ceil(F.col("m") / MOST_BLOCK))).cast("int")
+    sizes = clusters.join(classes.select(F.col("rep").alias("node"), "size"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("hashes"))
+    n_blocks = F.least(F.ceil(F.col("m") / LEAST_BLOCK), F.greatest(F.lit(EVEN_BLOCKS), F.ceil(F.col("m") / MOST_BLOCK)))
+    # long texts make smaller blocks, so that a block's sets stay within BLOCK_HASHES or so whatever the texts' lengths
+    n_blocks = F.greatest(n_blocks, F.least(F.col("m"), F.ceil(F.col("hashes") / BLOCK_HASHES))).cast("int")
     members = (clusters.join(sizes, "component").withColumn("k", n_blocks)
                .select("node", F.col("component").alias("cluster"), "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"))
-               .join(classes.withColumnRenamed("rep", "node"), "node"))
+               .join(classes.select("a", "b", F.col("rep").alias("node")), "node"))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     dealt = (_shingled(texts.join(members, "node"), k).withColumn("other", other)
              .select("cluster", "node", "block", "set", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     linked = connected_components(_verified(dealt, percent))
 
-    component = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
+    component = classes.drop("size").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     out = seen.select("doc", "n", "a", "b").join(component, ["a", "b"], "left")
     group = F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc").isNotNull(), group).alias("component_id"),
@@ -150,5 +153,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
                          bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest doc_id."""
-    gone = near_duplicates(docs, id_col, text_col, percent, bands=bands, rows=rows).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")
+    name = fresh("gone_id", docs)
+    gone = near_duplicates(docs, id_col, text_col, percent, bands=bands, rows=rows).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[f"`{id_col}`"] == gone[name], "left_anti")

@@ -610,3 +610,20 @@ def test_substring_odd_rows(spark):
     assert {r["doc_id"]: r["text"] for r in out}[3] == LONG and {r["doc_id"]: r["text"] for r in out}[4] == ""
     assert all(r["text"] == "dup row" for r in out if r["doc_id"] == 5)
     assert substring_dedup.dedup_substrings(odd(spark).limit(0)).count() == 0
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls, empties, long texts, repeats, an empty table, and columns named as the stages' own."""
+    import corpus_pipeline
+
+    clash = ("found_lang", "found_score", "_lang", "gone_id", "cut_doc", "mix_source", "mix_copy", "copies", "size")
+    table = odd(spark).unionByName(docs(spark, *train_rows(40))).withColumns({c: F.lit(c) for c in clash})
+    for start in (table, table.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, "")
+            assert now.columns == start.columns, name
+            now = spark.createDataFrame(now.collect(), now.schema)
+        tokens = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
+        assert len(tokens) == now.count()
+        assert all(r[c] == c for r in now.collect() for c in clash if c not in ("copies", "size"))
