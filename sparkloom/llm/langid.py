@@ -83,7 +83,7 @@ class LanguageModel:
         share = min(1.0, max_docs / max(1, train.count()))
         sample = train.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
         # the sample is bounded; dealt anew, its counting does not depend on how the table is cut into files
-        dealt = sample.select(lang_col, text_col).repartition(docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64(text_col))
+        dealt = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64(id_col, text_col)).select(lang_col, text_col)
         counts = _counts(dealt).persist()
         try:
             whole = counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).toArrow().to_pylist()
