@@ -286,9 +286,9 @@ def w06_representative(spark, sf_dir):
     return graph.representative_chunks(chunks, 3).select("doc_id", "chunk_index")
 
 
-@query("g02_resolved_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 997 AS a, l_partkey % 991 + 1000 AS b FROM lineitem WHERE l_quantity = 1), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("u02_linked_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 997 AS a, l_partkey % 991 + 1000 AS b FROM lineitem WHERE l_quantity = 1), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON r.node = b.a WHERE r.root < b.b) SELECT node, min(root) AS component FROM r GROUP BY node""")
-def g02_resolved_components(spark, sf_dir):
-    """Transitive identity: pairs that were found equal make one entity under the smallest id."""
+def u02_linked_components(spark, sf_dir):
+    """Components of links between orders and parts, under the smallest id."""
     pairs = table(spark, sf_dir, "lineitem").where("l_quantity = 1").select((F.col("l_orderkey") % 997).alias("src"), (F.col("l_partkey") % 991 + 1000).alias("dst"))
     return connected_components(pairs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.catalog.base import LETTERS_SQL, POINTS_SQL, RECEIPTS_SQL, as_of, points, query, quoted, receipts
 from sparkloom.functions import guard, identity, policy, scores, text
 from sparkloom.operators import chunking, entities, grounding
+from sparkloom.operators.resolve import similar_keys
 from sparkloom.session import table
 
 _EMAIL = guard.PII[0][1]
@@ -162,7 +163,7 @@ def f04_money(spark, sf_dir):
 @query("f07_fuzzy_keys")
 def f07_fuzzy_keys(spark, sf_dir):
     names = table(spark, sf_dir, "customer").select(F.lit("org").alias("type"), F.regexp_replace(F.lower("c_name"), "#0+", " ").alias("canonical_key"))
-    return entities.typed_by_similarity(names, window=1)
+    return similar_keys(names)
 
 
 @query("f24_gazetteer", rf"WITH {LETTERS_SQL} SELECT doc_id, len(regexp_extract_all(text, '\b(The|Than|There)\b'))::INT AS hits FROM letter_docs")

@@ -292,3 +292,9 @@ def shown_labels(edges: DataFrame, per_predicate: int = 2, most: int = 8) -> Dat
     """The edges that get a label: the heaviest of each predicate, few in all."""
     nth = F.row_number().over(Window.partitionBy("predicate").orderBy(F.desc("weight"), "src_id", "dst_id"))
     return edges.withColumn("nth", nth).where(F.col("nth") <= per_predicate).orderBy(F.desc("weight"), "predicate", "src_id", "dst_id").limit(most)
+
+
+def find_labels(entities: DataFrame, text: str, least: int = 2) -> DataFrame:
+    """Entities whose label holds a text, whatever its case; none for a text of fewer than ``least`` characters."""
+    wanted = text.strip().lower()
+    return entities.where(F.contains(F.lower("label"), F.lit(wanted)) if len(wanted) >= least else F.lit(False))

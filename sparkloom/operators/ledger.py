@@ -149,3 +149,21 @@ def decided(approvals: DataFrame, decisions: DataFrame) -> DataFrame:
     takes = (F.col("status") == "pending") & F.col("decision").isin("approved", "rejected")
     return out.select("id", F.when(takes, F.col("decision")).otherwise(F.col("status")).alias("status"), F.when(takes, F.col("at")).alias("resolved_at"),
                       (F.coalesce("n", F.lit(0)) - F.when(takes, 1).otherwise(0)).alias("refused"))
+
+
+def stored_chunks(points: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, text, nth) of stored points (point_id, doc_id, chunk_id, text), numbered within their document; files are not read again."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("point_id")) - 1
+    return points.select("doc_id", F.coalesce("chunk_id", F.col("point_id").cast("string")).alias("chunk_id"), "text", nth.alias("nth"))
+
+
+def valid_specs(specs: DataFrame) -> DataFrame:
+    """Specs that a validator has passed; all others are hidden."""
+    return specs.where(F.col("validator_pass") == 1)
+
+
+def artifact_states(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, state, n): error where a folder (id, error) could not be read, else empty or loaded by its files (id)."""
+    counts = files.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return folders.join(counts, "id", "left").select("id", F.when(F.col("error").isNotNull(), "error").when(n == 0, "empty").otherwise("loaded").alias("state"), n.alias("n"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import guard, identity, policy, scores, text
-from sparkloom.operators import chunking, entities, graph, grounding, ledger, retrieval
+from sparkloom.operators import chunking, entities, graph, grounding, ledger, resolve, retrieval
 from sparkloom.operators.components import connected_components
 from sparkloom.plans import ask
 
@@ -137,7 +137,7 @@ def test_names_need_recurrence_and_no_junk(spark):
 
 def test_fuzzy_keys(spark):
     keys = spark.createDataFrame([("org", "blueleafcorp"), ("org", "blueleafcor"), ("lock", "l23"), ("lock", "l28")], "type string, canonical_key string")
-    assert [(r["a"], r["b"]) for r in entities.typed_by_similarity(keys).collect()] == [("blueleafcor", "blueleafcorp")]
+    assert [(r["a"], r["b"]) for r in resolve.similar_keys(keys).collect()] == [("blueleafcor", "blueleafcorp")]
 
 
 def test_components(spark):
@@ -227,3 +227,68 @@ def test_first_decision_counts(spark):
     made = spark.createDataFrame([(1, "rejected", 1), (1, "approved", 2), (2, "rejected", 1)], "id long, decision string, at long")
     got = {r["id"]: (r["status"], r["refused"]) for r in ledger.decided(approvals, made).collect()}
     assert got == {1: ("rejected", 1), 2: ("approved", 1), 3: ("pending", 0)}
+
+
+def test_resolution_against_brute_force(spark):
+    """Similar keys found over rare grams are all pairs of the ratio; entities are the components of spellings and best matches."""
+    import random
+    from difflib import SequenceMatcher
+
+    from sparkloom.operators import resolve
+
+    rng, keys = random.Random(3), set()
+    bases = ["kestrel systems limited", "kestrel holdings limited", "northwind traders", "aurora", "aurora labs incorporated company", "zephyr analytics group international", "abcabcabcabcabcabcabc"]
+    for _ in range(150):
+        k = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(1, len(k))
+            k[i : i + rng.randint(0, 1)] = rng.choice(["x", "", "e", "a"])
+        keys.add((rng.choice(["org", "product"]), "".join(k).strip()))
+    rows = [(i, t, k, f"spelling {i % 40}" if i % 3 == 0 else None) for i, (t, k) in enumerate(sorted(keys))] + [(900, None, "x", "y"), (901, "org", None, "y"), (902, "org", "tiny", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, type string, canonical_key string, alias_key string")
+    alike = {}
+    for t, a in keys:
+        for u, b in keys:
+            if t == u and a < b and a[0] == b[0] and abs(len(a) - len(b)) <= 2 and min(len(a), len(b)) >= 6 and SequenceMatcher(None, a, b).ratio() >= 0.92:
+                alike[t, a, b] = SequenceMatcher(None, a, b).ratio()
+    assert {(r["type"], r["a"], r["b"]): r["ratio"] for r in resolve.similar_keys(frame).collect()} == alike and alike
+    links = set()
+    for t, k in keys:
+        near = [(-r, b if a == k else a) for (u, a, b), r in alike.items() if u == t and k in (a, b)]
+        if near:
+            links.add((t, k, min(near)[1]))
+    for _, t, k, s in rows:
+        links |= {(t, k, other) for _, u, other, z in rows if s and z == s and u == t and None not in (t, k, other)}
+    root = {(t, k): (t, k) for _, t, k, _ in rows if t and k}
+    for _ in range(len(root)):
+        for t, a, b in links:
+            root[t, a] = root[t, b] = min(root[t, a], root[t, b])
+    got = {(r["type"], r["canonical_key"]): r["entity_key"] for r in resolve.resolve(frame).collect()}
+    groups = {}
+    for node, r in root.items():
+        groups.setdefault(r, []).append(node[1])
+    assert got == {(r[0], k): min(ks) for r, ks in groups.items() for k in ks}
+    assert resolve.resolve(frame.limit(0)).count() == 0
+
+
+def test_sources_of_a_workspace_replace_the_common_ones():
+    from sparkloom.sources import files
+
+    config = {"sources": [{"root": "/private", "glob": "*"}], "deny_names": ["a"], "workspaces": {"client": {"sources": [], "deny_names": ["b"]}, "own": {"sources": [{"root": "/own", "glob": "*.md"}]}}}
+    assert files.active_sources(config, "client") == ([], {"a", "b"})
+    assert files.active_sources(config, "own") == ([("/own", "*.md")], {"a"}) and files.active_sources(config, "other") == ([("/private", "*")], {"a"})
+
+
+def test_globs_stay_within_their_folder(spark, tmp_path):
+    from sparkloom.sources import files
+
+    for name in ("a.md", "b.txt", "sub/c.md", "notes/d.md", "notes/deep/e.md"):
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(name)
+    (tmp_path / "large.md").write_text("x" * (files.MOST_BYTES + 1))
+    names = lambda *globs: {r["path"].rpartition(tmp_path.name + "/")[2] for r in files.read_files(spark, [(str(tmp_path), g) for g in globs]).select("path").collect()}
+    assert names("*.md") == {"a.md", "large.md"} and names("notes/*.md") == {"notes/d.md"} and names("*/*.md", "b.txt") == {"sub/c.md", "notes/d.md", "b.txt"}
+    assert names("**/*.md") == {"a.md", "large.md", "sub/c.md", "notes/d.md", "notes/deep/e.md"} and names("none/*.md") == set()
+    read, skipped = files.accepted(files.read_files(spark, [(str(tmp_path), "*.md")]))
+    assert [r["text"] for r in read.collect()] == ["a.md"] and [r["reason"] for r in skipped.collect()] == ["too large"]
