@@ -2,11 +2,13 @@
 
 1. Each text becomes its set of word shingles, a fingerprint of that set, and a sketch of ``bands * rows`` coordinates.
 2. Equal sets are one class from here on, under its smallest doc_id; copies are never compared.
-3. Classes that agree on a band hang on the band's smallest class (n - 1 links, not all pairs); the components of
-   these unverified links are clusters. A pair at the threshold shares no band with a probability of about 2e-7.
-4. Clusters are verified exactly inside tasks: members are dealt to blocks, each pair of blocks meets in one task, an
-   inverted list of one block's shingles counts the intersections, and a spanning forest of the true links is returned.
-5. The components of the true links are the result.
+3. Classes that agree on a band are held against the band's smallest one (n - 1 pairs, not all pairs): sorted by it,
+   they stream past its set, so a hot band is spread over tasks and no group is ever held. A pair at the threshold
+   shares no band with a probability of about 2e-7.
+4. What the true links leave apart within a band is compared exactly too: all but the band's largest component, in
+   blocks, with the whole band. So the work beyond step 3 grows with the classes that are *not* linked, not with the
+   square of a cluster of near copies. An inverted list of one block's shingles counts the intersections.
+5. The components of all true links are the result.
 
 Defined results: a text without words, or null, has an empty set, is linked with nothing and stays; rows that share a
 doc_id are one document (each row is reported; their links join); a row without doc_id is reported without component
@@ -17,17 +19,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import bound_batches, fresh, give_back, slices
-from sparkloom.llm.shingles import FastSimilaritySketch, fingerprint, mix, seeds, shingle_sets
+from sparkloom.llm.shingles import FastSimilaritySketch, fingerprint, mix, overlap, seeds, shingle_sets
 from sparkloom.operators.components import connected_components
 from sparkloom.session import cut
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 48, 8
-LEAST_BLOCK, MOST_BLOCK, EVEN_BLOCKS = 64, 512, 32
+BLOCK = 512  # sets in a block, or in one task's share of a band
 BLOCK_HASHES = 1 << 21  # shingles of a block's sets, 16 MB
 
 
@@ -54,18 +56,48 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def _shingled(members: DataFrame, k: int) -> DataFrame:
-    """(cluster, node, k, block, set) of members with text, without rows of another text under the same id."""
+    """(node, tags, set) of members (node, tags, a, b, text), without rows of another text under the same id."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 sets = list(shingle_sets(part.column("text"), k))
                 same = pa.array([fingerprint(s) == (a, b) for s, a, b in zip(sets, part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)], pa.bool_())
-                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "node", "k", "block")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "node", "k", "block", "set"])
+                out = pa.RecordBatch.from_arrays([part.column("node"), part.column("tags"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tags", "set"])
                 yield out.filter(same)
         give_back()
 
-    return members.select("cluster", "node", "k", "block", "a", "b", "text").mapInArrow(run, "cluster long, node long, k int, block int, set binary")
+    tags = members.schema["tags"].dataType.simpleString()
+    return members.select("node", "tags", "a", "b", "text").mapInArrow(run, f"node long, tags {tags}, set binary")
+
+
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    shared = overlap(a, b)
+    return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _held_against_pivots(dealt: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): true links of members and the pivot of their star; dealt: star, part, leads, node, set."""
+
+    def run(batches):
+        at, pivots = None, []
+        for batch in batches:
+            for rows in slices(batch):
+                src, dst = [], []
+                for star, part, leads, node, raw in zip(*(rows.column(c).to_pylist() for c in ("star", "part", "leads", "node", "set")), strict=True):
+                    values = np.frombuffer(raw, np.uint64)
+                    if (star, part) != at:
+                        at, pivots = (star, part), []
+                    if leads:
+                        pivots.append(values)
+                    elif any(_near(values, x, percent) for x in pivots):
+                        src.append(node)
+                        dst.append(star)
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+        give_back()
+
+    ordered = dealt.select("star", "part", "leads", "node", "set").repartition("star", "part").sortWithinPartitions("star", "part", F.desc("leads"))
+    return ordered.mapInArrow(run, "src long, dst long")
 
 
 def true_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
@@ -116,7 +148,48 @@ def _verified(dealt: DataFrame, percent: int) -> DataFrame:
         src, dst = zip(*found, strict=True) if found else ((), ())
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "src long, dst long")
+    return dealt.groupBy("band", "i", "j").applyInArrow(run, "src long, dst long")
+
+
+def _blocks(rows: str, hashes: str) -> Column:
+    """Long texts make smaller blocks, so that a block's sets stay within BLOCK_HASHES or so whatever the texts' lengths."""
+    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(hashes) / BLOCK_HASHES)).cast("int")
+
+
+def _stars(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(node, tags, parts): the stars, each with a part, that a node is held against, and into how many parts its own is dealt."""
+    of = lambda name: sizes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"))
+    pairs = met.where("node <> star").select("node", "star").distinct().join(of("node"), "node").join(of("star"), "star")
+    # sets of too different sizes cannot be near
+    pairs = pairs.where(100 * F.least("size_node", "size_star") >= percent * F.greatest("size_node", "size_star")).groupBy("node", "star").agg(F.max("size_node").alias("size"))
+    parts = pairs.groupBy("star").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes")).select("star", _blocks("n", "hashes").alias("parts"))
+    members = pairs.join(parts, "star").select("node", F.struct("star", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")).alias("tag"))
+    tags = members.groupBy("node").agg(F.collect_list("tag").alias("list"))  # one a band at most
+    both = tags.join(parts.withColumnRenamed("star", "node"), "node", "full_outer")
+    return both.select("node", F.struct(F.coalesce("list", F.array().cast("array<struct<star:bigint,part:int>>")).alias("list"), F.coalesce("parts", F.lit(0)).alias("parts")).alias("tags"))
+
+
+def _apart(met: DataFrame, components: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, tags): for each band that holds several components, the blocks in which a node is compared.
+
+    Blocks 0 to low - 1 hold all components but the largest; they meet each other and the largest one's blocks.
+    """
+    size = sizes.groupBy("node").agg(F.max("size").alias("size"))
+    rows = met.select("band", "node").join(components, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")).join(size, "node")
+    mark = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")
+    parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"), mark)
+    bands = parts.groupBy("band").agg(F.count(F.lit(1)).alias("components"), F.sum("n").alias("all_n"), F.sum("hashes").alias("all_hashes"), F.sum("mark").alias("mark"),
+                                      F.max_by(F.struct("component", "n", "hashes"), F.struct("n", F.col("component"))).alias("most"))
+    # a band of two is the pair that its star has decided; bands of the same nodes are compared once
+    bands = bands.where("components > 1 and all_n > 2")
+    once = bands.groupBy("mark", "all_n").agg(F.min_by(F.struct("band", "all_hashes", "most"), "band").alias("b"))
+    dealt = once.select("b.band", F.col("b.most.component").alias("largest"), F.col("b.most.n").alias("high_n"), F.col("b.most.hashes").alias("high_hashes"),
+                        (F.col("all_n") - F.col("b.most.n")).alias("low_n"), (F.col("b.all_hashes") - F.col("b.most.hashes")).alias("low_hashes"))
+    dealt = dealt.select("band", "largest", _blocks("low_n", "low_hashes").alias("low"), _blocks("high_n", "high_hashes").alias("high"))
+    low = F.col("component") != F.col("largest")
+    to = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    tag = F.struct("band", F.when(low, to("low")).otherwise(F.col("low") + to("high")).alias("block"), F.when(low, F.col("low") + F.col("high")).otherwise(F.col("low")).alias("meets"))
+    return rows.join(dealt, "band").select("node", tag.alias("tag")).groupBy("node").agg(F.collect_list("tag").alias("tags"))  # one a band at most
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
@@ -126,22 +199,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = seen.where("n > 0 and doc is not null")
     classes = cut(full.groupBy("a", "b").agg(F.min("doc").alias("rep"), F.max("n").alias("size")))
     reps = full.join(classes.drop("size"), ["a", "b"]).where("doc = rep").select("rep", F.explode("bands").alias("band"))
-    pivots = reps.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("far")).where("pivot <> far").drop("far")
-    hung = reps.join(pivots, "band").where("rep <> pivot").select(F.col("rep").alias("src"), F.col("pivot").alias("dst"))
-    clusters = connected_components(hung.distinct())
-
-    sizes = clusters.join(classes.select(F.col("rep").alias("node"), "size"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("hashes"))
-    n_blocks = F.least(F.ceil(F.col("m") / LEAST_BLOCK), F.greatest(F.lit(EVEN_BLOCKS), F.ceil(F.col("m") / MOST_BLOCK)))
-    # long texts make smaller blocks, so that a block's sets stay within BLOCK_HASHES or so whatever the texts' lengths
-    n_blocks = F.greatest(n_blocks, F.least(F.col("m"), F.ceil(F.col("hashes") / BLOCK_HASHES))).cast("int")
-    members = (clusters.join(sizes, "component").withColumn("k", n_blocks)
-               .select("node", F.col("component").alias("cluster"), "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"))
-               .join(classes.select("a", "b", F.col("rep").alias("node")), "node"))
+    pivots = reps.groupBy("band").agg(F.min("rep").alias("star"), F.max("rep").alias("far")).where("star <> far").drop("far")
+    met = cut(reps.join(pivots, "band").select("band", F.col("rep").alias("node"), "star").distinct())
+    sizes = classes.select(F.col("rep").alias("node"), "size")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    dealt = (_shingled(texts.join(members, "node"), k).withColumn("other", other)
-             .select("cluster", "node", "block", "set", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    linked = connected_components(_verified(dealt, percent))
+
+    def sets(tagged: DataFrame) -> DataFrame:
+        return _shingled(texts.join(tagged.join(classes.select("a", "b", F.col("rep").alias("node")), "node"), "node"), k)
+
+    own = F.transform(F.sequence(F.lit(0), F.col("tags.parts") - 1), lambda i: F.struct(F.col("node").alias("star"), i.cast("int").alias("part"), F.lit(True).alias("leads")))
+    held = F.transform("tags.list", lambda x: F.struct(x["star"].alias("star"), x["part"].alias("part"), F.lit(False).alias("leads")))
+    places = F.when(F.col("tags.parts") > 0, F.concat(held, own)).otherwise(held)
+    starred = sets(_stars(met, sizes, percent)).select("node", "set", F.explode(places).alias("p")).select("node", "set", "p.*")
+    near = connected_components(_held_against_pivots(starred, percent))
+
+    tagged = sets(_apart(met, near, sizes)).select("node", "set", F.explode("tags").alias("t")).select("node", "set", "t.*")
+    dealt = (tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+             .select("band", "node", "block", "set", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    linked = connected_components(near.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(_verified(dealt, percent)))
 
     component = classes.drop("size").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     out = seen.select("doc", "n", "a", "b").join(component, ["a", "b"], "left")

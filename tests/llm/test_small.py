@@ -206,6 +206,27 @@ def test_near_duplicates_hot_group_is_split(spark):
     assert got == {0}
 
 
+def test_near_duplicates_of_one_text_are_held_against_pivots_only(spark, monkeypatch):
+    """Near copies meet the pivots of their bands; only what these leave apart is compared in blocks."""
+    dealt, verified = [], minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda df, percent: dealt.append(df.count()) or verified(df, percent))
+    base = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join(base[:k] + [f"edit{k}"] + base[k + 1 :])) for k in range(300)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0} and dealt == [0]
+
+
+def test_near_duplicates_links_that_pivots_miss(spark, monkeypatch):
+    """A text near a band's member, not near its pivot, with blocks and parts of a few sets."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rows = []
+    for g in range(4):
+        words = [f"g{g}w{i}" for i in range(260)]
+        rows += [(1000 * g + (37 * k) % 60, " ".join(words[k : k + 200])) for k in range(0, 60, 3 + g)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows)
+
+
 def test_pipeline_drops_pairs_from_four_fifths_on(spark):
     """Pairs of 5-shingle sets between 0.80 and 0.85 are one document in the pipeline, and pairs below 0.80 are two."""
     import corpus_pipeline
