@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from sparkloom.catalog import graph_queries, ledger_queries, more_queries, resolution_queries, retrieval_queries, text_queries  # noqa: F401  they register themselves
+    from sparkloom.catalog import chain_queries, graph_queries, ledger_queries, more_queries, resolution_queries, retrieval_queries, text_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

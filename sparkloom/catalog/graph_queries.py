@@ -189,16 +189,23 @@ def a17_split_keys(spark, sf_dir):
     return graph.split_keys(_parts(spark, sf_dir)[0])
 
 
-@query("g06_merge_plan", f"""WITH {_PEOPLE}, docs AS (SELECT DISTINCT (('0x' || substr(sha256(p_name || '|' || CASE p_type WHEN 'PROMO' THEN 'person' WHEN 'LARGE' THEN 'product' WHEN 'ECONOMY' THEN 'org' ELSE 'marker' END), 1, 16))::UBIGINT >> 1)::BIGINT AS id, p_brand AS doc FROM part),
+_PLAN = f"""{_PEOPLE}, docs AS (SELECT DISTINCT (('0x' || substr(sha256(p_name || '|' || CASE p_type WHEN 'PROMO' THEN 'person' WHEN 'LARGE' THEN 'product' WHEN 'ECONOMY' THEN 'org' ELSE 'marker' END), 1, 16))::UBIGINT >> 1)::BIGINT AS id, p_brand AS doc FROM part),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY CASE WHEN type = 'marker' AND confidence >= 0.9 THEN 4 WHEN type = 'marker' THEN 0 WHEN type = 'org' THEN 2 ELSE 3 END DESC,
-  (confidence >= 0.9)::INT DESC, mention_count DESC, confidence DESC, CASE type WHEN 'product' THEN 4 WHEN 'person' THEN 3 ELSE 0 END DESC, id) AS r, count(*) OVER (PARTITION BY canonical_key) AS k FROM nodes)
-SELECT l.id AS loser_id, w.id AS winner_id, l.type AS loser_type, w.type AS winner_type, (l.type <> 'marker' AND w.type <> 'marker' AND l.mention_count >= 3 AND w.mention_count >= 3
-  AND NOT EXISTS (SELECT 1 FROM docs a JOIN docs b ON a.doc = b.doc WHERE a.id = l.id AND b.id = w.id)) AS blocked FROM ranked l JOIN ranked w ON l.canonical_key = w.canonical_key AND w.r = 1 WHERE l.r > 1""")
+  (confidence >= 0.9)::INT DESC, mention_count DESC, confidence DESC, CASE type WHEN 'product' THEN 4 WHEN 'person' THEN 3 ELSE 0 END DESC, id) AS r, count(*) OVER (PARTITION BY canonical_key) AS k FROM nodes),
+plan AS (SELECT l.id AS loser_id, w.id AS winner_id, l.type AS loser_type, w.type AS winner_type, (l.type <> 'marker' AND w.type <> 'marker' AND l.mention_count >= 3 AND w.mention_count >= 3
+  AND NOT EXISTS (SELECT 1 FROM docs a JOIN docs b ON a.doc = b.doc WHERE a.id = l.id AND b.id = w.id)) AS blocked FROM ranked l JOIN ranked w ON l.canonical_key = w.canonical_key AND w.r = 1 WHERE l.r > 1),
+moves AS (SELECT loser_id, winner_id FROM plan WHERE NOT blocked)"""
+
+
+@query("g06_merge_plan", f"WITH {_PLAN} SELECT * FROM plan")
 def g06_merge_plan(spark, sf_dir):
     return graph.merge_plan(*_parts(spark, sf_dir))
 
 
-@query("g05_folded")
+@query("g05_folded", f"""WITH {_PLAN}, m AS (SELECT DISTINCT coalesce(winner_id, id) AS id, doc FROM docs LEFT JOIN moves ON id = loser_id)
+SELECT n.id, n.canonical_key, n.type, greatest(n.confidence, coalesce(l.c, 0))::DOUBLE AS confidence, coalesce(k.m, 0) AS mention_count FROM nodes n
+LEFT JOIN (SELECT winner_id, max(confidence) AS c FROM moves JOIN nodes ON id = loser_id GROUP BY winner_id) l ON l.winner_id = n.id LEFT JOIN (SELECT id, count(*) AS m FROM m GROUP BY id) k ON k.id = n.id
+WHERE n.id NOT IN (SELECT loser_id FROM moves)""")
 def g05_folded(spark, sf_dir):
     nodes, mentions = _parts(spark, sf_dir)
     none = spark.createDataFrame([], "src_id long, dst_id long, predicate string, confidence double, weight double, doc_id string, chunk_id string, extractor string, asserted_at timestamp")

@@ -293,9 +293,7 @@ seen AS (SELECT conv_id, turn AS chunk, list_distinct(regexp_extract_all(lower(t
 best AS (SELECT c.conv_id, c.turn, c.part, any_value(c.w) AS w, max(CASE WHEN len(c.w) > 0 THEN len(list_intersect(c.w, s.s)) / len(c.w) END) AS share FROM claim_words c LEFT JOIN seen s ON c.conv_id = s.conv_id GROUP BY c.conv_id, c.turn, c.part)"""
 
 
-@query("v01_grounding", rf"""WITH {_GROUND_SQL}
-SELECT conv_id, turn, part AS claim, round(coalesce(share, 0), 6) AS overlap, (len(w) = 0 OR regexp_matches(part, {quoted(text.HEDGE)}) OR coalesce(share, 0) >= 0.6) AS grounded FROM best""")
-def v01_grounding(spark, sf_dir):
+def judged_answers(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     answers = turns.where("role = 'assistant'")
     made = grounding.claims(answers.withColumn("run", F.struct("conv_id", "turn")), "run", "text").select("run", "run.*", "sentence_index", "claim")
@@ -303,6 +301,12 @@ def v01_grounding(spark, sf_dir):
     return judged.select("conv_id", F.col("sentence_index.turn").alias("turn"), "claim", "overlap", "grounded").distinct()
 
 
+@query("v01_grounding", rf"""WITH {_GROUND_SQL}
+SELECT conv_id, turn, part AS claim, round(coalesce(share, 0), 6) AS overlap, (len(w) = 0 OR regexp_matches(part, {quoted(text.HEDGE)}) OR coalesce(share, 0) >= 0.6) AS grounded FROM best""")
+def v01_grounding(spark, sf_dir):
+    return judged_answers(spark, sf_dir)
+
+
 @query("v04_receipts", f"""WITH {RECEIPTS_SQL}, hits AS (SELECT vec_id, embedding[1]::DOUBLE AS vscore FROM embeddings WHERE vec_id % 3 <> 0)
 SELECT r.id, h.vscore IS NOT NULL AS supported, round(CASE WHEN h.vec_id IS NULL THEN 0.0 ELSE greatest(0, least(1, h.vscore)) END, 6) AS confidence,
   CASE WHEN (CASE WHEN h.vec_id IS NULL THEN 0.0 ELSE greatest(0, least(1, h.vscore)) END) >= 0.66 THEN 'high' WHEN (CASE WHEN h.vec_id IS NULL THEN 0.0 ELSE greatest(0, least(1, h.vscore)) END) >= 0.33 THEN 'medium' ELSE 'low' END AS confidence_band,

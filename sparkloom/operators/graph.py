@@ -220,6 +220,13 @@ def folded(entities: DataFrame, edges: DataFrame, mentions: DataFrame, plan: Dat
     return new_entities, new_edges, new_mentions
 
 
+def folded_aliases(aliases: DataFrame, plan: DataFrame) -> DataFrame:
+    """Aliases (entity_id, alias, alias_key) after the merges that are not blocked; of one key's spellings the smallest stays."""
+    moves = plan.where("not blocked").select(F.col("loser_id").alias("entity_id"), "winner_id")
+    moved = aliases.join(moves, "entity_id", "left").withColumn("entity_id", F.coalesce("winner_id", "entity_id"))
+    return moved.groupBy("entity_id", "alias_key").agg(F.min("alias").alias("alias")).select("entity_id", "alias", "alias_key")
+
+
 def forgotten(entities: DataFrame, edges: DataFrame, mentions: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tables without some documents (doc_id), and without entities that nothing mentions any more."""
     gone = docs.select("doc_id").distinct()
@@ -267,6 +274,18 @@ def grounded_triples(triples: DataFrame, docs: DataFrame, most: int = 24) -> Dat
     return met.select("doc_id", "subject", "subject_type", "predicate", "object", "object_type", "confidence")
 
 
+def persisted_triples(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges of grounded triples; a label without a key drops its triple, not its document."""
+    end = lambda label, type_: F.struct(ascii_key(F.col(label)).alias("canonical_key"), F.col(type_).alias("type"), F.trim(label).alias("label"))
+    keyed = triples.select(F.col("doc_id").cast("string").alias("doc_id"), "predicate", "confidence", end("subject", "subject_type").alias("s"), end("object", "object_type").alias("o"))
+    keyed = keyed.where("s.canonical_key <> '' and o.canonical_key <> ''")
+    entities = entities_from_mentions(keyed.select("doc_id", "confidence", F.explode(F.array("s", "o")).alias("e")).select("doc_id", "confidence", "e.*"))
+    node = lambda e: scores.point_id(F.concat_ws("|", f"{e}.canonical_key", f"{e}.type"))
+    edges = keyed.select(node("s").alias("src_id"), node("o").alias("dst_id"), "predicate", "doc_id", "confidence", F.lit(1.0).alias("weight"), F.lit("llm").alias("extractor"),
+                         F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("timestamp").alias("asserted_at"))
+    return entities, asserted(edges)
+
+
 def representative_chunks(chunks: DataFrame, k: int, least_chars: int = 120) -> DataFrame:
     """Of each document the k chunks (doc_id, chunk_index, text) that are long enough and name most, in document order."""
     from sparkloom.operators.entities import CANDIDATE

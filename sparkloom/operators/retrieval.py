@@ -140,6 +140,21 @@ def keyword_search(index: Index, question: str, k: int, or_fallback: bool = True
     return kept.select("point_id", "matched", "bm25").orderBy(F.desc("bm25"), "point_id").limit(k)
 
 
+def keyword_search_each(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """(query, point_id, bm25, n): the k best points by BM25, with any of its words, for each of many questions (query, text).
+
+    Questions meet the stored postings on their words; only words of questions are read into the join.
+    """
+    words = asked.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    own = index.terms().drop("bucket").join(words.select("term").distinct(), "term", "left_semi")
+    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    met = words.join(df, "term").join(own, "term").crossJoin(F.broadcast(index.stats()))  # one row
+    part = scores.bm25_term(scores.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("mean_len"))
+    summed = met.groupBy("query", "point_id").agg(F.sum(F.round(part, 9).cast("decimal(18,9)")).cast("double").alias("bm25"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bm25"), "point_id"))
+    return summed.withColumn("n", nth).where(F.col("n") <= k)
+
+
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int) -> DataFrame:
     """Reciprocal rank fusion of (point_id, rank, vscore) and (point_id, rank): point_id, rrf, vscore."""
     both = vector_hits.select("point_id", "rank", F.col("vscore").cast("double")).unionAll(keyword_hits.select("point_id", "rank", F.lit(None).cast("double")))

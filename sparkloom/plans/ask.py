@@ -26,25 +26,44 @@ def evidence(points: DataFrame, index: retrieval.Index, question: str, query_vec
     return retrieval.retrieve(points, index, f"{question} {spec.focus}".strip(), query_vector, as_of, spec.k)
 
 
-def answer(hits: DataFrame, synthesize: Callable[[DataFrame], str | None] | None = None) -> tuple[str, DataFrame]:
-    """(answer_kind, verdicts): the written answer if all its claims are borne out by the hits, with one retry, else the extractive one.
+class ModelOffline(Exception):
+    """What a model callable raises if its model cannot be reached."""
 
-    verdicts: sentence_index, claim, overlap, grounded, chunk_id. Only k hits and one answer's claims are looked at.
+
+def answer(hits: DataFrame, synthesize: Callable[[DataFrame], str | None] | None = None, judge: Callable[[str, DataFrame], DataFrame | None] | None = None, egress: bool = True,
+           revise: Callable[[DataFrame, list[str]], str | None] | None = None) -> tuple[str, DataFrame]:
+    """(answer_kind, verdicts): the written answer if all its claims are borne out by the hits, else the extractive one.
+
+    verdicts: sentence_index, claim, overlap, grounded, chunk_id. synthesize(hits) writes, then revise(hits, the claims
+    that failed) if it is given, or synthesize(hits) once more; judge(text, hits) gives its verdicts or None if it is offline; without a judge
+    claims are checked by their words. egress: whether the hits may leave for the writing model. Only k hits and one answer's
+    claims are looked at.
     """
     spark = hits.sparkSession
     hits = hits.withColumn("run", F.lit(0)).cache()
     try:
         if hits.isEmpty():
             return "empty", spark.createDataFrame([], "run int, sentence_index int, claim string, overlap double, grounded boolean, chunk_id long")
-        for _ in range(2 if synthesize else 0):
-            text = synthesize(hits)
+        kind = "extractive" if egress or not synthesize else "egress-blocked"
+        failed: list[str] = []
+        for _ in range(2 if synthesize and egress else 0):
+            kind = "validator-degraded"
+            try:
+                text = revise(hits, failed) if failed and revise else synthesize(hits)
+            except ModelOffline:
+                kind = "executor-offline"
+                break
             if not text:
                 break
-            verdicts = _verdicts(spark.createDataFrame([(0, text)], "run int, answer string"), hits)
-            if not verdicts.where("not grounded").count():
+            verdicts = judge(text, hits) if judge else _verdicts(spark.createDataFrame([(0, text)], "run int, answer string"), hits)
+            if verdicts is None:
+                kind = "unvalidated_offline"
+                break
+            failed = [r["claim"] for r in verdicts.where("not grounded").select("claim").collect()]  # of one answer
+            if not failed:
                 return "synthesized", verdicts
         best = retrieval.extractive_answer(hits).select(F.lit(0).alias("run"), "answer")
-        return "validator-degraded" if synthesize else "extractive", _verdicts(best, hits)
+        return kind, _verdicts(best, hits)
     finally:
         hits.unpersist()
 

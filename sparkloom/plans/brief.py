@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import base_name
@@ -38,6 +38,46 @@ def sentinel(checks: DataFrame) -> DataFrame:
     return head.unionByName(line(checks.where(~F.col("ok")), "sentinel", F.concat(F.lit("FLAG: "), "name", F.lit(" — "), "detail"), F.lit("sentinel")))
 
 
+def _shown(text: Column, most: int) -> Column:
+    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
+
+
+def gates(hits: DataFrame, most: int = 3, limit: int = 12) -> DataFrame:
+    """Of the first hits (source, text, date, position) for open gates, the first of each source."""
+    first = hits.where(F.col("position") < limit).groupBy("source").agg(F.min_by(F.struct("position", "text", "date"), "position").alias("h"))
+    return line(first.orderBy("h.position").limit(most), "gates", _shown(F.col("h.text"), 150), F.col("source"), F.col("h.date"))
+
+
+def locks(points: DataFrame, most: int = 2) -> DataFrame:
+    """The newest passages (source, text, date) of files named LOCKS.md; of those that have LOCKS in their path only if there are none."""
+    some = points.where(F.contains("source", F.lit("LOCKS"))).withColumn("proper", F.endswith("source", F.lit("/LOCKS.md")))
+    nth = F.row_number().over(Window.partitionBy("proper").orderBy(F.desc("date"), "source", "text"))
+    few = some.withColumn("nth", nth).where(F.col("nth") <= most)
+    few = few.withColumn("best", F.max("proper").over(Window.partitionBy())).where("proper = best")  # of four rows at most
+    return line(few, "locks", _shown(F.col("text"), 150), F.col("source"), F.col("date"))
+
+
+def sessions(sessions_: DataFrame, newest: int = 5, named: int = 3) -> DataFrame:
+    """One line on the newest runs (id, intent, started_at)."""
+    few = sessions_.orderBy(F.desc("started_at"), "id").limit(newest)
+    order = F.array_sort(F.collect_list(F.struct(-F.unix_micros(F.col("started_at").cast("timestamp_ltz")).alias("at"), F.col("id"), F.substring(F.coalesce("intent", F.lit("")), 1, 40).alias("intent"))))
+    one = few.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.slice(order, 1, named), lambda x: x["intent"]), " · ").alias("latest"))
+    text = F.when(F.col("n") == 0, "no runs recorded yesterday").otherwise(F.concat(F.col("n").cast("string"), F.lit(" recent run(s) · latest: "), F.col("latest")))
+    return line(one, "sessions", text, F.lit("sessions"))
+
+
+def stored(lines: DataFrame, brief_id: Column, workspace: Column, kind: str, as_of: Column) -> DataFrame:
+    """Rows for the table of briefs, one for each brief_id and workspace; a brief has a few dozen lines."""
+    item = F.struct("section", "line", F.struct("source", F.lit(0).alias("chunk"), "date").alias("breadcrumb"))
+    out = lines.groupBy(brief_id.cast("long").alias("id"), workspace.cast("string").alias("workspace_id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return out.select("id", "workspace_id", F.lit(kind).alias("kind"), "items", as_of.alias("created_at"), F.lit(0).alias("notified"))
+
+
+def latest(briefs: DataFrame) -> DataFrame:
+    """The brief of the largest id; no row without briefs."""
+    return briefs.orderBy(F.desc("id")).limit(1)
+
+
 def build(sections: Mapping[str, Section], spark) -> DataFrame:
     """All sections as one table; analysis errors of one do not stop the others."""
     out = spark.createDataFrame([], "section string, line string, source string, date string")

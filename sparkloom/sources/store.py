@@ -1,71 +1,68 @@
-"""Sinks: idempotent upserts by key over Parquet folders, appends, and artifacts.
-
-A Parquet table has no row updates, so an upsert writes the whole new table to a fresh version folder and then moves a
-small pointer file; readers always see one whole version, and a job that dies half-way leaves the old one.
-"""
+"""Sinks: idempotent upserts by key over Parquet folders in buckets of the key, appends, and artifacts."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.session import cut, remove_folder
+
+
+class BucketedTable:
+    """A Parquet table in folders by the hash of a key; a write reads and overwrites only the buckets of its keys.
 
-class VersionedTable:
-    """A table in ``path`` whose current version is named by the newest pointer file."""
+    Buckets are swapped by Spark's dynamic partition overwrite once all are written. A job that dies before that leaves the
+    table as it was; one that dies while they are swapped is run again with the same rows, which gives the same table.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, key: str | None = None, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.schema = spark.createDataFrame([], schema).schema
+        self.key = key or self.schema[0].name
 
-    def _hadoop(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return path, path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast(self.schema[self.key].dataType)), F.lit(self.buckets)).cast("int")
 
-    def version(self) -> int:
-        path, fs = self._hadoop()
-        at = path(f"{self.path}/_current")
-        if not fs.exists(at):
-            return 0
-        return max((int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()), default=0)
+    def _stored(self) -> DataFrame:
+        schema = T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def read(self) -> DataFrame:
-        n = self.version()
-        if not n:
-            return self.spark.createDataFrame([], self.schema)
-        path, fs = self._hadoop()
-        at = fs.open(path(f"{self.path}/_current/{n:08d}"))
-        try:
-            folder = at.readUTF()
-        finally:
-            at.close()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
-
-    def write(self, df: DataFrame) -> None:
-        """The new version; the pointer's file name is its number, so of two writers one fails."""
-        folder = f"v-{uuid.uuid4().hex}"
-        n = self.version() + 1
-        df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema)).write.parquet(f"{self.path}/{folder}")
-        path, fs = self._hadoop()
-        out = fs.create(path(f"{self.path}/_current/{n:08d}"), False)
-        try:
-            out.writeUTF(folder)
-        finally:
-            out.close()
+        return self._stored().drop("_bucket")
+
+    def _change(self, keys: DataFrame, change) -> None:
+        touched = sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())  # as many as there are buckets, at most
+        if not touched:
+            return
+        old = self._stored().where(F.col("_bucket").isin(touched)).drop("_bucket")
+        new = change(old).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema))
+        # written before the table is touched, as it is read from the table
+        new = cut(new.withColumn("_bucket", self._bucket()).repartition(len(touched), "_bucket"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+        left = {r[0] for r in new.select("_bucket").distinct().collect()}
+        for bucket in set(touched) - left:
+            remove_folder(self.spark, f"{self.path}/_bucket={bucket}")
 
     def upsert(self, new: DataFrame, keys: Sequence[str], order: str | None = None) -> None:
-        self.write(upserted(self.read(), new, keys, order))
+        """keys must hold the table's key."""
+        if self.key not in keys:
+            raise ValueError(f"{self.key} is not among the keys")
+        self._change(new, lambda old: upserted(old, new, keys, order))
 
-    def replace_by(self, new: DataFrame, key: str, values: DataFrame | None = None) -> None:
+    def replace_by(self, new: DataFrame, values: DataFrame | None = None) -> None:
         """All rows of the new rows' (or the given) keys are replaced by the new rows."""
-        gone = (values if values is not None else new).select(key).distinct()
-        self.write(self.read().join(gone, key, "left_anti").unionByName(new, allowMissingColumns=True))
+        gone = (values if values is not None else new).select(self.key).distinct()
+        self._change(gone, lambda old: old.join(gone, self.key, "left_anti").unionByName(new, allowMissingColumns=True))
 
-    def delete(self, key: str, values: DataFrame) -> None:
-        self.write(self.read().join(values.select(key).distinct(), key, "left_anti"))
+    def delete(self, values: DataFrame) -> None:
+        gone = values.select(self.key).distinct()
+        self._change(gone, lambda old: old.join(gone, self.key, "left_anti"))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkloom.functions.guard import guard
 from sparkloom.operators.chunking import slice_documents
-from sparkloom.sources.store import VersionedTable
+from sparkloom.sources.store import BucketedTable
 
 LANDING = "doc_id string, title string, source_file string, created_at string, text string"
 
@@ -22,7 +22,7 @@ def guarded_chunks(docs: DataFrame) -> DataFrame:
     return out.drop("_g")
 
 
-def ingest_stream(spark: SparkSession, landing: str, store: VersionedTable, checkpoint: str, report: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, landing: str, store: BucketedTable, checkpoint: str, report: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Takes what has landed since the last run, replaces those documents' chunks, and ends.
 
     A batch that is run again replaces the same documents with the same chunks, so a restart changes nothing.
@@ -31,7 +31,7 @@ def ingest_stream(spark: SparkSession, landing: str, store: VersionedTable, chec
     def take(batch: DataFrame, _: int) -> None:
         last = batch.groupBy("doc_id").agg(F.max_by(F.struct("title", "source_file", "created_at", "text"), F.struct("created_at", "text")).alias("d")).select("doc_id", "d.*")
         chunks = guarded_chunks(last)
-        store.replace_by(chunks.select([f.name for f in store.schema]), "doc_id", last)
+        store.replace_by(chunks.select([f.name for f in store.schema]), last)
         if report:
             report(ingest_report(last, chunks))
 

@@ -292,3 +292,40 @@ def test_globs_stay_within_their_folder(spark, tmp_path):
     assert names("**/*.md") == {"a.md", "large.md", "sub/c.md", "notes/d.md", "notes/deep/e.md"} and names("none/*.md") == set()
     read, skipped = files.accepted(files.read_files(spark, [(str(tmp_path), "*.md")]))
     assert [r["text"] for r in read.collect()] == ["a.md"] and [r["reason"] for r in skipped.collect()] == ["too large"]
+
+
+def test_ask_kinds_without_models(spark):
+    hits = retrieval.retrieve(_points(spark), _index(spark), "pricing", [1.0, 0, 0, 0], F.lit("2024-02-01").cast("timestamp"), 2)
+
+    def offline(*_):
+        raise ask.ModelOffline
+
+    assert ask.answer(hits, offline)[0] == "executor-offline"
+    assert ask.answer(hits, lambda *_: "Alpha pricing memo.", egress=False)[0] == "egress-blocked"
+    assert ask.answer(hits, lambda *_: "Alpha pricing memo.", judge=lambda text, h: None)[0] == "unvalidated_offline"
+    told = []
+    assert ask.answer(hits, lambda h: "Completely unrelated invention stands here.", revise=lambda h, failed: told.extend(failed) or "Alpha pricing memo.")[0] == "synthesized"
+    assert told == ["Completely unrelated invention stands here."]
+
+
+def test_independent_claims_equal_single_questions(spark):
+    claims = spark.createDataFrame([(1, 0, "Alpha pricing memo is here."), (1, 1, "Zebra quagga okapi bongo."), (2, 0, "beta notes")], "answer long, sentence_index int, claim string")
+    points, index = _points(spark).withColumn("doc_id", F.col("source")), _index(spark)
+    got = {(r["answer"], r["sentence_index"]): r for r in grounding.independent(claims, index, points, "answer", 2).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0)} and got[1, 0]["grounded"] in (True, False)
+    assert not got[1, 1]["grounded"] and got[1, 1]["docs"] == []
+    each = retrieval.keyword_search_each(index, claims.select(F.struct("answer", "sentence_index").alias("query"), F.col("claim").alias("text")), 2).collect()
+    for (answer, n), claim in {(r["answer"], r["sentence_index"]): r["claim"] for r in claims.collect()}.items():
+        terms = retrieval.query_terms(claim)
+        plain = sorted(retrieval.bm25_scores(index, terms).collect(), key=lambda r: (-r["bm25"], r["point_id"]))[:2]
+        mine = sorted((r for r in each if tuple(r["query"]) == (answer, n)), key=lambda r: r["n"])
+        assert [(r["point_id"], round(r["bm25"], 6)) for r in mine] == [(r["point_id"], round(r["bm25"], 6)) for r in plain]
+
+
+def test_folded_aliases_and_triples_without_keys(spark):
+    plan = spark.createDataFrame([(1, 2, False), (3, 2, True)], "loser_id long, winner_id long, blocked boolean")
+    aliases = spark.createDataFrame([(1, "ACME", "acme"), (2, "Acme", "acme"), (3, "acme", "acme")], "entity_id long, alias string, alias_key string")
+    assert {tuple(r) for r in graph.folded_aliases(aliases, plan).collect()} == {(2, "ACME", "acme"), (3, "acme", "acme")}
+    triples = spark.createDataFrame([("d", "Acme", "org", "OWNS", "Bolt", "product", 0.8), ("d", "--", "org", "OWNS", "Bolt", "product", 0.6)], "doc_id string, subject string, subject_type string, predicate string, object string, object_type string, confidence double")
+    entities, edges = graph.persisted_triples(triples)
+    assert {r["canonical_key"] for r in entities.collect()} == {"acme", "bolt"} and edges.count() == 1
