@@ -56,19 +56,17 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def _shingled(members: DataFrame, k: int) -> DataFrame:
-    """(node, tags, set) of members (node, tags, a, b, text), without rows of another text under the same id."""
+    """(node, set) of members (node, a, b, text), without rows of another text under the same id."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 sets = list(shingle_sets(part.column("text"), k))
                 same = pa.array([fingerprint(s) == (a, b) for s, a, b in zip(sets, part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)], pa.bool_())
-                out = pa.RecordBatch.from_arrays([part.column("node"), part.column("tags"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tags", "set"])
-                yield out.filter(same)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"]).filter(same)
         give_back()
 
-    tags = members.schema["tags"].dataType.simpleString()
-    return members.select("node", "tags", "a", "b", "text").mapInArrow(run, f"node long, tags {tags}, set binary")
+    return members.select("node", "a", "b", "text").mapInArrow(run, "node long, set binary")
 
 
 def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -163,7 +161,8 @@ def _stars(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     # sets of too different sizes cannot be near
     pairs = pairs.where(100 * F.least("size_node", "size_star") >= percent * F.greatest("size_node", "size_star")).groupBy("node", "star").agg(F.max("size_node").alias("size"))
     parts = pairs.groupBy("star").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes")).select("star", _blocks("n", "hashes").alias("parts"))
-    members = pairs.join(parts, "star").select("node", F.struct("star", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")).alias("tag"))
+    # dealt anew, so that both sides of the join are shuffled and a hot star is split
+    members = pairs.join(parts.repartition(F.xxhash64("star")), "star").select("node", F.struct("star", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")).alias("tag"))
     tags = members.groupBy("node").agg(F.collect_list("tag").alias("list"))  # one a band at most
     both = tags.join(parts.withColumnRenamed("star", "node"), "node", "full_outer")
     return both.select("node", F.struct(F.coalesce("list", F.array().cast("array<struct<star:bigint,part:int>>")).alias("list"), F.coalesce("parts", F.lit(0)).alias("parts")).alias("tags"))
@@ -204,16 +203,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = classes.select(F.col("rep").alias("node"), "size")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
 
-    def sets(tagged: DataFrame) -> DataFrame:
-        return _shingled(texts.join(tagged.join(classes.select("a", "b", F.col("rep").alias("node")), "node"), "node"), k)
+    wanted = met.select("node").distinct().join(classes.select("a", "b", F.col("rep").alias("node")), "node")
+    sets = cut(_shingled(texts.join(wanted, "node"), k))  # texts are shuffled once
 
     own = F.transform(F.sequence(F.lit(0), F.col("tags.parts") - 1), lambda i: F.struct(F.col("node").alias("star"), i.cast("int").alias("part"), F.lit(True).alias("leads")))
     held = F.transform("tags.list", lambda x: F.struct(x["star"].alias("star"), x["part"].alias("part"), F.lit(False).alias("leads")))
     places = F.when(F.col("tags.parts") > 0, F.concat(held, own)).otherwise(held)
-    starred = sets(_stars(met, sizes, percent)).select("node", "set", F.explode(places).alias("p")).select("node", "set", "p.*")
+    starred = sets.join(_stars(met, sizes, percent), "node").select("node", "set", F.explode(places).alias("p")).select("node", "set", "p.*")
     near = connected_components(_held_against_pivots(starred, percent))
 
-    tagged = sets(_apart(met, near, sizes)).select("node", "set", F.explode("tags").alias("t")).select("node", "set", "t.*")
+    tagged = sets.join(_apart(met, near, sizes), "node").select("node", "set", F.explode("tags").alias("t")).select("node", "set", "t.*")
     dealt = (tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
              .select("band", "node", "block", "set", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     linked = connected_components(near.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(_verified(dealt, percent)))
