@@ -11,6 +11,8 @@ columns are carried along to the last stage whatever their names, which returns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,12 @@ LEAST_LANGUAGE_SCORE = 0.5
 NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 64, 6
 
 
+def _beside(docs: DataFrame, made: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stage's rows with the columns of ``docs``; those named as one that it makes are set aside meanwhile."""
+    aside = {c: fresh(f"aside_{c}", docs) for c in docs.columns if c.lower() in made}
+    return stage(docs.withColumnsRenamed(aside)).select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model is sure of; lang becomes the predicted one."""
     lang, score = fresh("found_lang", docs), fresh("found_score", docs)
@@ -41,13 +49,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has."""
-    clean = substring_dedup.dedup_substrings(docs)
+    clean = _beside(docs, ("n_removed", "chars_removed", "removed"), substring_dedup.dedup_substrings)
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.emit(mixing.mix(docs)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _beside(docs, ("size", "source_size", "target", "copies", "taken"), lambda rows: mixing.emit(mixing.mix(rows)))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
