@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import cut
+from sparkloom.session import remove_folder, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -38,16 +38,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """``(node, component)`` for every node of an edge; the component is its smallest node.
 
     Null ends and self-loops are ignored, direction and repeats do not matter, no edges give no rows. Each round is
-    checkpointed, so lineage stays short; rounds stop when the edge set no longer changes.
+    written to the shared folder, so lineage stays short, and the round before it is deleted; rounds stop when the edge set
+    no longer changes.
     """
-    now = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst")
-              .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    once = (edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst")
+            .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    now, folder = written(once, "components")
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).alias("mark")
     seen = now.agg(mark).head()["mark"]
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
+        before = folder
+        now, folder = written(_small_star(_large_star(now).distinct()).distinct(), "components")
+        remove_folder(edges.sparkSession, before)
         mark_now = now.agg(mark).head()["mark"]
         if mark_now == seen:
             break

@@ -44,6 +44,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written(df: DataFrame, prefix: str) -> tuple[DataFrame, str]:
+    """``df`` written to a new folder below the shared one and read again, and that folder, for remove_folder()."""
+    path = new_folder(df.sparkSession, prefix)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and returns it without its lineage."""
     shared_folder(df.sparkSession)
