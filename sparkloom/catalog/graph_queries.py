@@ -266,12 +266,14 @@ def j22_todo(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(settled, "doc_id", "left_anti")
 
 
-@query("j24_merged_view", """WITH n AS (SELECT DISTINCT n_nationkey AS id FROM nation WHERE n_regionkey <> 2), e AS (SELECT least(c_nationkey, s_nationkey) AS low, greatest(c_nationkey, s_nationkey) AS high, c_mktsegment AS predicate, max(c_acctbal) AS weight FROM customer JOIN supplier ON c_custkey % 10 = s_suppkey % 10 GROUP BY 1, 2, 3)
+@query("j24_merged_view", """WITH n AS (SELECT DISTINCT n_nationkey AS id FROM nation WHERE n_regionkey <> 2), e AS (SELECT least(c_nationkey, s_nationkey) AS low, greatest(c_nationkey, s_nationkey) AS high, c_mktsegment AS predicate, max(c_acctbal) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)
 SELECT low, high, predicate, weight FROM e WHERE low IN (SELECT id FROM n) AND high IN (SELECT id FROM n)""")
 def j24_merged_view(spark, sf_dir):
+    """Line items as edges between the nations of their customer and their supplier."""
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("type"))
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    edges = c.join(s, F.col("c_custkey") % 10 == F.col("s_suppkey") % 10).select(F.col("c_nationkey").alias("src_id"), F.col("s_nationkey").alias("dst_id"), F.col("c_mktsegment").alias("predicate"), F.col("c_acctbal").alias("weight"))
+    items, placed, c, s = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer", "supplier"))
+    sold = items.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = sold.select(F.col("c_nationkey").alias("src_id"), F.col("s_nationkey").alias("dst_id"), F.col("c_mktsegment").alias("predicate"), F.col("c_acctbal").alias("weight"))
     return graph.merged_view(nodes, edges, ["2"])[1].select("low", "high", "predicate", "weight")
 
 

@@ -252,12 +252,13 @@ def j14_session_receipts(spark, sf_dir):
     return sessions(spark, sf_dir).select("id").join(counts, "id", "left").select("id", F.coalesce("receipts", F.lit(0)).alias("receipts"))
 
 
-@query("j17_artifacts", """WITH f AS (SELECT p_name AS path, p_partkey FROM part), r AS (SELECT p_name AS doc_id, o_orderkey AS id, 'approval-' || o_custkey AS run_id FROM orders JOIN part ON p_partkey = o_orderkey % 500),
+@query("j17_artifacts", """WITH f AS (SELECT p_name AS path, p_partkey FROM part), r AS (SELECT p_name AS doc_id, o_orderkey AS id, 'approval-' || o_custkey AS run_id FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
 l AS (SELECT doc_id, max(id) AS receipt_id, max_by(run_id, id) AS run_id FROM r GROUP BY doc_id)
 SELECT p_partkey, path, receipt_id, regexp_extract(run_id, '^approval-(\\d+)$', 1)::BIGINT AS approval_id, c_mktsegment AS action_class FROM f LEFT JOIN l ON l.doc_id = path LEFT JOIN customer ON c_custkey = regexp_extract(run_id, '^approval-(\\d+)$', 1)::BIGINT""")
 def j17_artifacts(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    ledger_rows = table(spark, sf_dir, "orders").join(part, F.col("p_partkey") == F.col("o_orderkey") % 500).select(F.col("p_name").alias("doc_id"), F.col("o_orderkey").alias("id"), F.concat(F.lit("approval-"), F.col("o_custkey").cast("string")).alias("run_id"), F.lit("").alias("claim_text"))
+    ordered = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    ledger_rows = ordered.select(F.col("p_name").alias("doc_id"), F.col("o_orderkey").alias("id"), F.concat(F.lit("approval-"), F.col("o_custkey").cast("string")).alias("run_id"), F.lit("").alias("claim_text"))
     approvals = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("action_class"), F.lit("pending").alias("status"))
     out = ledger.artifact_provenance(part.select(F.col("p_name").alias("path"), "p_partkey"), ledger_rows, approvals)
     return out.select("p_partkey", "path", "receipt_id", "approval_id", "action_class")

@@ -84,8 +84,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_markdown(quotes: DataFrame, path: str, title: str) -> None:
     """A small artifact (quote, source) as one Markdown file, quotes verbatim."""
     line = F.concat(F.lit("> "), F.replace("quote", F.lit("\n"), F.lit("\n> ")), F.lit("\n>\n> — "), "source", F.lit("\n"))
-    body = quotes.agg(F.concat_ws("\n", F.lit(f"# {title}\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("value"))
-    body.coalesce(1).write.mode("overwrite").text(path)
+    head = quotes.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(f"# {title}\n").alias("value"))
+    lines = head.unionAll(quotes.select(F.lit(1), line).where(line.isNotNull())).repartition(1).sortWithinPartitions("part", "value")
+    lines.select("value").write.mode("overwrite").text(path)
 
 
 def copy_verified(source: DataFrame, target_path: str, key: str) -> DataFrame:
