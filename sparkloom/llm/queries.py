@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, html_extract, langid, media, minhash, mixing, quality, substring_dedup, toxicity
+from sparkloom.llm import ann, html_extract, langid, media, minhash, mixing, periodic_runs, quality, substring_dedup, toxicity
 from sparkloom.llm import sentencepiece as pieces
 from sparkloom.session import table
 
@@ -81,6 +81,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("removed", spans)
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """``docs`` in which the words of about every tenth text repeat from some word on; which, and how, follows from doc_id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n, words = F.floor(h / 10), F.size("w").cast("long"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    a = g % n
+    p = 1 + ((n - a) / (3 + g % 8)).cast("long")
+    at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    made = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.element_at("w", (at(i) + 1).cast("int")))
+    chosen = docs.withColumn("w", F.when(h % 10 == 0, words))
+    return chosen.withColumn("text", F.when(F.size("w") > 0, F.array_join(made, " ")).otherwise(F.col("text"))).drop("w")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("best", periodic_runs.best_run())
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(x["start"], F.lit(","), x["length"], F.lit(","), x["period"], F.lit("\n"))), "")
+    best = F.col("best")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_media_columns": op2_media_columns,
@@ -92,5 +112,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}
