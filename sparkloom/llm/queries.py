@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, html_extract, langid, media, minhash, mixing, periodic_runs, quality, substring_dedup, toxicity
+from sparkloom.llm import ann, divergence, html_extract, langid, media, minhash, mixing, periodic_runs, quality, substring_dedup, toxicity
 from sparkloom.llm import sentencepiece as pieces
 from sparkloom.session import table
 
@@ -101,6 +101,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_media_columns": op2_media_columns,
@@ -113,5 +117,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_divergence": op12_source_divergence,
 }
-ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
