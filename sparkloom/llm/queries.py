@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, divergence, html_extract, langid, media, minhash, mixing, periodic_runs, quality, substring_dedup, toxicity
+from sparkloom.llm import ann, divergence, html_extract, langid, media, minhash, mixing, periodic_runs, quality, simhash, substring_dedup, toxicity
 from sparkloom.llm import sentencepiece as pieces
 from sparkloom.session import table
 
@@ -105,6 +105,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_media_columns": op2_media_columns,
@@ -118,5 +122,6 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_source_divergence": op12_source_divergence,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}

@@ -23,6 +23,7 @@ COLUMNS = {
     "op10_substring_dedup": ["doc_id", "text", "n_removed", "chars_removed", "removed"],
     "op11_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op12_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
+    "op13_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
 }
 
 
