@@ -21,12 +21,13 @@ read, so their names do not matter; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from sparkloom.session import cut
 LEAST_DOCS = 30
 TOP_TERMS = 50
 UNIT, SMOOTH = 1_000_000_000, 5
-BLOCK_BYTES = 48 << 20  # of counts that a task holds before it spills a run
+BLOCK_BYTES = 96 << 20  # of counts that a task holds before it spills a run
 ENTRY_BYTES = 280  # of a term's two counts, besides its own bytes
 BLOCK = 1024  # entries of a block
 SLOT_TERMS = 4096  # kept terms that meet a language's rates at once, in step 3
@@ -45,7 +46,7 @@ SUM_BYTES = 64 << 20  # of sums of pairs that a task holds
 BROADCAST_GROUPS = 20_000
 
 _FOLD = bytes(x if x >= 128 or 97 <= x <= 122 else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
-_RUNS = "shard int, lang string, first binary, terms array<binary>, names array<string>, source array<int>, n array<bigint>, docs array<bigint>"
+_RUNS = "shard int, lang string, first binary, terms array<binary>, sources array<string>, n array<bigint>, docs array<bigint>"
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -53,42 +54,35 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def _run_rows(held: dict[tuple[str, str], tuple[Counter, Counter]], shards: int) -> Iterator[tuple]:
-    """A run in blocks, sorted by shard, language and term."""
-    entries = [(xxhash.xxh32_intdigest(term) % shards, lang, term, source, n, docs[term]) for (lang, source), (counts, docs) in held.items() for term, n in counts.items()]
-    entries.sort()
+def _run(held: dict[tuple[str, str], tuple[Counter, Counter]], shards: int) -> Iterator[pa.RecordBatch]:
+    """The counts that are held as a run: sorted by shard, language, term and source, in blocks."""
+    groups = [k for k in sorted(held) if held[k][0]]
+    if not groups:
+        return
+    sizes = [len(held[k][0]) for k in groups]
+    column = lambda make, kind: np.concatenate([np.fromiter(make(*held[k]), kind, n) for k, n in zip(groups, sizes, strict=True)])
+    own = pa.concat_arrays([pa.array(list(held[k][0]), pa.binary()) for k in groups])
+    langs, lang = np.unique([k[0] for k in groups], return_inverse=True)
+    group = np.repeat(np.arange(len(groups), dtype=np.int32), sizes)
+    shard = (column(lambda counts, _: map(zlib.crc32, counts), np.int64) % shards).astype(np.int32)
+    lang = lang.astype(np.int32)[group]
+    order = np.asarray(pc.sort_indices(pa.table({"s": shard, "l": lang, "t": own, "g": group}), [(c, "ascending") for c in "sltg"]))
+    shard, lang, own = shard[order], lang[order], own.take(pa.array(order))
+    edges = np.flatnonzero(np.concatenate(([True], (np.diff(shard) != 0) | (np.diff(lang) != 0), [True])))
+    starts = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+    lists = lambda values: pa.ListArray.from_arrays(ends, values)
+    n, docs = column(lambda counts, _: counts.values(), np.int64), column(lambda counts, docs: map(docs.__getitem__, counts), np.int64)
+    sources = pa.array([k[1] for k in groups], pa.string()).take(pa.array(group[order]))
+    columns = [pa.array(shard[starts]), pa.array(langs.tolist(), pa.string()).take(pa.array(lang[starts])), own.take(pa.array(starts)), lists(own), lists(sources), lists(pa.array(n[order])), lists(pa.array(docs[order]))]
+    blocks = pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _RUNS.split(", ")])
     at = 0
-    while at < len(entries):
-        shard, lang = entries[at][:2]
-        to = at + 1
-        while to < len(entries) and to - at < BLOCK and entries[to][0] == shard and entries[to][1] == lang:
-            to += 1
-        part = entries[at:to]
-        names = sorted({e[3] for e in part})
-        number = {s: k for k, s in enumerate(names)}
-        yield shard, lang, part[0][2], [e[2] for e in part], names, [number[e[3]] for e in part], [e[4] for e in part], [e[5] for e in part]
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + 16 * BLOCK)))
+        yield blocks.slice(at, to - at)
         at = to
 
 
-def _spilled(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int32(), pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = [x.split()[0] for x in _RUNS.split(", ")]
-    some: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
-
-    held = 0
-    for row in rows:
-        some.append(row)
-        held += len(row[3])
-        if held >= 16 * BLOCK:
-            yield batch()
-            some, held = [], 0
-    if some:
-        yield batch()
-
-
 def spilled_runs(docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of term-sorted runs of docs (lang, source, text), by hash shard."""
     bound_batches(docs.sparkSession)
@@ -102,21 +96,38 @@ def spilled_runs(docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) -
                     words = terms(text)
                     own = set(words)
                     counts, seen = held.setdefault((lang, source), (Counter(), Counter()))
-                    new = own.difference(counts)
-                    size += ENTRY_BYTES * len(new) + sum(map(len, new))
+                    new = -len(counts)
                     counts.update(words)
                     seen.update(own)
+                    new += len(counts)
+                    size += new * (ENTRY_BYTES + sum(map(len, own)) // len(own)) if new else 0
                     if size >= block_bytes:
-                        yield from _spilled(_run_rows(held, shards))
+                        yield from _run(held, shards)
                         held, size = {}, 0
-        yield from _spilled(_run_rows(held, shards))
+        yield from _run(held, shards)
         give_back()
 
     return docs.select("lang", "source", "text").mapInArrow(run, _RUNS)
 
 
+def _lists(column: pa.Array) -> Iterator[list]:
+    """The lists of a column; their values are converted all at once."""
+    values = column.flatten()
+    if pa.types.is_integer(values.type):
+        flat = values.to_numpy().tolist()
+    elif pa.types.is_string(values.type):  # few different ones
+        coded = values.dictionary_encode()
+        flat = list(map(coded.dictionary.to_pylist().__getitem__, coded.indices.to_numpy().tolist()))
+    else:
+        flat = values.to_pylist()
+    at = 0
+    for n in column.value_lengths().to_pylist():
+        yield flat[at : at + n]
+        at += n
+
+
 def merged(blocks: Iterator[tuple]) -> Iterator[tuple[str, bytes, dict[str, int], int]]:
-    """(lang, term, counts by source, documents) from blocks (shard, lang, first, terms, names, source, n, docs) in their order.
+    """(lang, term, counts by source, documents) from blocks (shard, lang, first, terms, sources, n, docs) in their order.
 
     Open blocks are held, one or two of each run; a block is let go with its last entry.
     """
@@ -138,10 +149,9 @@ def merged(blocks: Iterator[tuple]) -> Iterator[tuple[str, bytes, dict[str, int]
             if term is not None:
                 yield at[1], term, counts, docs
             term, counts, docs = least, {}, 0
-        own, names, source, n, seen = block[3:]
+        own, sources, n, seen = block[3:]
         while i < len(own) and own[i] == term:
-            name = names[source[i]]
-            counts[name] = counts.get(name, 0) + n[i]
+            counts[sources[i]] = counts.get(sources[i], 0) + n[i]
             docs += seen[i]
             i += 1
         if i < len(own):
@@ -160,7 +170,7 @@ def frequencies(docs: DataFrame, least_docs: int = LEAST_DOCS, block_bytes: int
         def rows():
             for batch in batches:
                 for part in slices(batch):
-                    yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+                    yield from zip(*(c.to_pylist() for c in part.columns[:3]), *map(_lists, part.columns[3:]), strict=True)
 
         def batch(some: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))

@@ -66,7 +66,7 @@ def test_runs_spill_sorted_and_merge_whole(spark):
 
 
 def test_merge_of_blocks_that_share_and_skip_terms():
-    block = lambda lang, terms: (0, lang, terms[0], terms, ["s"], [0] * len(terms), [1] * len(terms), [1] * len(terms))
+    block = lambda lang, terms: (0, lang, terms[0], terms, ["s"] * len(terms), [1] * len(terms), [1] * len(terms))
     blocks = [block("a", [b"a", b"c"]), block("a", [b"b"]), block("a", [b"c", b"c"]), block("a", [b"c"]), block("a", [b"x"]), block("b", [b"x"]), block("b", [b"y"])]
     assert [(x, t, n["s"], d) for x, t, n, d in divergence.merged(iter(blocks))] == [("a", b"a", 1, 1), ("a", b"b", 1, 1), ("a", b"c", 4, 4), ("a", b"x", 1, 1), ("b", b"x", 1, 1), ("b", b"y", 1, 1)]
 
