@@ -1,17 +1,19 @@
 """Main text of HTML pages from a stream of parser events.
 
 The standard library's parser turns a page into lines, one for each stretch of text between block tags. Each line has a
-text-to-tag ratio: its characters outside links over the tags met since the line before. Elements that pages mark as menus,
-adverts, forms, comments and the like, by tag or by a word in class, id or role, count as ``MARK_TAGS`` tags for each of
-their lines, which pulls their ratios down. The ratios' logarithms are smoothed by a Gaussian kernel over neighbouring lines,
-up to where marked elements begin and end, and split by two-means clustering. The clusters select regions (an article or main element, or else the block that holds
-the line; a marked element is a region of its own): a region is content if lines above the threshold hold at least half of
-its characters. All lines of content regions make the text, in page order, but for lines below the threshold that are
-mostly links.
+text-to-tag ratio: its characters outside links over the tags met since the line before. Lines of elements that pages mark as
+menus, adverts, forms, comments and the like, by tag or by a word in class, id or role, count ``MARK_TAGS`` tags more: a mark
+makes a line stand as if in denser markup, and no more than that. Lines belong to regions (an article or main element, or
+else the block that holds the line; a marked element is a region of its own). The ratios' logarithms are smoothed by a
+Gaussian kernel over neighbouring lines, where each border of a region counts as ``BORDER`` lines. A region's value is the
+mean over its characters outside links; two-means clustering of the regions' values finds the threshold, and regions above it
+are content, whether they are marked or not. All lines of content regions make the text, in page order, but for lines below
+the threshold that are mostly links.
 
 Defined results: a null or empty page, or one without text, gives the empty text; broken markup never fails; tags that
-are not closed end with their parents, and an inline end tag does not reach out of its block; pages whose lines are all
-alike are content as a whole if a line has more than ``LEAST_RATIO`` characters a tag; other columns are carried along, and
+are not closed end with their parents, and an inline end tag does not reach out of its block; pages whose regions are all
+alike are content as a whole if they have more than ``LEAST_RATIO`` characters a tag; repeated rows are extracted each by
+itself, and an empty table gives an empty result; other columns are carried along, and
 columns named as an output are replaced. Work is linear in the length of a page, however its tags nest.
 """
 
@@ -28,10 +30,10 @@ from pyspark.sql import DataFrame
 from sparkloom.llm.arrow import map_columns
 
 SIGMA, RADIUS = 1.0, 2
-MARK_TAGS = 200  # tags that a marked element counts as
+BORDER = 2.0  # lines that a border of a region counts as
+MARK_TAGS = 8  # tags that a mark counts as for a line
 LEAST_RATIO = 1.0  # characters a tag that content has at least, whatever the other lines are like
 MOST_LINKS = 0.5  # share of a line's characters inside links, from which on a line below the threshold is left out
-REGION_SHARE = 0.5  # share of a region's characters in lines above the threshold that makes it content
 
 _BLANK = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+")
@@ -189,23 +191,25 @@ def text_to_tag_ratios(lines: list[Line]) -> np.ndarray:
     return np.array([(len(x.text) - x.link_chars) / max(1, x.tags + MARK_TAGS * x.marked) for x in lines], float)
 
 
-def smooth(values: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
-    """Gaussian smoothing; weights beyond the ends are left out."""
-    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    full = np.convolve(values, kernel)[radius : radius + len(values)]
-    return full / np.convolve(np.ones(len(values)), kernel)[radius : radius + len(values)]
-
-
-def smooth_runs(values: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """Smoothing within each run of lines that are marked, or are not."""
-    return np.concatenate([smooth(x) for x in np.split(values, np.flatnonzero(np.diff(marked)) + 1)])
+def smooth(values: np.ndarray, regions: np.ndarray | None = None, sigma: float = SIGMA, radius: int = RADIUS, border: float = BORDER) -> np.ndarray:
+    """Gaussian smoothing over lines, of which those in another region stand further off; weights beyond the ends are left out."""
+    n = len(values)
+    crossed = np.zeros(n) if regions is None else np.concatenate(([0], np.cumsum(regions[1:] != regions[:-1])))
+    total, weights = values.astype(float), np.ones(n)
+    for step in range(1, min(radius, n - 1) + 1):
+        weight = np.exp(-0.5 * ((step + border * (crossed[step:] - crossed[:-step])) / sigma) ** 2)
+        total[step:] += weight * values[:-step]
+        total[:-step] += weight * values[step:]
+        weights[step:] += weight
+        weights[:-step] += weight
+    return total / weights
 
 
 def threshold(x: np.ndarray, least: float = float(np.log1p(LEAST_RATIO))) -> float:
     """Border between the two means of ``x``, ``least`` at the smallest; just ``least`` if the values do not differ."""
-    low, high = x.min(), x.max()
-    if high - low < 1e-9:
+    if not len(x) or x.max() - x.min() < 1e-9:
         return least
+    low, high = x.min(), x.max()
     for _ in range(50):
         above = x > (low + high) / 2
         new = (x[~above].mean(), x[above].mean()) if above.any() and not above.all() else (low, high)
@@ -222,21 +226,27 @@ def page_lines(page: str) -> list[Line]:
     return parser.lines
 
 
+def region_values(lines: list[Line]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's smoothed log ratio and the number of its region, and each region's mean, NaN for those of links only."""
+    regions = np.array([x.region for x in lines])
+    ratios = smooth(np.log1p(text_to_tag_ratios(lines)), regions)
+    own = np.array([len(x.text) - x.link_chars for x in lines], float)
+    _, number = np.unique(regions, return_inverse=True)
+    size = np.bincount(number, own)
+    return ratios, number, np.where(size > 0, np.bincount(number, own * ratios) / np.maximum(size, 1), np.nan)
+
+
 def content_lines(lines: list[Line], border: Callable[[np.ndarray], float] | None = None) -> list[bool]:
-    """Which lines are content. border: finds the threshold of smoothed log ratios, two-means clustering if not given."""
+    """Which lines are content. border: finds the threshold of the regions' values, two-means clustering if not given."""
     if not lines:
         return []
-    ratios = smooth_runs(np.log1p(text_to_tag_ratios(lines)), np.array([x.marked for x in lines]))
-    above = ratios > (border or threshold)(ratios)
-    size: dict[int, int] = {}
-    good: dict[int, int] = {}
-    for x, ok in zip(lines, above.tolist(), strict=True):
-        size[x.region] = size.get(x.region, 0) + len(x.text)
-        good[x.region] = good.get(x.region, 0) + len(x.text) * ok
-    return [good[x.region] > 0 and good[x.region] >= REGION_SHARE * size[x.region] and (ok or x.link_chars <= MOST_LINKS * len(x.text)) for x, ok in zip(lines, above.tolist(), strict=True)]
+    ratios, number, values = region_values(lines)
+    above = (border or threshold)(values[~np.isnan(values)])
+    good = np.nan_to_num(values, nan=-np.inf) > above
+    return [bool(good[k]) and (bool(r > above) or x.link_chars <= MOST_LINKS * len(x.text)) for x, r, k in zip(lines, ratios, number, strict=True)]
 
 
-def main_text(page: str | None, border: Callable[[np.ndarray], float] | None = None) -> str:
+def main_text(page: str | None, border: Callable[[np.ndarray, np.ndarray], float] | None = None) -> str:
     """The page's main text: content lines in page order, joined by one space."""
     lines = page_lines(page) if page else []
     return " ".join(x.text for x, ok in zip(lines, content_lines(lines, border), strict=True) if ok)
