@@ -1,12 +1,16 @@
-"""Substring dedup by hashing lines, cut into their sentences.
+"""Substring dedup by hashing lines, and runs of sentences within and across them.
 
 A text's pieces are the sentences of its lines; a line without sentence ends is one piece. Pieces are normalised (lower
-case, runs of space and 0x09-0x0D to one space, trimmed). A unit is a piece together with the pieces after it, over line
-ends, until it holds ``min_words`` words: a piece by itself often says too little, and a sequence of 13 words is what is
-commonly taken for an overlap that is no chance. Units are hashed to 128 bits, the digests are grouped over all
-documents, and the unit of the smallest doc_id stays, in that document at its first place; the pieces of all others go.
-A text of fewer words is one unit, compared with whole texts only. Every piece that goes equals one that stays. Removed
-pieces keep their offsets in the original text, neighbouring ones as one span.
+case, runs of space and 0x09-0x0D to one space, trimmed). Units are
+
+* each line, whatever its length, and
+* each piece together with the pieces after it, over line ends, until they hold ``min_words`` words, for passages that are
+  wrapped at other places or stand inside a paragraph; a sequence of 13 words is commonly taken for an overlap that is no chance.
+
+All units are hashed alike to 128 bits, the digests are grouped over all documents, and the unit of the smallest doc_id stays, in
+that document at its first place; the pieces of all others go. Every piece that goes equals one that stays. Removed pieces keep
+their offsets in the original text, neighbouring ones as one span. ``min_line_words`` keeps lines of fewer words, as marks that
+a corpus repeats on purpose; it is 1 if not given, so that every repeated line goes.
 
 Defined results: blank pieces are no units and stay, but a line of which only blanks are left goes; null texts stay null
 without units; ids may have any type that can be ordered; null ids rank after all others and count as one document, as do
@@ -17,7 +21,6 @@ are carried along whatever their names, and columns named as an output are repla
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -47,25 +50,37 @@ def pieces(text: str) -> tuple[list[str], list[str]]:
     return found, [normalise(x) for x in found]
 
 
-def units(clean: list[str], min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(first piece, last piece, key) of each unit; blank pieces are passed over."""
+def units(found: list[str], clean: list[str], min_words: int = MIN_WORDS, min_line_words: int = 1) -> list[tuple[int, int, str]]:
+    """(first piece, last piece, key) of each unit, by first piece; blank pieces are passed over."""
     solid = [i for i, x in enumerate(clean) if x]
     sizes = [clean[i].count(" ") + 1 for i in solid]
+    out: list[tuple[int, int, str]] = []
+    reach: dict[int, int] = {}
     last, words = -1, 0
     for at, i in enumerate(solid):
         while words < min_words and last + 1 < len(solid):
             last += 1
             words += sizes[last]
-        if words >= min_words:
-            yield i, solid[last], " ".join([clean[x] for x in solid[at : last + 1]])
-        elif not at:
-            yield i, solid[last], "\n" + " ".join([clean[x] for x in solid])
-        else:
-            return
+        if words < min_words:
+            break
+        reach[i] = solid[last]
+        out.append((i, solid[last], " ".join([clean[x] for x in solid[at : last + 1]])))
         words -= sizes[at]
+    line: list[int] = []
+    for i, piece in enumerate(found):
+        if clean[i]:
+            line.append(i)
+        if line and (i + 1 == len(found) or piece.endswith("\n")):
+            if reach.get(line[0]) != line[-1]:  # else it is a unit already
+                key = " ".join([clean[x] for x in line])
+                if min_line_words < 2 or key.count(" ") + 1 >= min_line_words:
+                    out.append((line[0], line[-1], key))
+            line = []
+    out.sort(key=lambda x: x[0])
+    return out
 
 
-def _unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def _unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int, min_line_words: int) -> DataFrame:
     """(doc, row, first, last, hi, lo, again): again marks a unit that its own text has shown before."""
     kind = docs.schema[id_col].dataType
     source = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
@@ -78,7 +93,7 @@ def _unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
                 out = []
                 for doc, row, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     seen = set()
-                    for first, last, key in units(pieces(text)[1], min_words):
+                    for first, last, key in units(*pieces(text), min_words, min_line_words):
                         digest = xxhash.xxh3_128_intdigest(key)
                         out.append((doc, row, first, last, _long(digest >> 64), _long(digest & ((1 << 64) - 1)), digest in seen))
                         seen.add(digest)
@@ -90,9 +105,9 @@ def _unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
     return source.mapInArrow(run, schema)
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line_words: int = 1) -> DataFrame:
     """(doc, row, cut): for each row of the table that loses units, these and the document that keeps each."""
-    rows = _unit_rows(docs, id_col, text_col, min_words)
+    rows = _unit_rows(docs, id_col, text_col, min_words, min_line_words)
     first = rows.groupBy("hi", "lo").agg(F.min("doc").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # dealt anew, so that the join shuffles both sides and AQE can split the units of a very common line
     first = first.repartition(F.xxhash64("hi"))
@@ -128,10 +143,10 @@ def without(text: str, lost: list[tuple[int, int, object]]) -> tuple[str, list[t
     return "\n".join(kept), spans
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line_words: int = 1) -> DataFrame:
     """``docs`` with the text rebuilt and the columns n_removed, chars_removed and removed (spans of the original)."""
     doc, row, cut = (fresh(x, docs) for x in ("cut_doc", "cut_row", "cut_units"))
-    found = repeated_units(docs, id_col, text_col, min_words).toDF(doc, row, cut)
+    found = repeated_units(docs, id_col, text_col, min_words, min_line_words).toDF(doc, row, cut)
     joined = docs.join(found, docs[f"`{id_col}`"].eqNullSafe(found[doc]) & (F.xxhash64(docs[f"`{text_col}`"]) == found[row]), "left").drop(doc, row)
 
     def rebuild(text: pa.Array, gone: pa.Array) -> list:
@@ -158,12 +173,12 @@ pieces AS (SELECT doc_id, unnest(found) AS piece, generate_subscripts(found, 1)
 clean AS (SELECT *, trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS own, sum(length(piece)) OVER w - length(piece) AS at_char,
   sum((piece LIKE '%' || chr(10))::INT) OVER w - (piece LIKE '%' || chr(10))::INT AS line FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 solid AS (SELECT doc_id, i, own, len(string_split(own, ' ')) AS words, row_number() OVER w AS s, sum(len(string_split(own, ' '))) OVER w AS so_far FROM clean WHERE own <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-whole AS (SELECT doc_id, list(own ORDER BY s) AS owns, max(so_far) AS words, max(i) AS last FROM solid GROUP BY doc_id),
+whole AS (SELECT doc_id, list(own ORDER BY s) AS owns FROM solid GROUP BY doc_id),
 reach AS (SELECT a.doc_id, a.s, a.i AS a, b.s AS t, b.i AS b FROM (SELECT *, so_far - words + 13 AS need FROM solid) a ASOF JOIN solid b ON a.doc_id = b.doc_id AND a.need <= b.so_far),
 units AS (SELECT r.doc_id, r.a, r.b, array_to_string(w.owns[r.s:r.t], ' ') AS unit FROM reach r JOIN whole w USING (doc_id)
-  UNION ALL SELECT s.doc_id, s.i, w.last, chr(10) || array_to_string(w.owns, ' ') FROM solid s JOIN whole w USING (doc_id) WHERE s.s = 1 AND w.words < 13),
+  UNION SELECT doc_id, min(i), max(i), string_agg(own, ' ' ORDER BY i) FROM clean WHERE own <> '' GROUP BY doc_id, line),
 ranked AS (SELECT *, min(doc_id) OVER (PARTITION BY unit) AS keeper, row_number() OVER (PARTITION BY unit, doc_id ORDER BY a) AS again FROM units),
-gone AS (SELECT c.doc_id, c.i, arg_min(g.keeper, g.a) AS keeper FROM clean c JOIN ranked g ON c.doc_id = g.doc_id AND c.i BETWEEN g.a AND g.b WHERE g.again > 1 OR g.doc_id <> g.keeper GROUP BY c.doc_id, c.i),
+gone AS (SELECT c.doc_id, c.i, arg_min(g.keeper, (g.a, g.b)) AS keeper FROM clean c JOIN ranked g ON c.doc_id = g.doc_id AND c.i BETWEEN g.a AND g.b WHERE g.again > 1 OR g.doc_id <> g.keeper GROUP BY c.doc_id, c.i),
 marked AS (SELECT c.*, g.keeper, g.i IS NOT NULL AS lost FROM clean c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.i = g.i),
 lines AS (SELECT doc_id, line, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE NOT lost), '') AS body FROM marked GROUP BY doc_id, line HAVING NOT bool_or(lost) OR bool_or(NOT lost AND own <> '')),
 ended AS (SELECT doc_id, line, regexp_replace(body, '\n$', '') AS body FROM lines UNION ALL SELECT doc_id, 9223372036854775807, '' FROM cut WHERE text = '' OR text LIKE '%' || chr(10)),
