@@ -18,7 +18,8 @@ name, so that a vector with very many copies fills neither a window nor a task.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite numbers take no part, nor do null ids;
 vectors are compared with those of their own length only; ties go to the smaller id; rows that share an id and a vector
-are one; with fewer than k candidates all that are found are returned; an empty table gives an empty result.
+are one; with fewer than k candidates all that are found are returned; an empty table gives an empty result; other columns are
+not read, so their names do not matter.
 """
 
 from __future__ import annotations

@@ -31,7 +31,7 @@ from sparkloom.llm.arrow import map_columns
 
 SIGMA, RADIUS = 1.0, 2
 BORDER = 2.0  # lines that a border of a region counts as
-MARK_TAGS = 8  # tags that a mark counts as for a line
+MARK_TAGS = 10  # tags that a mark counts as for a line
 LEAST_RATIO = 1.0  # characters a tag that content has at least, whatever the other lines are like
 MOST_LINKS = 0.5  # share of a line's characters inside links, from which on a line below the threshold is left out
 

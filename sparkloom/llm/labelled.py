@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.langid import held_out
 
+FIT_CHARS = 20_000  # longer texts are not drawn for fitting, which bounds a sample's bytes; they are scored like others
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, rest: int, per_class: int, id_col: str = "doc_id", text_col: str = "text"):
-    """(texts, labels, weights): about ``per_class`` texts of each class at most, chosen by a hash of the id.
+    """(texts, labels, weights): about ``per_class`` ids of each class, chosen by a hash, and 3 * per_class rows at most.
 
-    Only rows whose crc32(id) modulo ``mod`` is not ``rest`` are used. Rows without label or text teach nothing; of an
-    id's labels the largest counts. The weights restore the classes' shares among all training labels. The chosen ids
-    (some 10 bytes each, about 2 * per_class) are broadcast, so no text is shuffled.
+    Only rows whose crc32(id) modulo ``mod`` is not ``rest`` are used. Rows without label or text, and texts of more than
+    ``FIT_CHARS`` characters, teach nothing; of an id's labels the largest counts; of rows that share an id as many come along
+    as the limit on rows leaves, by a hash of id and text. The weights restore the classes' shares among all training labels.
+    The chosen ids (some 10 bytes each, about 2 * per_class) are broadcast, so no text is shuffled.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, mod, rest))
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
@@ -23,8 +26,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int
     for label, n in counts.items():
         keep = keep | ((F.col("_label") == label) & (draw < int(min(1.0, per_class / n) * (1 << 20)) + 1))
     chosen = F.broadcast(known.where(keep))
-    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = own.join(chosen, "_id").toPandas().sort_values(["_id", "_text"], kind="stable")
+    own = docs.where(F.length(text_col) <= FIT_CHARS).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    drawn = own.join(chosen, "_id").orderBy(F.xxhash64("_id", "_text"), "_id", "_text").limit(3 * per_class)
+    found = drawn.toPandas().sort_values(["_id", "_text"], kind="stable")
     texts, y = found["_text"].tolist(), found["_label"].to_numpy(np.float64)
     total = sum(counts.values())
     weight = np.ones(len(y))

@@ -4,12 +4,14 @@ A known word adds its log frequency in each language. An unseen word falls back
 of which the model knows any, at a fixed cost per step back. The score is the best language's share after a softmax over
 the mean evidence per word.
 
-The model is fitted on labelled texts whose crc32(doc_id) is not held out: a hash-chosen sample of about ``max_docs``
-of them, the only bound. All words and n-grams of the sample are known; they are kept as sorted 64-bit hashes beside a
-matrix of log frequencies, some 30 bytes each, which is broadcast.
+The model is fitted on labelled texts whose crc32(doc_id) is not held out: a sample of about ``max_docs`` rows of
+``FIT_CHARS`` characters at most, chosen by a hash of id and text and limited to twice as many, so that rows and bytes are
+bounded. All words and n-grams of the sample are known; they are kept as sorted 64-bit hashes beside a matrix of log
+frequencies, some 30 bytes each, which is broadcast.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if there was nothing to learn from; rows
-without text or language teach nothing; other columns are carried along, and columns named as an output are replaced.
+without text or language teach nothing, and of repeated rows each does; of languages that tie the first by name is taken; repeated
+rows get the same language, texts of any length are read as a whole, and an empty table gives an empty result; other columns are carried along, and columns named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import bound_batches, give_back, map_columns, slices
 
-MAX_DOCS = 8_000  # labelled documents that the model is fitted on, about, at most
+MAX_DOCS = 8_000  # labelled documents that the model is fitted on, about; twice as many at most
+FIT_CHARS = 20_000  # longer texts are not drawn for fitting; they are identified like others
 GRAMS = (5, 4, 3, 2, 1)
 BACKOFF = 0.4  # natural log units of evidence lost at each step back, as in stupid backoff
 SHARPNESS = 8.0
@@ -79,9 +82,10 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> LanguageModel:
-        train = docs.where(~held_out(id_col)).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+        train = docs.where(~held_out(id_col)).where((F.length(text_col) <= FIT_CHARS) & F.col(lang_col).isNotNull())
         share = min(1.0, max_docs / max(1, train.count()))
-        sample = train.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+        draw = F.xxhash64(id_col, text_col)
+        sample = train.where(F.pmod(draw, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(draw, id_col, text_col, lang_col).limit(2 * max_docs)
         # the sample is bounded; dealt anew, its counting does not depend on how the table is cut into files
         dealt = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64(id_col, text_col)).select(lang_col, text_col)
         counts = _counts(dealt).persist()

@@ -9,7 +9,8 @@ track's own boxes. Boxes are walked with an explicit stack, and every count in a
 box or of the file before anything is allocated.
 
 Defined results: a null or empty text is padded to one frame of spaces; a null or broken file (cut boxes or tables, tables
-that disagree, samples outside the file) has null fields and the reason in ``error``, and never fails a task; equal payloads give equal files; other columns are carried along, and columns named as an output
+that disagree, samples outside the file) has null fields and the reason in ``error``, and never fails a task; equal payloads give equal files, so repeated rows do, and
+an empty table gives an empty result; texts of any length are stored whole; other columns are carried along, and columns named as an output
 are replaced.
 """
 

@@ -12,7 +12,8 @@
 
 Defined results: a text without words, or null, has an empty set, is linked with nothing and stays; rows that share a
 doc_id are one document (each row is reported; their links join); a row without doc_id is reported without component
-and stays; an empty table gives an empty result.
+and stays; ids are integers, or are cast to such; texts of any length are read as a whole; other columns are not read, so their
+names do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -199,6 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(full.groupBy("a", "b").agg(F.min("doc").alias("rep"), F.max("n").alias("size")))
     reps = full.join(classes.drop("size"), ["a", "b"]).where("doc = rep").select("rep", F.explode("bands").alias("band"))
     pivots = reps.groupBy("band").agg(F.min("rep").alias("star"), F.max("rep").alias("far")).where("star <> far").drop("far")
+    pivots = pivots.repartition(F.xxhash64("band"))  # dealt anew, so that both sides of the join are shuffled and a hot band is split
     met = cut(reps.join(pivots, "band").select("band", F.col("rep").alias("node"), "star").distinct())
     sizes = classes.select(F.col("rep").alias("node"), "size")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
@@ -212,10 +214,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     starred = sets.join(_stars(met, sizes, percent), "node").select("node", "set", F.explode(places).alias("p")).select("node", "set", "p.*")
     near = connected_components(_held_against_pivots(starred, percent))
 
-    tagged = sets.join(_apart(met, near, sizes), "node").select("node", "set", F.explode("tags").alias("t")).select("node", "set", "t.*")
-    dealt = (tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
-             .select("band", "node", "block", "set", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    linked = connected_components(near.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(_verified(dealt, percent)))
+    apart, linked = cut(_apart(met, near, sizes)), near
+    if not apart.isEmpty():
+        tagged = sets.join(apart, "node").select("node", "set", F.explode("tags").alias("t")).select("node", "set", "t.*")
+        dealt = (tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+                 .select("band", "node", "block", "set", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+        linked = connected_components(near.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(_verified(dealt, percent)))
 
     component = classes.drop("size").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     out = seen.select("doc", "n", "a", "b").join(component, ["a", "b"], "left")

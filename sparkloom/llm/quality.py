@@ -7,8 +7,8 @@ A hidden layer encodes it further, gated attention (tanh times sigmoid) gives it
 and the weighted sum of the encodings is the document's, from which the score is read. All layers are learnt together
 from document labels.
 
-Defined results: a null, empty or blank text is one empty passage; without training rows every score is 0.5; other
-columns are carried along, and columns named as an output are replaced.
+Defined results: a null, empty or blank text is one empty passage; without training rows every score is 0.5; repeated
+rows get the same score, texts of any length are read as a whole, and an empty table gives an empty result; other columns are carried along, and columns named as an output are replaced.
 """
 
 from __future__ import annotations

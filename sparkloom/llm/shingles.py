@@ -145,7 +145,7 @@ class FastSimilaritySketch:
             rounds = np.arange(done, min(t, done + step), dtype=np.uint64)
             x = mix(values[None, :] ^ self.seeds[done : done + len(rounds), None])
             place = (rounds[:, None] << np.uint64(52)) | (x >> np.uint64(12))
-            np.minimum.at(out, ((x & np.uint64(0xFFF)) % np.uint64(t)).ravel().astype(np.intp), place.ravel())
+            np.minimum.at(out, (((x & np.uint64(0xFFFFFFFF)) * np.uint64(t)) >> np.uint64(32)).ravel().astype(np.intp), place.ravel())
             done += len(rounds)
             if (out != np.iinfo(np.uint64).max).all():
                 return out

@@ -12,7 +12,8 @@ advance together. A text begins and ends outside a toxic span. Tokens are those
 so that offsets hold whatever lower case does to a text's length.
 
 Defined results: a null, empty or wordless text has no spans and gets the score of a document without evidence; without
-training rows every score is 0; other columns are carried along, and columns named as an output are replaced.
+training rows every score is 0; repeated rows get the same score, texts of any length are read as a whole, and an empty table gives
+an empty result; other columns are carried along, and columns named as an output are replaced.
 """
 
 from __future__ import annotations

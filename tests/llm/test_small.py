@@ -80,7 +80,7 @@ def test_html_ratios_smoothing_and_clusters_by_hand():
     lines = html_extract.page_lines(page)
     assert [(x.text, x.link_chars, x.marked) for x in lines] == [("Home page", 9, True), ("Real words, a line of them.", 0, False), ("No.", 0, False), ("And here is another line.", 0, False), ("Buy!", 0, True)]
     assert [x.tags for x in lines] == [5, 3, 2, 2, 3]
-    r = np.log1p([0, 27 / 3, 3 / 2, 25 / 2, 4 / 11])
+    r = np.log1p([0, 27 / 3, 3 / 2, 25 / 2, 4 / 13])
     far = [0, 3, 4, 5, 8]  # a border counts as two lines more
     g = lambda i, j: np.exp(-((far[i] - far[j]) ** 2) / 2) * (abs(i - j) <= 2)
     want = [sum(g(i, j) * r[j] for j in range(5)) / sum(g(i, j) for j in range(5)) for i in range(5)]
@@ -250,7 +250,22 @@ def test_near_duplicates_of_one_text_are_held_against_pivots_only(spark, monkeyp
     base = [f"w{i}" for i in range(300)]
     rows = [(k, " ".join(base[:k] + [f"edit{k}"] + base[k + 1 :])) for k in range(300)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["component_id"] for r in got} == {0} and dealt == [0]
+    assert {r["component_id"] for r in got} == {0} and not any(dealt)
+
+
+def test_near_duplicates_many_sets_in_one_band(spark, monkeypatch):
+    """Many distinct sets that share every band, near ones in small groups among them."""
+    monkeypatch.setattr(minhash, "features", lambda *a, real=minhash.features, **b: real(*a, **b).withColumn("bands", F.when(F.col("n") > 0, F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))))
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(60)]
+        for _ in range(1 + g % 3):
+            words = [*words]
+            words[int(rng.integers(60))] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=70).collect()}
+    assert got == brute_components(rows, 70)
 
 
 def test_near_duplicates_links_that_pivots_miss(spark, monkeypatch):
@@ -452,6 +467,20 @@ def test_language_id_very_long_line(spark):
     assert out["lang_pred"] == "fr"
 
 
+def test_samples_are_bounded_with_repeated_ids(spark, monkeypatch):
+    """Rows that share an id, or have none, do not make a fitting sample larger than its limit."""
+    from sparkloom.llm import labelled
+
+    rows = [(1, f"some words {i}", "en") for i in range(300)] + [(None, f"other words {i}", "de") for i in range(300)] + [(i, f"more {i}", "en") for i in range(2, 60)] + [(3, "long " * 9000, "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    texts, y, weight = labelled.labelled_sample(table, labels, "toxic", 4, 2, 20)
+    assert 20 <= len(texts) == len(y) == len(weight) <= 60 and max(map(len, texts)) <= labelled.FIT_CHARS
+    seen = []
+    monkeypatch.setattr(langid, "_counts", lambda df, real=langid._counts: seen.append(df.count()) or real(df))
+    assert langid.LanguageModel.fit(table, max_docs=40).langs == ["de", "en"] and 10 <= seen[0] <= 80
+
+
 def test_classifiers(spark):
     rng = np.random.default_rng(0)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 40)) + "."
