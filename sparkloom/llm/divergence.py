@@ -293,8 +293,9 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     small = groups if groups.count() > BROADCAST_GROUPS else F.broadcast(groups)
     above = entries.join(small, ["lang", "source"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
                                                            (_rate(F.col("n"), F.col("all_terms")) - _rate(F.col("lang_count"), F.col("lang_terms"))).cast("long").alias("value")).where("value > 0")
-    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    return pairs.withColumn("rank", rank).unionByName(above.withColumn("rank", rank).where(F.col("rank") <= top_terms))
+    # the keys in another order, so that the union does not take both sides for partitioned alike
+    rank = lambda *group: F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("value"), "item"))
+    return pairs.withColumn("rank", rank("source", "lang")).unionByName(above.withColumn("rank", rank("lang", "source")).where(F.col("rank") <= top_terms))
 
 
 ORACLE_SQL = r"""
