@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.guard import scan_injection
-from sparkloom.operators.retrieval import Index, postings
+from sparkloom.operators.words import Index
 from sparkloom.session import cut, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,7 @@ def word_index(spark: SparkSession, sf_dir: str) -> Index:
     if key not in _INDEXES:
         docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
         _INDEXES[key] = Index(spark, new_folder(spark, "words"))
-        _INDEXES[key].write(postings(docs), docs)
+        _INDEXES[key].add(0, docs)
     return _INDEXES[key]
 
 

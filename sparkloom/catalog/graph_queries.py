@@ -10,7 +10,8 @@ from sparkloom.functions.identity import ascii_label
 from sparkloom.operators import entities as ents
 from sparkloom.operators import graph
 from sparkloom.operators.components import connected_components
-from sparkloom.session import cut, table
+from sparkloom.session import cut, new_folder, table
+from sparkloom.streaming.corpus import Corpus
 
 _MASKED = "text"
 for _p in [p for _, p, _ in ents.TYPED] + [ents.MONEY]:
@@ -100,6 +101,38 @@ def g11_pmi(spark, sf_dir):
     return graph.mined(_mentions(spark, sf_dir), _pairs(spark, sf_dir))
 
 
+_CORPORA: dict[tuple[str, str], Corpus] = {}
+_TAKEN = "(SELECT doc_id, CASE WHEN source = 'src1' THEN 'Replaced Text. Replaced Text ' || lang ELSE text END AS text FROM documents WHERE source <> 'src2')"
+
+
+def _corpus(spark, sf_dir):
+    """All documents as one batch, of which those of one source have no valid date; then new texts for those of another source."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CORPORA:
+        docs = table(spark, sf_dir, "documents")
+        rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("title"), F.col("source").alias("source_file"), F.when(F.col("source") == "src2", "soon").otherwise("2024-01-01").alias("created_at"), "text", "lang", "source")
+        _CORPORA[key] = Corpus(spark, new_folder(spark, "corpus"))
+        _CORPORA[key].take(rows, "all")
+        _CORPORA[key].take(rows.where("source = 'src1'").withColumns({"text": F.concat(F.lit("Replaced Text. Replaced Text "), "lang"), "created_at": F.lit("2024-01-02")}), "replaced")
+    return _CORPORA[key]
+
+
+@query("g01_ingested_edges", "WITH " + _EDGES.replace("FROM documents)", f"FROM {_TAKEN})", 1) + " SELECT src_id, dst_id, doc_id, weight, confidence FROM edges")
+def g01_ingested_edges(spark, sf_dir):
+    """Edges of documents that came in two batches; their weights come from counts that the second one has changed by differences."""
+    return _corpus(spark, sf_dir).edges().select("src_id", "dst_id", "doc_id", "weight", "confidence")
+
+
+@query("s05_failed_documents", "SELECT doc_id::VARCHAR AS doc_id, 'read' AS stage, 'created_at is not a date' AS reason FROM documents WHERE source = 'src2' AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' UNION ALL SELECT doc_id::VARCHAR, 'read', 'blank' FROM documents WHERE source <> 'src1' AND trim(regexp_replace(text, '\\s+', ' ', 'g')) = ''")
+def s05_failed_documents(spark, sf_dir):
+    return _corpus(spark, sf_dir).failures()
+
+
+@query("s05_ingest_report", "SELECT count(*) FILTER (source <> 'src2' AND (source = 'src1' OR NOT blank)) AS documents, count(*) FILTER (source = 'src2' OR (source <> 'src1' AND blank)) AS failed FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' AS blank FROM documents)")
+def s05_ingest_report(spark, sf_dir):
+    return _corpus(spark, sf_dir).report().select("documents", "failed")
+
+
 _TOP = "degree AS (SELECT id, sum(w::DECIMAL(18,4))::DOUBLE AS degree FROM (SELECT src_id AS id, weight AS w FROM edges UNION ALL SELECT dst_id, weight FROM edges) GROUP BY id), top AS (SELECT e.id, e.label, e.type, round(coalesce(d.degree, 0) * CASE e.type WHEN 'date' THEN 0.25 WHEN 'marker' THEN 0.25 WHEN 'lock' THEN 0.5 WHEN 'slice' THEN 0.5 ELSE 1.0 END, 3) AS score, e.confidence, e.mention_count FROM entities e LEFT JOIN degree d USING (id) ORDER BY score DESC, mention_count DESC, e.confidence DESC, e.id LIMIT 50)"
 
 

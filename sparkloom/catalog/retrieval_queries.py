@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.catalog.base import POINTS_SQL, QUESTION, as_of, points, query, query_vector, word_index
 from sparkloom.functions import scores
-from sparkloom.operators import retrieval
-from sparkloom.session import table
+from sparkloom.operators import retrieval, words
+from sparkloom.session import new_folder, table
 
 _Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 _SIM = f"round(list_cosine_similarity(embedding::DOUBLE[], {_Q0}), 9)"
@@ -57,41 +57,74 @@ hits AS (SELECT point_id, count(*)::INT AS matched, round(sum(idf * tf * 2.2 / (
 
 @query("t02_bm25_topk", f"WITH {_bm25_sql(['apache', 'license'])} SELECT point_id, matched, round(bm25, 6) AS bm25 FROM hits ORDER BY hits.bm25 DESC, point_id LIMIT 20")
 def t02_bm25_topk(spark, sf_dir):
-    hits = retrieval.bm25_scores(word_index(spark, sf_dir), ["apache", "license"])
+    hits = words.match(word_index(spark, sf_dir), words.parse("apache OR license"))
     return hits.orderBy(F.desc("bm25"), "point_id").limit(20).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
 
 
 @query("t02_bm25_indexed", f"WITH {_bm25_sql(['apache', 'license'])} SELECT point_id, matched, round(bm25, 6) AS bm25 FROM hits")
 def t02_bm25_indexed(spark, sf_dir):
     """All hits, not only the best."""
-    return retrieval.bm25_scores(word_index(spark, sf_dir), ["apache", "license"]).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
+    return words.match(word_index(spark, sf_dir), words.parse("apache OR license")).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
 
 
 _RARE = "Heanonha ndesou license"
 
 
 def _keyword_sql(question: str, k: int) -> str:
-    terms = retrieval.query_terms(question)
+    terms = words.query_terms(question)
     return f"""{_bm25_sql(terms)}, counts AS (SELECT least(count(*) FILTER (matched = {len(terms)}), {k}) AS n_all, least(count(*), {k}) AS n_any FROM hits),
 words AS (SELECT point_id, matched, hits.bm25 FROM hits, counts WHERE matched = {len(terms)} OR (n_all < {k} AND n_any > n_all) ORDER BY hits.bm25 DESC, point_id LIMIT {k})"""
 
 
 @query("t02_and_or_fallback", f"WITH {_keyword_sql(_RARE, 10)} SELECT point_id, matched, round(bm25, 6) AS bm25 FROM words")
 def t02_and_or_fallback(spark, sf_dir):
-    return retrieval.keyword_search(word_index(spark, sf_dir), _RARE, 10).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
+    return words.keyword_search(word_index(spark, sf_dir), _RARE, 10).select("point_id", "matched", F.round("bm25", 6).alias("bm25"))
 
 
 @query("t03_phrase", f"""SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all({_FOLD.format('text')}, '[\\p{{L}}\\p{{N}}_]+'), ' ') || ' ', ' rights reserved ')
   OR contains(' ' || array_to_string(regexp_extract_all({_FOLD.format('text')}, '[\\p{{L}}\\p{{N}}_]+'), ' ') || ' ', ' public license ')""")
 def t03_phrase(spark, sf_dir):
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").where(retrieval.phrase_filter(text, "rights reserved") | retrieval.phrase_filter(text, "public license")).select("doc_id")
+    """Only the postings of the phrases' words are read."""
+    return words.match(word_index(spark, sf_dir), words.parse('"rights reserved" OR "public license"')).select(F.col("point_id").alias("doc_id"))
+
+
+SHAPES = {"all": "apache license", "any": "apache OR gpl OR mit", "without": "license NOT (apache OR mit)", "prefix": "licens* AND apa*", "phrase": '"public license" OR ("rights reserved" AND copyright)'}
+_HAS = "list_contains(w, '{}')"
+_SHAPES_SQL = {
+    "all": f"{_HAS.format('apache')} AND {_HAS.format('license')}", "any": " OR ".join(_HAS.format(x) for x in ("apache", "gpl", "mit")),
+    "without": f"{_HAS.format('license')} AND NOT ({_HAS.format('apache')} OR {_HAS.format('mit')})",
+    "prefix": "len(list_filter(w, lambda x: x LIKE 'licens%')) > 0 AND len(list_filter(w, lambda x: x LIKE 'apa%')) > 0",
+    "phrase": f"contains(line, ' public license ') OR (contains(line, ' rights reserved ') AND {_HAS.format('copyright')})",
+}
+
+
+@query("t02_query_shapes", f"WITH toks AS (SELECT doc_id AS point_id, regexp_extract_all({_FOLD.format('text')}, '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), lined AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM toks) "
+       + " UNION ALL ".join(f"SELECT '{name}' AS shape, point_id FROM lined WHERE {where}" for name, where in _SHAPES_SQL.items()))
+def t02_query_shapes(spark, sf_dir):
+    """All hits of five shapes of queries."""
+    index, out = word_index(spark, sf_dir), None
+    for name, text in SHAPES.items():
+        hits = words.match(index, words.parse(text)).select(F.lit(name).alias("shape"), "point_id")
+        out = hits if out is None else out.unionAll(hits)
+    return out
+
+
+@query("k02_many_questions", f"""WITH toks AS (SELECT doc_id AS point_id, regexp_extract_all({_FOLD.format("text")}, '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), stats AS (SELECT count(*) AS n, avg(len(w)) AS mean_len FROM toks),
+tf AS (SELECT point_id, any_value(n) AS doc_len, term, count(*) AS tf FROM (SELECT point_id, len(w) AS n, unnest(w) AS term FROM toks) GROUP BY point_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all({_FOLD.format("text")}, '[\\p{{L}}\\p{{N}}_]+')) AS term FROM benchmark),
+part AS (SELECT query, point_id, round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean_len)), 9)::DECIMAL(18,9) AS x FROM asked JOIN df USING (term) JOIN tf USING (term), stats),
+summed AS (SELECT query, point_id, sum(x)::DOUBLE AS bm25 FROM part GROUP BY query, point_id), best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY bm25 DESC, point_id) AS n FROM summed)
+SELECT query, point_id, round(bm25, 6) AS bm25, n FROM best WHERE n <= 3""")
+def k02_many_questions(spark, sf_dir):
+    """The three best documents for each benchmark passage, by any of its words."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return words.keyword_search_each(word_index(spark, sf_dir), asked, 3).select("query", "point_id", F.round("bm25", 6).alias("bm25"), "n")
 
 
 @query("s16_postings", f"""SELECT doc_id AS point_id, term, count(*) AS tf, any_value(n)::INT AS doc_len FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM
   (SELECT doc_id, regexp_extract_all({_FOLD.format('text')}, '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents)) GROUP BY doc_id, term""")
 def s16_postings(spark, sf_dir):
-    return word_index(spark, sf_dir).terms().drop("bucket")
+    return word_index(spark, sf_dir).terms().drop("bucket", "positions")
 
 
 @query("s16_replaced_postings", f"""SELECT doc_id AS point_id, term, count(*) AS tf, any_value(n)::INT AS doc_len FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM
@@ -99,7 +132,11 @@ def s16_postings(spark, sf_dir):
 def s16_replaced_postings(spark, sf_dir):
     """One source's documents get new texts: their postings are replaced, all others stay as stored."""
     touched = table(spark, sf_dir, "documents").where("source = 'src1'").select(F.col("doc_id").alias("point_id"), F.concat(F.lit("Replaced "), "lang").alias("text"))
-    return word_index(spark, sf_dir).replace(touched)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    index = words.Index(spark, new_folder(spark, "words"))
+    index.add(0, docs)
+    index.add(1, touched)
+    return index.terms().drop("bucket", "positions")
 
 
 _FUSED = f"""ranked_words AS (SELECT point_id, row_number() OVER (ORDER BY words.bm25 DESC, point_id) - 1 AS rank FROM words),
@@ -113,12 +150,12 @@ _CHAIN = f"WITH {POINTS_SQL}, {_NEAR}, {_PRE}, {_keyword_sql(QUESTION, 24)}, {_F
 def j03_rrf_fuse(spark, sf_dir):
     pts = points(spark, sf_dir, vectors=True)
     near = retrieval.pre_ranked(retrieval.vector_top_k(pts.select("point_id", "created_at", "embedding"), query_vector(spark, sf_dir), 48), F.col("created_at"), as_of())
-    words = retrieval.ranked(retrieval.keyword_search(word_index(spark, sf_dir), QUESTION, 24), [F.desc("bm25"), F.col("point_id")])
-    fused = retrieval.ranked(retrieval.fuse(near.withColumnRenamed("score", "vscore"), words, 48), [F.desc("raw"), F.col("point_id")], "fused_rank")
+    found = retrieval.ranked(words.keyword_search(word_index(spark, sf_dir), QUESTION, 24), [F.desc("bm25"), F.col("point_id")])
+    fused = retrieval.ranked(retrieval.fuse(near.withColumnRenamed("score", "vscore"), found, 48), [F.desc("raw"), F.col("point_id")], "fused_rank")
     return fused.select("point_id", "rrf", F.round("vscore", 6).alias("vscore"), "fused_rank")
 
 
-_TERMS = sorted({t for t in retrieval.query_terms_in_order(QUESTION) if len(t) >= 4})
+_TERMS = sorted({t for t in words.query_terms_in_order(QUESTION) if len(t) >= 4})
 _POOLED = f"""hits AS (SELECT f.*, p.source, p.title, p.chunk_index, p.text FROM fused f JOIN points p USING (point_id)),""".replace("hits AS", "shown AS") + f"""
 kept AS (SELECT * FROM shown QUALIFY row_number() OVER (PARTITION BY source, chunk_index, substr(text, 1, 80) ORDER BY fused_rank) = 1),
 bonus AS (SELECT *, round(round(raw, 5) + 0.008 * least({' + '.join(f"contains(lower(title), '{t}')::INT" for t in _TERMS)}, 2), 5) AS rrf FROM kept),
@@ -209,14 +246,18 @@ def s2_retrieval_gate(spark, sf_dir):
     bench = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     index = word_index(spark, sf_dir).terms().select("point_id", "term")
     # words at a passage's ends may be parts of longer ones in a document
-    inner = F.slice(retrieval.tokens(F.col("passage")), 2, F.greatest(F.size(retrieval.tokens(F.col("passage"))) - 2, F.lit(0)))
-    words = bench.select("item_id", F.explode(F.array_distinct(inner)).alias("term"))
-    df = index.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = words.join(df, "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    inner = F.slice(words.tokens(F.col("passage")), 2, F.greatest(F.size(words.tokens(F.col("passage"))) - 2, F.lit(0)))
+    own = bench.select("item_id", F.explode(F.array_distinct(inner)).alias("term"))
+    df = index.join(own.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = own.join(df, "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     met = rarest.join(index, "term").select("item_id", F.col("point_id").alias("doc_id"))
-    # a passage of two words or fewer has no inner word and is not looked for
-    pairs = met.join(bench, "item_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    hits = pairs.where(F.contains("text", F.col("passage"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("found_in"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a passage of two words or fewer has no inner word: each text is searched for it, in one pass over the texts
+    short = F.broadcast(bench.where(F.size(words.tokens(F.col("passage"))) <= 2).agg(F.collect_list(F.struct("item_id", "passage")).alias("short")))
+    scanned = docs.crossJoin(short).select("doc_id", F.explode(F.filter("short", lambda x: F.contains(F.col("text"), x["passage"]))).alias("x"))  # one row
+    pairs = met.join(bench, "item_id").join(docs, "doc_id").select("item_id", "doc_id", "text", "passage")
+    pairs = pairs.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id").unionAll(scanned.select("x.item_id", "doc_id"))
+    hits = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("found_in"))
     return bench.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("found_in", F.lit(0)).alias("found_in"), F.col("found_in").isNotNull().alias("ok"))
 
 

@@ -52,9 +52,18 @@ def co_mentions(mentions: DataFrame, top: int = TOP_PER_DOC) -> DataFrame:
 
 def mined(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, n_ab, weight, confidence): PMI and its normalised form of every pair; none for fewer than two documents."""
+    return weighed(*counted(mentions, pairs))
+
+
+def counted(mentions: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """How many documents hold each entity (entity_id, df) and each pair (a, b, n_ab), and how many there are (n)."""
     n = mentions.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))
     df = mentions.select("entity_id", "doc_id").distinct().groupBy("entity_id").agg(F.count(F.lit(1)).alias("df"))
-    both = pairs.select("a", "b", "doc_id").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+    return df, pairs.select("a", "b", "doc_id").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")), n
+
+
+def weighed(df: DataFrame, both: DataFrame, n: DataFrame) -> DataFrame:
+    """mined() from counts that are at hand."""
     met = both.join(df.select(F.col("entity_id").alias("a"), F.col("df").alias("n_a")), "a").join(df.select(F.col("entity_id").alias("b"), F.col("df").alias("n_b")), "b")
     met = met.crossJoin(F.broadcast(n)).where("n >= 2")  # one row
     args = [F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b", "n")]

@@ -9,13 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scores
 from sparkloom.functions.text import title_hits, verbatim_window
+from sparkloom.operators.words import Index, keyword_search
 
-WORD = r"((?U)\w+)"
 POOL, PER_DOC, DEDUP_CHARS = 8, 2, 80
 
 
@@ -38,123 +38,6 @@ def pre_ranked(hits: DataFrame, stamp: Column, as_of: Column, id_col: str = "poi
     return ranked(mixed, [F.desc("pre_score"), F.col(id_col)])
 
 
-def folded(text: Column) -> Column:
-    """Lower case; the accents of western European letters are folded as the keyword index does."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-
-
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(1))
-
-
-def query_terms(question: str) -> list[str]:
-    table = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return list(dict.fromkeys(re.findall(r"\w+", question.lower().translate(table))))
-
-
-def postings(points: DataFrame, id_col: str = "point_id", text_col: str = "text") -> DataFrame:
-    """(point_id, term, tf, doc_len): the inverted index as a table."""
-    words = points.select(F.col(id_col).alias("point_id"), tokens(F.col(text_col)).alias("words"))
-    flat = words.select("point_id", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
-    return flat.groupBy("point_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-
-
-class Index:
-    """Stored postings: (point_id, term, tf, doc_len) in buckets of terms, and one row of corpus statistics.
-
-    A question reads the folders of its terms' buckets and, within them, the row groups that hold its terms. Texts are
-    split into words once, when they are stored; new versions of documents replace their postings only.
-    """
-
-    BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def write(self, index: DataFrame, points: DataFrame | None = None, mode: str = "overwrite") -> None:
-        """index: postings() of all points. points: ids of points that may have no word, for the statistics."""
-        bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
-        sorted_ = bucketed.repartition(self.BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "point_id")
-        sorted_.write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/terms")
-        docs = self.terms().groupBy("point_id").agg(F.first("doc_len").alias("doc_len"))
-        if points is not None:
-            docs = points.select("point_id").distinct().join(docs, "point_id", "left").select("point_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
-        docs.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean_len")).write.mode("overwrite").parquet(f"{self.path}/stats")
-
-    def terms(self) -> DataFrame:
-        return self.spark.read.schema("point_id long, term string, tf long, doc_len int, bucket int").parquet(f"{self.path}/terms")
-
-    def stats(self) -> DataFrame:
-        """n, mean_len: one row."""
-        return self.spark.read.schema("n long, mean_len double").parquet(f"{self.path}/stats")
-
-    def of(self, terms: Sequence[str]) -> DataFrame:
-        """The postings of some terms; buckets are worked out by Spark once, so that only their folders are listed."""
-        wanted = self.spark.range(1).select(F.explode(F.array(*(F.lit(t) for t in terms))).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(self.BUCKETS)).cast("int"))
-        return self.terms().where(F.col("bucket").isin(sorted({r[0] for r in wanted.collect()})) & F.col("term").isin(*terms))
-
-    def replace(self, points: DataFrame, text_col: str = "text") -> DataFrame:
-        """All postings after these points (point_id and text) have taken the place of their former versions; for write()."""
-        kept = self.terms().drop("bucket").join(points.select("point_id").distinct(), "point_id", "left_anti")
-        return kept.unionByName(postings(points.where(F.col(text_col).isNotNull()), text_col=text_col).select(kept.columns))
-
-
-def bm25_scores(index: Index, terms: Sequence[str]) -> DataFrame:
-    """(point_id, matched, bm25) of the points with any of a few terms; more is better."""
-    own = index.of(terms)
-    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    met = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.stats()))  # as many rows as terms, and one
-    part = scores.bm25_term(scores.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("mean_len"))
-    # summed in the order of the terms, so that the last digit does not depend on partitions
-    order = F.array(*(F.lit(t) for t in terms))
-    parts = F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("term")).alias("i"), part.alias("x"))))
-    total = F.aggregate(parts, F.lit(0.0), lambda done, x: done + x["x"])
-    return met.groupBy("point_id").agg(F.count(F.lit(1)).cast("int").alias("matched"), F.round(total, 9).alias("bm25"))
-
-
-def phrase_filter(text: Column, phrase: str) -> Column:
-    """Whether the phrase's words stand side by side."""
-    return F.contains(F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" ")), F.lit(f" {' '.join(query_terms_in_order(phrase))} "))
-
-
-def query_terms_in_order(question: str) -> list[str]:
-    table = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return re.findall(r"\w+", question.lower().translate(table))
-
-
-def keyword_search(index: Index, question: str, k: int, or_fallback: bool = True) -> DataFrame:
-    """The k best points by BM25 that hold all terms; if fewer than k do and more hold any, the list of any."""
-    terms = query_terms(question)
-    hits = bm25_scores(index, terms or ["\0"])
-    if not terms:
-        return hits
-    every = F.col("matched") == len(terms)
-    if not or_fallback or len(terms) == 1:
-        return hits.where(every).orderBy(F.desc("bm25"), "point_id").limit(k)
-    # the k best of either kind are enough to decide between the two lists, so the scores are computed once
-    nth = F.row_number().over(Window.partitionBy("every").orderBy(F.desc("bm25"), "point_id"))
-    few = hits.withColumn("every", every).withColumn("nth", nth).where(F.col("nth") <= k)
-    all_rows = Window.partitionBy()
-    few = few.withColumns({"n_all": F.count_if("every").over(all_rows), "n_any": F.least(F.count(F.lit(1)).over(all_rows), F.lit(k))})
-    kept = few.where(F.col("every") | ((F.col("n_all") < k) & (F.col("n_any") > F.col("n_all"))))
-    return kept.select("point_id", "matched", "bm25").orderBy(F.desc("bm25"), "point_id").limit(k)
-
-
-def keyword_search_each(index: Index, asked: DataFrame, k: int) -> DataFrame:
-    """(query, point_id, bm25, n): the k best points by BM25, with any of its words, for each of many questions (query, text).
-
-    Questions meet the stored postings on their words; only words of questions are read into the join.
-    """
-    words = asked.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    own = index.terms().drop("bucket").join(words.select("term").distinct(), "term", "left_semi")
-    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    met = words.join(df, "term").join(own, "term").crossJoin(F.broadcast(index.stats()))  # one row
-    part = scores.bm25_term(scores.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("mean_len"))
-    summed = met.groupBy("query", "point_id").agg(F.sum(F.round(part, 9).cast("decimal(18,9)")).cast("double").alias("bm25"))
-    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bm25"), "point_id"))
-    return summed.withColumn("n", nth).where(F.col("n") <= k)
-
-
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int) -> DataFrame:
     """Reciprocal rank fusion of (point_id, rank, vscore) and (point_id, rank): point_id, rrf, vscore."""
     both = vector_hits.select("point_id", "rank", F.col("vscore").cast("double")).unionAll(keyword_hits.select("point_id", "rank", F.lit(None).cast("double")))
@@ -179,6 +62,11 @@ def pooled(hits: DataFrame, k: int) -> DataFrame:
     return both.orderBy(F.desc("doc_score"), "first_rank", "nth").limit(k)
 
 
+def shown_title(title: Column, source: Column) -> Column:
+    """The title, or the file name of the source where there is none."""
+    return F.coalesce(F.nullif(title, F.lit("")), F.regexp_extract(F.coalesce(source, F.lit("")), r"([^/]*)$", 1))
+
+
 def retrieve(points: DataFrame, index: Index, question: str, query_vector: Sequence[float] | Column, as_of: Column, k: int = 6) -> DataFrame:
     """The whole chain over points (point_id, source, title, chunk_index, created_at, text, injection_risk, embedding) and their stored index.
 
@@ -192,8 +80,8 @@ def retrieve(points: DataFrame, index: Index, question: str, query_vector: Seque
     shown = points.select("point_id", "source", "title", "chunk_index", "text", "injection_risk")
     hits = shown.join(F.broadcast(fused), "point_id")  # at most ``pool`` rows
     kept = first_of_each(hits, F.col("source"), F.col("chunk_index"), F.col("text"), [F.col("fused_rank")])
-    terms = [t for t in query_terms_in_order(question) if len(t) >= 4]
-    bonus = scores.TITLE_BONUS * title_hits(F.coalesce("title", "source"), F.array_distinct(F.array(*(F.lit(t) for t in terms)).cast("array<string>")))
+    terms = F.array(*(F.lit(t) for t in dict.fromkeys(re.findall(r"\w{4,}", question.lower())))).cast("array<string>")
+    bonus = scores.TITLE_BONUS * title_hits(shown_title(F.col("title"), F.col("source")), terms)
     out = pooled(kept.withColumn("rrf", F.round(F.col("rrf") + bonus, 5)), k)
     return ranked(out, [F.desc("doc_score"), F.col("first_rank"), F.col("nth")], "position").select("point_id", "source", "title", "chunk_index", "text", "rrf", "vscore", "doc_score", "fused_rank", "position")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import grounding, retrieval
+from sparkloom.operators.words import Index
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,7 @@ class AgentSpec:
     focus: str = ""
 
 
-def evidence(points: DataFrame, index: retrieval.Index, question: str, query_vector: Sequence[float] | Column, as_of: Column, spec: AgentSpec = AgentSpec()) -> DataFrame:
+def evidence(points: DataFrame, index: Index, question: str, query_vector: Sequence[float] | Column, as_of: Column, spec: AgentSpec = AgentSpec()) -> DataFrame:
     """The hits for a question; a focus adds its terms to the search only."""
     return retrieval.retrieve(points, index, f"{question} {spec.focus}".strip(), query_vector, as_of, spec.k)
 

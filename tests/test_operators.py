@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import guard, identity, policy, scores, text
-from sparkloom.operators import chunking, entities, graph, grounding, ledger, resolve, retrieval
+from sparkloom.operators import chunking, entities, graph, grounding, ledger, resolve, retrieval, words
 from sparkloom.operators.components import connected_components
 from sparkloom.plans import ask
 
@@ -170,16 +170,17 @@ def _points(spark):
 def _index(spark):
     from sparkloom.session import new_folder
 
-    index = retrieval.Index(spark, new_folder(spark, "words"))
-    index.write(retrieval.postings(_points(spark)), _points(spark))
+    index = words.Index(spark, new_folder(spark, "words"))
+    index.add(0, _points(spark))
     return index
 
 
 def test_replaced_postings_and_no_terms(spark):
     index = _index(spark)
-    before = {tuple(r) for r in index.terms().drop("bucket").collect()}
+    before = {tuple(r) for r in index.terms().select("point_id", "term", "tf", "doc_len").collect()}
     new = spark.createDataFrame([(1, "quite other words words"), (99, "brand new")], "point_id long, text string")
-    after = {tuple(r) for r in index.replace(new).collect()}
+    index.add(1, new)
+    after = {tuple(r) for r in index.terms().select("point_id", "term", "tf", "doc_len").collect()}
     assert {r for r in after if r[0] not in (1, 99)} == {r for r in before if r[0] != 1}
     assert {r for r in after if r[0] in (1, 99)} == {(1, "quite", 1, 4), (1, "other", 1, 4), (1, "words", 2, 4), (99, "brand", 1, 2), (99, "new", 1, 2)}
     assert retrieval.keyword_search(index, "?!", 5).count() == 0
@@ -314,10 +315,10 @@ def test_independent_claims_equal_single_questions(spark):
     got = {(r["answer"], r["sentence_index"]): r for r in grounding.independent(claims, index, points, "answer", 2).collect()}
     assert set(got) == {(1, 0), (1, 1), (2, 0)} and got[1, 0]["grounded"] in (True, False)
     assert not got[1, 1]["grounded"] and got[1, 1]["docs"] == []
-    each = retrieval.keyword_search_each(index, claims.select(F.struct("answer", "sentence_index").alias("query"), F.col("claim").alias("text")), 2).collect()
+    each = words.keyword_search_each(index, claims.select(F.struct("answer", "sentence_index").alias("query"), F.col("claim").alias("text")), 2).collect()
     for (answer, n), claim in {(r["answer"], r["sentence_index"]): r["claim"] for r in claims.collect()}.items():
-        terms = retrieval.query_terms(claim)
-        plain = sorted(retrieval.bm25_scores(index, terms).collect(), key=lambda r: (-r["bm25"], r["point_id"]))[:2]
+        terms = words.query_terms(claim)
+        plain = sorted(words.match(index, words.parse(" OR ".join(terms))).collect(), key=lambda r: (-r["bm25"], r["point_id"]))[:2]
         mine = sorted((r for r in each if tuple(r["query"]) == (answer, n)), key=lambda r: r["n"])
         assert [(r["point_id"], round(r["bm25"], 6)) for r in mine] == [(r["point_id"], round(r["bm25"], 6)) for r in plain]
 
