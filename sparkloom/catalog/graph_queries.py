@@ -328,9 +328,10 @@ def w06_representative(spark, sf_dir):
     return graph.representative_chunks(chunks, 3).select("doc_id", "chunk_index")
 
 
-@query("u02_linked_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 997 AS a, l_partkey % 991 + 1000 AS b FROM lineitem WHERE l_quantity = 1), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON r.node = b.a WHERE r.root < b.b) SELECT node, min(root) AS component FROM r GROUP BY node""")
+@query("u02_linked_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT w.b, min(r.root) FROM r JOIN both_ways w ON r.node = w.a JOIN recurring.r AS held ON held.node = w.b WHERE r.root < held.root GROUP BY w.b)
+SELECT node, root AS component FROM r""")
 def u02_linked_components(spark, sf_dir):
-    """Components of links between orders and parts, under the smallest id."""
-    pairs = table(spark, sf_dir, "lineitem").where("l_quantity = 1").select((F.col("l_orderkey") % 997).alias("src"), (F.col("l_partkey") % 991 + 1000).alias("dst"))
+    """Components of links between orders and parts, over all line items, under the smallest id; parts have negative ids."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst"))
     return connected_components(pairs)

@@ -69,9 +69,9 @@ def p11_valid_specs(spark, sf_dir):
 
 
 @query("a30_artifact_states", """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'error' WHEN count(p_partkey) = 0 THEN 'empty' ELSE 'loaded' END AS state, count(p_partkey) AS n
-FROM supplier LEFT JOIN part ON p_partkey = s_suppkey * 3 AND p_size > 25 GROUP BY s_suppkey""")
+FROM supplier LEFT JOIN part ON p_partkey % 90 = s_suppkey GROUP BY s_suppkey""")
 def a30_artifact_states(spark, sf_dir):
-    """Suppliers as artifact folders, large parts as their files; every seventh cannot be read."""
+    """Suppliers as artifact folders, parts as their files; every seventh cannot be read."""
     folders = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 7 == 0, "unreadable").alias("error"))
-    files = table(spark, sf_dir, "part").where("p_size > 25 and p_partkey % 3 = 0").select((F.col("p_partkey") / 3).cast("long").alias("id"))
+    files = table(spark, sf_dir, "part").select((F.col("p_partkey") % 90).alias("id"))
     return ledger.artifact_states(folders, files)

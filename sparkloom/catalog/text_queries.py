@@ -111,7 +111,7 @@ def f22_theme(spark, sf_dir):
 
 @query("f20_verbatim_window")
 def f20_verbatim_window(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.verbatim_window(F.substring("text", 8, F.lit(1 << 30))).alias("window"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.verbatim_window(F.concat(F.lit("end of a line before. "), "text")).alias("window"))
 
 
 @query("f37_markers", "SELECT doc_id, (regexp_matches(text, '(?i)licensed')::INT + regexp_matches(text, '(?i)version')::INT + regexp_matches(text, '(?i)rights reserved')::INT) AS hits FROM documents")
@@ -153,9 +153,9 @@ _MONEY_SQL = """CASE WHEN v >= 1e7 THEN '₹' || regexp_replace(regexp_replace(p
   WHEN v >= 1e3 THEN '₹' || regexp_replace(regexp_replace(printf('%.4f', v / 1e3), '0+$', ''), '\\.$', '') || 'k' ELSE '₹' || regexp_replace(regexp_replace(printf('%.4f', v), '0+$', ''), '\\.$', '') END"""
 
 
-@query("f04_money", f"SELECT o_orderkey, {_MONEY_SQL} AS label, printf('inr:%.2f', v) AS key, true AS qualifies FROM (SELECT o_orderkey, round(o_totalprice / 10) * 10 AS v FROM orders) WHERE v >= 1000")
+@query("f04_money", f"SELECT o_orderkey, {_MONEY_SQL} AS label, printf('inr:%.2f', v) AS key, v >= 1000 AS qualifies FROM (SELECT o_orderkey, round(o_totalprice / 10) * 10 AS v FROM orders)")
 def f04_money(spark, sf_dir):
-    priced = table(spark, sf_dir, "orders").where(F.round(F.col("o_totalprice") / 10) * 10 >= 1000)
+    priced = table(spark, sf_dir, "orders")
     said = F.concat(F.lit("about Rs. "), F.format_number(F.round(F.col("o_totalprice") / 10) * 10, 0))
     return priced.select("o_orderkey", identity.parse_money(said).alias("m")).select("o_orderkey", "m.label", "m.key", "m.qualifies")
 

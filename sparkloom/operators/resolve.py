@@ -17,6 +17,7 @@ from sparkloom.operators.graph import TYPE_EVIDENCE
 # fixed values
 LEAST_RATIO, LENGTH_WINDOW, LEAST_LENGTH = 0.92, 2, 6
 _GRAM = 4
+SHORT = 22  # characters; of two similar keys of which one has so many, at most two characters of each stay unmatched
 
 
 def entity_id(key: Column, type_: Column) -> Column:
@@ -36,13 +37,53 @@ def _prefix(size: Column) -> Column:
 
 
 def similar_keys(keys: DataFrame) -> DataFrame:
-    """(type, a, b, ratio) of the keys (type, canonical_key) of one type, first letter and nearly one length whose ratio reaches LEAST_RATIO; a < b.
+    """(type, a, b, ratio) of the keys (type, canonical_key) of one type, first letter and nearly one length whose ratio reaches LEAST_RATIO; a < b."""
+    return candidate_pairs(keys).withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= LEAST_RATIO)
 
-    Keys meet over their rarest grams of four, so a block is never a whole type or letter, and a common ending such as
-    a legal form brings no keys together.
+
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """(type, a, b) of the pairs that are compared: all similar ones, and few others.
+
+    What two similar keys match in is a common subsequence of M = ratio (a + b) / 2 characters. If the shorter one has SHORT
+    characters at most, M leaves one or two of each out, so both keys are listed under all that is left of them without as many,
+    and meet where these are equal: only pairs with a common subsequence of M meet, however alike all keys are. Longer keys
+    meet over their rarest grams of four, and are held against the number of characters that may differ before they are compared.
     """
     keys = keys.select("type", "canonical_key").distinct().where(F.length("canonical_key") >= LEAST_LENGTH)
     keys = keys.withColumns({"size": F.length("canonical_key"), "first": F.substring("canonical_key", 1, 1)})
+    return _by_deletion(keys).unionAll(_by_grams(keys.where(F.col("size") > SHORT)))
+
+
+def _matched(a: Column, b: Column) -> Column:
+    """Characters that keys of two lengths match in at least."""
+    return F.ceil(LEAST_RATIO * (a + b) / 2 - 1e-9).cast("int")
+
+
+def _without_some(key: Column, size: Column) -> list[Column]:
+    """What is left of a key without none, each one, and each two of its characters."""
+    cut = lambda text, i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.lit(1 << 30)))
+    one = F.transform(F.sequence(F.lit(1), size), lambda i: cut(key, i))
+    two = F.flatten(F.transform(F.sequence(F.lit(2), size), lambda j: F.transform(F.sequence(F.lit(1), j - 1), lambda i: cut(cut(key, j), i))))
+    return [F.array(key), one, two]
+
+
+def _by_deletion(keys: DataFrame) -> DataFrame:
+    size = F.col("size")
+    partners = F.filter(F.transform(F.sequence(-F.lit(LENGTH_WINDOW), F.lit(LENGTH_WINDOW)), lambda d: size + d),
+                        lambda other: (other >= LEAST_LENGTH) & (F.least(size, other) <= SHORT) & (_matched(size, other) <= F.least(size, other)))
+    meet = F.transform(partners, lambda other: F.struct(F.least(size, other).alias("low"), F.greatest(size, other).alias("high"), (size - _matched(size, other)).alias("out")))
+    none, one, two = _without_some(F.col("canonical_key"), size)
+    listed = keys.where(size <= SHORT + LENGTH_WINDOW).select("*", F.explode(meet).alias("m")).select("type", "first", "canonical_key", "size", "m.*")
+    left = F.when(F.col("out") == 0, none).when(F.col("out") == 1, one).otherwise(two)
+    flat = listed.select("type", "first", "low", "high", "canonical_key", "size", F.explode(F.array_distinct(left)).alias("left"))
+    on = ["type", "first", "low", "high", "left"]
+    low = flat.where("size = low").select(*on, F.col("canonical_key").alias("x"))
+    high = flat.where("size = high").select(*on, F.col("canonical_key").alias("y"))
+    met = low.join(high, on).where("low < high or x < y")
+    return met.select("type", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _by_grams(keys: DataFrame) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(1), F.col("size") - (_GRAM - 1)), lambda i: F.substring(F.col("canonical_key"), i, F.lit(_GRAM)))
     numbered = F.transform(grams, lambda g, i: F.struct(g.alias("gram"), F.size(F.filter(F.slice(grams, 1, i), lambda x: x == g)).alias("again")))
     flat = keys.select("*", F.explode(numbered).alias("g")).select("type", "canonical_key", "size", "first", "g.*")
@@ -53,7 +94,9 @@ def similar_keys(keys: DataFrame) -> DataFrame:
     other = rare.withColumnsRenamed({"canonical_key": "b", "size": "size_b"})
     met = rare.withColumnRenamed("canonical_key", "a").join(other, ["type", "first", "gram", "again"]).where("a < b").where(F.abs(F.col("size") - F.col("size_b")) <= LENGTH_WINDOW)
     pairs = met.select("type", "a", "b").distinct()
-    return pairs.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= LEAST_RATIO)
+    # what is not matched is deleted from one key or put into the other
+    differ = F.length("a") + F.length("b") - 2 * _matched(F.length("a"), F.length("b"))
+    return pairs.where(F.levenshtein("a", "b") <= differ)
 
 
 def best_matches(keys: DataFrame) -> DataFrame:

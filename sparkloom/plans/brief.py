@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import base_name
 from sparkloom.operators import ledger
+from sparkloom.session import cut
 
 Section = Callable[[], DataFrame]
 
@@ -79,12 +80,12 @@ def latest(briefs: DataFrame) -> DataFrame:
 
 
 def build(sections: Mapping[str, Section], spark) -> DataFrame:
-    """All sections as one table; analysis errors of one do not stop the others."""
-    out = spark.createDataFrame([], "section string, line string, source string, date string")
+    """All sections as one table; each is worked out by itself, so that one that fails, while planned or while run, does not stop the others."""
+    empty = out = spark.createDataFrame([], "section string, line string, source string, date string")
     for name, section in sections.items():
         try:
-            rows = section()
+            rows = cut(section().select(*empty.columns))  # a few dozen lines
         except Exception as e:  # noqa: BLE001  a brief is better short than missing
-            rows = spark.createDataFrame([(name, f"section failed: {type(e).__name__}", "", "")], out.schema)
+            rows = spark.createDataFrame([(name, f"section failed: {type(e).__name__}", "", "")], empty.schema)
         out = out.unionByName(rows)
     return out

@@ -330,3 +330,11 @@ def test_folded_aliases_and_triples_without_keys(spark):
     triples = spark.createDataFrame([("d", "Acme", "org", "OWNS", "Bolt", "product", 0.8), ("d", "--", "org", "OWNS", "Bolt", "product", 0.6)], "doc_id string, subject string, subject_type string, predicate string, object string, object_type string, confidence double")
     entities, edges = graph.persisted_triples(triples)
     assert {r["canonical_key"] for r in entities.collect()} == {"acme", "bolt"} and edges.count() == 1
+
+
+def test_alike_keys_meet_only_if_they_are_similar(spark, sf_dir):
+    """Keys that share nearly all of their grams: few pairs are compared that are not similar, where all pairs are some hundred times as many."""
+    rows = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/customer.parquet")
+    names = rows.select(F.lit("org").alias("type"), F.regexp_replace(F.lower("c_name"), "#0+", " ").alias("canonical_key"))
+    n, met, true = names.count(), resolve.candidate_pairs(names).count(), resolve.similar_keys(names).count()
+    assert true > 1000 and met <= 20 * true and met < n * (n - 1) / 20

@@ -35,7 +35,7 @@ def window(text, limit=700):
 
 
 def test_windows(spark, sf_dir, texts):
-    assert {r["doc_id"]: r["window"] for r in run(spark, sf_dir, "f20_verbatim_window")} == {i: window((t or "")[7:]) for i, (t, _) in texts.items()}
+    assert {r["doc_id"]: r["window"] for r in run(spark, sf_dir, "f20_verbatim_window")} == {i: window("end of a line before. " + t if t is not None else "") for i, (t, _) in texts.items()}
 
 
 def test_extractive_answer(spark, sf_dir):
