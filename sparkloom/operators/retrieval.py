@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scores
 from sparkloom.functions.text import title_hits, verbatim_window
-from sparkloom.operators.words import Index, keyword_search
+from sparkloom.operators.words import Index, keyword_lists, keyword_search
 
 POOL, PER_DOC, DEDUP_CHARS = 8, 2, 80
+QUERY_BLOCK = 512
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -38,6 +39,14 @@ def pre_ranked(hits: DataFrame, stamp: Column, as_of: Column, id_col: str = "poi
     return ranked(mixed, [F.desc("pre_score"), F.col(id_col)])
 
 
+def _fused_each(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int) -> DataFrame:
+    """fuse() for each question: (query, point_id, rrf, vscore, raw, fused_rank)."""
+    both = vector_hits.select("query", "point_id", "rank", F.col("vscore").cast("double")).unionByName(keyword_hits.select("query", "point_id", "rank", F.lit(None).cast("double").alias("vscore")))
+    summed = both.groupBy("query", "point_id").agg(F.sum(scores.rrf(F.col("rank"))).alias("raw"), F.max("vscore").alias("vscore")).withColumn("raw", F.round("raw", 9))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("raw"), "point_id")) - 1
+    return summed.withColumn("fused_rank", nth).where(F.col("fused_rank") < limit).withColumn("rrf", F.round("raw", 5))
+
+
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int) -> DataFrame:
     """Reciprocal rank fusion of (point_id, rank, vscore) and (point_id, rank): point_id, rrf, vscore."""
     both = vector_hits.select("point_id", "rank", F.col("vscore").cast("double")).unionAll(keyword_hits.select("point_id", "rank", F.lit(None).cast("double")))
@@ -46,10 +55,10 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int) -> DataFra
     return kept.select("point_id", F.round("raw", 5).alias("rrf"), "vscore", "raw")
 
 
-def first_of_each(hits: DataFrame, source: Column, chunk: Column, text: Column, order: Sequence[Column]) -> DataFrame:
-    """Of hits that show the same passage the best one; flagged ones go first of all."""
+def first_of_each(hits: DataFrame, source: Column, chunk: Column, text: Column, order: Sequence[Column], each: Sequence[str] = ()) -> DataFrame:
+    """Of hits that show the same passage the best one; flagged ones go first of all. each: what tells questions apart."""
     safe = hits.where(~F.coalesce(F.col("injection_risk"), F.lit(False)))
-    w = Window.partitionBy(source, chunk, F.substring(F.coalesce(text, F.lit("")), 1, DEDUP_CHARS)).orderBy(*order)
+    w = Window.partitionBy(*each, source, chunk, F.substring(F.coalesce(text, F.lit("")), 1, DEDUP_CHARS)).orderBy(*order)
     return safe.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -86,6 +95,29 @@ def retrieve(points: DataFrame, index: Index, question: str, query_vector: Seque
     return ranked(out, [F.desc("doc_score"), F.col("first_rank"), F.col("nth")], "position").select("point_id", "source", "title", "chunk_index", "text", "rrf", "vscore", "doc_score", "fused_rank", "position")
 
 
+def retrieve_each(points: DataFrame, index: Index, asked: DataFrame, as_of: Column, k: int = 6) -> DataFrame:
+    """retrieve() for many questions (query, question, vector) in one plan, each step by question; what it returns, with ``query``.
+
+    Questions are words, or else phrases as a whole; the query syntax is for single ones.
+    """
+    pool = k * POOL
+    of = lambda *order: F.row_number().over(Window.partitionBy("query").orderBy(*order)) - 1
+    near = scored_each(points.select("point_id", "embedding"), asked.select("query", F.col("vector").alias("asked")), pool, "point_id").withColumnRenamed("id", "point_id")
+    near = near.join(points.select("point_id", "created_at"), "point_id")
+    near = near.withColumn("pre_score", F.round(scores.pre_rank(F.col("score"), scores.recency(F.col("created_at"), as_of)), 9)).withColumn("rank", of(F.desc("pre_score"), "point_id"))
+    found = keyword_lists(index, asked.select("query", F.col("question").alias("text")), k * 4).withColumn("rank", of(F.desc("bm25"), "point_id"))
+    fused = _fused_each(near.withColumnRenamed("score", "vscore"), found, pool)
+    hits = fused.join(points.select("point_id", "source", "title", "chunk_index", "text", "injection_risk"), "point_id").join(asked.select("query", "question"), "query")
+    kept = first_of_each(hits, F.col("source"), F.col("chunk_index"), F.col("text"), [F.col("fused_rank")], ["query"])
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"((?U)\w{4,})"), F.lit(1)))
+    kept = kept.withColumn("rrf", F.round(F.col("rrf") + scores.TITLE_BONUS * title_hits(shown_title(F.col("title"), F.col("source")), terms), 5))
+    of_doc = Window.partitionBy("query", "source")
+    both = kept.withColumn("nth", F.row_number().over(of_doc.orderBy("fused_rank"))).where(F.col("nth") <= PER_DOC)
+    both = both.withColumns({"doc_score": F.round(F.sum("rrf").over(of_doc), 5), "first_rank": F.min("fused_rank").over(of_doc)})
+    out = both.withColumn("position", of(F.desc("doc_score"), "first_rank", "nth")).where(F.col("position") < k)
+    return out.select("query", "point_id", "source", "title", "chunk_index", "text", "rrf", "vscore", "doc_score", "fused_rank", "position")
+
+
 def citations(hits: DataFrame, date: Column) -> DataFrame:
     """How a hit is shown: source, chunk, date, score of three places, snippet."""
     return hits.select("position", F.coalesce("source", "title", F.lit("unknown")).alias("source"), F.coalesce("chunk_index", F.lit(0)).alias("chunk"),
@@ -106,16 +138,25 @@ def extractive_answer(hits: DataFrame) -> DataFrame:
 
 
 def vector_top_k_each(points: DataFrame, asked: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """(query, id, n): the k most similar points of each of a stated set of queries (query, asked), exact.
+    """(query, id, n): the k most similar points of each of a stated set of queries (query, asked), exact."""
+    return scored_each(points, asked, k, id_col, vec_col).select("query", "id", "n")
+
+
+def scored_each(points: DataFrame, asked: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """vector_top_k_each() with the score.
 
     Queries meet the points in blocks of both, each pair of blocks in one task; only k rows a query leave a task's window.
+    There is a block for every QUERY_BLOCK queries, and blocks of points for about two tasks a partition.
     """
+    tasks = 2 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = max(1, -(-asked.count() // QUERY_BLOCK))
+    p = max(1, -(-tasks // q))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = asked.withColumns({"qa": deal("query", 8), "pa": F.explode(F.sequence(F.lit(0), F.lit(7)))})
-    right = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).withColumns({"pa": deal(F.col(id_col), 8), "qa": F.explode(F.sequence(F.lit(0), F.lit(7)))})
+    left = asked.withColumns({"qa": deal("query", q), "pa": F.explode(F.sequence(F.lit(0), F.lit(p - 1)))})
+    right = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).withColumns({"pa": deal("id", p), "qa": F.explode(F.sequence(F.lit(0), F.lit(q - 1)))})
     scored = left.join(right, ["qa", "pa"]).select("query", "id", F.round(scores.cosine(F.col("vec"), F.col("asked")), 9).alias("score")).where("score is not null")
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("n", nth).where(F.col("n") <= k).select("query", "id", "n")
+    return scored.withColumn("n", nth).where(F.col("n") <= k)
 
 
 def gate(hits: DataFrame, markers: Sequence[str], date: Column, top: int = 3) -> DataFrame:

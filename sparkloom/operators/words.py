@@ -335,3 +335,43 @@ def _bounded(index: Index, asked: DataFrame, k: int) -> tuple[DataFrame, DataFra
     more = parts(lookups, ["term", "point_id"], own).groupBy("query", "point_id").agg(F.sum("part").alias("more"))
     scored = candidates.join(more, ["query", "point_id"], "left").select("query", "point_id", (F.col("part") + F.coalesce("more", F.lit(0).cast("decimal(18,9)"))).cast("double").alias("bm25"))
     return makers.select("query", "term", "df"), scored
+
+
+def _marked(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """(query, point_id, bm25, n): the k best points that hold all words of a question of words, or the phrase of another one.
+
+    Candidates are the postings of a question's rarest word; its other words are looked up for these alone.
+    """
+    order = tokens(F.col("text"))
+    plain = F.col("text").rlike(r"^(?U)[\w\s]*$") & ~F.col("text").rlike(r"\b(AND|OR|NOT)\b")
+    asked = asked.select("query", order.alias("order"), plain.alias("plain")).where(F.size("order") > 0)
+    words = asked.select("query", F.explode(F.array_distinct("order")).alias("term"))
+    own = index.terms().join(words.select("term").distinct(), "term", "left_semi").select("term", "point_id", "tf", "doc_len", "positions")
+    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = words.join(df, "term")
+    rarest = known.groupBy("query").agg(F.min_by("term", F.struct("df", "term")).alias("rarest"), F.count(F.lit(1)).alias("known"))
+    whole = asked.join(rarest, "query").where(F.size(F.array_distinct("order")) == F.col("known"))  # a word that no point has: none has all
+    begun = whole.select("query", F.col("rarest").alias("term")).join(own.select("term", "point_id"), "term").select("query", "point_id")
+    met = begun.join(known, "query").join(own, ["term", "point_id"]).crossJoin(F.broadcast(index.stats()))  # one row
+    part = F.round(scores.bm25_term(scores.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("mean_len")), 9).cast("decimal(18,9)")
+    held = met.groupBy("query", "point_id").agg(F.count(F.lit(1)).alias("held"), F.sum(part).alias("sum"), F.first("doc_len").alias("doc_len"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    held = held.join(whole, "query").where("held = known")
+    at = lambda i: F.element_at("at", F.element_at("order", i + 1))
+    starts = F.aggregate(F.sequence(F.lit(0), F.size("order") - 1), at(F.lit(0)), lambda done, i: F.array_intersect(done, F.transform(at(i), lambda p: p - i)))
+    held = held.withColumn("times", F.when(~F.col("plain"), F.size(starts))).where("plain or times > 0")
+    same = held.where("not plain").groupBy("query").agg(F.count(F.lit(1)).alias("df"))
+    held = held.join(same, "query", "left").crossJoin(F.broadcast(index.stats()))  # one row
+    phrase = F.round(scores.bm25_term(scores.idf(F.col("n"), F.col("df")), F.col("times"), F.col("doc_len"), F.col("mean_len")), 9)
+    scored = held.select("query", "point_id", F.when(F.col("plain"), F.col("sum").cast("double")).otherwise(phrase).alias("bm25"))
+    return scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bm25"), "point_id"))).where(F.col("n") <= k)
+
+
+def keyword_lists(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """(query, point_id, bm25, n): keyword_search() for each of many questions (query, text) without syntax."""
+    every, any_ = _marked(index, asked, k), keyword_search_each(index, asked, k)
+    both = every.withColumn("every", F.lit(True)).unionAll(any_.select("query", "point_id", "bm25", "n").withColumn("every", F.lit(False)))
+    n_words = asked.select("query", F.size(F.array_distinct(tokens(F.col("text")))).alias("words"))
+    mine = Window.partitionBy("query")
+    judged = both.join(n_words, "query").withColumns({"n_all": F.count_if("every").over(mine), "n_any": F.count_if(~F.col("every")).over(mine)})
+    own = (F.col("words") < 2) | (F.col("n_all") >= k) | (F.col("n_any") <= F.col("n_all"))
+    return judged.where(F.col("every") == own).select("query", "point_id", "bm25", "n")
