@@ -17,7 +17,7 @@ _MASKED = "text"
 for _p in [p for _, p, _ in ents.TYPED] + [ents.MONEY]:
     _MASKED = f"regexp_replace({_MASKED}, {quoted(_p)}, ' ', 'g')"
 _EDGE = "|".join(ents.EDGE_WORDS)
-_TRIM = f"trim(regexp_replace(regexp_replace(raw, '(?i)^(?:(?:{_EDGE})(?:''s)?(?:\\s+|$))+', ''), '(?i)(?:(?:^|\\s+)(?:{_EDGE})(?:''s)?)+$', ''))"
+_TRIM = f"trim(regexp_replace(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '(?i)^(?:(?:{_EDGE})(?:''s)?(?:\\s+|$))+', ''), '(?i)(?:(?:^|\\s+)(?:{_EDGE})(?:''s)?)+$', ''))"
 _KEY = r"trim(regexp_replace(lower(regexp_replace({}, '''s\b|''$', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 _LABEL = r"""regexp_replace(trim(regexp_replace(regexp_replace(trim({}), '''s\b|''$', '', 'g'), '\s+', ' ', 'g')), '^[ ,.;:!?''"-]+|[ ,.;:!?''"-]+$', '', 'g')"""
 _STOP = ", ".join(f"'{w}'" for w in ents.EDGE_WORDS)

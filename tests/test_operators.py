@@ -338,3 +338,25 @@ def test_alike_keys_meet_only_if_they_are_similar(spark, sf_dir):
     names = rows.select(F.lit("org").alias("type"), F.regexp_replace(F.lower("c_name"), "#0+", " ").alias("canonical_key"))
     n, met, true = names.count(), resolve.candidate_pairs(names).count(), resolve.similar_keys(names).count()
     assert true > 1000 and met <= 20 * true and met < n * (n - 1) / 20
+
+
+def test_typed_spans_and_masks_keep_offsets(spark):
+    """Spans index the original text; a masked text is as long, with its line ends; a name does not run over a masked span's line end."""
+    texts = ["Due 2024-01-02 for Acme, Rs. 5 lakh.\nL12 and S3a: LOCKED by Ünï Acme on Jan 5, 2024", "Plain words only.", "", "Jan\n5, 2024 Beta Works", "Alpha L7 Beta\nGamma 2023-05-06\nDelta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = entities.typed_spans(docs, ["Acme"]).collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["surface"] for r in rows)
+    assert {(r["surface"], r["type"]) for r in rows if r["doc_id"] == 0} == {("2024-01-02", "date"), ("Jan 5, 2024", "date"), ("Acme", "product"), ("L12", "lock"), ("S3a", "slice"), ("LOCKED", "marker"), ("Rs. 5 lakh", "money")}
+    assert sum(r["surface"] == "Acme" for r in rows) == 2
+    clean = {r["doc_id"]: r["m"] for r in docs.select("doc_id", entities.masked(F.col("text"), ["Acme"]).alias("m")).collect()}
+    gone = {k: {i for r in rows if r["doc_id"] == k for i in range(r["start"], r["start"] + r["length"])} for k in clean}
+    assert all(clean[k] == "".join(" " if i in gone[k] and c != "\n" else c for i, c in enumerate(t)) for k, t in enumerate(texts))
+    assert clean[3] == "   \n        Beta Works" and clean[4] == "Alpha    Beta\nGamma           \nDelta"
+    joined = spark.createDataFrame([(1, "Alpha L7 Beta and Alpha S2 Beta"), (2, "Gamma 2023-05-06\nDelta or Gamma\nDelta")], "doc_id long, text string")
+    found = {(r["doc_id"], r["canonical_key"]): r["surfaces"] for r in entities.name_candidates(joined, entities.EDGE_WORDS).collect()}
+    assert found[1, "alpha beta"] == ["Alpha Beta"] and {k for d, k in found if d == 2} == {"gamma", "delta"}
+
+
+def test_lower_case_words_are_counted_once_for_each_row(spark):
+    docs = spark.createDataFrame([(1, "Market and Market, but market market market"), (2, "Market and Market, but market"), (3, "Kite flew. Kite's wing. kite"), (4, "Kite flew. Kite's wing. kite kite kite's")], "doc_id long, text string")
+    assert {(r["doc_id"], r["canonical_key"]) for r in entities.name_candidates(docs, entities.EDGE_WORDS).collect()} == {(2, "market"), (3, "kite"), (4, "kite")}
