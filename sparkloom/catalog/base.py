@@ -46,7 +46,7 @@ def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_index(spark: SparkSession, sf_dir: str) -> Index:
     """The documents' stored postings; written once a session, as an ingest would."""
-    key = (spark.sparkContext.applicationId, sf_dir, "words")
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir), "words")
     if key not in _INDEXES:
         docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
         _INDEXES[key] = Index(spark, new_folder(spark, "words"))
@@ -81,13 +81,21 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
 #: which no pattern here captures; every text keeps its length, and borders are then those of the engine's patterns.
 LETTERS_SQL = r"letter_docs AS (SELECT * REPLACE (regexp_replace(text, '[^\x00-\x7F\P{L}]', '_', 'g') AS text) FROM documents)"
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
-_INDEXES: dict[tuple[str, str, str], Index] = {}
+_STORED: dict[tuple[str, ...], DataFrame] = {}
+_INDEXES: dict[tuple[str, ...], Index] = {}
+
+
+def version(spark: SparkSession, sf_dir: str) -> str:
+    """The documents' files with their sizes and times, so that what is stored of a table is not used for another one under its path."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return ",".join(sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in listed))
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table that several queries share, written to the shared folder once a session, as an ingest would store it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir), name)
     if key not in _STORED:
         _STORED[key] = cut(build())
     return _STORED[key]

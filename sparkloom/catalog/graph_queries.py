@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.catalog.base import LETTERS_SQL, ORACLE_SQL, as_of, query, quoted, stored
+from sparkloom.catalog.base import LETTERS_SQL, ORACLE_SQL, as_of, query, quoted, stored, version
 from sparkloom.functions import scores
 from sparkloom.functions.identity import ascii_label
 from sparkloom.operators import entities as ents
 from sparkloom.operators import graph
 from sparkloom.operators.components import connected_components
 from sparkloom.session import cut, new_folder, table
+from sparkloom.streaming.backfill import Backfill
 from sparkloom.streaming.corpus import Corpus
 
 _MASKED = "text"
@@ -101,13 +102,13 @@ def g11_pmi(spark, sf_dir):
     return graph.mined(_mentions(spark, sf_dir), _pairs(spark, sf_dir))
 
 
-_CORPORA: dict[tuple[str, str], Corpus] = {}
+_CORPORA: dict[tuple[str, ...], Corpus] = {}
 _TAKEN = "(SELECT doc_id, CASE WHEN source = 'src1' THEN 'Replaced Text. Replaced Text ' || lang ELSE text END AS text FROM documents WHERE source <> 'src2')"
 
 
 def _corpus(spark, sf_dir):
     """All documents as one batch, of which those of one source have no valid date; then new texts for those of another source."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir))
     if key not in _CORPORA:
         docs = table(spark, sf_dir, "documents")
         rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("title"), F.col("source").alias("source_file"), F.when(F.col("source") == "src2", "soon").otherwise("2024-01-01").alias("created_at"), "text", "lang", "source")
@@ -335,3 +336,14 @@ def u02_linked_components(spark, sf_dir):
     """Components of links between orders and parts, over all line items, under the smallest id; parts have negative ids."""
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst"))
     return connected_components(pairs)
+
+
+@query("g21_backfill_ledger", f"""WITH {_MENTIONS}, per_doc AS (SELECT doc_id, count(*) AS n FROM mentions GROUP BY doc_id)
+SELECT d.doc_id::VARCHAR AS doc_id, CASE WHEN trim(regexp_replace(d.text, '\\s+', ' ', 'g')) = '' THEN 'skipped' ELSE 'done' END AS status, 1 AS attempts, coalesce(p.n, 0) AS entities FROM documents d LEFT JOIN per_doc p USING (doc_id)""")
+def g21_backfill_ledger(spark, sf_dir):
+    """The deterministic pass over all documents, in two runs of which the first one has a limit."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), "text")
+    passes = Backfill(spark, new_folder(spark, "backfill"))
+    passes.run(chunks, "deterministic", "first", limit=100)
+    passes.run(chunks, "deterministic", "rest")
+    return passes.ledger().select("doc_id", "status", "attempts", "entities")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from sparkloom.catalog.base import AS_OF, COSTS_SQL, ORDERS_SQL, POINTS_SQL, RECEIPTS_SQL, SESSIONS_SQL, as_of, costs, orders, points, query, quoted, receipts, sessions
@@ -11,7 +13,7 @@ from sparkloom.operators import graph, ledger
 from sparkloom.plans import brief
 from sparkloom.session import table
 from sparkloom.sources import files, store
-from sparkloom.streaming import ingest
+from sparkloom.streaming import approvals, ingest
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
 
@@ -321,3 +323,19 @@ def j12_dangling(spark, sf_dir):
 def a15_degrees(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src_id"), F.col("l_suppkey").alias("dst_id"), F.col("l_discount").alias("weight"))
     return graph.degrees(edges)
+
+
+@query("v13_changes", """WITH events AS (SELECT o_orderkey AS id, 'request' AS kind, NULL AS decision, 'agent' AS actor, o_orderdate::TIMESTAMP AS stamp FROM orders
+  UNION ALL SELECT l_orderkey, 'decision', CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'approved' ELSE 'perhaps' END, l_linenumber::VARCHAR, l_shipdate::TIMESTAMP FROM lineitem),
+seen AS (SELECT *, min(stamp) FILTER (kind = 'request') OVER w AS asked, row_number() OVER (PARTITION BY id ORDER BY stamp, kind DESC, decision NULLS FIRST, actor) AS nth FROM events WINDOW w AS (PARTITION BY id ORDER BY stamp, kind DESC, decision NULLS FIRST, actor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+judged AS (SELECT *, kind = 'decision' AND decision IN ('approved', 'rejected') AND asked IS NOT NULL AND stamp <= asked + INTERVAL 60 DAY AS valid FROM seen),
+settled AS (SELECT *, arg_min(decision, nth) FILTER (valid) OVER (PARTITION BY id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM judged),
+told AS (SELECT *, CASE WHEN decision NOT IN ('approved', 'rejected') THEN 'unknown decision' WHEN asked IS NULL THEN 'not found' WHEN before IS NOT NULL THEN 'already ' || before WHEN NOT valid THEN 'expired' END AS why FROM settled WHERE kind = 'decision' OR asked IS NULL)
+SELECT id, CASE WHEN kind = 'request' THEN 'pending' WHEN why IS NULL THEN decision ELSE 'refused' END AS status, actor, CASE WHEN kind = 'decision' THEN why END AS reason FROM told
+UNION ALL SELECT id, 'expired', NULL, NULL FROM judged GROUP BY id HAVING NOT bool_or(valid) AND min(stamp) FILTER (kind = 'request') + INTERVAL 60 DAY < TIMESTAMP '2030-01-01'""")
+def v13_changes(spark, sf_dir):
+    """Orders as requests and their line items as decisions, in the form that the stream of them has."""
+    made = F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "A", "approved").otherwise("perhaps")
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("request").alias("kind"), F.lit(None).cast("string").alias("decision"), F.lit("agent").alias("actor"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    decided = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("decision").alias("kind"), made.alias("decision"), F.col("l_linenumber").cast("string").alias("actor"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    return approvals.changes(asked.unionAll(decided), dt.timedelta(days=60), dt.datetime(2030, 1, 1)).select("id", "status", "actor", "reason")

@@ -18,14 +18,18 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder: the one that is set, or that of ``spark.checkpoint.dir``.
 
     With neither, a local session gets a temporary folder of its own; on a cluster, whose executors do not see it, that is
-    an error.
+    an error, and so is a folder set by hand below the driver's own temporary one. (A ``file:`` folder may be a shared mount.)
     """
     context = spark.sparkContext
+    local = context.master.startswith("local[") or context.master == "local"
     now = context._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get().rsplit("/", 1)[0]
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not context.master.startswith("local"):
+    if now.isDefined():
+        own = now.get().rsplit("/", 1)[0]
+        if not local and not shared and own.removeprefix("file:").startswith(tempfile.gettempdir()):
+            raise RuntimeError(f"{own} is not seen by the executors: set spark.checkpoint.dir to a shared folder")
+        return own
+    if not shared and not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     shared = shared or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     context.setCheckpointDir(shared)

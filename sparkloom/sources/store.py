@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.session import cut, remove_folder
+from sparkloom.session import remove_folder, written
 
 
 class BucketedTable:
@@ -43,11 +43,12 @@ class BucketedTable:
         old = self._stored().where(F.col("_bucket").isin(touched)).drop("_bucket")
         new = change(old).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema))
         # written before the table is touched, as it is read from the table
-        new = cut(new.withColumn("_bucket", self._bucket()).repartition(len(touched), "_bucket"))
+        new, folder = written(new.withColumn("_bucket", self._bucket()).repartition(len(touched), "_bucket"), "buckets")
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
         left = {r[0] for r in new.select("_bucket").distinct().collect()}
         for bucket in set(touched) - left:
             remove_folder(self.spark, f"{self.path}/_bucket={bucket}")
+        remove_folder(self.spark, folder)
 
     def upsert(self, new: DataFrame, keys: Sequence[str], order: str | None = None) -> None:
         """keys must hold the table's key."""
@@ -77,12 +78,12 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A small artifact as one CSV file with a header."""
+    """An artifact of some thousand rows as one CSV file with a header; one task writes it."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def write_markdown(quotes: DataFrame, path: str, title: str) -> None:
-    """A small artifact (quote, source) as one Markdown file, quotes verbatim."""
+    """An artifact of some thousand rows (quote, source) as one Markdown file, quotes verbatim; one task sorts and writes it."""
     line = F.concat(F.lit("> "), F.replace("quote", F.lit("\n"), F.lit("\n> ")), F.lit("\n>\n> — "), "source", F.lit("\n"))
     head = quotes.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(f"# {title}\n").alias("value"))
     lines = head.unionAll(quotes.select(F.lit(1), line).where(line.isNotNull())).repartition(1).sortWithinPartitions("part", "value")
