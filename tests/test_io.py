@@ -2,6 +2,9 @@
 
 import json
 
+import duckdb
+
+from sparkloom import catalog
 from sparkloom.sources import files, store
 from sparkloom.streaming import ingest
 
@@ -49,6 +52,23 @@ def test_bucketed_table(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect())) == [(0, "x"), (0, "y")]
 
 
+def test_upsert_query_keeps_updates_and_inserts(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "orders.parquet")
+    spark.createDataFrame([(None, "F"), (2**62, "P"), *((i, "O" if i % 5 else None) for i in range(-9, 40))], "o_orderkey long, o_orderstatus string").write.parquet(path)
+    given, upserted = [], store.upserted
+    monkeypatch.setattr(store, "upserted", lambda old, new, keys: given.extend([old, new]) or upserted(old, new, keys))
+    got = catalog.queries()["s13_upsert"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{path}/*.parquet'")
+    by_text = lambda rows: sorted(map(str, map(tuple, rows)))
+    assert by_text(got) == by_text(con.sql(catalog.oracle_sql()["s13_upsert"]).fetchall())
+    old, new = ({r["id"] for r in df.collect()} for df in given)
+    assert new - old == {i for i in range(-9, 40) if i % 3 == 0 and i % 2}  # inserted
+    assert new & old == {i for i in range(-9, 40) if i % 6 == 0}  # updated
+    assert old - new == {None, 2**62, *(i for i in range(-9, 40) if i % 3)}  # kept
+    assert given[1].count() == 2 * len(new)  # each of them twice
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
