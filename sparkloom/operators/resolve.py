@@ -38,7 +38,9 @@ def _prefix(size: Column) -> Column:
 
 def similar_keys(keys: DataFrame) -> DataFrame:
     """(type, a, b, ratio) of the keys (type, canonical_key) of one type, first letter and nearly one length whose ratio reaches LEAST_RATIO; a < b."""
-    return candidate_pairs(keys).withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= LEAST_RATIO)
+    # Spark would move a filter on a deterministic ratio below distinct(), to each time that a pair meets
+    ratio = sequence_ratio.asNondeterministic()
+    return candidate_pairs(keys).withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= LEAST_RATIO)
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
@@ -49,7 +51,9 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     and meet where these are equal: only pairs with a common subsequence of M meet, however alike all keys are. Longer keys
     meet over their rarest grams of four, and are held against the number of characters that may differ before they are compared.
     """
-    keys = keys.select("type", "canonical_key").distinct().where(F.length("canonical_key") >= LEAST_LENGTH)
+    # a stated number of partitions: the keys are small, but what they are listed under is not
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.select("type", "canonical_key").where(F.length("canonical_key") >= LEAST_LENGTH).repartition(parts, "type", "canonical_key").distinct()
     keys = keys.withColumns({"size": F.length("canonical_key"), "first": F.substring("canonical_key", 1, 1)})
     return _by_deletion(keys).unionAll(_by_grams(keys.where(F.col("size") > SHORT)))
 
@@ -76,10 +80,13 @@ def _by_deletion(keys: DataFrame) -> DataFrame:
     listed = keys.where(size <= SHORT + LENGTH_WINDOW).select("*", F.explode(meet).alias("m")).select("type", "first", "canonical_key", "size", "m.*")
     left = F.when(F.col("out") == 0, none).when(F.col("out") == 1, one).otherwise(two)
     flat = listed.select("type", "first", "low", "high", "canonical_key", "size", F.explode(F.array_distinct(left)).alias("left"))
-    on = ["type", "first", "low", "high", "left"]
-    low = flat.where("size = low").select(*on, F.col("canonical_key").alias("x"))
-    high = flat.where("size = high").select(*on, F.col("canonical_key").alias("y"))
-    met = low.join(high, on).where("low < high or x < y")
+    flat = flat.withColumn("met", F.xxhash64("first", "low", "high", "left"))
+    low = flat.where("size = low").select("type", "met", F.col("canonical_key").alias("x"))
+    high = flat.where("size = high").select("type", "met", F.col("canonical_key").alias("y"))
+    # the planner takes lists for as small as the keys they come from, and would send them to the driver for a broadcast
+    met = low.hint("merge").join(high.hint("merge"), ["type", "met"]).where((F.length("x") < F.length("y")) | (F.length("x") == F.length("y")) & (F.col("x") < F.col("y")))
+    # what meets by its hash alone
+    met = met.where((F.substring("x", 1, 1) == F.substring("y", 1, 1)) & (F.length("y") - F.length("x") <= LENGTH_WINDOW))
     return met.select("type", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -89,10 +96,10 @@ def _by_grams(keys: DataFrame) -> DataFrame:
     flat = keys.select("*", F.explode(numbered).alias("g")).select("type", "canonical_key", "size", "first", "g.*")
     df = flat.groupBy("type", "first", "gram", "again").agg(F.count(F.lit(1)).alias("df"))
     nth = F.row_number().over(Window.partitionBy("type", "canonical_key").orderBy("df", "gram", "again"))
-    rare = flat.join(df, ["type", "first", "gram", "again"]).where("df > 1").withColumn("nth", nth).where(F.col("nth") <= _prefix(F.col("size")))
+    rare = flat.hint("merge").join(df.hint("merge"), ["type", "first", "gram", "again"]).where("df > 1").withColumn("nth", nth).where(F.col("nth") <= _prefix(F.col("size")))
     rare = rare.select("type", "first", "gram", "again", "canonical_key", "size")
     other = rare.withColumnsRenamed({"canonical_key": "b", "size": "size_b"})
-    met = rare.withColumnRenamed("canonical_key", "a").join(other, ["type", "first", "gram", "again"]).where("a < b").where(F.abs(F.col("size") - F.col("size_b")) <= LENGTH_WINDOW)
+    met = rare.withColumnRenamed("canonical_key", "a").hint("merge").join(other.hint("merge"), ["type", "first", "gram", "again"]).where("a < b").where(F.abs(F.col("size") - F.col("size_b")) <= LENGTH_WINDOW)
     pairs = met.select("type", "a", "b").distinct()
     # what is not matched is deleted from one key or put into the other
     differ = F.length("a") + F.length("b") - 2 * _matched(F.length("a"), F.length("b"))
