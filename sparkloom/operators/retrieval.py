@@ -6,18 +6,25 @@ task and a merge of heaps, never a sort of all rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions import scores
 from sparkloom.functions.text import title_hits, verbatim_window
 from sparkloom.operators.words import Index, keyword_lists, keyword_search
 
 POOL, PER_DOC, DEDUP_CHARS = 8, 2, 80
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
+_CELLS, _NINTH = 1 << 21, Decimal("1e-9")  # scores held at a time
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -145,18 +152,80 @@ def vector_top_k_each(points: DataFrame, asked: DataFrame, k: int, id_col: str =
 def scored_each(points: DataFrame, asked: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """vector_top_k_each() with the score.
 
-    Queries meet the points in blocks of both, each pair of blocks in one task; only k rows a query leave a task's window.
-    There is a block for every QUERY_BLOCK queries, and blocks of points for about two tasks a partition.
+    Queries meet the points in blocks of both, each pair of blocks in one task as a product of matrices; only k rows a query
+    leave a task. There is a block for every QUERY_BLOCK queries, and blocks of points for about two tasks a partition. Scores
+    are those of scores.cosine(), rounded alike.
     """
     tasks = 2 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = max(1, -(-asked.count() // QUERY_BLOCK))
     p = max(1, -(-tasks // q))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = asked.withColumns({"qa": deal("query", q), "pa": F.explode(F.sequence(F.lit(0), F.lit(p - 1)))})
+    left = asked.select("query", "asked").withColumns({"qa": deal("query", q), "pa": F.explode(F.sequence(F.lit(0), F.lit(p - 1)))})
     right = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).withColumns({"pa": deal("id", p), "qa": F.explode(F.sequence(F.lit(0), F.lit(q - 1)))})
-    scored = left.join(right, ["qa", "pa"]).select("query", "id", F.round(scores.cosine(F.col("vec"), F.col("asked")), 9).alias("score")).where("score is not null")
+    kinds = T.StructType([T.StructField("query", left.schema["query"].dataType), T.StructField("id", right.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    block = lambda queries, rows: _nearest(queries, rows, k)
+    best = left.groupBy("qa", "pa").cogroup(right.groupBy("qa", "pa")).applyInArrow(block, kinds)
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("n", nth).where(F.col("n") <= k)
+    return best.withColumn("n", nth).where(F.col("n") <= k)
+
+
+def _matrix(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length the rows' numbers and their vectors; rows that are null or hold a null have no score with any other."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    offsets, values = flat.offsets.to_numpy(), flat.values
+    ends = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+    whole = flat.is_valid().to_numpy(zero_copy_only=False) & (ends[offsets[1:]] == ends[offsets[:-1]])
+    numbers, sizes = values.to_numpy(zero_copy_only=False).astype(np.float64), np.diff(offsets)
+    out = {}
+    for size in np.unique(sizes[whole & (sizes > 0)]):
+        rows = np.flatnonzero(whole & (sizes == size))
+        out[int(size)] = (rows, numbers[offsets[rows][:, None] + np.arange(size)])
+    return out
+
+
+def _products(a: np.ndarray, b: np.ndarray, of: np.ndarray | slice = slice(None), with_: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Inner products of some rows with some others, summed in the order that scores.dot() has."""
+    total = 0.0
+    for x, y in zip(a.T, b.T, strict=True):
+        total = total + x[of] * y[with_]
+    return total
+
+
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """Half up at nine places of a number's shortest decimal form, as Spark rounds."""
+    values, at = np.unique(score, return_inverse=True)
+    one = lambda x: float(Decimal(repr(x)).quantize(_NINTH, ROUND_HALF_UP)) + 0.0 if math.isfinite(x) else x
+    return np.array([one(float(x)) for x in values])[at]
+
+
+def _nearest(queries: pa.Table, points: pa.Table, k: int) -> pa.Table:
+    """(query, id, score): for each query of a block the k best points of a block."""
+    ids, found = points["id"].combine_chunks(), []
+    by_id = np.empty(len(ids), dtype=np.int64)  # positions in the order of ids
+    by_id[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    stored = _matrix(points["vec"])
+    with np.errstate(all="ignore"):
+        for size, (own, asked) in _matrix(queries["asked"]).items():
+            rows, vectors = stored.get(size, (None, None))
+            if rows is None:
+                continue
+            norms, asked_norms = np.sqrt(_products(vectors, vectors)), np.sqrt(_products(asked, asked))
+            step = max(1, _CELLS // len(rows))
+            for begin in range(0, len(own), step):
+                part = slice(begin, begin + step)
+                norm = asked_norms[part, None] * norms
+                near = (asked[part] @ vectors.T) / norm
+                near[np.isnan(near)] = np.inf  # the largest one, as in Spark
+                near[~((norm > 0) | np.isnan(norm))] = -np.inf
+                # sums in another order differ far less than two scores that are equal in nine places
+                least = np.partition(near, -k, axis=1)[:, -k, None] - 3e-9 if len(rows) > k else -np.inf
+                i, j = np.nonzero((near >= least) & (near > -np.inf))
+                score = _rounded(_products(asked[part], vectors, i, j) / (norms[j] * asked_norms[part][i]))
+                order = np.lexsort((by_id[rows[j]], -np.where(np.isnan(score), np.inf, score), i))
+                order = order[np.arange(len(i)) - np.searchsorted(i, i) < k]  # i is sorted, before and after
+                found.append((own[part][i[order]], rows[j[order]], score[order]))
+    q, p, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return pa.table({"query": queries["query"].combine_chunks().take(pa.array(q)), "id": ids.take(pa.array(p)), "score": score})
 
 
 def gate(hits: DataFrame, markers: Sequence[str], date: Column, top: int = 3) -> DataFrame:
