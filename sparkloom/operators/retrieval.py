@@ -239,5 +239,7 @@ def gate(hits: DataFrame, markers: Sequence[str], date: Column, top: int = 3) ->
 
 def top_k_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """(query, overlap): share of the k ids (query, id) that two result lists have in common."""
-    both = a.select("query", "id").distinct().join(b.select("query", "id").distinct(), ["query", "id"]).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    return a.select("query").distinct().join(both, "query", "left").select("query", (F.coalesce("n", F.lit(0)) / F.lit(k)).alias("overlap"))
+    rows = a.select("query", "id", F.lit(1).alias("side")).unionAll(b.select("query", "id", F.lit(2).alias("side")))
+    met = rows.groupBy("query", "id").agg(F.max(F.col("side") == 1).alias("in_a"), (F.count_distinct("side") == 2).alias("in_both"))
+    named = F.col("query").isNotNull() & F.col("id").isNotNull()
+    return met.where("in_a").groupBy("query").agg((F.count_if(F.col("in_both") & named) / F.lit(k)).alias("overlap"))
