@@ -12,14 +12,17 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions import scores
 from sparkloom.operators import entities as ents
 from sparkloom.operators import graph
+from sparkloom.session import new_folder, numbered, remove_folder, written
 from sparkloom.sources.batches import BatchedTable
 
 PASSES = ("deterministic", "llm")  # fixed values
 CHUNKS_PER_DOC = 3
+BATCH_DOCS, MOST_BATCHES, _FILES = 10_000, 8, 16
 _TRIPLE = ("subject", "subject_type", "predicate", "object", "object_type")
 
 #: Of one chunk's text: triples as mappings. May raise: the document then fails, and no other.
@@ -74,58 +77,70 @@ class Backfill:
     def triples(self) -> DataFrame:
         return self._last(self._triples, "llm")
 
-    def run(self, chunks: DataFrame, pass_name: str, run: str, limit: int | None = None, batch_docs: int = 10_000, chunks_per_doc: int = CHUNKS_PER_DOC) -> int:
+    def run(self, chunks: DataFrame, pass_name: str, run: str, limit: int | None = None, batch_docs: int | None = None, chunks_per_doc: int = CHUNKS_PER_DOC) -> int:
         """Works through what a pass has not settled, at most ``limit`` documents by id, in batches; how many documents it has settled.
 
-        run: the run's name; under the same name it goes on, and does not take again what has failed in it.
+        run: the run's name; under the same name it goes on, and does not take again what has failed in it. batch_docs: documents
+        in a batch, BATCH_DOCS by default, or what makes MOST_BATCHES of the run if that is more.
         """
         if pass_name not in PASSES or (pass_name == "llm" and not self.complete):
             raise ValueError(f"no such pass: {pass_name}")
-        chunks = chunks.withColumn("doc_id", F.col("doc_id").cast("string"))
+        chunks = chunks.withColumn("doc_id", F.col("doc_id").cast("string")).select("doc_id", "chunk_index", "text")
         begun = self._runs.read().where(F.col("run") == run).agg(F.min("batch")).head()[0]
         if begun is None:
             begun = max(self._runs.last(), self._claims.last()) + 1
             self._runs.put(begun, self.spark.createDataFrame([(run,)], "run string"))
-        while True:
-            settled = self._ledger.read().where((F.col("pass") == pass_name) & (F.col("status").isin("done", "skipped") | (F.col("batch") >= begun))).select("doc_id").distinct()
-            mine = self._ledger.read().where((F.col("pass") == pass_name) & (F.col("batch") >= begun)).count()
-            open_ = [n for n, _ in self._claims.folders() if n > self._ledger.last()]
-            if not open_:
-                size = batch_docs if limit is None else min(batch_docs, limit - mine)
-                todo = chunks.select("doc_id").distinct().join(settled, "doc_id", "left_anti").orderBy("doc_id").limit(max(0, size))
-                number = max(begun, self._claims.last() + 1)
-                if todo.isEmpty():
-                    return mine
-                self._claims.put(number, todo.withColumn("pass", F.lit(pass_name)))
-                open_ = [number]
-            for number in open_:
-                self._settle(chunks, number, chunks_per_doc)
-
-    def _settle(self, chunks: DataFrame, number: int, chunks_per_doc: int) -> None:
-        claim = self._claims.read().where(F.col("batch") == number).select("doc_id", "pass")
+        for number in [n for n, _ in self._claims.folders() if n > self._ledger.last()]:
+            claim = self._claims.read(only=number).select("doc_id")
+            self._settle(chunks.join(claim, "doc_id", "left_semi"), number, chunks_per_doc)
+        ledger = self._ledger.read().where(F.col("pass") == pass_name)
+        mine = ledger.where(F.col("batch") >= begun).count()
+        settled = ledger.where(F.col("status").isin("done", "skipped") | (F.col("batch") >= begun)).select("doc_id").distinct()
+        todo = chunks.select("doc_id").distinct().join(settled, "doc_id", "left_anti")
+        # what is left to do is put in order once, and its texts are dealt to their batches once, so that no batch reads all of them
+        placed = numbered(todo if limit is None else todo.orderBy("doc_id").limit(max(0, limit - mine)), "doc_id")
+        total = placed.count()
+        if not total:
+            return mine
+        size = batch_docs or max(BATCH_DOCS, -(-total // MOST_BATCHES))
+        placed = placed.withColumn("part", F.floor(F.col("at") / size).cast("int"))
+        folder = new_folder(self.spark, "todo")
+        dealt = chunks.join(placed.select("doc_id", "part"), "doc_id").repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(_FILES)))
+        dealt.write.partitionBy("part").parquet(folder)
+        for part in range(-(-total // size)):
+            number = max(begun, self._claims.last() + 1)
+            self._claims.put(number, placed.where(F.col("part") == part).select("doc_id", F.lit(pass_name).alias("pass")))
+            own = self.spark.read.schema(T.StructType([*chunks.schema.fields, T.StructField("part", T.IntegerType())])).parquet(folder).where(F.col("part") == part)
+            self._settle(own.select(chunks.columns), number, chunks_per_doc)
+        remove_folder(self.spark, folder)
+        return mine + total
+
+    def _settle(self, own: DataFrame, number: int, chunks_per_doc: int) -> None:
+        """Stores the results of a claim, whose chunks are given, and its rows in the ledger."""
+        claim = self._claims.read(only=number).select("doc_id", "pass")
         pass_name = claim.head()["pass"]
-        own = chunks.join(claim.select("doc_id"), "doc_id", "left_semi")
-        texts = own.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+        texts, folder = written(own.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n\n").alias("text")), "texts")
         empty = texts.where(F.trim(F.regexp_replace("text", r"\s+", " ")) == "").select("doc_id", F.lit(True).alias("empty"))
         if pass_name == "llm":
             chosen = graph.representative_chunks(own.join(empty, "doc_id", "left_anti"), chunks_per_doc)
             found = completed(chosen, self.complete).cache()
             kept = graph.grounded_triples(found.where("error is null").drop("error"), texts)
             self._triples.put(number, kept)
-            stored = self._triples.read().where(F.col("batch") == number)
+            stored = self._triples.read(only=number)
             ends = stored.select("doc_id", F.explode(F.array("subject", "object")).alias("end"))
             errors = found.where("error is not null").select("doc_id", "error")
             counts = (ends.groupBy("doc_id").agg(F.count_distinct(F.lower("end")).alias("entities")), stored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges")))
         else:
             mentions = ents.mentions(texts, self.stopwords).withColumn("entity_id", scores.point_id(F.concat_ws("|", "canonical_key", "type")))
             self._mentions.put(number, mentions)
-            stored = self._mentions.read().where(F.col("batch") == number)
+            stored = self._mentions.read(only=number)
             self._pairs.put(number, graph.co_mentions(stored.select(*self._mentions.schema.names)))
             errors = claim.limit(0).select("doc_id", F.lit("").alias("error"))
-            counts = (stored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entities")), self._pairs.read().where(F.col("batch") == number).groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges")))
+            counts = (stored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entities")), self._pairs.read(only=number).groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges")))
         before = self._ledger.read(before=number).groupBy("doc_id", "pass").agg(F.max("attempts").alias("before"))
         rows = claim.join(empty, "doc_id", "left").join(errors, "doc_id", "left").join(before, ["doc_id", "pass"], "left").join(counts[0], "doc_id", "left").join(counts[1], "doc_id", "left")
         status = F.when(F.col("empty"), "skipped").when(F.col("error").isNotNull(), "failed").otherwise("done")
         self._ledger.put(number, rows.select("doc_id", "pass", status.alias("status"), (F.coalesce("before", F.lit(0)) + 1).alias("attempts"), F.coalesce("entities", F.lit(0)).alias("entities"), F.coalesce("edges", F.lit(0)).alias("edges"), "error"))
         if pass_name == "llm":
             found.unpersist()
+        remove_folder(self.spark, folder)
